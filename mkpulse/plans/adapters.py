@@ -65,6 +65,8 @@ def ads(t: Tables, dims: bool = True) -> DataFrame:
         clicks.alias("clicks"),
         (clicks * 20).alias("impressions"),
         (clicks * (F.col("l_linenumber") + 8)).alias("reach"),
+        (F.lit(100.0) / (F.col("l_linenumber") + 8)).alias("ctr"),
+        (F.lit(20.0) / (F.col("l_linenumber") + 8)).alias("frequency"),
         conv.alias("conversions"),
         F.when(is_meta, F.when(F.col("l_tax") >= 0.05, 1).otherwise(0)).cast("bigint").alias("app_installs"),
         F.when(is_meta, conv.cast("bigint")).alias("purchases"),
@@ -95,6 +97,8 @@ _ADS_COLS = f"""
     CAST(l_quantity AS BIGINT) AS clicks,
     CAST(l_quantity AS BIGINT) * 20 AS impressions,
     CAST(l_quantity AS BIGINT) * (l_linenumber + 8) AS reach,
+    100.0::DOUBLE / (l_linenumber + 8) AS ctr,
+    20.0::DOUBLE / (l_linenumber + 8) AS frequency,
     CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END::DOUBLE AS conversions,
     CASE WHEN l_linestatus <> 'F' THEN CAST(CASE WHEN l_tax >= 0.05 THEN 1 ELSE 0 END AS BIGINT) END AS app_installs,
     CASE WHEN l_linestatus <> 'F' THEN CAST(CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END AS BIGINT) END AS purchases,
@@ -139,7 +143,7 @@ SQL["organic"] = f"""SELECT CAST(o_orderdate AS DATE) AS date_day,
     {_sql_pick('l_linenumber % 3', DEVICES)} AS device,
     CAST(l_linenumber AS BIGINT) AS clicks,
     CAST(l_quantity AS BIGINT) * 10 AS impressions,
-    length(p_name) % 8 + 1 + (l_linenumber % 3) * 0.5 AS position,
+    CAST(length(p_name) % 8 + 1 + (l_linenumber % 3) * 0.5 AS DOUBLE) AS position,
     CAST(l_linenumber AS BIGINT) / NULLIF(CAST(l_quantity AS BIGINT) * 10, 0) AS ctr
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey"""
 
