@@ -9,7 +9,8 @@ from mkpulse.plans import adapters as ad
 from mkpulse.plans import views as V
 from mkpulse.plans.catalog import DS, R, register
 
-_CID = F.regexp_extract("campaign_name", r"#(\d+)", 1).cast("bigint")
+def _cid():
+    return F.regexp_extract("campaign_name", r"#(\d+)", 1).cast("bigint")
 _CID_SQL = "CAST(regexp_extract(campaign_name, '#(\\d+)', 1) AS BIGINT)"
 
 
@@ -18,15 +19,15 @@ def bronze(t) -> dict:
     ads = ad.ads(t)
     g = ads.where(F.col("platform") == "google_ads")
     m = ads.where(F.col("platform") == "meta_ads")
-    gads = g.groupBy(F.date_format("date_day", "yyyy-MM-dd").alias("date"), _CID.alias("campaign_id"), "campaign_name").agg(
+    gads = g.groupBy(F.date_format("date_day", "yyyy-MM-dd").alias("date"), _cid().alias("campaign_id"), "campaign_name").agg(
         F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("cost_micros").alias("cost_micros"),
         F.sum("spend").alias("cost"), F.sum("conversions").alias("conversions"),
         F.sum("conversion_value").alias("conversions_value"))
-    gadg = g.groupBy(F.date_format("date_day", "yyyy-MM-dd").alias("date"), _CID.alias("campaign_id"),
+    gadg = g.groupBy(F.date_format("date_day", "yyyy-MM-dd").alias("date"), _cid().alias("campaign_id"),
                      F.col("ad_group_name"), F.regexp_extract("ad_group_name", r"/(\d+)$", 1).cast("bigint").alias("ad_group_id")).agg(
         F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("spend").alias("cost"),
         F.sum("conversions").alias("conversions"), F.sum("conversion_value").alias("conversions_value"))
-    meta_keys = [F.col("date_day").alias("date"), F.col("account_id").alias("ad_account_id"), _CID.cast("string").alias("campaign_id"),
+    meta_keys = [F.col("date_day").alias("date"), F.col("account_id").alias("ad_account_id"), _cid().cast("string").alias("campaign_id"),
                  "campaign_name"]
     meta_aggs = [F.sum("impressions").alias("impressions"), F.sum("reach").alias("reach"), F.sum("clicks").alias("clicks"),
                  F.sum("spend").alias("spend"), F.sum("app_installs").alias("app_installs"), F.sum("purchases").alias("purchases"),
