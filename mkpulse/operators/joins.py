@@ -118,6 +118,14 @@ def attach_scalars(df: DataFrame, scalars: DataFrame, by: By = ()) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
+def with_stats(df: DataFrame, aggs: Sequence[Column], by: By = ()) -> DataFrame:
+    """Attach set-level statistics (``aggs``, aliased) to every row: one
+    partially aggregated ``groupBy(by).agg`` plus a join - never a window over
+    the whole set, so no single task receives all rows. Without ``by`` the
+    statistics are one row and are broadcast."""
+    return attach_scalars(df, df.groupBy(*by).agg(*aggs), by)
+
+
 def keep_newest_semi(df: DataFrame, keys: Sequence[str], ts: str = "extracted_at") -> DataFrame:
     """Rows whose (key, ts) equals the key's MAX(ts); ties on the newest
     time all survive (unlike W01); rows with NULL time never match."""

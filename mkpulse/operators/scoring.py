@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mkpulse.functions import div, nz, safe_divide
+from mkpulse.operators.joins import with_stats
 from mkpulse.operators.topk import top_k
 
 By = Sequence[str]
@@ -90,8 +91,7 @@ def campaign_quadrants(campaigns: DataFrame, by: By = ()) -> DataFrame:
     """Campaigns with conversions > 0 (and a CPA) split by the median
     spend and median CPA of that set."""
     df = campaigns.where((F.col("conversions") > 0) & F.col("cpa").isNotNull())
-    w = _w(by)
-    df = df.withColumn("median_spend", F.median("spend").over(w)).withColumn("median_cpa", F.median("cpa").over(w))
+    df = with_stats(df, [F.median("spend").alias("median_spend"), F.median("cpa").alias("median_cpa")], by)
     hi = F.col("spend") >= F.col("median_spend")
     lo = F.col("cpa") <= F.col("median_cpa")
     q = F.when(hi & lo, "Stars").when(~hi & lo, "Question Marks").when(hi & ~lo, "Cash Cows").otherwise("Dogs")
@@ -130,13 +130,12 @@ BUDGET_CLASSES = ("Scale", "Maintain", "Reduce", "Pause")
 def budget_optimizer(campaigns: DataFrame, by: By = ()) -> DataFrame:
     """N04 over campaign rows (cost > 0): efficiency ratio vs the mean, class,
     bounded %-change, recommended budget rescaled so its sum equals the spend."""
-    w = _w(by)
     df = (
         campaigns.where(F.col("cost") > 0)
         .withColumn("efficiency", div("conversions", "cost"))
         .withColumn("cpa", div("cost", "conversions"))
-        .withColumn("_avg_eff", F.avg("efficiency").over(w))
     )
+    df = with_stats(df, [F.avg("efficiency").alias("_avg_eff")], by)
     r = F.when(F.col("_avg_eff") > 0, F.col("efficiency") / F.col("_avg_eff")).otherwise(1.0)
     df = df.withColumn("efficiency_ratio", r)
     x = F.col("efficiency_ratio")
@@ -146,11 +145,10 @@ def budget_optimizer(campaigns: DataFrame, by: By = ()) -> DataFrame:
         "budget_change_pct", F.when(x > 1, F.least(F.lit(50.0), (x - 1) * 40)).otherwise(F.greatest(F.lit(-50.0), (x - 1) * 40))
     )
     df = df.withColumn("recommended_budget", F.col("cost") * (1 + F.col("budget_change_pct") / 100))
-    df = df.withColumn(
-        "recommended_budget_normalized",
-        F.col("recommended_budget") * F.sum("cost").over(w) / F.sum("recommended_budget").over(w),
-    ).withColumn("budget_delta", F.col("recommended_budget_normalized") - F.col("cost"))
-    return df.drop("_avg_eff")
+    df = with_stats(df, [F.sum("cost").alias("_tc"), F.sum("recommended_budget").alias("_tr")], by)
+    df = df.withColumn("recommended_budget_normalized", F.col("recommended_budget") * F.col("_tc") / F.col("_tr")).withColumn(
+        "budget_delta", F.col("recommended_budget_normalized") - F.col("cost"))
+    return df.drop("_avg_eff", "_tc", "_tr")
 
 
 # ------------------------------------------------------------------------ N05
@@ -236,9 +234,13 @@ def keyword_clusters(keywords: DataFrame, k: int = 5, seed: int = 42, n_init: in
     va = VectorAssembler(inputCols=feats, outputCol="_raw")
     data = va.transform(df)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(data)
-    data = scaler.transform(data).cache()
+    # the bounded feature set is reused by n_init fits: checkpoint it to the
+    # shared checkpoint folder so a lost executor does not recompute upstream
+    from mkpulse.session import checkpoint_dir
+
+    checkpoint_dir(keywords.sparkSession)
+    data = scaler.transform(data).checkpoint(eager=True)
     if data.limit(10).count() < 10:
-        data.unpersist()
         return keywords.sparkSession.createDataFrame([], df.schema.add("cluster", "int").add("pca_x", "double").add("pca_y", "double"))
     best, best_cost = None, None
     for i in range(n_init):
@@ -288,8 +290,7 @@ def wasted_spend(kw: DataFrame, k: int = 15, by: By = ()) -> DataFrame:
     """Keywords with spend and no conversions, top k by spend, with the
     entity's total wasted spend and count."""
     wasted = kw.where((F.col("cost") > 0) & ((F.col("conversions") == 0) | F.col("conversions").isNull()))
-    w = _w(by)
-    wasted = wasted.withColumn("total_wasted", F.sum("cost").over(w)).withColumn("wasted_keywords", F.count(F.lit(1)).over(w))
+    wasted = with_stats(wasted, [F.sum("cost").alias("total_wasted"), F.count(F.lit(1)).alias("wasted_keywords")], by)
     return top_k(wasted, [F.desc("cost"), "keyword_text", "keyword_match_type", "campaign_name"], k, by)
 
 
@@ -297,10 +298,10 @@ def keyword_opportunities(kw: DataFrame, k: int = 15, by: By = ()) -> DataFrame:
     """Converting keywords with spend/conv <= Σspend/Σconv (over
     converting rows; the reference calls it 'median_cpa') and spend below the
     median positive spend; top k by conv_rate."""
-    w = _w(by)
-    df = kw.withColumn("_med", F.median(F.when(F.col("cost") > 0, F.col("cost"))).over(w)).withColumn(
-        "_cpa", F.sum(F.when(F.col("conversions") > 0, F.col("cost"))).over(w) / F.nullif(F.sum("conversions").over(w), F.lit(0))
-    )
+    df = with_stats(kw, [
+        F.median(F.when(F.col("cost") > 0, F.col("cost"))).alias("_med"),
+        (F.sum(F.when(F.col("conversions") > 0, F.col("cost"))) / F.nullif(F.sum("conversions"), F.lit(0))).alias("_cpa"),
+    ], by)
     df = df.where(
         (F.col("conversions") > 0) & (F.col("cost") / F.col("conversions") <= F.col("_cpa")) & (F.col("cost") < F.col("_med"))
     ).drop("_med", "_cpa")

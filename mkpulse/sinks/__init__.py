@@ -33,6 +33,15 @@ def upsert_frame(target: DataFrame, batch: DataFrame, keys: Sequence[str], null_
     return anti_by_keys(target, batch, keys, null_safe).unionByName(batch, allowMissingColumns=True)
 
 
+def merge_newest(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_col: str = "extracted_at") -> DataFrame:
+    """Upsert variant for out-of-order arrival: per key the row with the newest
+    ``order_col`` survives, whether it is already in the table or in the batch
+    (the batch wins ties). Replaying any batch, in any order, gives the same
+    table."""
+    u = target.withColumn("_from_batch", F.lit(0)).unionByName(batch.withColumn("_from_batch", F.lit(1)), allowMissingColumns=True)
+    return keep_latest(u, keys, order_col, ["_from_batch"]).drop("_from_batch")
+
+
 def dedupe(df: DataFrame, keys: Sequence[str], order_col: str = "extracted_at", tiebreak: Sequence[str] = ()) -> DataFrame:
     """K05 plan: newest ``order_col`` per key (NULLs last)."""
     return keep_latest(df, keys, order_col, tiebreak)
@@ -110,16 +119,18 @@ def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
 
 
 def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = True,
-           partition_col: str | None = None, schema: T.StructType | None = None) -> dict:
+           partition_col: str | None = None, schema: T.StructType | None = None, newest_col: str | None = None) -> dict:
     """Keyed upsert of ``batch`` into the table at ``path``.
 
     Missing table -> created from the batch. With ``partition_col`` only the
-    partitions present in the batch are rewritten. Returns an audit dict.
+    partitions present in the batch are rewritten. With ``newest_col`` the
+    newest row per key wins instead of the batch (see :func:`merge_newest`).
+    Returns an audit dict.
     """
     spark = batch.sparkSession
     if not path_exists(spark, path):
         n = replace(batch, path, [partition_col] if partition_col else [])
-        return {"mode": "create", "rows_written": n, "rows_replaced": 0}
+        return {"mode": "create", "rows_written": n}
     reader = spark.read.schema(schema) if schema is not None else spark.read
     target = reader.parquet(path)
     if partition_col:
@@ -128,8 +139,7 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = T
     else:
         scope = target
     obs = Observation("k02")
-    merged = upsert_frame(scope, batch, keys, null_safe)
-    replaced = scope.join(batch.select(*keys).distinct(), list(keys), "left_semi").count() if not null_safe else None
+    merged = merge_newest(scope, batch, keys, newest_col) if newest_col else upsert_frame(scope, batch, keys, null_safe)
     staging = path.rstrip("/") + f".staging-{uuid.uuid4().hex[:8]}"
     w = merged.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if partition_col:
@@ -138,7 +148,7 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = T
     else:
         w.parquet(staging)
         _swap(spark, staging, path)
-    return {"mode": "upsert", "rows_written": int(obs.get["rows"]), "rows_replaced": replaced}
+    return {"mode": "upsert", "rows_written": int(obs.get["rows"])}
 
 
 def _swap_partitions(spark: SparkSession, staging: str, final: str, partition_col: str) -> None:

@@ -4,8 +4,9 @@ The reference has no stream; its incremental loads re-pull a lookback window
 and upsert. Here that becomes:
 
 * R01 ``landing_to_bronze``: a file stream of landed rows, each micro-batch
-  de-duplicated by key (newest first) and upserted into the bronze table
-  (``foreachBatch``), so replaying a batch is idempotent.
+  de-duplicated by key (newest first) and merged into the bronze table
+  (``foreachBatch``) keeping the newest row per key, so replaying batches, in
+  any order, is idempotent.
 * R02 ``windowed_kpis``: event-time daily (or hourly) KPIs with a watermark of
   the lookback length as the late-data bound; each micro-batch's updated
   windows are upserted by window key into the KPI table (update mode), so the
@@ -62,7 +63,7 @@ def landing_to_bronze(
         if order_col not in batch.columns:
             batch = batch.withColumn(order_col, F.lit(None).cast("timestamp"))
         clean = dedupe(batch, keys, order_col, tiebreak)
-        upsert(clean, target, keys, partition_col=partition_col)
+        upsert(clean, target, keys, partition_col=partition_col, newest_col=order_col)
 
     return (
         stream.writeStream.foreachBatch(load_batch)
