@@ -57,16 +57,19 @@ def pct_change_abs(cur: str | Column, prev: str | Column) -> Column:
 
 
 def safe_float(c: str | Column, default: float | None = 0.0) -> Column:
-    """string/number -> double; NULL, NaN or unparsable -> default."""
-    x = col(c).cast("string").try_cast(T.DoubleType())
-    x = F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
+    """string/number -> double; NULL, NaN or unparsable -> default.
+
+    Each helper references its input once: conditional branches are not
+    covered by common-subexpression elimination, so nested helpers that
+    repeat their argument would multiply the work."""
+    x = F.nanvl(col(c).cast("string").try_cast(T.DoubleType()), F.lit(None).cast("double"))
     return x if default is None else F.coalesce(x, F.lit(float(default)))
 
 
 def safe_int(c: str | Column, default: int | None = 0) -> Column:
-    """like Python ``int(float(x))`` - '12.7' -> 12, '-3.9' -> -3."""
-    x = safe_float(c, None)
-    x = F.when(F.abs(x) < 9.2e18, x).cast("bigint")  # truncates toward zero
+    """like Python ``int(float(x))`` - '12.7' -> 12, '-3.9' -> -3
+    (truncation toward zero; out-of-range -> default)."""
+    x = safe_float(c, None).try_cast(T.LongType())
     return x if default is None else F.coalesce(x, F.lit(int(default)).cast("bigint"))
 
 
@@ -150,8 +153,12 @@ APP_INSTALL_TYPES = ("mobile_app_install", "omni_app_install", "app_install")
 
 
 def _first_of_type(actions: str | Column, action_type: str) -> Column:
-    hit = F.filter(col(actions), lambda a: a["action_type"] == F.lit(action_type))
-    return F.when(F.size(hit) > 0, F.element_at(hit, 1)["value"])
+    """Value of the first entry of ``action_type`` (NULL if none). Uses the
+    position in the extracted type array - no lambda, so it stays in
+    generated code."""
+    arr = col(actions)
+    pos = F.array_position(arr["action_type"], F.lit(action_type))
+    return F.get(arr, pos.cast("int") - 1)["value"]  # position 0 (absent) -> index -1 -> NULL
 
 
 def action_count(actions: str | Column, types: str | Sequence[str]) -> Column:
