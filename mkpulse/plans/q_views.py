@@ -14,46 +14,84 @@ def _cid():
 _CID_SQL = "CAST(regexp_extract(campaign_name, '#(\\d+)', 1) AS BIGINT)"
 
 
-def bronze(t) -> dict:
-    """Bronze tables shaped like the landed platform tables, at their grain."""
-    ads = ad.ads(t)
-    g = ads.where(F.col("platform") == "google_ads")
-    m = ads.where(F.col("platform") == "meta_ads")
-    gads = g.groupBy(F.date_format("date_day", "yyyy-MM-dd").alias("date"), _cid().alias("campaign_id"), "campaign_name").agg(
-        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("cost_micros").alias("cost_micros"),
-        F.sum("spend").alias("cost"), F.sum("conversions").alias("conversions"),
-        F.sum("conversion_value").alias("conversions_value"))
-    gadg = g.groupBy(F.date_format("date_day", "yyyy-MM-dd").alias("date"), _cid().alias("campaign_id"),
-                     F.col("ad_group_name"), F.regexp_extract("ad_group_name", r"/(\d+)$", 1).cast("bigint").alias("ad_group_id")).agg(
+class _Lazy(dict):
+    """name -> builder; a table is only planned when a view asks for it."""
+
+    def __getitem__(self, name):
+        v = dict.__getitem__(self, name)
+        if v is None:
+            raise KeyError(name)
+        return v()
+
+
+def _gads(t, adgroups: bool = False):
+    g = ad.ads(t).where(F.col("platform") == "google_ads")
+    day = F.date_format("date_day", "yyyy-MM-dd").alias("date")
+    if not adgroups:
+        return g.groupBy(day, _cid().alias("campaign_id"), "campaign_name").agg(
+            F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"),
+            F.sum("cost_micros").alias("cost_micros"), F.sum("spend").alias("cost"), F.sum("conversions").alias("conversions"),
+            F.sum("conversion_value").alias("conversions_value"))
+    return g.groupBy(day, _cid().alias("campaign_id"), F.col("ad_group_name"),
+                     F.regexp_extract("ad_group_name", r"/(\d+)$", 1).cast("bigint").alias("ad_group_id")).agg(
         F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("spend").alias("cost"),
         F.sum("conversions").alias("conversions"), F.sum("conversion_value").alias("conversions_value"))
-    meta_keys = [F.col("date_day").alias("date"), F.col("account_id").alias("ad_account_id"), _cid().cast("string").alias("campaign_id"),
-                 "campaign_name"]
-    meta_aggs = [F.sum("impressions").alias("impressions"), F.sum("reach").alias("reach"), F.sum("clicks").alias("clicks"),
-                 F.sum("spend").alias("spend"), F.sum("app_installs").alias("app_installs"), F.sum("purchases").alias("purchases"),
-                 F.sum("conversion_value").alias("purchase_value")]
-    meta = m.groupBy(*meta_keys).agg(*meta_aggs)
-    meta_as = m.groupBy(*meta_keys, F.col("ad_group_name").alias("adset_name"),
-                        F.regexp_extract("ad_group_name", r"/(\d+)$", 1).alias("adset_id")).agg(*meta_aggs)
+
+
+def _meta(t, adsets: bool = False):
+    m = ad.ads(t).where(F.col("platform") == "meta_ads")
+    keys = [F.col("date_day").alias("date"), F.col("account_id").alias("ad_account_id"), _cid().cast("string").alias("campaign_id"),
+            "campaign_name"]
+    if adsets:
+        keys += [F.col("ad_group_name").alias("adset_name"), F.regexp_extract("ad_group_name", r"/(\d+)$", 1).alias("adset_id")]
+    return m.groupBy(*keys).agg(
+        F.sum("impressions").alias("impressions"), F.sum("reach").alias("reach"), F.sum("clicks").alias("clicks"),
+        F.sum("spend").alias("spend"), F.sum("app_installs").alias("app_installs"), F.sum("purchases").alias("purchases"),
+        F.sum("conversion_value").alias("purchase_value"))
+
+
+def _hourly(t):
     h = ad.hourly(t)
-    hourly = h.select(F.date_format("date_day", "yyyy-MM-dd").alias("date"), F.col("campaign_name"),
-                      F.regexp_extract("campaign_name", r"(\d+)", 1).cast("bigint").alias("campaign_id"),
-                      F.col("hour").cast("double").alias("hour"), "impressions", "clicks", F.col("cost").alias("cost"),
-                      "conversions")
-    od = ad.organic_daily(t)
-    gsc = od.select(F.lit("daily").alias("_dataset"), F.date_format("date_day", "yyyy-MM-dd").alias("date"),
-                    "clicks", "impressions", "ctr", "position")
-    return {
-        "gads_campaigns": gads, "gads_ad_groups": gadg, "gads_hourly": hourly, "meta_campaign_insights": meta,
-        "meta_adset_insights": meta_as, "ga4_sessions": ad.web_sessions_raw(t), "ga4_traffic_overview": None,
-        "gsc_daily_totals": gsc, "gsc_queries": None,
-    }
+    return h.select(F.date_format("date_day", "yyyy-MM-dd").alias("date"), F.col("campaign_name"),
+                    F.regexp_extract("campaign_name", r"(\d+)", 1).cast("bigint").alias("campaign_id"),
+                    F.col("hour").cast("double").alias("hour"), "impressions", "clicks", F.col("cost").alias("cost"),
+                    "conversions")
+
+
+def _gsc_daily(t):
+    return ad.organic_daily(t).select(F.lit("daily").alias("_dataset"), F.date_format("date_day", "yyyy-MM-dd").alias("date"),
+                                      "clicks", "impressions", "ctr", "position")
+
+
+def bronze(t) -> _Lazy:
+    """Bronze tables shaped like the landed platform tables, at their grain;
+    each is only planned when a view asks for it."""
+    return _Lazy({
+        "gads_campaigns": lambda: _gads(t),
+        "gads_ad_groups": lambda: _gads(t, adgroups=True),
+        "gads_hourly": lambda: _hourly(t),
+        "meta_campaign_insights": lambda: _meta(t),
+        "meta_adset_insights": lambda: _meta(t, adsets=True),
+        "ga4_sessions": lambda: ad.web_sessions_raw(t),
+        "gsc_daily_totals": lambda: _gsc_daily(t),
+        "ga4_traffic_overview": None,
+        "gsc_queries": None,
+    })
+
+
+class _Views:
+    def __init__(self, t):
+        self.t = t
+
+    def __getitem__(self, name):
+        views, report = V.build_views(bronze(self.t), only=[name])
+        if name not in views:
+            raise KeyError(f"view {name} not built: {report}")
+        return views[name]
 
 
 def _views(t):
-    b = {k: v for k, v in bronze(t).items() if v is not None}
-    views, _ = V.build_views(b)
-    return views
+    return _Views(t)
 
 
 _GADS_B = f"""gads_b AS (SELECT strftime(date_day, '%Y-%m-%d') AS date, {_CID_SQL} AS campaign_id, campaign_name,

@@ -23,22 +23,22 @@ Tables = Mapping[str, DataFrame]
 def silver(df: DataFrame, date_col: str = "date", ints: Sequence[str] = (), floats: Sequence[str] = (),
            renames: Mapping[str, str] | None = None, platform: str | None = None) -> DataFrame:
     """``date`` -> ``date_day`` DATE (either format), numeric metrics cast
-    (bad values -> NULL), renames, optional platform tag; other columns kept."""
-    out = df
-    if date_col in out.columns:
-        out = out.withColumn("date_day", to_day(date_col))
-    for c in ints:
-        if c in out.columns:
-            out = out.withColumn(c, safe_int(c, None))
-    for c in floats:
-        if c in out.columns:
-            out = out.withColumn(c, safe_float(c, None))
-    for a, b in (renames or {}).items():
-        if a in out.columns:
-            out = out.withColumnRenamed(a, b)
+    (bad values -> NULL), renames, optional platform tag; other columns kept.
+    One projection (no chain of ``withColumn``)."""
+    renames = renames or {}
+    cols = []
+    for c in df.columns:
+        e = F.col(c)
+        if c in ints:
+            e = safe_int(c, None)
+        elif c in floats:
+            e = safe_float(c, None)
+        cols.append(e.alias(renames.get(c, c)))
+    if date_col in df.columns:
+        cols.append(to_day(date_col).alias("date_day"))
     if platform is not None:
-        out = out.withColumn("platform", F.lit(platform))
-    return out
+        cols.append(F.lit(platform).alias("platform"))
+    return df.select(*cols)
 
 
 _GA4_INTS = ("sessions", "totalUsers", "newUsers", "screenPageViews", "eventCount")
@@ -161,38 +161,59 @@ def summary_platform_totals(paid: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- registration
-ViewFn = Callable[[dict], DataFrame]
-
-# dependency order: each view may read bronze tables and earlier views
-VIEW_ORDER: list[tuple[str, ViewFn]] = [
-    ("ga4_sessions_v", lambda v: ga4_silver(v["ga4_sessions"])),
-    ("ga4_traffic_overview_v", lambda v: ga4_silver(v["ga4_traffic_overview"])),
-    ("gsc_daily_totals_v", lambda v: gsc_silver(v["gsc_daily_totals"])),
-    ("gsc_queries_v", lambda v: gsc_silver(v["gsc_queries"])),
-    ("gads_campaigns_v", lambda v: gads_silver(v["gads_campaigns"])),
-    ("gads_ad_groups_v", lambda v: gads_silver(v["gads_ad_groups"])),
-    ("gads_hourly_v", lambda v: hourly_silver(v["gads_hourly"])),
-    ("meta_campaign_insights_v", lambda v: meta_silver(v["meta_campaign_insights"])),
-    ("meta_adset_insights_v", lambda v: meta_silver(v["meta_adset_insights"])),
-    ("fact_paid_daily", lambda v: fact_paid_daily(v["gads_campaigns_v"], v["meta_campaign_insights_v"])),
-    ("fact_paid_adgroup_daily", lambda v: fact_paid_adgroup_daily(v["gads_ad_groups_v"], v["meta_adset_insights_v"])),
-    ("fact_organic_daily", lambda v: fact_organic_daily(v["gsc_daily_totals_v"])),
-    ("fact_organic_queries", lambda v: fact_organic_queries(v["gsc_queries_v"])),
-    ("fact_web_daily", lambda v: fact_web_daily(v["ga4_sessions_v"])),
-    ("fact_web_traffic", lambda v: fact_web_traffic(v["ga4_traffic_overview_v"])),
-    ("dim_campaign", lambda v: dimension(v["fact_paid_daily"], ["platform", "campaign_id"], ["campaign_name"])),
-    ("summary_platform_totals", lambda v: summary_platform_totals(v["fact_paid_daily"])),
+ViewFn = Callable[..., DataFrame]
+
+# dependency order: (view, inputs, function of the inputs)
+VIEW_ORDER: list[tuple[str, tuple[str, ...], ViewFn]] = [
+    ("ga4_sessions_v", ("ga4_sessions",), ga4_silver),
+    ("ga4_traffic_overview_v", ("ga4_traffic_overview",), ga4_silver),
+    ("gsc_daily_totals_v", ("gsc_daily_totals",), gsc_silver),
+    ("gsc_queries_v", ("gsc_queries",), gsc_silver),
+    ("gads_campaigns_v", ("gads_campaigns",), gads_silver),
+    ("gads_ad_groups_v", ("gads_ad_groups",), gads_silver),
+    ("gads_hourly_v", ("gads_hourly",), hourly_silver),
+    ("meta_campaign_insights_v", ("meta_campaign_insights",), meta_silver),
+    ("meta_adset_insights_v", ("meta_adset_insights",), meta_silver),
+    ("fact_paid_daily", ("gads_campaigns_v", "meta_campaign_insights_v"), fact_paid_daily),
+    ("fact_paid_adgroup_daily", ("gads_ad_groups_v", "meta_adset_insights_v"), fact_paid_adgroup_daily),
+    ("fact_organic_daily", ("gsc_daily_totals_v",), fact_organic_daily),
+    ("fact_organic_queries", ("gsc_queries_v",), fact_organic_queries),
+    ("fact_web_daily", ("ga4_sessions_v",), fact_web_daily),
+    ("fact_web_traffic", ("ga4_traffic_overview_v",), fact_web_traffic),
+    ("dim_campaign", ("fact_paid_daily",), lambda p: dimension(p, ["platform", "campaign_id"], ["campaign_name"])),
+    ("summary_platform_totals", ("fact_paid_daily",), summary_platform_totals),
 ]
+_DEPS = {name: deps for name, deps, _ in VIEW_ORDER}
+
+
+def _needed(targets) -> set[str]:
+    out: set[str] = set()
+    todo = list(targets)
+    while todo:
+        n = todo.pop()
+        if n in out:
+            continue
+        out.add(n)
+        todo.extend(_DEPS.get(n, ()))
+    return out
 
 
-def build_views(bronze: Tables) -> tuple[dict[str, DataFrame], list[tuple[str, str, str | None]]]:
-    """Build every view whose inputs exist, in dependency order; a view
-    whose input is missing or fails to analyse is reported and skipped."""
-    env: dict[str, DataFrame] = dict(bronze)
+def build_views(bronze: Tables, only=None) -> tuple[dict[str, DataFrame], list[tuple[str, str, str | None]]]:
+    """Build the views (all, or ``only`` these and what they depend on)
+    in dependency order; a view whose input is missing or fails to analyse
+    is reported and skipped."""
+    env: dict[str, DataFrame] = {}
     report: list[tuple[str, str, str | None]] = []
-    for name, fn in VIEW_ORDER:
+    need = _needed(only) if only else None
+
+    def get(n: str) -> DataFrame:
+        return env[n] if n in env else bronze[n]  # bronze may be a lazy mapping
+
+    for name, deps, fn in VIEW_ORDER:
+        if need is not None and name not in need:
+            continue
         try:
-            df = fn(env)
+            df = fn(*[get(d) for d in deps])
             df.schema  # analyse now, so a broken view fails here
             env[name] = df
             report.append((name, "created", None))
@@ -200,7 +221,7 @@ def build_views(bronze: Tables) -> tuple[dict[str, DataFrame], list[tuple[str, s
             report.append((name, "skipped", f"missing input {e}"))
         except Exception as e:  # noqa: BLE001 - reported, like the reference
             report.append((name, "failed", str(e)[:200]))
-    return {n: env[n] for n, _ in VIEW_ORDER if n in env}, report
+    return dict(env), report
 
 
 def register_views(spark: SparkSession, bronze: Tables) -> DataFrame:
@@ -214,7 +235,7 @@ def register_views(spark: SparkSession, bronze: Tables) -> DataFrame:
 def drop_views(spark: SparkSession) -> int:
     """Drop every view this module creates."""
     n = 0
-    for name, _ in VIEW_ORDER:
+    for name, _, _ in VIEW_ORDER:
         if spark.catalog.dropTempView(name):
             n += 1
     return n

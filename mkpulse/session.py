@@ -51,18 +51,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 class Tables:
-    """Lazy ``name -> DataFrame`` over one folder of parquet tables."""
+    """Lazy ``name -> DataFrame`` over one folder of parquet tables.
+
+    Handles are shared per (session, path): the file listing and footer read
+    that resolve a parquet relation happen once per session, not per query.
+    """
+
+    _shared: dict[tuple[str, str], DataFrame] = {}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._cache: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._cache:
-            path = os.path.join(self.root, f"{name}.parquet")
-            self._cache[name] = self.spark.read.parquet(path)
-        return self._cache[name]
+        path = os.path.join(self.root, f"{name}.parquet")
+        key = (self.spark.sparkContext.applicationId + "/" + str(id(self.spark)), path)
+        df = Tables._shared.get(key)
+        if df is None:
+            df = self.spark.read.parquet(path)
+            Tables._shared[key] = df
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name in ("spark", "root"):
