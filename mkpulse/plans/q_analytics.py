@@ -407,6 +407,20 @@ def t09(t):
     return needs_attention(_n02(t))
 
 
+@register("t09_needs_attention_score55", f"""
+WITH {_TOP20_CAMPAIGNS},
+f AS (SELECT *, quantile_cont(cost, 0.25) OVER () AS p25 FROM sc),
+x AS (SELECT *, list_filter([CASE WHEN conv_rate < avg_conv_rate * 0.5 THEN 'low conv rate' END,
+    CASE WHEN cpa > avg_cpa * 1.5 THEN 'high CPA' END, CASE WHEN roas < avg_roas * 0.5 THEN 'low ROAS' END], lambda x: x IS NOT NULL) AS tags
+  FROM f WHERE cost > p25 AND efficiency_score < 55)
+SELECT {_N02_COLS}, CASE WHEN len(tags) > 0 THEN array_to_string(tags, ', ') ELSE 'underperforming' END AS issues
+FROM x ORDER BY efficiency_score, campaign_name LIMIT 3""", ["ads"])
+def t09b(t):
+    from mkpulse.operators.topk import needs_attention
+
+    return needs_attention(_n02(t), score_max=55.0)
+
+
 _QUAD_IN = f"""qi AS (
   SELECT 'Google Ads' AS platform, campaign_name, SUM(spend) AS spend, CAST(SUM(clicks) AS BIGINT) AS clicks,
     CAST(SUM(impressions) AS BIGINT) AS impressions, SUM(conversions) AS conversions,

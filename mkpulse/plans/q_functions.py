@@ -79,11 +79,20 @@ def f05(t):
 @register("f07_flatten", f"""
 SELECT CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS BIGINT) AS campaign_id, p_brand AS campaign_name,
   CASE WHEN p_size % 2 = 0 THEN 'ENABLED' ELSE 'PAUSED' END AS campaign_status, upper(p_type) AS campaign_advertising_channel_type,
-  CAST(p_size AS BIGINT) AS ad_group_id, p_brand || '/' || CAST(p_size AS VARCHAR) AS ad_group_name,
-  p_partkey AS ad_group_criterion_criterion_id, p_name AS ad_group_criterion_keyword_text,
-  CASE l_returnflag WHEN 'A' THEN 'EXACT' WHEN 'N' THEN 'PHRASE' ELSE 'BROAD' END AS ad_group_criterion_keyword_match_type,
+  CASE WHEN l_linenumber <> 6 THEN CAST(p_size AS DOUBLE) END AS ad_group_id,
+  CASE WHEN l_linenumber <> 6 THEN p_brand || '/' || CAST(p_size AS VARCHAR) END AS ad_group_name,
+  CASE WHEN l_linenumber > 4 THEN NULL WHEN l_linenumber % 2 = 0 THEN 'REMOVED' ELSE 'ENABLED' END AS ad_group_ad_status,
+  CASE WHEN l_linenumber <= 4 THEN CAST(l_orderkey AS DOUBLE) END AS ad_group_ad_ad_id,
+  CASE WHEN l_linenumber <= 4 THEN 'RESPONSIVE_SEARCH_AD' END AS ad_group_ad_ad_type,
+  CASE WHEN l_linenumber <> 5 THEN CAST(p_partkey AS DOUBLE) END AS ad_group_criterion_criterion_id,
+  CASE WHEN l_linenumber <> 5 THEN p_name END AS ad_group_criterion_keyword_text,
+  CASE WHEN l_linenumber = 5 THEN NULL WHEN l_returnflag = 'A' THEN 'EXACT' WHEN l_returnflag = 'N' THEN 'PHRASE' ELSE 'BROAD' END
+    AS ad_group_criterion_keyword_match_type,
+  CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_suppkey % 30 + 2000 AS DOUBLE) END AS geographic_view_country_criterion_id,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'LOCATION_OF_PRESENCE' END AS geographic_view_location_type,
   strftime(l_shipdate, '%Y-%m-%d') AS segments_date,
-  CASE l_linenumber % 3 WHEN 0 THEN 'MOBILE' WHEN 1 THEN 'DESKTOP' ELSE 'TABLET' END AS segments_device,
+  CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber % 3 = 0 THEN 'MOBILE' WHEN l_linenumber % 3 = 1 THEN 'DESKTOP'
+    ELSE 'TABLET' END AS segments_device,
   CASE WHEN l_discount >= 0.02 THEN 'purchase' END AS segments_conversion_action, CAST(l_orderkey % 24 AS INTEGER) AS segments_hour,
   CAST(l_quantity AS BIGINT) * 20 AS metrics_impressions,
   CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS metrics_clicks,
@@ -96,7 +105,9 @@ def f07(t):
     from mkpulse.plans.q_sources import _raw_search_ads
 
     flat = FN.flatten(_raw_search_ads(t))
-    return flat.withColumn("metrics_cost_micros", F.col("metrics_cost_micros").cast("double"))
+    nullable = ("metrics_cost_micros", "ad_group_id", "ad_group_ad_ad_id", "ad_group_criterion_criterion_id",
+                "geographic_view_country_criterion_id")  # compared as double (pandas: ints with NULLs are floats)
+    return flat.select(*[F.col(c).cast("double").alias(c) if c in nullable else F.col(c) for c in flat.columns])
 
 
 # ---------------------------------------------------------------- F08-F10, F13, F14
@@ -322,3 +333,34 @@ def s17(t):
     primary = per_ad.where(F.col("date") > F.lit("2100-01-01").cast("date")).withColumn("campaign_name", F.lit("x")).withColumn(
         "adset_name", F.lit("x")).withColumn("ad_name", F.lit("x")).withColumn("adset_id", F.lit("x")).withColumn("campaign_id", F.lit("x"))
     return S.ad_insights_with_fallback(primary, per_ad, _ads_meta(t))
+
+
+# ---------------------------------------------------------------- A47 status
+def _meta_objects(t):
+    p = t.part.select("p_partkey", "p_brand", "p_size")
+    num = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+    acct = F.concat(F.lit("acct_"), (num % 4).cast("string"))
+    camps = p.select("p_brand", num.alias("n")).distinct().select(
+        F.concat(F.lit("acct_"), (F.col("n") % 4).cast("string")).alias("account_id"), F.lit("campaign").alias("level"),
+        F.when(F.col("n") % 2 == 0, "ACTIVE").otherwise("PAUSED").alias("status"))
+    sets = p.select(acct.alias("account_id"), "p_brand", "p_size").distinct().select(
+        "account_id", F.lit("adset").alias("level"), F.when(F.col("p_size") % 3 == 0, "PAUSED").otherwise("ACTIVE").alias("status"))
+    ads = p.select(acct.alias("account_id"), F.lit("ad").alias("level"),
+                   F.when(F.col("p_partkey") % 4 == 0, "PAUSED").when(F.col("p_partkey") % 4 == 1, "ARCHIVED").otherwise("ACTIVE").alias("status"))
+    return camps.unionByName(sets).unionByName(ads)
+
+
+@register("a47_status_counts", """
+WITH p AS (SELECT *, CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INTEGER) AS n FROM part),
+o AS (
+  SELECT DISTINCT 'acct_' || CAST(n % 4 AS VARCHAR) AS account_id, 'campaign' AS level, p_brand AS k1, 0 AS k2,
+    CASE WHEN n % 2 = 0 THEN 'ACTIVE' ELSE 'PAUSED' END AS status FROM p
+  UNION ALL
+  SELECT DISTINCT 'acct_' || CAST(n % 4 AS VARCHAR), 'adset', p_brand, p_size, CASE WHEN p_size % 3 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END FROM p
+  UNION ALL
+  SELECT 'acct_' || CAST(n % 4 AS VARCHAR), 'ad', p_brand, p_partkey,
+    CASE WHEN p_partkey % 4 = 0 THEN 'PAUSED' WHEN p_partkey % 4 = 1 THEN 'ARCHIVED' ELSE 'ACTIVE' END FROM p)
+SELECT account_id, level, COUNT(CASE WHEN status = 'ACTIVE' THEN 1 END) AS active,
+  COUNT(CASE WHEN status = 'PAUSED' THEN 1 END) AS paused, COUNT(*) AS total FROM o GROUP BY 1, 2""")
+def a47s(t):
+    return A.status_counts(_meta_objects(t))

@@ -32,6 +32,7 @@ def _raw_search_ads(t):
     clicks = F.when(F.col("l_linenumber") == 7, F.lit(0)).otherwise(F.col("l_quantity")).cast("bigint")
     conv = F.when(F.col("l_discount") >= 0.05, 1.0).otherwise(0.0)
     micros = F.when(F.col("l_tax") == 0, F.lit(None)).otherwise(F.round(F.col("l_extendedprice") * 1000)).cast("bigint")
+    ln = F.col("l_linenumber")
     return j.select(
         F.struct(
             F.regexp_extract("p_brand", r"#(\d+)", 1).cast("bigint").alias("id"),
@@ -39,16 +40,23 @@ def _raw_search_ads(t):
             F.when(F.col("p_size") % 2 == 0, "ENABLED").otherwise("PAUSED").alias("status"),
             F.upper("p_type").alias("advertising_channel_type"),
         ).alias("campaign"),
-        F.struct(F.col("p_size").cast("bigint").alias("id"),
-                 F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("name")).alias("ad_group"),
-        F.struct(
+        F.when(ln != 6, F.struct(F.col("p_size").cast("bigint").alias("id"),
+                                 F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("name"))).alias("ad_group"),
+        F.when(ln <= 4, F.struct(
+            F.when(ln % 2 == 0, "REMOVED").otherwise("ENABLED").alias("status"),
+            F.struct(F.col("l_orderkey").alias("id"), F.lit("RESPONSIVE_SEARCH_AD").alias("type")).alias("ad"),
+        )).alias("ad_group_ad"),
+        F.when(ln != 5, F.struct(
             F.col("p_partkey").alias("criterion_id"),
             F.struct(F.col("p_name").alias("text"), _pick(F.when(F.col("l_returnflag") == "A", 0).when(
                 F.col("l_returnflag") == "N", 1).otherwise(2), ("EXACT", "PHRASE", "BROAD")).alias("match_type")).alias("keyword"),
-        ).alias("ad_group_criterion"),
+        )).alias("ad_group_criterion"),
+        F.when(ln % 2 == 1, F.struct(
+            (F.col("l_suppkey") % 30 + 2000).alias("country_criterion_id"), F.lit("LOCATION_OF_PRESENCE").alias("location_type"),
+        )).alias("geographic_view"),
         F.struct(
             F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
-            _pick(F.col("l_linenumber") % 3, _DEV).alias("device"),
+            F.when(ln != 4, _pick(F.col("l_linenumber") % 3, _DEV)).alias("device"),
             F.when(F.col("l_discount") >= 0.02, F.lit("purchase")).alias("conversion_action"),
             (F.col("l_orderkey") % 24).cast("int").alias("hour"),
         ).alias("segments"),
@@ -65,35 +73,53 @@ def _raw_search_ads(t):
 
 _S01_COLS = f"""CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS BIGINT) AS campaign_id, p_brand AS campaign_name,
   CASE WHEN p_size % 2 = 0 THEN 'ENABLED' ELSE 'PAUSED' END AS campaign_status, upper(p_type) AS campaign_type,
-  CAST(p_size AS BIGINT) AS ad_group_id, p_brand || '/' || CAST(p_size AS VARCHAR) AS ad_group_name,
-  p_partkey AS keyword_id, p_name AS keyword_text,
-  CASE l_returnflag WHEN 'A' THEN 'EXACT' WHEN 'N' THEN 'PHRASE' ELSE 'BROAD' END AS keyword_match_type,
+  CASE WHEN l_linenumber <> 6 THEN CAST(p_size AS BIGINT) END AS ad_group_id,
+  CASE WHEN l_linenumber <> 6 THEN p_brand || '/' || CAST(p_size AS VARCHAR) END AS ad_group_name,
+  CASE WHEN l_linenumber <= 4 THEN l_orderkey END AS ad_id,
+  CASE WHEN l_linenumber > 4 THEN NULL WHEN l_linenumber % 2 = 0 THEN 'REMOVED' ELSE 'ENABLED' END AS ad_status,
+  CASE WHEN l_linenumber <= 4 THEN 'RESPONSIVE_SEARCH_AD' END AS ad_type,
+  CASE WHEN l_linenumber <> 5 THEN p_partkey END AS keyword_id, CASE WHEN l_linenumber <> 5 THEN p_name END AS keyword_text,
+  CASE WHEN l_linenumber = 5 THEN NULL WHEN l_returnflag = 'A' THEN 'EXACT' WHEN l_returnflag = 'N' THEN 'PHRASE' ELSE 'BROAD' END
+    AS keyword_match_type,
   strftime(l_shipdate, '%Y-%m-%d') AS date,
-  CASE l_linenumber % 3 WHEN 0 THEN 'MOBILE' WHEN 1 THEN 'DESKTOP' ELSE 'TABLET' END AS device,
+  CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber % 3 = 0 THEN 'MOBILE' WHEN l_linenumber % 3 = 1 THEN 'DESKTOP' ELSE 'TABLET' END
+    AS device,
   CASE WHEN l_discount >= 0.02 THEN 'purchase' END AS conversion_action,
   CAST(l_orderkey % 24 AS INTEGER) AS hour,
+  CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey % 30 + 2000 END AS country_criterion_id,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'LOCATION_OF_PRESENCE' END AS location_type,
   CAST(l_quantity AS BIGINT) * 20 AS impressions,
   CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS clicks,
   CASE WHEN l_tax = 0 THEN NULL ELSE CAST(ROUND(l_extendedprice * 1000) AS BIGINT) END AS cost_micros,
   CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END::DOUBLE AS conversions,
   CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END::DOUBLE * l_extendedprice / 100 AS conversions_value,
-  l_extendedprice * 1000 / l_quantity AS average_cpc_micros"""
+  l_extendedprice * 1000 / l_quantity AS average_cpc_micros, l_linenumber AS _ln"""
+
 
-_S01_SQL = f"""
+def _s01_sql(where: str = "TRUE") -> str:
+    return f"""
 WITH r AS (SELECT {_S01_COLS} FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F')
-SELECT campaign_id, campaign_name, campaign_status, campaign_type, ad_group_id, ad_group_name, keyword_id,
-  keyword_text, keyword_match_type, date, device, conversion_action, hour, impressions, clicks,
-  CAST(cost_micros AS DOUBLE) AS cost_micros, {R('conversions')} AS conversions, {R('conversions_value')} AS conversions_value,
+SELECT campaign_id, campaign_name, campaign_status, campaign_type, CAST(ad_group_id AS DOUBLE) AS ad_group_id, ad_group_name,
+  CAST(ad_id AS DOUBLE) AS ad_id, ad_status, ad_type, CAST(keyword_id AS DOUBLE) AS keyword_id, keyword_text, keyword_match_type,
+  date, device, conversion_action, hour, CAST(country_criterion_id AS DOUBLE) AS country_criterion_id, location_type,
+  impressions, clicks, CAST(cost_micros AS DOUBLE) AS cost_micros, {R('conversions')} AS conversions,
+  {R('conversions_value')} AS conversions_value,
   {R('COALESCE(cost_micros / 1e6, 0.0)')} AS cost, {R('average_cpc_micros')} AS average_cpc_micros,
   {R('COALESCE(average_cpc_micros / 1e6, 0.0)')} AS average_cpc,
   {R('COALESCE(conversions / NULLIF(clicks, 0), 0.0)')} AS conversion_rate
-FROM r"""
+FROM r WHERE {where}"""
+
+
+_S01_SQL = _s01_sql()
+
+
+_NULLABLE_LONGS = ("cost_micros", "ad_group_id", "ad_id", "keyword_id", "country_criterion_id")
 
 
 def _micros_as_double(df):
-    # a nullable long column (NULL cost_micros is one of the fixture's edge
-    # rows) is compared as double: pandas holds integers with NULLs as floats
-    return df.withColumn("cost_micros", F.col("cost_micros").cast("double"))
+    # nullable long columns (absent row parts, NULL cost_micros are fixture
+    # edge rows) are compared as double: pandas holds integers with NULLs as floats
+    return df.select(*[F.col(c).cast("double").alias(c) if c in _NULLABLE_LONGS else F.col(c) for c in df.columns])
 
 
 @register("s01_search_ads_rows", _S01_SQL)
@@ -101,12 +127,32 @@ def s01(t):
     return _micros_as_double(S.search_ads_rows(_raw_search_ads(t)))
 
 
-@register("s08_hourly_report", _S01_SQL.replace("FROM r", "FROM r WHERE hour IS NOT NULL AND date BETWEEN '2001-01-01' AND '2001-12-31'"))
+# One report each, selected by the row part it needs
+_REPORT_WHERE = {
+    "campaigns": "campaign_id IS NOT NULL", "ad_groups": "_ln <> 6", "keywords": "_ln <> 5", "ads": "_ln <= 4",
+    "devices": "device IS NOT NULL", "geographic": "_ln % 2 = 1",
+}
+
+
+def _report_query(report: str, code: str):
+    @register(f"{code}_{report}_report", _s01_sql(_REPORT_WHERE[report]))
+    def q(t):
+        return _micros_as_double(S.search_ads_report(_raw_search_ads(t), S.SEARCH_ADS_REPORTS[report]))
+
+    return q
+
+
+for _code, _rep in (("s02", "campaigns"), ("s03", "ad_groups"), ("s04", "keywords"), ("s05", "ads"), ("s06", "devices"),
+                    ("s07", "geographic")):
+    _report_query(_rep, _code)
+
+
+@register("s08_hourly_report", _s01_sql("hour IS NOT NULL AND date BETWEEN '2001-01-01' AND '2001-12-31'"))
 def s08(t):
     return _micros_as_double(S.search_ads_report(_raw_search_ads(t), S.SEARCH_ADS_REPORTS["hourly"], "2001-01-01", "2001-12-31"))
 
 
-@register("s09_conversion_report", _S01_SQL.replace("FROM r", "FROM r WHERE conversion_action IS NOT NULL"))
+@register("s09_conversion_report", _s01_sql("conversion_action IS NOT NULL"))
 def s09(t):
     return _micros_as_double(S.search_ads_report(_raw_search_ads(t), S.SEARCH_ADS_REPORTS["conversions"]))
 
@@ -184,6 +230,8 @@ def _raw_social(t):
         F.concat(F.lit("act_"), (F.col("l_suppkey") % 4).cast("string")).alias("account_id"),
         (F.col("l_partkey") % 25).cast("string").alias("campaign_id"),
         F.concat(F.lit("c"), (F.col("l_partkey") % 25).cast("string")).alias("campaign_name"),
+        (F.col("l_suppkey") % 10).cast("string").alias("adset_id"),
+        F.concat(F.lit("set"), (F.col("l_suppkey") % 10).cast("string")).alias("adset_name"),
         (F.col("l_quantity").cast("bigint") * 20).cast("string").alias("impressions"),
         F.lit(None).cast("string").alias("reach"),
         F.col("l_quantity").cast("bigint").cast("string").alias("clicks"),
@@ -195,9 +243,10 @@ def _raw_social(t):
     )
 
 
-@register("s15_social_insights", f"""
+def _s15_sql(extra: str = "") -> str:
+    return f"""
 SELECT {DS('CAST(l_shipdate AS DATE)')} AS date, 'act_' || CAST(l_suppkey % 4 AS VARCHAR) AS ad_account_id,
-  CAST(l_partkey % 25 AS VARCHAR) AS campaign_id, 'c' || CAST(l_partkey % 25 AS VARCHAR) AS campaign_name,
+  CAST(l_partkey % 25 AS VARCHAR) AS campaign_id, 'c' || CAST(l_partkey % 25 AS VARCHAR) AS campaign_name,{extra}
   CAST(l_quantity AS BIGINT) * 20 AS impressions, CAST(0 AS BIGINT) AS reach, CAST(l_quantity AS BIGINT) AS clicks,
   CAST(0 AS BIGINT) AS unique_clicks, {R('l_extendedprice / 1000')} AS spend, CAST(0 AS DOUBLE) AS ctr,
   CAST(0 AS DOUBLE) AS cpc, CAST(0 AS DOUBLE) AS cpm, CAST(0 AS DOUBLE) AS frequency, CAST(0 AS DOUBLE) AS cost_per_unique_click,
@@ -205,11 +254,20 @@ SELECT {DS('CAST(l_shipdate AS DATE)')} AS date, 'act_' || CAST(l_suppkey % 4 AS
   CAST(CASE WHEN l_tax >= 0.05 THEN 1 WHEN l_returnflag = 'R' THEN 2 WHEN l_tax >= 0.02 THEN 3 ELSE 0 END AS BIGINT) AS app_installs,
   CAST(CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END AS BIGINT) AS purchases, CAST(0 AS BIGINT) AS leads,
   {R('CASE WHEN l_discount >= 0.05 THEN l_extendedprice / 100 ELSE 0.0 END')} AS purchase_value
-FROM lineitem""")
+FROM lineitem"""
+
+
+@register("s15_social_insights", _s15_sql())
 def s15(t):
     return S.social_insights_rows(_raw_social(t), "campaign")
 
 
+@register("s16_social_adset_insights", _s15_sql(
+    " CAST(l_suppkey % 10 AS VARCHAR) AS adset_id, 'set' || CAST(l_suppkey % 10 AS VARCHAR) AS adset_name,"))
+def s16(t):
+    return S.social_insights_rows(_raw_social(t), "adset")
+
+
 def _raw_social_breakdown(t):
     b = ad.social_breakdowns(t)
     acts = F.array_compact(F.array(
@@ -322,3 +380,29 @@ SELECT o_orderkey, o_custkey, o_orderstatus, {R('o_totalprice')} AS o_totalprice
   o_orderpriority FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000""")
 def s23(t):
     return preview(t.orders, 1000, ["o_orderdate", "o_orderkey"])
+
+
+# ------------------------------------------------------------------- profiles
+def _raw_profiles(t):
+    c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return c.select(
+        F.col("c_custkey").cast("string").alias("id"), F.lower(F.regexp_replace("c_name", "#", "_")).alias("username"),
+        F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"),
+        F.col("c_nationkey").cast("string").alias("location"), (F.col("c_acctbal") > 5000).alias("verified"),
+        F.when(F.col("c_acctbal") > 5000, "blue").alias("verified_type"), F.lit("2020-01-01T00:00:00").alias("created_at"),
+        F.lit(None).cast("string").alias("profile_image_url"),
+        F.struct(F.floor("c_acctbal").cast("bigint").alias("followers_count"), F.col("c_nationkey").cast("bigint").alias("following_count"),
+                 (F.col("c_custkey") % 100).alias("tweet_count"), F.lit(0).cast("bigint").alias("listed_count")).alias("public_metrics"),
+    )
+
+
+@register("s20_profile_snapshot", """
+SELECT CAST(c_custkey AS VARCHAR) AS user_id, lower(replace(c_name, '#', '_')) AS username, c_name AS name,
+  c_mktsegment AS description, CAST(c_nationkey AS VARCHAR) AS location, c_acctbal > 5000 AS verified,
+  CASE WHEN c_acctbal > 5000 THEN 'blue' END AS verified_type, '2020-01-01T00:00:00' AS created_at,
+  CAST(floor(c_acctbal) AS INTEGER) AS followers_count, CAST(c_nationkey AS INTEGER) AS following_count,
+  CAST(c_custkey % 100 AS INTEGER) AS tweet_count, 0 AS listed_count, CAST(NULL AS VARCHAR) AS profile_image_url,
+  '2024-01-30' AS snapshot_date
+FROM customer""")
+def s20(t):
+    return S.profile_snapshot(_raw_profiles(t), "2024-01-30")
