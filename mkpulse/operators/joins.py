@@ -111,11 +111,12 @@ def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str, label:
 
 def attach_scalars(df: DataFrame, scalars: DataFrame, by: By = ()) -> DataFrame:
     """Attach per-entity (or global) aggregates to every row. Global
-    scalars are ONE row, so they are broadcast over an equi-join on a constant
-    key; per-entity scalars join on the entity keys."""
+    scalars (one row) become scalar subqueries - computed once, merged into a
+    single aggregate by the optimizer and inlined as values, so no join at
+    all; per-entity scalars join on the entity keys."""
     if by:
         return df.join(scalars, list(by), "left")
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return df.select("*", *[scalars.select(c).scalar().alias(c) for c in scalars.columns])
 
 
 def with_stats(df: DataFrame, aggs: Sequence[Column], by: By = ()) -> DataFrame:

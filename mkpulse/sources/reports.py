@@ -250,13 +250,12 @@ def social_insights_rows(raw: DataFrame, level: str = "account", account_id: str
 def ad_insights_with_fallback(primary: DataFrame, per_ad: DataFrame, ads_meta: DataFrame) -> DataFrame:
     """Ad-level insights; when the primary request returned nothing, the
     per-ad insights joined to ad metadata (campaign / ad-set names blank).
-    The 'primary is empty' gate is an equi anti-join against at most one
-    primary row - no action on the driver, no cross join."""
+    The 'primary is empty' gate is a NOT EXISTS subquery - no action on the
+    driver, no join."""
     fb = per_ad.join(ads_meta.select(F.col("ad_id"), F.col("ad_name").alias("_meta_name"), "adset_id", "campaign_id"), "ad_id")
     fb = fb.withColumn("campaign_name", F.lit("")).withColumn("adset_name", F.lit(""))
     fb = fb.withColumn("ad_name", F.coalesce(F.col("_meta_name"), F.col("ad_name") if "ad_name" in per_ad.columns else F.lit(None))).drop("_meta_name")
-    gate = primary.limit(1).select(F.lit(1).alias("_k"))
-    fb = fb.withColumn("_k", F.lit(1)).join(gate, "_k", "left_anti").drop("_k")
+    fb = fb.where(~primary.exists())
     return primary.unionByName(fb, allowMissingColumns=True)
 
 
