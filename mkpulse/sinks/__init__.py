@@ -163,13 +163,16 @@ def _swap_partitions(spark: SparkSession, staging: str, final: str, partition_co
     fs.delete(src, True)
 
 
-def dedupe_in_place(spark: SparkSession, path: str, keys: Sequence[str], order_col: str = "extracted_at") -> dict:
+def dedupe_in_place(spark: SparkSession, path: str, keys: Sequence[str], order_col: str = "extracted_at",
+                    tiebreak: Sequence[str] = ()) -> dict:
     """Keep the newest row per key in the table at ``path``; report rows
-    before, unique keys, duplicates and rows deleted."""
+    before, unique keys, duplicates and rows deleted. Without the order
+    column the last landed row (highest row id) is kept."""
     df = spark.read.parquet(path)
     before = dedupe_report(df, keys).first()
     order = order_col if order_col in df.columns else None
-    kept = dedupe(df, keys, order) if order else dedupe(df.withColumn("_rowid", F.monotonically_increasing_id()), keys, "_rowid").drop("_rowid")
+    kept = (dedupe(df, keys, order, tiebreak) if order
+            else dedupe(df.withColumn("_rowid", F.monotonically_increasing_id()), keys, "_rowid").drop("_rowid"))
     n = replace(kept, path)
     return {"total_rows": before["total_rows"], "unique_keys": before["unique_keys"],
             "duplicate_rows": before["duplicate_rows"], "deleted": before["total_rows"] - n}
