@@ -268,6 +268,21 @@ def funnel_counts(sessions: DataFrame, pages: DataFrame, by: By = ()) -> DataFra
     )
 
 
+# fixed values: the web funnel steps (name, A13 count column) in order
+WEB_FUNNEL = (("Session Started", "sessions"), ("Content Viewed", "page_views"),
+              ("Engaged (CTA Click)", "engaged_sessions"), ("Conversion", "conversions"))
+
+
+def funnel_steps_from_counts(counts: DataFrame, by: By = ()) -> DataFrame:
+    """A13 -> W10 input: one row per funnel step (step, name, users) for each
+    entity, from the A13 counts row (a 4-element explode, no join)."""
+    arr = F.array(*[
+        F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("name"), F.col(c).cast("bigint").alias("users"))
+        for i, (name, c) in enumerate(WEB_FUNNEL)
+    ])
+    return counts.select(*by, F.explode(arr).alias("_s")).select(*by, "_s.*")
+
+
 def event_totals(events: DataFrame, by: By = ()) -> DataFrame:
     """A14 (before top-k): per event name totals, days seen, events per user."""
     g = events.groupBy(*by, F.col("eventName").alias("event_name")).agg(
@@ -283,8 +298,9 @@ DURATION_BUCKETS = (("0-10s", 10), ("10-30s", 30), ("30-60s", 60), ("1-2min", 12
 
 
 def duration_buckets(pages: DataFrame, by: By = ()) -> DataFrame:
-    """Sessions per duration bucket with its display order and the share
-    of sessions in the shortest bucket (per entity)."""
+    """Page rows per duration bucket (``session_count``, COUNT(*) as in the
+    reference) with its display order, the summed sessions, and the share of
+    rows in the shortest bucket (per entity)."""
     d = F.col("averageSessionDuration")
     label = None
     order = None
@@ -295,11 +311,11 @@ def duration_buckets(pages: DataFrame, by: By = ()) -> DataFrame:
     g = (
         pages.where(d.isNotNull())
         .groupBy(*by, label.alias("duration_bucket"), order.alias("bucket_order"))
-        .agg(F.sum("sessions").alias("sessions"), F.count(F.lit(1)).alias("page_count"))
+        .agg(F.count(F.lit(1)).alias("session_count"), F.sum("sessions").alias("sessions"))
     )
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    total = F.sum("sessions").over(w)
-    short = F.sum(F.when(F.col("bucket_order") == 1, F.col("sessions")).otherwise(0)).over(w)
+    w = Window.partitionBy(*by) if by else Window.partitionBy()  # at most 6 rows per entity
+    total = F.sum("session_count").over(w)
+    short = F.sum(F.when(F.col("bucket_order") == 1, F.col("session_count")).otherwise(0)).over(w)
     return g.withColumn("short_share", div(short, total) * 100)
 
 
@@ -313,7 +329,7 @@ def new_vs_returning(sessions: DataFrame, by: By = ()) -> DataFrame:
 
 def device_breakdown(tech: DataFrame, by: By = ()) -> DataFrame:
     """Per device sums, pages/session and the entity's mobile share."""
-    g = tech.groupBy(*by, F.col("deviceCategory").alias("device")).agg(
+    g = tech.where(F.col("deviceCategory").isNotNull()).groupBy(*by, F.col("deviceCategory").alias("device")).agg(
         F.sum("sessions").alias("sessions"),
         F.sum("totalUsers").alias("users"),
         F.sum("screenPageViews").alias("page_views"),

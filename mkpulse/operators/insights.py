@@ -317,7 +317,7 @@ def segment_facts(traffic: DataFrame, tech: DataFrame, geo: DataFrame, sessions:
         (1.0 - F.avg(F.when(m.isin(*PAID_MEDIUMS), F.col("bounceRate")))).alias("paid_engagement"),
         (1.0 - F.avg(F.when(m.isin(*ORGANIC_MEDIUMS), F.col("bounceRate")))).alias("organic_engagement"),
     )
-    mob = tech.groupBy(*by).agg(
+    mob = tech.where(F.col("deviceCategory").isNotNull()).groupBy(*by).agg(
         (nz(F.sum(F.when(F.lower("deviceCategory") == "mobile", F.col("sessions"))), 0) * 100.0
          / F.nullif(F.sum("sessions"), F.lit(0))).alias("mobile_pct")
     )
@@ -329,9 +329,8 @@ def segment_facts(traffic: DataFrame, tech: DataFrame, geo: DataFrame, sessions:
         nz(F.sum("new_users") * 100.0 / F.nullif(F.sum("users"), F.lit(0)), 0.0).alias("new_pct")
     )
     d = F.col("averageSessionDuration")
-    sh = pages.where(d.isNotNull()).groupBy(*by).agg(
-        nz(F.sum(F.when(d < 10, F.col("sessions")).otherwise(0)) * 100.0 / F.nullif(F.sum("sessions"), F.lit(0)), 0.0)
-        .alias("short_pct")
+    sh = pages.where(d.isNotNull()).groupBy(*by).agg(  # share of page rows under 10 s (row counts, as in A15)
+        nz(F.count(F.when(d < 10, 1)) * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0)), 0.0).alias("short_pct")
     )
     return stack_rows([po, mob, con, nu, sh], by)
 

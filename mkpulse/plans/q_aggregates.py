@@ -239,10 +239,10 @@ WITH b AS (
       WHEN averageSessionDuration < 60 THEN 3 WHEN averageSessionDuration < 120 THEN 4
       WHEN averageSessionDuration < 300 THEN 5 ELSE 6 END AS bucket_order, sessions
   FROM web_pages WHERE averageSessionDuration IS NOT NULL),
-g AS (SELECT duration_bucket, bucket_order, CAST(SUM(sessions) AS BIGINT) AS sessions, COUNT(*) AS page_count
+g AS (SELECT duration_bucket, bucket_order, COUNT(*) AS session_count, CAST(SUM(sessions) AS BIGINT) AS sessions
   FROM b GROUP BY 1, 2)
-SELECT duration_bucket, bucket_order, sessions, page_count,
-  {R('SUM(CASE WHEN bucket_order = 1 THEN sessions ELSE 0 END) OVER () / NULLIF(SUM(sessions) OVER (), 0) * 100')} AS short_share
+SELECT duration_bucket, bucket_order, session_count, sessions,
+  {R('SUM(CASE WHEN bucket_order = 1 THEN session_count ELSE 0 END) OVER () / NULLIF(SUM(session_count) OVER (), 0) * 100')} AS short_share
 FROM g""", ["web_pages"])
 def a15(t):
     return A.duration_buckets(ad.web_pages(t))
@@ -260,7 +260,7 @@ def a16(t):
 @register("a17_device_breakdown", f"""
 WITH g AS (SELECT deviceCategory AS device, CAST(SUM(sessions) AS BIGINT) AS sessions,
   CAST(SUM(totalUsers) AS BIGINT) AS users, CAST(SUM(screenPageViews) AS BIGINT) AS page_views
-  FROM web_tech GROUP BY 1)
+  FROM web_tech WHERE deviceCategory IS NOT NULL GROUP BY 1)
 SELECT device, sessions, users, page_views, {R('page_views / NULLIF(sessions, 0)')} AS pages_per_session,
   {R('sessions * 100 / NULLIF(SUM(sessions) OVER (), 0)')} AS session_share,
   {R("SUM(CASE WHEN lower(device) = 'mobile' THEN sessions ELSE 0 END) OVER () * 100 / NULLIF(SUM(sessions) OVER (), 0)")} AS mobile_share

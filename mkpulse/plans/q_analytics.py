@@ -302,6 +302,43 @@ def w10b(t):
     return W.biggest_dropoff(W.funnel_steps(_funnel_users(t)))
 
 
+_A13_STEPS = """a13 AS (
+  WITH s AS (SELECT SUM(sessions) AS sessions, AVG(bounce_rate) AS b FROM web_daily),
+  p AS (SELECT COUNT(DISTINCT CAST(date_day AS VARCHAR) || '-' || pagePath) AS page_views FROM web_pages)
+  SELECT CAST(COALESCE(sessions, 0) AS BIGINT) AS sessions, COALESCE(page_views, 0) AS page_views,
+    CAST(floor(COALESCE(sessions, 0) * CASE WHEN b IS NULL OR b = 0 THEN 0.5 ELSE 1.0 - b END) AS BIGINT) AS engaged_sessions,
+    CAST(0 AS BIGINT) AS conversions FROM s, p),
+steps AS (SELECT 1 AS step, 'Session Started' AS name, sessions AS users FROM a13
+  UNION ALL SELECT 2, 'Content Viewed', page_views FROM a13
+  UNION ALL SELECT 3, 'Engaged (CTA Click)', engaged_sessions FROM a13
+  UNION ALL SELECT 4, 'Conversion', conversions FROM a13)"""
+
+
+def _web_funnel(t):
+    return A.funnel_steps_from_counts(A.funnel_counts(ad.web_daily(t), ad.web_pages(t)))
+
+
+@register("w10_web_funnel", f"""
+WITH {_A13_STEPS}
+SELECT step, name, users,
+  {R('CASE WHEN LAG(users) OVER (ORDER BY step) IS NULL THEN NULL WHEN LAG(users) OVER (ORDER BY step) > 0 THEN users / LAG(users) OVER (ORDER BY step) * 100 ELSE 0.0 END')} AS conversion_rate,
+  {R('CASE WHEN LAG(users) OVER (ORDER BY step) IS NULL THEN NULL WHEN LAG(users) OVER (ORDER BY step) > 0 THEN 100 - users / LAG(users) OVER (ORDER BY step) * 100 ELSE 0.0 END')} AS dropoff_rate
+FROM steps""", ["web_daily", "web_pages"])
+def w10w(t):
+    return W.funnel_steps(_web_funnel(t))
+
+
+@register("w10_web_funnel_biggest_dropoff", f"""
+WITH {_A13_STEPS},
+f AS (SELECT step, name, CASE WHEN LAG(users) OVER (ORDER BY step) > 0 THEN 100 - users / LAG(users) OVER (ORDER BY step) * 100
+  WHEN LAG(users) OVER (ORDER BY step) IS NOT NULL THEN 0.0 END AS d FROM steps),
+b AS (SELECT * FROM f WHERE d IS NOT NULL ORDER BY d DESC, step LIMIT 1)
+SELECT name AS step_name, {R('d')} AS dropoff_rate,
+  CASE WHEN d > 70 THEN 'critical' WHEN d > 50 THEN 'high' ELSE 'none' END AS severity FROM b""", ["web_daily", "web_pages"])
+def w10wb(t):
+    return W.biggest_dropoff(W.funnel_steps(_web_funnel(t)))
+
+
 @register("w12_platform_share", f"""
 WITH g AS (SELECT platform, SUM(spend) AS spend FROM ads_lean GROUP BY 1)
 SELECT platform, {R('spend')} AS spend, {R('spend * 100 / NULLIF(SUM(spend) OVER (), 0)')} AS spend_share FROM g""", ["ads_lean"])

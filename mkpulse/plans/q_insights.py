@@ -244,11 +244,11 @@ po AS (SELECT 1.0 - AVG(CASE WHEN lower(sessionMedium) IN ('cpc','ppc','paidsear
   1.0 - AVG(CASE WHEN lower(sessionMedium) IN ('organic','referral','direct','(none)') THEN bounceRate END) AS organic_engagement
   FROM web_traffic),
 mob AS (SELECT COALESCE(SUM(CASE WHEN lower(deviceCategory) = 'mobile' THEN sessions END), 0) * 100.0 / NULLIF(SUM(sessions), 0)
-  AS mobile_pct FROM web_tech),
+  AS mobile_pct FROM web_tech WHERE deviceCategory IS NOT NULL),
 cg AS (SELECT country, SUM(sessions) AS s FROM web_geo WHERE country IS NOT NULL AND country <> '(not set)' GROUP BY 1),
 con AS (SELECT MAX(s) * 100.0 / NULLIF(SUM(s), 0) AS concentration FROM cg),
 nu AS (SELECT COALESCE(SUM(new_users) * 100.0 / NULLIF(SUM(users), 0), 0.0) AS new_pct FROM web_daily),
-sh AS (SELECT COALESCE(SUM(CASE WHEN averageSessionDuration < 10 THEN sessions ELSE 0 END) * 100.0 / NULLIF(SUM(sessions), 0), 0.0)
+sh AS (SELECT COALESCE(COUNT(CASE WHEN averageSessionDuration < 10 THEN 1 END) * 100.0 / NULLIF(COUNT(*), 0), 0.0)
   AS short_pct FROM web_pages WHERE averageSessionDuration IS NOT NULL),
 facts AS (SELECT * FROM po, mob, con, nu, sh)"""
 
