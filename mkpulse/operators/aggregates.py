@@ -553,8 +553,10 @@ def social_rollup(rows: DataFrame, a: str, b: str, by: By = ()) -> DataFrame:
         F.grouping(b).alias("_gb"),
     )
     lvl = F.when((F.col("_ga") == 0) & (F.col("_gb") == 0), f"{a}_x_{b}").when(F.col("_gb") == 1, a).otherwise(b)
-    return g.withColumn("level", lvl).drop("_ga", "_gb").withColumn(
-        "ctr", safe_divide(F.col("clicks") * 100, "impressions")
+    return (
+        g.withColumn("level", lvl).drop("_ga", "_gb")
+        .withColumn("ctr", safe_divide(F.col("clicks") * 100, "impressions"))
+        .withColumn("cpc", safe_divide("spend", "clicks"))
     )
 
 
@@ -562,8 +564,9 @@ def social_rollup(rows: DataFrame, a: str, b: str, by: By = ()) -> DataFrame:
 AGE_ORDER = ("13-17", "18-24", "25-34", "35-44", "45-54", "55-64", "65+")
 
 
-def age_gender_matrix(rows: DataFrame, metric: str = "impressions", by: By = ()) -> DataFrame:
-    """A38 matrix: age rows x gender columns (explicit values), ordered buckets."""
+def age_gender_matrix(rows: DataFrame, metric: str = "spend", by: By = ()) -> DataFrame:
+    """A38 matrix: age rows x gender columns of summed spend (explicit pivot
+    values), NULL -> 0, with the fixed age-bucket order."""
     genders = ["female", "male", "unknown"]
     p = rows.groupBy(*by, "age").pivot("gender", genders).agg(F.sum(metric))
     order = F.lit(len(AGE_ORDER))
@@ -595,9 +598,11 @@ def post_types(posts: DataFrame, by: By = ()) -> DataFrame:
     """Per post type count, avg impressions / likes, avg_engagement."""
     g = posts.groupBy(*by, "tweet_type").agg(
         F.count(F.lit(1)).alias("count"),
+        F.sum("impressions").alias("impressions"),
+        F.sum("likes").alias("likes"),
+        F.sum("retweets").alias("retweets"),
         F.avg("impressions").alias("avg_impressions"),
         F.avg("likes").alias("avg_likes"),
-        F.sum("impressions").alias("impressions"),
     )
     return g.withColumn("avg_engagement", F.col("avg_likes") + F.col("impressions") / F.col("count") * 0.01)
 

@@ -512,7 +512,8 @@ def _rollup_sql(a: str, b: str) -> str:
 SELECT {a}, {b}, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(clicks) AS BIGINT) AS clicks,
   {R('SUM(spend)')} AS spend, CAST(SUM(COALESCE(app_installs, 0)) AS BIGINT) AS app_installs,
   CASE WHEN GROUPING({a}) = 0 AND GROUPING({b}) = 0 THEN '{a}_x_{b}' WHEN GROUPING({b}) = 1 THEN '{a}' ELSE '{b}' END AS level,
-  {R('COALESCE(SUM(clicks) * 100 / NULLIF(SUM(impressions), 0), 0.0)')} AS ctr
+  {R('COALESCE(SUM(clicks) * 100 / NULLIF(SUM(impressions), 0), 0.0)')} AS ctr,
+  {R('COALESCE(SUM(spend) / NULLIF(SUM(clicks), 0), 0.0)')} AS cpc
 FROM social_breakdowns GROUP BY GROUPING SETS (({a}, {b}), ({a}), ({b}))"""
 
 
@@ -526,11 +527,11 @@ def a38(t):
     return A.social_rollup(ad.social_breakdowns(t), "age", "gender")
 
 
-@register("a38_age_gender_matrix", """
+@register("a38_age_gender_matrix", f"""
 SELECT age,
-  CAST(COALESCE(SUM(CASE WHEN gender = 'female' THEN impressions END), 0) AS BIGINT) AS female,
-  CAST(COALESCE(SUM(CASE WHEN gender = 'male' THEN impressions END), 0) AS BIGINT) AS male,
-  CAST(COALESCE(SUM(CASE WHEN gender = 'unknown' THEN impressions END), 0) AS BIGINT) AS unknown,
+  {R("COALESCE(SUM(CASE WHEN gender = 'female' THEN spend END), 0.0)")} AS female,
+  {R("COALESCE(SUM(CASE WHEN gender = 'male' THEN spend END), 0.0)")} AS male,
+  {R("COALESCE(SUM(CASE WHEN gender = 'unknown' THEN spend END), 0.0)")} AS unknown,
   CASE age WHEN '13-17' THEN 0 WHEN '18-24' THEN 1 WHEN '25-34' THEN 2 WHEN '35-44' THEN 3
     WHEN '45-54' THEN 4 WHEN '55-64' THEN 5 WHEN '65+' THEN 6 ELSE 7 END AS age_order
 FROM social_breakdowns GROUP BY age""", ["social_breakdowns"])
@@ -553,7 +554,7 @@ def a39(t):
 
 @register("a40_post_types", f"""
 SELECT tweet_type, COUNT(*) AS count, {R('AVG(impressions)')} AS avg_impressions, {R('AVG(likes)')} AS avg_likes,
-  CAST(SUM(impressions) AS BIGINT) AS impressions,
+  CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(likes) AS BIGINT) AS likes, CAST(SUM(retweets) AS BIGINT) AS retweets,
   {R('AVG(likes) + SUM(impressions) / COUNT(*) * 0.01')} AS avg_engagement
 FROM posts GROUP BY tweet_type""", ["posts"])
 def a40(t):
