@@ -449,7 +449,7 @@ def geo_performance(ads: DataFrame, names: DataFrame, by: By = ()) -> DataFrame:
     """A29 + P11: per country criterion id, name from a small lookup with
     fallback 'Unknown (<id>)'. The lookup is a fixed-size dimension (one row
     per country), so it is broadcast; the fact side is aggregated first."""
-    g = ads.groupBy(*by, "country_criterion_id").agg(*_perf_cols())
+    g = ads.where(F.col("country_criterion_id").isNotNull()).groupBy(*by, "country_criterion_id").agg(*_perf_cols())
     j = g.join(F.broadcast(names), g.country_criterion_id == names.criterion_id, "left")
     nm = F.coalesce(F.col("country_name"), F.concat(F.lit("Unknown ("), F.col("country_criterion_id").cast("string"), F.lit(")")))
     return _rates(j.withColumn("country", nm).drop("criterion_id", "country_name"))
@@ -500,14 +500,18 @@ def social_daily(meta: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
-def social_campaigns(meta: DataFrame, by: By = (), level: str = "campaign_name") -> DataFrame:
-    """Campaign (or ad set) table with ctr, cpc, cpm, cpi."""
-    g = meta.groupBy(*by, level).agg(
+def social_campaigns(meta: DataFrame, by: By = (), level: str | Sequence[str] = "campaign_name") -> DataFrame:
+    """Campaign (or ad set x campaign) table with reach, revenue,
+    ctr %, cpc, cpm, cpi."""
+    levels = [level] if isinstance(level, str) else list(level)
+    g = meta.groupBy(*by, *levels).agg(
         F.sum("spend").alias("spend"),
         F.sum("impressions").alias("impressions"),
+        F.sum("reach").alias("reach"),
         F.sum("clicks").alias("clicks"),
         F.sum(nz("app_installs")).alias("app_installs"),
         F.sum(nz("purchases")).alias("purchases"),
+        F.sum(nz("conversion_value")).alias("revenue"),
     )
     return (
         g.withColumn("ctr", safe_divide(F.col("clicks") * 100, "impressions"))
@@ -577,8 +581,10 @@ def age_gender_matrix(rows: DataFrame, metric: str = "spend", by: By = ()) -> Da
 
 # ---------------------------------------------------------------------- posts
 def post_totals(posts: DataFrame, by: By = ()) -> DataFrame:
-    """Count, Σ metrics, Σ engagements, AVG likes/retweets, engagement rate %."""
-    eng = F.col("likes") + F.col("retweets") + F.col("replies") + F.col("quotes")
+    """Count, Σ metrics, Σ engagements (likes + retweets + replies + quotes
+    + bookmarks), AVG likes/retweets, engagement rate % over impressions (1
+    when there are none, as in the reference)."""
+    eng = F.col("likes") + F.col("retweets") + F.col("replies") + F.col("quotes") + F.col("bookmarks")
     g = posts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_posts"),
         F.sum("impressions").alias("impressions"),
@@ -591,7 +597,8 @@ def post_totals(posts: DataFrame, by: By = ()) -> DataFrame:
         F.avg("likes").alias("avg_likes"),
         F.avg("retweets").alias("avg_retweets"),
     )
-    return g.withColumn("engagement_rate", safe_divide(F.col("engagements") * 100, "impressions"))
+    imp = F.when(nz("impressions") == 0, F.lit(1)).otherwise(F.col("impressions"))
+    return g.withColumn("engagement_rate", F.col("engagements") / imp * 100)
 
 
 def post_types(posts: DataFrame, by: By = ()) -> DataFrame:

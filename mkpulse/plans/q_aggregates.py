@@ -393,7 +393,7 @@ def a28(t):
 
 
 @register("a29_geo_performance", f"""
-WITH g AS ({_perf_sql('country_criterion_id').replace('FROM ads ', 'FROM ads_lean ')}),
+WITH g AS ({_perf_sql('country_criterion_id', where=_GADS + ' AND country_criterion_id IS NOT NULL').replace('FROM ads ', 'FROM ads_lean ')}),
 n AS (SELECT g.*, COALESCE(country_name, 'Unknown (' || CAST(country_criterion_id AS VARCHAR) || ')') AS country
   FROM g LEFT JOIN country_names ON country_criterion_id = criterion_id)
 SELECT country_criterion_id, {_rates_sql('country, ')} FROM n
@@ -448,9 +448,11 @@ def a32(t):
 def _social_table_sql(level: str, limit: str) -> str:
     return f"""
 WITH g AS (SELECT {level}, SUM(spend) AS spend, CAST(SUM(impressions) AS BIGINT) AS impressions,
-  CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(COALESCE(app_installs, 0)) AS BIGINT) AS app_installs,
-  CAST(SUM(COALESCE(purchases, 0)) AS BIGINT) AS purchases FROM ads WHERE {_META} GROUP BY {level})
-SELECT {level}, {R('spend')} AS spend, impressions, clicks, app_installs, purchases,
+  CAST(SUM(reach) AS BIGINT) AS reach, CAST(SUM(clicks) AS BIGINT) AS clicks,
+  CAST(SUM(COALESCE(app_installs, 0)) AS BIGINT) AS app_installs,
+  CAST(SUM(COALESCE(purchases, 0)) AS BIGINT) AS purchases, SUM(COALESCE(conversion_value, 0)) AS revenue
+  FROM ads WHERE {_META} GROUP BY {level})
+SELECT {level}, {R('spend')} AS spend, impressions, reach, clicks, app_installs, purchases, {R('revenue')} AS revenue,
   {R('COALESCE(clicks * 100 / NULLIF(impressions, 0), 0.0)')} AS ctr,
   {R('COALESCE(spend / NULLIF(clicks, 0), 0.0)')} AS cpc,
   {R('COALESCE(spend * 1000 / NULLIF(impressions, 0), 0.0)')} AS cpm,
@@ -471,10 +473,10 @@ def a33t(t):
 
 
 @register("a35_social_adsets",
-          _social_table_sql("ad_group_name", "ORDER BY spend DESC, ad_group_name LIMIT 20"), ["ads"])
+          _social_table_sql("ad_group_name, campaign_name", "ORDER BY spend DESC, ad_group_name, campaign_name LIMIT 20"), ["ads"])
 def a35(t):
-    g = A.social_campaigns(ad.ads(t).where(F.col("platform") == "meta_ads"), level="ad_group_name")
-    return top_k(g, [F.desc("spend"), "ad_group_name"], 20)
+    g = A.social_campaigns(ad.ads(t).where(F.col("platform") == "meta_ads"), level=["ad_group_name", "campaign_name"])
+    return top_k(g, [F.desc("spend"), "ad_group_name", "campaign_name"], 20)
 
 
 # fixed values: the campaign columns of the spend pivot (the five brands of the
@@ -544,9 +546,9 @@ def a38m(t):
 SELECT COUNT(*) AS total_posts, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(likes) AS BIGINT) AS likes,
   CAST(SUM(retweets) AS BIGINT) AS retweets, CAST(SUM(replies) AS BIGINT) AS replies,
   CAST(SUM(quotes) AS BIGINT) AS quotes, CAST(SUM(bookmarks) AS BIGINT) AS bookmarks,
-  CAST(SUM(likes + retweets + replies + quotes) AS BIGINT) AS engagements,
+  CAST(SUM(likes + retweets + replies + quotes + bookmarks) AS BIGINT) AS engagements,
   {R('AVG(likes)')} AS avg_likes, {R('AVG(retweets)')} AS avg_retweets,
-  {R('COALESCE(SUM(likes + retweets + replies + quotes) * 100 / NULLIF(SUM(impressions), 0), 0.0)')} AS engagement_rate
+  {R('SUM(likes + retweets + replies + quotes + bookmarks) / CASE WHEN COALESCE(SUM(impressions), 0) = 0 THEN 1 ELSE SUM(impressions) END * 100')} AS engagement_rate
 FROM posts""", ["posts"])
 def a39(t):
     return A.post_totals(ad.posts(t))
