@@ -436,8 +436,11 @@ def keyword_performance(ads: DataFrame, by: By = ()) -> DataFrame:
 
 
 def device_performance(ads: DataFrame, by: By = ()) -> DataFrame:
-    """Per device with rates."""
-    return _rates(ads.groupBy(*by, "device").agg(*_perf_cols()))
+    """Per device (NULL device dropped) with rates; ``ctr`` is the
+    unweighted AVG of the row click-through rates, as in the reference."""
+    g = ads.where(F.col("device").isNotNull()).groupBy(*by, "device").agg(
+        *_perf_cols(), F.avg(div("clicks", "impressions")).alias("_avg_ctr"))
+    return _rates(g).withColumn("ctr", F.col("_avg_ctr")).drop("_avg_ctr")
 
 
 def adgroup_performance(ads: DataFrame, by: By = ()) -> DataFrame:
@@ -487,6 +490,39 @@ def social_kpis(meta: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
+def social_kpis_periods(meta: DataFrame, cutoff, prev_cutoff, by: By = ()) -> DataFrame:
+    """A31 with its comparison: current KPIs over ``date >= cutoff`` (P06) and
+    the previous totals over ``prev_cutoff <= date < cutoff`` (P07), from ONE
+    scan with conditional sums; deltas as F04a %-changes."""
+    from mkpulse.functions import pct_change
+    from mkpulse.functions.periods import half_open, since
+
+    lo = since("date_day", prev_cutoff)
+    cur, prev = since("date_day", cutoff), half_open("date_day", prev_cutoff, cutoff)
+
+    def s2(c: str) -> list[Column]:
+        e = nz(c)
+        return [F.sum(F.when(cur, e)).alias(c), F.sum(F.when(prev, e)).alias(f"prev_{c}")]
+
+    g = meta.where(lo).groupBy(*by).agg(
+        *s2("spend"), *s2("impressions"), *s2("clicks"), *s2("app_installs"),
+        F.sum(F.when(cur, F.col("reach"))).alias("reach"),
+        F.sum(F.when(cur, nz("purchases"))).alias("purchases"),
+        F.sum(F.when(cur, nz("conversion_value"))).alias("revenue"),
+    )
+    return (
+        g.withColumn("ctr", safe_divide(F.col("clicks") * 100, "impressions"))
+        .withColumn("cpc", safe_divide("spend", "clicks"))
+        .withColumn("cpm", safe_divide(F.col("spend") * 1000, "impressions"))
+        .withColumn("frequency", safe_divide("impressions", "reach"))
+        .withColumn("cpi", safe_divide("spend", "app_installs"))
+        .withColumn("roas_pct", safe_divide("revenue", "spend") * 100)
+        .withColumn("spend_delta", pct_change("spend", "prev_spend"))
+        .withColumn("clicks_delta", pct_change("clicks", "prev_clicks"))
+        .withColumn("installs_delta", pct_change("app_installs", "prev_app_installs"))
+    )
+
+
 def social_daily(meta: DataFrame, by: By = ()) -> DataFrame:
     """Daily spend, clicks, impressions, installs with ctr %, cpc."""
     g = meta.groupBy(*by, "date_day").agg(

@@ -377,10 +377,14 @@ def a26(t):
 
 
 @register("a27_device_performance", f"""
-WITH g AS ({_perf_sql('device').replace('FROM ads ', 'FROM ads_lean ')})
-SELECT {_rates_sql('device, ')} FROM g""", ["ads_lean"])
+WITH g AS ({_perf_sql('device', where=_GADS + ' AND device IS NOT NULL').replace('FROM ads ', 'FROM ads_lean ')})
+SELECT device, impressions, clicks, {R('cost')} AS cost, {R('conversions')} AS conversions,
+  {R('conversion_value')} AS conversion_value, {R('avg_ctr')} AS ctr,
+  {R('COALESCE(conversions / NULLIF(clicks, 0), 0.0)')} AS conv_rate, {R('cost / NULLIF(conversions, 0)')} AS cpa,
+  {R('COALESCE(cost / NULLIF(clicks, 0), 0.0)')} AS cpc, {R('COALESCE(conversion_value / NULLIF(cost, 0), 0.0)')} AS roas
+FROM g""", ["ads_lean"])
 def a27(t):
-    return A.device_performance(ad.ads(t, dims=False).where(F.col("platform") == "google_ads")).drop("avg_ctr")
+    return A.device_performance(ad.ads(t, dims=False).where(F.col("platform") == "google_ads"))
 
 
 @register("a28_adgroup_performance", f"""
@@ -433,6 +437,39 @@ def a31(t):
     return A.social_kpis(ad.ads(t, dims=False).where(F.col("platform") == "meta_ads"))
 
 
+_CUT, _PCUT = "2001-10-01", "2001-09-01"
+
+
+@register("a31_social_kpis_periods", f"""
+WITH g AS (SELECT
+  SUM(CASE WHEN date_day >= DATE '{_CUT}' THEN spend END) AS spend,
+  SUM(CASE WHEN date_day >= DATE '{_PCUT}' AND date_day < DATE '{_CUT}' THEN spend END) AS prev_spend,
+  SUM(CASE WHEN date_day >= DATE '{_CUT}' THEN impressions END) AS impressions,
+  SUM(CASE WHEN date_day >= DATE '{_PCUT}' AND date_day < DATE '{_CUT}' THEN impressions END) AS prev_impressions,
+  SUM(CASE WHEN date_day >= DATE '{_CUT}' THEN clicks END) AS clicks,
+  SUM(CASE WHEN date_day >= DATE '{_PCUT}' AND date_day < DATE '{_CUT}' THEN clicks END) AS prev_clicks,
+  SUM(CASE WHEN date_day >= DATE '{_CUT}' THEN COALESCE(app_installs, 0) END) AS app_installs,
+  SUM(CASE WHEN date_day >= DATE '{_PCUT}' AND date_day < DATE '{_CUT}' THEN COALESCE(app_installs, 0) END) AS prev_app_installs,
+  SUM(CASE WHEN date_day >= DATE '{_CUT}' THEN reach END) AS reach,
+  SUM(CASE WHEN date_day >= DATE '{_CUT}' THEN COALESCE(purchases, 0) END) AS purchases,
+  SUM(CASE WHEN date_day >= DATE '{_CUT}' THEN COALESCE(conversion_value, 0) END) AS revenue
+  FROM ads_lean WHERE {_META} AND date_day >= DATE '{_PCUT}')
+SELECT {R('spend')} AS spend, {R('prev_spend')} AS prev_spend, CAST(impressions AS BIGINT) AS impressions,
+  CAST(prev_impressions AS BIGINT) AS prev_impressions, CAST(clicks AS BIGINT) AS clicks, CAST(prev_clicks AS BIGINT) AS prev_clicks,
+  CAST(app_installs AS BIGINT) AS app_installs, CAST(prev_app_installs AS BIGINT) AS prev_app_installs,
+  CAST(reach AS BIGINT) AS reach, CAST(purchases AS BIGINT) AS purchases, {R('revenue')} AS revenue,
+  {R('COALESCE(clicks * 100 / NULLIF(impressions, 0), 0.0)')} AS ctr, {R('COALESCE(spend / NULLIF(clicks, 0), 0.0)')} AS cpc,
+  {R('COALESCE(spend * 1000 / NULLIF(impressions, 0), 0.0)')} AS cpm,
+  {R('COALESCE(impressions / NULLIF(reach, 0), 0.0)')} AS frequency,
+  {R('COALESCE(spend / NULLIF(app_installs, 0), 0.0)')} AS cpi, {R('COALESCE(revenue / NULLIF(spend, 0), 0.0) * 100')} AS roas_pct,
+  {R('CASE WHEN prev_spend > 0 THEN (spend - prev_spend) / prev_spend * 100 END')} AS spend_delta,
+  {R('CASE WHEN prev_clicks > 0 THEN (clicks - prev_clicks) / prev_clicks * 100 END')} AS clicks_delta,
+  {R('CASE WHEN prev_app_installs > 0 THEN (app_installs - prev_app_installs) / prev_app_installs * 100 END')} AS installs_delta
+FROM g""", ["ads_lean"])
+def a31p(t):
+    return A.social_kpis_periods(ad.ads(t, dims=False).where(F.col("platform") == "meta_ads"), _CUT, _PCUT)
+
+
 @register("a32_social_daily", f"""
 WITH g AS (SELECT date_day, SUM(spend) AS spend, CAST(SUM(impressions) AS BIGINT) AS impressions,
   CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(COALESCE(app_installs, 0)) AS BIGINT) AS app_installs
