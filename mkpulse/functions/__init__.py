@@ -176,6 +176,14 @@ def action_value(actions: str | Column, types: str | Sequence[str]) -> Column:
     return nz(safe_float(raw, None), 0.0)
 
 
+def action_count_last(actions: str | Column, action_type: str) -> Column:
+    """N11 variant of the account comparison: the LAST entry of exactly
+    ``action_type`` wins (no alternative install types); none -> 0."""
+    arr = F.reverse(col(actions))
+    pos = F.array_position(arr["action_type"], F.lit(action_type))
+    return nz(safe_int(F.get(arr, pos.cast("int") - 1)["value"], None), 0)
+
+
 def cents_to_units(c: str | Column, numeric: bool = False) -> Column:
     """Budget in cents -> units, Python truthiness rule ``x/100 if x else None``:
     string column: NULL or '' -> NULL, '0' -> 0.0; numeric column: NULL or 0 -> NULL."""

@@ -80,6 +80,19 @@ def a06c(t):
     return A.daily_metric(ad.ads(t, dims=False), A._conv())
 
 
+@register("a06_daily_sessions", f"""
+SELECT {DS('date_day')} AS date_day, CAST(SUM(sessions) AS BIGINT) AS value FROM web_daily GROUP BY date_day""", ["web_daily"])
+def a06s(t):
+    return A.daily_metric(ad.web_daily(t), "sessions")
+
+
+@register("a06_daily_organic_clicks", f"""
+SELECT {DS('date_day')} AS date_day, CAST(SUM(clicks) AS BIGINT) AS value FROM organic_daily GROUP BY date_day""",
+          ["organic_daily"])
+def a06o(t):
+    return A.daily_metric(ad.organic_daily(t), "clicks")
+
+
 _CUR = preset_range(LI_ASOF, 30)
 _PREV = comparison_range(*_CUR)
 

@@ -268,6 +268,21 @@ def s16(t):
     return S.social_insights_rows(_raw_social(t), "adset")
 
 
+@register("n11_last_match_installs", """
+SELECT 'act_' || CAST(l_suppkey % 4 AS VARCHAR) AS ad_account_id,
+  CAST(SUM(CASE WHEN l_tax >= 0.02 THEN 3 ELSE 0 END) AS BIGINT) AS app_installs,
+  CAST(SUM(CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS purchases
+FROM lineitem GROUP BY 1""")
+def n11_last(t):
+    from mkpulse.functions import action_count_last
+
+    raw = _raw_social(t)
+    rows = raw.select(F.col("account_id").alias("ad_account_id"),
+                      action_count_last("actions", "app_install").alias("app_installs"),
+                      action_count_last("actions", "purchase").alias("purchases"))
+    return rows.groupBy("ad_account_id").agg(F.sum("app_installs").alias("app_installs"), F.sum("purchases").alias("purchases"))
+
+
 def _raw_social_breakdown(t):
     b = ad.social_breakdowns(t)
     acts = F.array_compact(F.array(

@@ -91,3 +91,10 @@ def test_half_even_rounding(spark):
 
     df = spark.createDataFrame([(62.5,), (63.5,)], "s double")
     assert [r.x for r in df.select(_half_even(F.col("s")).alias("x")).collect()] == [62.0, 64.0]
+
+
+def test_action_count_last_match(spark):
+    df = spark.createDataFrame([([("app_install", "1"), ("purchase", "2"), ("app_install", "4")],), (None,)],
+                               "actions array<struct<action_type:string,value:string>>")
+    r = df.select(FN.action_count_last("actions", "app_install").alias("x")).collect()
+    assert [x.x for x in r] == [4, 0]
