@@ -706,6 +706,16 @@ def platform_spend(ads: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
+def cross_platform_spend(paid: DataFrame, organic: DataFrame, by: By = ()) -> DataFrame:
+    """A46 (documented form): total spend per paid platform UNION ALL one
+    'organic' row with spend 0 when organic data exists (a one-row limit, the
+    existence test of the reference)."""
+    p = paid.groupBy(*by, "platform").agg(F.sum("spend").alias("total_spend"))
+    o = organic.select(*by).limit(1) if not by else organic.select(*by).distinct()
+    o = o.select(*by, F.lit("organic").alias("platform"), F.lit(0.0).alias("total_spend"))
+    return p.unionByName(o)
+
+
 def account_comparison(meta: DataFrame, by: By = ()) -> DataFrame:
     """Per account x campaign totals with the account's spend rank."""
     g = meta.groupBy(*by, "account_id", "campaign_name").agg(

@@ -701,16 +701,33 @@ def a49(t):
 
 
 @register("a50_top_converting_keywords", f"""
-SELECT keyword_text, CAST(SUM(clicks) AS BIGINT) AS clicks, {R('SUM(conversions)')} AS conversions,
-  {R('SUM(spend)')} AS cost
-FROM ads WHERE {_GADS} AND clicks > 0 GROUP BY keyword_text
-ORDER BY conversions DESC, keyword_text LIMIT 20""", ["ads"])
+SELECT keyword_text, keyword_match_type, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(clicks) AS BIGINT) AS clicks,
+  {R('SUM(spend)')} AS spend, {R('SUM(conversions)')} AS conversions
+FROM ads WHERE {_GADS} AND clicks > 0 GROUP BY keyword_text, keyword_match_type
+ORDER BY conversions DESC, keyword_text, keyword_match_type LIMIT 20""", ["ads"])
 def a50(t):
     ads = ad.ads(t).where((F.col("platform") == "google_ads") & (F.col("clicks") > 0))
-    g = ads.groupBy("keyword_text").agg(
-        F.sum("clicks").alias("clicks"), F.sum("conversions").alias("conversions"), F.sum("spend").alias("cost")
+    g = ads.groupBy("keyword_text", "keyword_match_type").agg(
+        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"),
+        F.sum("spend").alias("spend"), F.sum("conversions").alias("conversions"),
     )
-    return top_k(g, [F.desc("conversions"), "keyword_text"], 20)
+    return top_k(g, [F.desc("conversions"), "keyword_text", "keyword_match_type"], 20)
+
+
+@register("a50_top_seo_queries", f"""
+SELECT query, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
+  {R('AVG(position)')} AS avg_position
+FROM organic GROUP BY query ORDER BY clicks DESC, query LIMIT 20""", ["organic"])
+def a50q(t):
+    return top_k(A.search_top(ad.organic(t), "query"), [F.desc("clicks"), "query"], 20)
+
+
+@register("a46_cross_platform_spend", f"""
+SELECT platform, {R('SUM(spend)')} AS total_spend FROM ads_lean GROUP BY platform
+UNION ALL
+SELECT 'organic', CAST(0 AS DOUBLE) FROM (SELECT 1 FROM organic_daily LIMIT 1)""", ["ads_lean", "organic_daily"])
+def a46c(t):
+    return A.cross_platform_spend(ad.ads(t, dims=False), ad.organic_daily(t))
 
 
 @register("a50_cost_per_install", f"""
