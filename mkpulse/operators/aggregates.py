@@ -229,16 +229,18 @@ def campaign_intent(traffic: DataFrame, by: By = ()) -> DataFrame:
 
 
 def landing_pages(pages: DataFrame, by: By = ()) -> DataFrame:
-    """A12 (before top-k): page path/title sums, AVG bounce, AVG duration."""
+    """A12 (before top-k by sessions): page path/title sums, AVG bounce, AVG
+    duration, engagement rate."""
     return (
         pages.where(F.col("pagePath").isNotNull())
         .groupBy(*by, F.col("pagePath").alias("page_path"), F.col("pageTitle").alias("page_title"))
         .agg(
-            F.sum("screenPageViews").alias("page_views"),
             F.sum("sessions").alias("sessions"),
+            F.sum("screenPageViews").alias("page_views"),
             F.avg("bounceRate").alias("bounce_rate"),
             F.avg("averageSessionDuration").alias("avg_duration"),
         )
+        .withColumn("engagement_rate", 1.0 - F.col("bounce_rate"))
     )
 
 
@@ -285,7 +287,7 @@ def funnel_steps_from_counts(counts: DataFrame, by: By = ()) -> DataFrame:
 
 def event_totals(events: DataFrame, by: By = ()) -> DataFrame:
     """A14 (before top-k): per event name totals, days seen, events per user."""
-    g = events.groupBy(*by, F.col("eventName").alias("event_name")).agg(
+    g = events.where(F.col("eventName").isNotNull()).groupBy(*by, F.col("eventName").alias("event_name")).agg(
         F.sum("eventCount").alias("total_events"),
         F.sum("totalUsers").alias("total_users"),
         F.countDistinct("date_day").alias("days_tracked"),
@@ -349,10 +351,11 @@ ORGANIC_MEDIUMS = ("organic", "referral", "direct", "(none)")
 
 
 def paid_vs_organic(traffic: DataFrame, by: By = ()) -> DataFrame:
-    """Paid / Organic / Other by medium."""
-    m = F.lower(F.col("sessionMedium"))
+    """Paid / Organic / Other by medium (exact, case-sensitive match;
+    NULL medium rows dropped)."""
+    m = F.col("sessionMedium")
     grp = F.when(m.isin(*PAID_MEDIUMS), "Paid").when(m.isin(*ORGANIC_MEDIUMS), "Organic").otherwise("Other")
-    return traffic.groupBy(*by, grp.alias("traffic_type")).agg(
+    return traffic.where(m.isNotNull()).groupBy(*by, grp.alias("traffic_type")).agg(
         F.sum("sessions").alias("sessions"),
         F.avg("bounceRate").alias("bounce_rate"),
         F.sum("screenPageViews").alias("page_views"),

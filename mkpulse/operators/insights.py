@@ -312,8 +312,8 @@ def segment_facts(traffic: DataFrame, tech: DataFrame, geo: DataFrame, sessions:
     concentration, new-user share, short-session share."""
     from mkpulse.operators.aggregates import ORGANIC_MEDIUMS, PAID_MEDIUMS
 
-    m = F.lower("sessionMedium")
-    po = traffic.groupBy(*by).agg(
+    m = F.col("sessionMedium")  # exact match, as in A18
+    po = traffic.where(m.isNotNull()).groupBy(*by).agg(
         (1.0 - F.avg(F.when(m.isin(*PAID_MEDIUMS), F.col("bounceRate")))).alias("paid_engagement"),
         (1.0 - F.avg(F.when(m.isin(*ORGANIC_MEDIUMS), F.col("bounceRate")))).alias("organic_engagement"),
     )

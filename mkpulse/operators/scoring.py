@@ -312,7 +312,7 @@ def keyword_opportunities(kw: DataFrame, k: int = 15, by: By = ()) -> DataFrame:
 def page_opportunity(top: DataFrame, k: int = 10, by: By = ()) -> DataFrame:
     """N13 over the top-25 landing pages: sessions x (mean engagement -
     engagement), positive only, top k."""
-    df = top.withColumn("engagement_rate", 1.0 - F.col("bounce_rate"))
+    df = top.withColumn("engagement_rate", 1.0 - F.col("bounce_rate"))  # (already there for A12 output)
     df = df.withColumn("opportunity_score", F.col("sessions") * (F.avg("engagement_rate").over(_w(by)) - F.col("engagement_rate")))
     return top_k(df.where(F.col("opportunity_score") > 0), [F.desc("opportunity_score"), "page_path", "page_title"], k, by)
 

@@ -214,12 +214,12 @@ def a11(t):
 @register("a12_landing_pages", f"""
 SELECT pagePath AS page_path, pageTitle AS page_title, CAST(SUM(screenPageViews) AS BIGINT) AS page_views,
   CAST(SUM(sessions) AS BIGINT) AS sessions, {R('AVG(bounceRate)')} AS bounce_rate,
-  {R('AVG(averageSessionDuration)')} AS avg_duration
+  {R('AVG(averageSessionDuration)')} AS avg_duration, {R('1.0 - AVG(bounceRate)')} AS engagement_rate
 FROM web_pages WHERE pagePath IS NOT NULL GROUP BY 1, 2
-ORDER BY page_views DESC, page_path, page_title LIMIT 25""", ["web_pages"])
+ORDER BY sessions DESC, page_path, page_title LIMIT 25""", ["web_pages"])
 def a12(t):
     g = A.landing_pages(ad.web_pages(t))
-    return top_k(g, [F.desc("page_views"), "page_path", "page_title"], 25)
+    return top_k(g, [F.desc("sessions"), "page_path", "page_title"], 25)
 
 
 @register("a13_funnel_counts", """
@@ -237,7 +237,7 @@ def a13(t):
 SELECT eventName AS event_name, CAST(SUM(eventCount) AS BIGINT) AS total_events,
   CAST(SUM(totalUsers) AS BIGINT) AS total_users, COUNT(DISTINCT date_day) AS days_tracked,
   {R('SUM(eventCount) / NULLIF(SUM(totalUsers), 0)')} AS events_per_user
-FROM web_events GROUP BY 1 ORDER BY total_events DESC, event_name LIMIT 20""", ["web_events"])
+FROM web_events WHERE eventName IS NOT NULL GROUP BY 1 ORDER BY total_events DESC, event_name LIMIT 20""", ["web_events"])
 def a14(t):
     g = A.event_totals(ad.web_events(t))
     return top_k(g, [F.desc("total_events"), "event_name"], 20)
@@ -283,11 +283,11 @@ def a17(t):
 
 
 @register("a18_paid_vs_organic", f"""
-SELECT CASE WHEN lower(sessionMedium) IN ('cpc','ppc','paidsearch','paid') THEN 'Paid'
-    WHEN lower(sessionMedium) IN ('organic','referral','direct','(none)') THEN 'Organic' ELSE 'Other' END AS traffic_type,
+SELECT CASE WHEN sessionMedium IN ('cpc','ppc','paidsearch','paid') THEN 'Paid'
+    WHEN sessionMedium IN ('organic','referral','direct','(none)') THEN 'Organic' ELSE 'Other' END AS traffic_type,
   CAST(SUM(sessions) AS BIGINT) AS sessions, {R('AVG(bounceRate)')} AS bounce_rate,
   CAST(SUM(screenPageViews) AS BIGINT) AS page_views, {R('1.0 - AVG(bounceRate)')} AS engagement_rate
-FROM web_traffic GROUP BY 1""", ["web_traffic"])
+FROM web_traffic WHERE sessionMedium IS NOT NULL GROUP BY 1""", ["web_traffic"])
 def a18(t):
     return A.paid_vs_organic(ad.web_traffic(t))
 

@@ -653,12 +653,12 @@ def n10o(t):
 @register("n13_page_opportunity", f"""
 WITH top AS (SELECT pagePath AS page_path, pageTitle AS page_title, CAST(SUM(screenPageViews) AS BIGINT) AS page_views,
   CAST(SUM(sessions) AS BIGINT) AS sessions, AVG(bounceRate) AS bounce_rate, AVG(averageSessionDuration) AS avg_duration
-  FROM web_pages WHERE pagePath IS NOT NULL GROUP BY 1, 2 ORDER BY page_views DESC, page_path, page_title LIMIT 25),
+  FROM web_pages WHERE pagePath IS NOT NULL GROUP BY 1, 2 ORDER BY sessions DESC, page_path, page_title LIMIT 25),
 s AS (SELECT *, 1.0 - bounce_rate AS engagement_rate FROM top),
 o AS (SELECT *, sessions * (AVG(engagement_rate) OVER () - engagement_rate) AS opportunity_score FROM s)
 SELECT page_path, page_title, page_views, sessions, {R('bounce_rate')} AS bounce_rate, {R('avg_duration')} AS avg_duration,
   {R('engagement_rate')} AS engagement_rate, {R('opportunity_score')} AS opportunity_score
 FROM o WHERE opportunity_score > 0 ORDER BY opportunity_score DESC, page_path, page_title LIMIT 10""", ["web_pages"])
 def n13(t):
-    top = top_k(A.landing_pages(ad.web_pages(t)), [F.desc("page_views"), "page_path", "page_title"], 25)
+    top = top_k(A.landing_pages(ad.web_pages(t)), [F.desc("sessions"), "page_path", "page_title"], 25)
     return N.page_opportunity(top)
