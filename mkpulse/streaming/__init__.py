@@ -77,15 +77,23 @@ def windowed_kpi_frame(events: DataFrame, ts: str = "ts", window: str = "1 day",
                        by: Sequence[str] = ("event_type",), value: str = "value") -> DataFrame:
     """R02 plan: event-time windows with a watermark (works on a stream or a
     batch frame)."""
-    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
-        # watermarks need TIMESTAMP; wall-clock values are read in the session
-        # time zone (UTC on the cluster)
-        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    ntz = isinstance(events.schema[ts].dataType, T.TimestampNTZType)
+    if ntz:
+        # watermarks need TIMESTAMP: read the wall-clock value as UTC, whatever
+        # the session time zone, so windows align to UTC days
+        events = events.withColumn(ts, F.concat(F.col(ts).cast("string"), F.lit("Z")).cast("timestamp"))
+
+    def back(c: str):
+        # window bounds back to wall-clock (UTC) values of the input's type
+        if not ntz:
+            return F.col(c)
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz"))
+
     return (
         events.withWatermark(ts, lateness)
         .groupBy(F.window(ts, window).alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("events"), F.sum(value).alias("value_sum"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "events", "value_sum")
+        .select(back("w.start").alias("window_start"), back("w.end").alias("window_end"), *by, "events", "value_sum")
     )
 
 
