@@ -240,8 +240,9 @@ def keyword_clusters(keywords: DataFrame, k: int = 5, seed: int = 42, n_init: in
 
     checkpoint_dir(keywords.sparkSession)
     data = scaler.transform(data).checkpoint(eager=True)
-    if data.limit(10).count() < 10:
-        return keywords.sparkSession.createDataFrame([], df.schema.add("cluster", "int").add("pca_x", "double").add("pca_y", "double"))
+    if data.limit(10).count() < 10:  # the reference needs at least 10 keywords
+        return df.where(F.lit(False)).select(*df.columns, F.lit(None).cast("int").alias("cluster"),
+                                             F.lit(None).cast("double").alias("pca_x"), F.lit(None).cast("double").alias("pca_y"))
     best, best_cost = None, None
     for i in range(n_init):
         m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", initMode="k-means||").fit(data)

@@ -29,6 +29,9 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "mk
     )
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the executor; give it room
+            b = b.config("spark.driver.memory", "8g")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
