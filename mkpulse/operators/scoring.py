@@ -243,12 +243,17 @@ def keyword_clusters(keywords: DataFrame, k: int = 5, seed: int = 42, n_init: in
     if data.limit(10).count() < 10:  # the reference needs at least 10 keywords
         return df.where(F.lit(False)).select(*df.columns, F.lit(None).cast("int").alias("cluster"),
                                              F.lit(None).cast("double").alias("pca_x"), F.lit(None).cast("double").alias("pca_y"))
-    best, best_cost = None, None
-    for i in range(n_init):
+    # the n_init seeded fits are independent Spark jobs: submit them together
+    # (the scheduler interleaves their tasks) and keep the least-cost model
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(i: int):
         m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", initMode="k-means||").fit(data)
-        cost = m.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = m, cost
+        return m.summary.trainingCost, i, m
+
+    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    _, _, best = min(fits, key=lambda x: (x[0], x[1]))
     out = best.transform(data)
     pca = PCA(k=2, inputCol="features", outputCol="_pca").fit(data)
     out = pca.transform(out)
