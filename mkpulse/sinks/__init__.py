@@ -89,6 +89,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish an interrupted swap: if the table folder is missing but a
+    ``<path>.old-*`` folder exists (the job died between the two renames),
+    move it back. Returns True when something was restored."""
+    fs, p, jvm = _fs(spark, path)
+    if fs.exists(p):
+        return False
+    parent = p.getParent()
+    if parent is None or not fs.exists(parent):
+        return False
+    olds = [st.getPath() for st in fs.listStatus(parent) if st.getPath().getName().startswith(p.getName() + ".old-")]
+    if len(olds) != 1:
+        return False
+    return bool(fs.rename(olds[0], p))
+
+
 def _swap(spark: SparkSession, staging: str, final: str) -> None:
     fs, src, jvm = _fs(spark, staging)
     dst = jvm.org.apache.hadoop.fs.Path(final)
@@ -106,6 +122,7 @@ def _swap(spark: SparkSession, staging: str, final: str) -> None:
 
 def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
     """Full replace. Empty input is a no-op that succeeds (returns 0)."""
+    recover(df.sparkSession, path)
     if df.isEmpty():
         return 0
     obs = Observation("k01")
@@ -128,6 +145,7 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = T
     Returns an audit dict.
     """
     spark = batch.sparkSession
+    recover(spark, path)
     if not path_exists(spark, path):
         n = replace(batch, path, [partition_col] if partition_col else [])
         return {"mode": "create", "rows_written": n}

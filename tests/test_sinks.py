@@ -69,3 +69,11 @@ def test_typed_replace_batch_last_wins(spark):
 def test_audit_rows(spark):
     a = K.audit_rows(spark, {"campaigns": {"mode": "upsert", "rows_written": 5}, "ads": {"error": "boom"}})
     assert sorted((r.dataset, r.rows_written, r.error) for r in a.collect()) == [("ads", 0, "boom"), ("campaigns", 5, None)]
+
+
+def test_recover_interrupted_swap(spark, scratch):
+    path = os.path.join(scratch, "t")
+    spark.createDataFrame([(1,)], "x int").write.parquet(path + ".old-deadbeef")  # died between renames
+    assert K.recover(spark, path) is True
+    assert spark.read.parquet(path).count() == 1
+    assert K.recover(spark, path) is False
