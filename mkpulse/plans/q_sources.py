@@ -421,3 +421,82 @@ SELECT CAST(c_custkey AS VARCHAR) AS user_id, lower(replace(c_name, '#', '_')) A
 FROM customer""")
 def s20(t):
     return S.profile_snapshot(_raw_profiles(t), "2024-01-30")
+
+
+# ------------------------------------------------------ search-console sets
+# the S12 dimension sets the organic fact can feed (country and search
+# appearance are not carried by the driver data)
+_GSC_SETS = ("gsc_queries", "gsc_pages", "gsc_devices", "gsc_query_page", "gsc_query_device", "gsc_page_device",
+             "gsc_daily_totals")
+_ALL_DIMS = ("date", "query", "page", "device")
+
+
+def _dim_expr(d: str):
+    return F.date_format("date_day", "yyyy-MM-dd") if d == "date" else F.col(d)
+
+
+@register("s12_search_console_sets", "\nUNION ALL\n".join(
+    "SELECT '{ds}' AS _dataset, {cols}, clicks, impressions, {ctr} AS ctr, {pos} AS position FROM organic".format(
+        ds=ds,
+        cols=", ".join(
+            (("strftime(date_day, '%Y-%m-%d')" if d == "date" else d) if d in S.SEARCH_CONSOLE_SETS[ds] else "CAST(NULL AS VARCHAR)")
+            + f" AS {d}" for d in _ALL_DIMS),
+        ctr=R("COALESCE(ctr, 0.0)"), pos=R("COALESCE(position, 0.0)"))
+    for ds in _GSC_SETS), ["organic"])
+def s12(t):
+    o = ad.organic(t)
+    out = None
+    for ds in _GSC_SETS:
+        dims = S.SEARCH_CONSOLE_SETS[ds]
+        raw = o.select(F.array(*[_dim_expr(d) for d in dims]).alias("keys"), "clicks", "impressions", "ctr", "position")
+        rows = S.search_console_rows(raw, dims, ds)
+        rows = rows.select("_dataset", *[F.col(d) if d in dims else F.lit(None).cast("string").alias(d) for d in _ALL_DIMS],
+                           "clicks", "impressions", "ctr", "position")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# ------------------------------------------------------ web report set
+# report -> (adapter, dimension column of the adapter for each report dimension)
+_WEB_SOURCES = {
+    "ga4_sessions": ("web_sessions_raw", {"date": "date"}),
+    "ga4_page_performance": ("web_pages", {"date": "date_day", "pagePath": "pagePath", "pageTitle": "pageTitle"}),
+    "ga4_geographic_data": ("web_geo", {"date": "date_day", "country": "country", "region": "region", "city": "city"}),
+    "ga4_technology_data": ("web_tech", {"date": "date_day", "deviceCategory": "deviceCategory",
+                                         "operatingSystem": "operatingSystem", "browser": "browser"}),
+    "ga4_event_data": ("web_events", {"date": "date_day", "eventName": "eventName"}),
+}
+_DOUBLE_METRICS = ("bounceRate", "averageSessionDuration")
+
+
+def _web_value(src: str, col: str, spark_side: bool):
+    if src == "date_day":
+        return F.date_format("date_day", "yyyyMMdd") if spark_side else "strftime(date_day, '%Y%m%d')"
+    if col in _DOUBLE_METRICS:  # two-step half-up rounding on both sides (ties are common for averages)
+        from mkpulse.functions import rnd
+
+        return rnd(F.col(col).cast("double"), 4).cast("string") if spark_side else f"CAST({R(col, 4)} AS VARCHAR)"
+    return F.col(src).cast("string") if spark_side else f"CAST({src} AS VARCHAR)"
+
+
+def _web_report_query(report: str):
+    adapter, dims = _WEB_SOURCES[report]
+    rep = S.WEB_REPORTS[report]
+    sql_cols = [f"{_web_value(dims[d], d, False)} AS {d}" for d in rep.dimensions] + [
+        f"{_web_value(m, m, False)} AS {m}" for m in rep.metrics]
+
+    @register(f"s14_{report}", f"SELECT {', '.join(sql_cols)} FROM {adapter}", [adapter])
+    def q(t):
+        base = getattr(ad, adapter)(t)
+        v = lambda c: F.struct(c.alias("value"))
+        raw = base.select(
+            F.array(*[v(_web_value(dims[d], d, True)) for d in rep.dimensions]).alias("dimension_values"),
+            F.array(*[v(_web_value(m, m, True)) for m in rep.metrics]).alias("metric_values"),
+        )
+        return S.web_report_rows(raw, rep)
+
+    return q
+
+
+for _rep in _WEB_SOURCES:
+    _web_report_query(_rep)
