@@ -102,10 +102,17 @@ def period_match(cur: DataFrame, prev: DataFrame, keys: Sequence[str], metrics:
     return j
 
 
-def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str, label: str, fallback: Column) -> DataFrame:
-    """Small-dimension left join, broadcast (the dimension has one
-    row per code - a fixed bound), label falls back to ``fallback``."""
-    j = df.join(F.broadcast(dim), df[left_key] == dim[right_key], "left")
+def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str, label: str, fallback: Column,
+           bounded: bool = False) -> DataFrame:
+    """Dimension left join, label falls back to ``fallback``.
+
+    ``bounded=True`` asserts the dimension has a fixed size (one row per code
+    of a closed list, e.g. countries) and broadcasts it. Otherwise no hint is
+    given: the planner broadcasts only when the measured size is under
+    ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime) and
+    falls back to a shuffle join beyond it."""
+    d = F.broadcast(dim) if bounded else dim
+    j = df.join(d, df[left_key] == dim[right_key], "left")
     return j.withColumn(label, F.coalesce(F.col(label), fallback)).drop(right_key) if right_key != left_key else j
 
 
