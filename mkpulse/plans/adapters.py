@@ -16,9 +16,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import functools
+
 from mkpulse.functions import div
 from mkpulse.session import Tables
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _memo(fn):
+    """Reuse an adapter's (immutable, lazy) plan per session, data folder and
+    arguments: queries that share a fact do not re-analyse it."""
+
+    @functools.wraps(fn)
+    def wrapper(t: Tables, *args, **kwargs):
+        key = (fn.__name__, t.spark.sparkContext.applicationId, id(t.spark), t.root, args, tuple(sorted(kwargs.items())))
+        df = _PLANS.get(key)
+        if df is None:
+            df = fn(t, *args, **kwargs)
+            _PLANS[key] = df
+        return df
+
+    return wrapper
+
 # fixed values used by the derived dimensions (labels of the fixture rules)
 MATCH_TYPES = {"A": "EXACT", "N": "PHRASE", "R": "BROAD"}
 DEVICES = ("MOBILE", "DESKTOP", "TABLET")  # by l_linenumber % 3
@@ -43,6 +63,7 @@ def _sql_pick(expr: str, labels) -> str:
 
 
 # --------------------------------------------------------------------------- paid
+@_memo
 def ads(t: Tables, dims: bool = True) -> DataFrame:
     """Paid fact at line grain (search ads + social ads).
 
@@ -117,6 +138,7 @@ SQL["ads_lean"] = f"SELECT {_ADS_COLS} FROM lineitem"
 
 
 # ------------------------------------------------------------------------ organic
+@_memo
 def organic(t: Tables) -> DataFrame:
     """Organic search fact (query x page x device per order line)."""
     o = t.orders.select("o_orderkey", "o_orderdate")
@@ -148,6 +170,7 @@ SQL["organic"] = f"""SELECT CAST(o_orderdate AS DATE) AS date_day,
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey"""
 
 
+@_memo
 def organic_daily(t: Tables) -> DataFrame:
     """V07 fact_organic_daily: Σclicks, Σimpressions, AVG ctr, AVG position."""
     return organic(t).groupBy("date_day").agg(
@@ -168,6 +191,7 @@ def _ev(t: Tables) -> DataFrame:
     return t.events.select("event_id", "ts", "user_id", "event_type", "value")
 
 
+@_memo
 def web_sessions_raw(t: Tables) -> DataFrame:
     """ga4_sessions bronze shape: every column a string, date as yyyyMMdd."""
     e = _ev(t)
@@ -187,6 +211,7 @@ SQL["web_sessions_raw"] = """SELECT strftime(ts, '%Y%m%d') AS date,
   FROM events GROUP BY 1"""
 
 
+@_memo
 def web_daily(t: Tables) -> DataFrame:
     """V08 fact_web_daily: silver cast of ga4_sessions."""
     from mkpulse.functions import safe_float, safe_int, to_day
@@ -207,6 +232,7 @@ SQL["web_daily"] = """SELECT CAST(strptime(date, '%Y%m%d') AS DATE) AS date_day,
   FROM web_sessions_raw"""
 
 
+@_memo
 def web_traffic(t: Tables) -> DataFrame:
     """ga4_traffic_overview (typed): date x source x medium x campaign."""
     e = _ev(t)
@@ -237,6 +263,7 @@ SQL["web_traffic"] = f"""SELECT CAST(ts AS DATE) AS date_day,
   FROM events GROUP BY 1, 2, 3, 4"""
 
 
+@_memo
 def web_pages(t: Tables) -> DataFrame:
     """ga4_page_performance (typed): date x pagePath x pageTitle."""
     e = _ev(t)
@@ -263,6 +290,7 @@ SQL["web_pages"] = """SELECT CAST(ts AS DATE) AS date_day,
   FROM events GROUP BY 1, 2, 3"""
 
 
+@_memo
 def web_tech(t: Tables) -> DataFrame:
     """ga4_technology_data (typed): date x device x os x browser."""
     e = _ev(t)
@@ -287,6 +315,7 @@ SQL["web_tech"] = f"""SELECT CAST(ts AS DATE) AS date_day,
   FROM events GROUP BY 1, 2, 3, 4"""
 
 
+@_memo
 def web_events(t: Tables) -> DataFrame:
     """ga4_event_data (typed): date x eventName."""
     return _ev(t).groupBy(F.to_date("ts").alias("date_day"), F.col("event_type").alias("eventName")).agg(
@@ -299,6 +328,7 @@ SQL["web_events"] = """SELECT CAST(ts AS DATE) AS date_day, event_type AS eventN
   FROM events GROUP BY 1, 2"""
 
 
+@_memo
 def web_geo(t: Tables) -> DataFrame:
     """ga4_geographic_data (typed): orders by customer nation / region / segment."""
     o = t.orders.select("o_orderdate", "o_custkey", "o_orderstatus")
@@ -332,6 +362,7 @@ SQL["web_geo"] = """SELECT CAST(o_orderdate AS DATE) AS date_day, n_name AS coun
 
 
 # ------------------------------------------------------------------------- hourly
+@_memo
 def hourly(t: Tables) -> DataFrame:
     """gads_hourly-like: date x campaign x hour from events."""
     e = _ev(t)
@@ -358,6 +389,7 @@ SQL["hourly"] = """SELECT CAST(ts AS DATE) AS date_day,
 
 
 # -------------------------------------------------------------------------- posts
+@_memo
 def posts(t: Tables) -> DataFrame:
     """twitter_tweets-like posts from conversation turns."""
     c = t.conversations.select("conv_id", "turn", "role", "text")
@@ -387,6 +419,7 @@ SQL["posts"] = """SELECT conv_id * 100 + turn AS tweet_id,
 
 
 # ---------------------------------------------------------------------- social demo
+@_memo
 def social_breakdowns(t: Tables) -> DataFrame:
     """meta_demographics / devices / geographic rows from orders x customer x nation."""
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
@@ -428,6 +461,7 @@ SQL["social_breakdowns"] = f"""SELECT CAST(o_orderdate AS DATE) AS date_start,
 
 
 # ---------------------------------------------------------------------- duplicates
+@_memo
 def dup_lines(t: Tables) -> DataFrame:
     """A table with known duplicates on (l_orderkey, l_linenumber): every first
     line is landed twice, the second copy one day later; every third order's
@@ -449,6 +483,7 @@ SQL["dup_lines"] = """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedpri
   FROM lineitem WHERE l_linenumber = 1"""
 
 
+@_memo
 def country_names(t: Tables) -> DataFrame:
     """P11 lookup: country criterion id -> name (2000 + nation key)."""
     return t.nation.select((F.col("n_nationkey") + 2000).cast("bigint").alias("criterion_id"), F.col("n_name").alias("country_name"))
