@@ -6,23 +6,29 @@ from __future__ import annotations
 from mkpulse.plans.catalog import DS, R, register
 from mkpulse.streaming import landing_to_bronze, run_folder, windowed_kpis
 
-_LINE_KEYS = ["l_orderkey", "l_linenumber"]
-_TIEBREAK = ["l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount", "l_tax"]
-_LINE_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_KEYS = ["l_orderkey", "l_linenumber", "ship_year"]
+_TIEBREAK = ["l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_shipdate"]
+_LINE_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_shipdate"]
 
 
 @register("r01_landing_to_bronze", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {R('l_quantity')} AS l_quantity, {R('l_extendedprice')} AS l_extendedprice,
-  {R('l_discount')} AS l_discount, {R('l_tax')} AS l_tax, CAST(NULL AS VARCHAR) AS extracted_at
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, l_extendedprice DESC,
-  l_partkey DESC, l_suppkey DESC, l_discount DESC, l_tax DESC) AS rn FROM lineitem) WHERE rn = 1""")
+  {R('l_discount')} AS l_discount, {R('l_tax')} AS l_tax, {DS('l_shipdate')} AS l_shipdate,
+  CAST(year(l_shipdate) AS INTEGER) AS ship_year, CAST(NULL AS VARCHAR) AS extracted_at
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber, year(l_shipdate) ORDER BY l_quantity DESC,
+  l_extendedprice DESC, l_partkey DESC, l_suppkey DESC, l_discount DESC, l_tax DESC, l_shipdate DESC) AS rn FROM lineitem)
+WHERE rn = 1""")
 def r01(t):
     spark = t.spark
     src = t.root
     schema = t.lineitem.select(*_LINE_COLS).schema
     base = run_folder(spark, "r01")
+    from pyspark.sql import functions as F
+
     q = landing_to_bronze(spark, src, schema, base + "/bronze", _LINE_KEYS, base + "/_checkpoint",
-                           glob="lineitem.parquet", tiebreak=_TIEBREAK)
+                          glob="lineitem.parquet", tiebreak=_TIEBREAK, partition_col="ship_year",
+                          derive=lambda b: b.withColumn("ship_year", F.year("l_shipdate")))
     q.awaitTermination()
     return spark.read.parquet(base + "/bronze")
 

@@ -49,9 +49,12 @@ def landing_to_bronze(
     tiebreak: Sequence[str] = (),
     partition_col: str | None = None,
     max_files_per_trigger: int | None = None,
+    derive=None,
 ):
     """Stream landed files into a keyed bronze table (availableNow: all
-    files present now, in micro-batches, then stop). Returns the query."""
+    files present now, in micro-batches, then stop). ``derive`` adds columns
+    to each micro-batch (e.g. the date partition); with ``partition_col`` each
+    micro-batch rewrites only the partitions it touches. Returns the query."""
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -60,6 +63,8 @@ def landing_to_bronze(
     stream = reader.load(source)
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
+        if derive is not None:
+            batch = derive(batch)
         if order_col not in batch.columns:
             batch = batch.withColumn(order_col, F.lit(None).cast("timestamp"))
         clean = dedupe(batch, keys, order_col, tiebreak)
