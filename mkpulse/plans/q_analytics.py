@@ -175,6 +175,24 @@ def w02(t):
     return W.rolling_anomalies(_daily_google(t), "cost", threshold=1.5)
 
 
+@register("w02_spend_anomalies_prior_rows", f"""
+WITH d AS ({_DAILY_G}),
+n AS (SELECT COUNT(*) AS n FROM d),
+r AS (SELECT date_day, cost,
+  CASE WHEN COUNT(cost) OVER w >= 3 THEN AVG(cost) OVER w END AS rolling_mean,
+  CASE WHEN COUNT(cost) OVER w >= 3 THEN STDDEV_SAMP(cost) OVER w END AS rolling_std
+  FROM d WINDOW w AS (ORDER BY date_day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, (cost - rolling_mean) / NULLIF(rolling_std, 0) AS z_score FROM r)
+SELECT {DS('date_day')} AS date_day, {R('cost')} AS cost, {R('rolling_mean')} AS rolling_mean,
+  {R('rolling_std')} AS rolling_std, {R('z_score')} AS z_score,
+  CASE WHEN z_score > 2.5 THEN 'spike' WHEN z_score < -2.5 THEN 'drop' ELSE 'normal' END AS anomaly_type,
+  COALESCE(abs(z_score) > 2.5, FALSE) AS is_anomaly,
+  {R('(cost - rolling_mean) / NULLIF(rolling_mean, 0) * 100')} AS deviation_pct
+FROM z WHERE (SELECT n FROM n) >= 7""", ["ads_lean"])
+def w02p(t):
+    return W.rolling_anomalies(_daily_google(t), "cost", include_current=False)
+
+
 @register("w03_moving_average", f"""
 WITH d AS ({_DAILY_G})
 SELECT {DS('date_day')} AS date_day, {R('cost')} AS cost,

@@ -341,6 +341,54 @@ def s19(t):
     return S.social_adsets(_raw_adsets(t), "act_9")
 
 
+def _raw_social_campaigns(t):
+    p = t.part.select("p_brand", "p_size", "p_retailprice").groupBy("p_brand").agg(
+        F.max("p_size").alias("sz"), F.max("p_retailprice").alias("price"))
+    num = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+    k = num % 4
+    budget = F.when(k == 0, F.lit(None)).when(k == 1, F.lit("")).when(k == 2, F.lit("0")).otherwise(
+        F.floor(F.col("price") * 100).cast("bigint").cast("string"))
+    return p.select(
+        num.cast("string").alias("id"), F.col("p_brand").alias("name"),
+        F.when(num % 2 == 0, "ACTIVE").otherwise("PAUSED").alias("status"), F.lit("ACTIVE").alias("effective_status"),
+        F.lit("APP_INSTALLS").alias("objective"), budget.alias("daily_budget"), F.lit(None).cast("string").alias("lifetime_budget"),
+        budget.alias("budget_remaining"), F.lit("2024-01-01T00:00:00").alias("created_time"),
+        F.lit(None).cast("string").alias("start_time"), F.lit(None).cast("string").alias("stop_time"),
+    )
+
+
+@register("s19_campaigns", f"""
+WITH b AS (SELECT p_brand, MAX(p_retailprice) AS price FROM part GROUP BY p_brand),
+c AS (SELECT *, CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INTEGER) AS n FROM b),
+d AS (SELECT *, CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 0.0
+  ELSE CAST(floor(price * 100) AS BIGINT) / 100.0 END AS budget FROM c)
+SELECT CAST(n AS VARCHAR) AS campaign_id, 'act_9' AS ad_account_id, p_brand AS campaign_name,
+  CASE WHEN n % 2 = 0 THEN 'ACTIVE' ELSE 'PAUSED' END AS status, 'ACTIVE' AS effective_status, 'APP_INSTALLS' AS objective,
+  {R('budget')} AS daily_budget, CAST(NULL AS DOUBLE) AS lifetime_budget, {R('budget')} AS budget_remaining,
+  '2024-01-01T00:00:00' AS created_time, CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS stop_time
+FROM d""")
+def s19c(t):
+    return S.social_campaigns(_raw_social_campaigns(t), "act_9")
+
+
+@register("s19_ads", """
+SELECT CAST(p_partkey AS VARCHAR) AS ad_id, 'act_9' AS ad_account_id, p_name AS ad_name, CAST(p_size AS VARCHAR) AS adset_id,
+  p_brand AS campaign_id, CASE WHEN p_partkey % 4 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status, 'ACTIVE' AS effective_status,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'cr' || CAST(p_partkey AS VARCHAR) END AS creative_id,
+  '2024-01-01T00:00:00' AS created_time
+FROM part""")
+def s19a(t):
+    p = t.part
+    raw = p.select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("adset_id"),
+        F.col("p_brand").alias("campaign_id"), F.when(F.col("p_partkey") % 4 == 0, "PAUSED").otherwise("ACTIVE").alias("status"),
+        F.lit("ACTIVE").alias("effective_status"),
+        F.when(F.col("p_partkey") % 5 != 0, F.struct(F.concat(F.lit("cr"), F.col("p_partkey").cast("string")).alias("id"))).alias("creative"),
+        F.lit("2024-01-01T00:00:00").alias("created_time"),
+    )
+    return S.social_ads(raw, "act_9")
+
+
 # -------------------------------------------------------------------- posts
 def _raw_posts(t):
     c = t.conversations.select("conv_id", "turn", "role", "text")

@@ -33,6 +33,19 @@ def r01(t):
     return spark.read.parquet(base + "/bronze")
 
 
+@register("r02_hourly_kpis", f"""
+SELECT {DS("date_trunc('hour', ts)")} AS window_start, {DS("date_trunc('hour', ts) + INTERVAL 1 HOUR")} AS window_end,
+  event_type, COUNT(*) AS events, {R('SUM(value)')} AS value_sum
+FROM events GROUP BY date_trunc('hour', ts), event_type""")
+def r02h(t):
+    spark = t.spark
+    base = run_folder(spark, "r02h")
+    q = windowed_kpis(spark, t.root, t.events.schema, base + "/kpis", base + "/_checkpoint", window="1 hour",
+                      lateness="3 days", glob="events.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(base + "/kpis")
+
+
 @register("r02_windowed_kpis", f"""
 SELECT {DS("date_trunc('day', ts)")} AS window_start, {DS("date_trunc('day', ts) + INTERVAL 1 DAY")} AS window_end,
   event_type, COUNT(*) AS events, {R('SUM(value)')} AS value_sum
