@@ -7,7 +7,7 @@ def load_all() -> dict:
     """Import every query module (each registers its queries) and return the registry."""
     from mkpulse.plans import q_aggregates  # noqa: F401
 
-    for mod in ("q_analytics", "q_insights", "q_quality", "q_sources", "q_views", "q_functions", "q_sinks", "q_streaming"):
+    for mod in ("q_analytics", "q_insights", "q_quality", "q_sources", "q_views", "q_functions", "q_sinks", "q_entities", "q_streaming"):
         try:
             __import__(f"mkpulse.plans.{mod}")
         except ModuleNotFoundError as e:
