@@ -53,3 +53,38 @@ def test_social_strategic(spark):
     k = spark.createDataFrame([(100.0, 0.2, 3.5, 6.0, 10, 20)], "spend double, ctr double, frequency double, cpi double, app_installs long, clicks long")
     assert [x.rule for x in I.social_strategic_insights(k).orderBy("rule_order").collect()] == [
         "low_ctr", "high_frequency", "cpi_high", "budget_efficiency"]
+
+
+def test_what_changed_fires_and_actions(spark):
+    import datetime as dt
+
+    cur, prev = ("2024-01-08", "2024-01-14"), ("2024-01-01", "2024-01-07")
+    sess = [((dt.date(2024, 1, d)).strftime("%Y%m%d"), str(100 if d <= 7 else 150), "0.2" if d <= 7 else "0.3") for d in range(1, 15)]
+    raw = spark.createDataFrame(sess, "date string, sessions string, bounceRate string")
+    traffic = spark.createDataFrame(
+        [(dt.date(2024, 1, d), "google", "cpc", 50 if d <= 7 else 20) for d in range(1, 15)]
+        + [(dt.date(2024, 1, d), "bing", "organic", 10 if d <= 7 else 30) for d in range(1, 15)],
+        "date_day date, sessionSource string, sessionMedium string, sessions long")
+    tech = spark.createDataFrame([(dt.date(2024, 1, d), "mobile", 10 if d <= 7 else 14) for d in range(1, 15)],
+                                 "date_day date, deviceCategory string, sessions long")
+    ch = I.what_changed(raw, traffic, tech, cur, prev).orderBy("rank").collect()
+    # sources in current-period session order (bing 210 > google 140)
+    assert [x.title for x in ch] == ["Sessions up", "Bounce rate increased", "bing / organic traffic up",
+                                     "google / cpc traffic down", "Mobile traffic up"]
+    acts = [x.action for x in I.what_changed_actions(I.what_changed(raw, traffic, tech, cur, prev)).collect()]
+    assert acts == sorted(["Investigate recent website changes that may have degraded UX", "Review google acquisition strategy",
+                           "Scale successful bing channel", "Scale successful Mobile channel"])
+
+
+def test_social_cpi_rule(spark):
+    d = spark.createDataFrame([(120.0, 10, 100.0, 10)], "spend double, installs long, prev_spend double, prev_installs long")
+    r = I.social_daily_insights(d).collect()
+    assert len(r) == 1 and r[0].rule == "meta_cpi" and abs(r[0].change - 0.2) < 1e-12
+    none = spark.createDataFrame([(120.0, 0, 100.0, 10)], d.schema)
+    assert I.social_daily_insights(none).count() == 0
+
+
+def test_organic_weekly_drop_medium(spark):
+    w = spark.createDataFrame([(70, 100, -0.3)], "this_week long, last_week long, week_change double")
+    r = I.organic_weekly_insights(w).first()
+    assert r.priority == "medium" and r.title == "Organic search clicks down week-over-week"
