@@ -77,3 +77,10 @@ def test_recover_interrupted_swap(spark, scratch):
     assert K.recover(spark, path) is True
     assert spark.read.parquet(path).count() == 1
     assert K.recover(spark, path) is False
+
+
+def test_stamp_is_constant_per_batch(spark):
+    ts = dt.datetime(2024, 1, 30, 12, 0)
+    out = K.stamp(spark.range(5), ts).select("extracted_at").distinct().collect()
+    assert len(out) == 1 and out[0].extracted_at == ts
+    assert K.stamp(spark.range(3)).select("extracted_at").distinct().count() == 1
