@@ -325,3 +325,56 @@ def page_opportunity(top: DataFrame, k: int = 10, by: By = ()) -> DataFrame:
 
 def safe_ratio(a: str, b: str) -> Column:
     return safe_divide(a, b)
+
+
+def keyword_clusters_by(keywords: DataFrame, by: By, k: int = 5, seed: int = 42, n_init: int = 10,
+                        features=("clicks", "impressions", "ctr", "position"), limit: int = 500) -> DataFrame:
+    """N07 per entity: every entity's top-``limit`` keywords by impressions
+    (ties by keyword) are clustered in one grouped pandas task - the group is
+    bounded by ``limit``, so no task ever holds more than ``limit`` rows.
+    z-scaling uses the population std (as sklearn's scaler), k-means++ seeds
+    with ``n_init`` restarts keep the least inertia, PCA to 2D via SVD.
+    Entities with fewer than 10 rows get no rows (as the single-entity form)."""
+    import numpy as np
+    import pandas as pd
+
+    feats = [c for c in features if c in keywords.columns]
+    top = top_k(keywords.dropna(subset=feats), [F.desc("impressions"), F.asc("keyword")], limit, by)
+    cols = [*by, "keyword", *feats]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in top.select(*cols).schema.fields]
+                       + ["cluster int", "pca_x double", "pca_y double"])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        if n < 10:
+            return pd.DataFrame(columns=[*cols, "cluster", "pca_x", "pca_y"])
+        x = pdf[feats].to_numpy(dtype=float)
+        sd = x.std(axis=0)
+        z = (x - x.mean(axis=0)) / np.where(sd == 0, 1.0, sd)
+        kk = min(k, n)
+        best = None
+        for i in range(n_init):
+            rng = np.random.default_rng(seed + i)
+            centers = [z[rng.integers(n)]]
+            for _ in range(1, kk):  # k-means++ seeding
+                d2 = np.min(((z[:, None, :] - np.array(centers)[None]) ** 2).sum(-1), axis=1)
+                p = d2 / d2.sum() if d2.sum() > 0 else np.full(n, 1.0 / n)
+                centers.append(z[rng.choice(n, p=p)])
+            c = np.array(centers)
+            for _ in range(100):
+                lab = ((z[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
+                new = np.array([z[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(kk)])
+                if np.allclose(new, c):
+                    break
+                c = new
+            inertia = ((z - c[lab]) ** 2).sum()
+            if best is None or inertia < best[0]:
+                best = (inertia, lab)
+        u, s_, _ = np.linalg.svd(z - z.mean(0), full_matrices=False)
+        pcs = u[:, :2] * s_[:2]
+        out = pdf[cols].copy()
+        out["cluster"] = best[1].astype("int32")
+        out["pca_x"], out["pca_y"] = pcs[:, 0], (pcs[:, 1] if pcs.shape[1] > 1 else 0.0)
+        return out
+
+    return top.select(*cols).groupBy(*by).applyInPandas(fit, schema)

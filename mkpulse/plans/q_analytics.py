@@ -618,6 +618,17 @@ def n07s(t):
     return N.cluster_summary(N.keyword_clusters(_kw_top500(t)))
 
 
+@register("n07_keyword_clusters_by_device")
+def n07d(t):
+    g = ad.organic(t).groupBy("device", F.col("query").alias("keyword")).agg(
+        F.sum("clicks").alias("clicks"),
+        F.sum("impressions").alias("impressions"),
+        F.avg("ctr").alias("ctr"),
+        F.avg("position").alias("position"),
+    ).where(F.col("impressions") >= 10)
+    return N.keyword_clusters_by(g, ["device"])
+
+
 @register("n09_cannibalization", f"""
 WITH {_J02_CTE}
 SELECT keyword, CAST(organic_clicks AS BIGINT) AS organic_clicks, {R('avg_position')} AS avg_position,

@@ -23,3 +23,21 @@ def test_keyword_clusters_needs_ten_rows(spark):
     df = spark.createDataFrame([(f"k{i}", i, 100, 0.1, 1.0) for i in range(5)],
                                "keyword string, clicks long, impressions long, ctr double, position double")
     assert N.keyword_clusters(df, k=3).count() == 0
+
+
+def test_keyword_clusters_by_entity(spark):
+    rows = []
+    for acct in ("x", "y"):
+        for i in range(12):
+            rows.append((acct, f"a{i}", 10 + i % 3, 1000 + i, 0.01, 2.0))
+            rows.append((acct, f"b{i}", 500 + i % 3, 1000 + i, 0.5, 9.0))
+            rows.append((acct, f"c{i}", 10 + i % 3, 90000 + i, 0.0001, 5.0))
+    rows += [("z", f"k{i}", i, 100 + i, 0.1, 1.0) for i in range(5)]  # too few keywords
+    df = spark.createDataFrame(rows, "acct string, keyword string, clicks long, impressions long, ctr double, position double")
+    out = N.keyword_clusters_by(df, ["acct"], k=3).collect()
+    assert {r.acct for r in out} == {"x", "y"}
+    for acct in ("x", "y"):
+        groups = {}
+        for r in (r for r in out if r.acct == acct):
+            groups.setdefault(r.keyword[0], set()).add(r.cluster)
+        assert all(len(v) == 1 for v in groups.values()) and len({next(iter(v)) for v in groups.values()}) == 3
