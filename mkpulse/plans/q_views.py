@@ -207,3 +207,42 @@ SELECT platform, {R('SUM(spend)')} AS total_spend, CAST(SUM(clicks) AS BIGINT) A
   {DS('MIN(date_day)')} AS first_date, {DS('MAX(date_day)')} AS last_date FROM paid GROUP BY platform""", ["ads"])
 def v10(t):
     return _views(t)["summary_platform_totals"]
+
+
+
+def _dim_sql(src: str, keys: list[str], attrs: list[str]) -> str:
+    order = ", ".join(["date DESC NULLS LAST"] + [f"{a} DESC NULLS LAST" for a in attrs])
+    return f"""
+SELECT {', '.join(keys + attrs)} FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order}) AS rn FROM {src}) WHERE rn = 1"""
+
+
+_GADS_AG = f"""gads_ag AS (SELECT strftime(date_day, '%Y-%m-%d') AS date, {_CID_SQL} AS campaign_id, ad_group_name,
+  CAST(regexp_extract(ad_group_name, '/(\\d+)$', 1) AS BIGINT) AS ad_group_id
+  FROM ads WHERE platform = 'google_ads' GROUP BY 1, 2, 3, 4)"""
+_META_AS = f"""meta_as AS (SELECT date_day AS date, account_id, CAST({_CID_SQL} AS VARCHAR) AS campaign_id,
+  ad_group_name, regexp_extract(ad_group_name, '/(\\d+)$', 1) AS ad_group_id
+  FROM ads WHERE platform = 'meta_ads' GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@register("v09_dim_gads_campaign", f"WITH {_GADS_B}" + _dim_sql("gads_b", ["campaign_id"], ["campaign_name"]), ["ads"])
+def v09a(t):
+    return _views(t)["dim_gads_campaign"]
+
+
+@register("v09_dim_gads_ad_group", f"WITH {_GADS_AG}" + _dim_sql("gads_ag", ["campaign_id", "ad_group_id"], ["ad_group_name"]),
+          ["ads"])
+def v09b(t):
+    return _views(t)["dim_gads_ad_group"]
+
+
+@register("v09_dim_meta_campaign", f"WITH {_META_B}, mb AS (SELECT *, ad_account_id AS account_id FROM meta_b)"
+          + _dim_sql("mb", ["campaign_id"], ["campaign_name", "account_id"]), ["ads"])
+def v09c(t):
+    return _views(t)["dim_meta_campaign"]
+
+
+@register("v09_dim_meta_adset", f"WITH {_META_AS}" + _dim_sql("meta_as", ["ad_group_id"], ["ad_group_name", "campaign_id", "account_id"]),
+          ["ads"])
+def v09d(t):
+    return _views(t)["dim_meta_adset"]

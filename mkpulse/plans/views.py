@@ -146,7 +146,9 @@ def fact_web_traffic(ga4_traffic_v: DataFrame) -> DataFrame:
 
 def dimension(df: DataFrame, keys: Sequence[str], attrs: Sequence[str], order_col: str = "date_day") -> DataFrame:
     """De-duplicated metadata - the latest row per id (ties: highest
-    attribute values first, so the choice is deterministic)."""
+    attribute values first, so the choice is deterministic). Attributes the
+    input does not carry are skipped."""
+    attrs = [a for a in attrs if a in df.columns and a not in keys]
     return keep_latest(df.select(*keys, *attrs, order_col), keys, order_col, list(attrs)).drop(order_col)
 
 
@@ -172,6 +174,8 @@ VIEW_ORDER: list[tuple[str, tuple[str, ...], ViewFn]] = [
     ("gads_campaigns_v", ("gads_campaigns",), gads_silver),
     ("gads_ad_groups_v", ("gads_ad_groups",), gads_silver),
     ("gads_hourly_v", ("gads_hourly",), hourly_silver),
+    ("gads_keywords_v", ("gads_keywords",), gads_silver),
+    ("meta_ad_insights_v", ("meta_ad_insights",), meta_silver),
     ("meta_campaign_insights_v", ("meta_campaign_insights",), meta_silver),
     ("meta_adset_insights_v", ("meta_adset_insights",), meta_silver),
     ("fact_paid_daily", ("gads_campaigns_v", "meta_campaign_insights_v"), fact_paid_daily),
@@ -181,6 +185,19 @@ VIEW_ORDER: list[tuple[str, tuple[str, ...], ViewFn]] = [
     ("fact_web_daily", ("ga4_sessions_v",), fact_web_daily),
     ("fact_web_traffic", ("ga4_traffic_overview_v",), fact_web_traffic),
     ("dim_campaign", ("fact_paid_daily",), lambda p: dimension(p, ["platform", "campaign_id"], ["campaign_name"])),
+    # fixed values: the six metadata dimensions (keys, attributes)
+    ("dim_gads_campaign", ("gads_campaigns_v",),
+     lambda v: dimension(v, ["campaign_id"], ["campaign_name", "campaign_status", "campaign_type"])),
+    ("dim_gads_ad_group", ("gads_ad_groups_v",),
+     lambda v: dimension(v, ["campaign_id", "ad_group_id"], ["ad_group_name", "ad_group_status"])),
+    ("dim_gads_keyword", ("gads_keywords_v",),
+     lambda v: dimension(v, ["campaign_id", "ad_group_id", "keyword_id"], ["keyword_text", "keyword_match_type"])),
+    ("dim_meta_campaign", ("meta_campaign_insights_v",),
+     lambda v: dimension(v, ["campaign_id"], ["campaign_name", "account_id"])),
+    ("dim_meta_adset", ("meta_adset_insights_v",),
+     lambda v: dimension(v, ["ad_group_id"], ["ad_group_name", "campaign_id", "account_id"])),
+    ("dim_meta_ad", ("meta_ad_insights_v",),
+     lambda v: dimension(v, ["ad_id"], ["ad_name", "ad_group_id", "campaign_id", "account_id"])),
     ("summary_platform_totals", ("fact_paid_daily",), summary_platform_totals),
 ]
 _DEPS = {name: deps for name, deps, _ in VIEW_ORDER}
