@@ -104,6 +104,7 @@ def ads(t: Tables, dims: bool = True) -> DataFrame:
         F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("ad_group_name"),
         F.col("p_name").alias("keyword_text"),
         match.alias("keyword_match_type"),
+        F.col("p_partkey").alias("keyword_id"),
     )
 
 
@@ -131,7 +132,8 @@ SQL["ads"] = f"""SELECT {_ADS_COLS},
     p_brand AS campaign_name, p_type AS campaign_type,
     p_brand || '/' || CAST(p_size AS VARCHAR) AS ad_group_name,
     p_name AS keyword_text,
-    CASE l_returnflag WHEN 'A' THEN 'EXACT' WHEN 'N' THEN 'PHRASE' ELSE 'BROAD' END AS keyword_match_type
+    CASE l_returnflag WHEN 'A' THEN 'EXACT' WHEN 'N' THEN 'PHRASE' ELSE 'BROAD' END AS keyword_match_type,
+    p_partkey AS keyword_id
   FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 SQL["ads_lean"] = f"SELECT {_ADS_COLS} FROM lineitem"

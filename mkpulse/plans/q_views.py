@@ -50,6 +50,24 @@ def _meta(t, adsets: bool = False):
         F.sum("conversion_value").alias("purchase_value"))
 
 
+def _gads_keywords(t):
+    g = ad.ads(t).where(F.col("platform") == "google_ads")
+    return g.groupBy(F.date_format("date_day", "yyyy-MM-dd").alias("date"), _cid().alias("campaign_id"),
+                     F.regexp_extract("ad_group_name", r"/(\d+)$", 1).cast("bigint").alias("ad_group_id"),
+                     "keyword_id", "keyword_text", "keyword_match_type").agg(
+        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("spend").alias("cost"),
+        F.sum("conversions").alias("conversions"))
+
+
+def _meta_ads(t):
+    m = ad.ads(t).where(F.col("platform") == "meta_ads")
+    return m.groupBy(F.col("date_day").alias("date"), F.col("account_id").alias("ad_account_id"),
+                     _cid().cast("string").alias("campaign_id"),
+                     F.regexp_extract("ad_group_name", r"/(\d+)$", 1).alias("adset_id"),
+                     F.col("keyword_id").cast("string").alias("ad_id"), F.col("keyword_text").alias("ad_name")).agg(
+        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("spend").alias("spend"))
+
+
 def _hourly(t):
     h = ad.hourly(t)
     return h.select(F.date_format("date_day", "yyyy-MM-dd").alias("date"), F.col("campaign_name"),
@@ -70,6 +88,8 @@ def bronze(t) -> _Lazy:
         "gads_campaigns": lambda: _gads(t),
         "gads_ad_groups": lambda: _gads(t, adgroups=True),
         "gads_hourly": lambda: _hourly(t),
+        "gads_keywords": lambda: _gads_keywords(t),
+        "meta_ad_insights": lambda: _meta_ads(t),
         "meta_campaign_insights": lambda: _meta(t),
         "meta_adset_insights": lambda: _meta(t, adsets=True),
         "ga4_sessions": lambda: ad.web_sessions_raw(t),
@@ -246,3 +266,21 @@ def v09c(t):
           ["ads"])
 def v09d(t):
     return _views(t)["dim_meta_adset"]
+
+
+@register("v09_dim_gads_keyword", f"""
+WITH kw AS (SELECT strftime(date_day, '%Y-%m-%d') AS date, {_CID_SQL} AS campaign_id,
+  CAST(regexp_extract(ad_group_name, '/(\\d+)$', 1) AS BIGINT) AS ad_group_id, keyword_id, keyword_text, keyword_match_type
+  FROM ads WHERE platform = 'google_ads' GROUP BY 1, 2, 3, 4, 5, 6)"""
+          + _dim_sql("kw", ["campaign_id", "ad_group_id", "keyword_id"], ["keyword_text", "keyword_match_type"]), ["ads"])
+def v09e(t):
+    return _views(t)["dim_gads_keyword"]
+
+
+@register("v09_dim_meta_ad", f"""
+WITH ma AS (SELECT date_day AS date, account_id, CAST({_CID_SQL} AS VARCHAR) AS campaign_id,
+  regexp_extract(ad_group_name, '/(\\d+)$', 1) AS ad_group_id, CAST(keyword_id AS VARCHAR) AS ad_id, keyword_text AS ad_name
+  FROM ads WHERE platform = 'meta_ads' GROUP BY 1, 2, 3, 4, 5, 6)"""
+          + _dim_sql("ma", ["ad_id"], ["ad_name", "ad_group_id", "campaign_id", "account_id"]), ["ads"])
+def v09f(t):
+    return _views(t)["dim_meta_ad"]
