@@ -67,3 +67,24 @@ def test_lookup_fallback(spark):
     for bounded in (False, True):
         r = {x.cid: x.country_name for x in J.lookup(facts, dim, "cid", "criterion_id", "country_name", fb, bounded).collect()}
         assert r == {2001: "Albania", 2099: "Unknown (2099)"}
+
+
+def test_efficiency_grades_span(spark):
+    rows = [("strong", 0.10, 0.10, 5.0, 10.0), ("avg", 0.05, 0.05, 2.0, 20.0), ("weak", 0.0, 0.0, 0.0, None),
+            ("mid", 0.04, 0.06, 1.5, 25.0)]
+    df = spark.createDataFrame(rows, "campaign_name string, conv_rate double, avg_ctr double, roas double, cpa double")
+    g = {r.campaign_name: (r.efficiency_score, r.grade) for r in N.campaign_efficiency(df).collect()}
+    assert g["strong"][1] in ("A", "B") and g["weak"] == (0, "F") and g["strong"][0] > g["avg"][0] > g["weak"][0]
+
+
+def test_fatigue_statuses(spark):
+    rows = []
+    for d in range(30):  # long-running, declining CTR, high frequency -> High Fatigue
+        rows.append(("tired", dt.date(2024, 1, 1) + dt.timedelta(days=d), 10.0, 4.0, 2.0 if d < 15 else 1.0))
+    for d in range(5):  # short and flat -> Healthy
+        rows.append(("fresh", dt.date(2024, 1, 1) + dt.timedelta(days=d), 10.0, 1.0, 2.0))
+    for d in range(20):  # 20 days, frequency 3, flat -> 12 + 10 = 22 -> Healthy; with a mild decline -> Moderate
+        rows.append(("aging", dt.date(2024, 1, 1) + dt.timedelta(days=d), 10.0, 3.0, 2.0 if d < 10 else 1.8))
+    df = spark.createDataFrame(rows, "campaign_name string, date_day date, spend double, frequency double, ctr double")
+    s = {r.campaign_name: (r.fatigue_score, r.status) for r in N.creative_fatigue(df).collect()}
+    assert s["tired"][1] == "High Fatigue" and s["fresh"] == (0.0, "Healthy") and s["aging"][1] == "Moderate"
