@@ -560,12 +560,22 @@ def social_campaigns(meta: DataFrame, by: By = (), level: str | Sequence[str] =
     )
 
 
-def spend_pivot(meta: DataFrame, names: Sequence[str], by: By = (), pivot_col: str = "campaign_name") -> DataFrame:
+def top_values(df: DataFrame, col_name: str, metric: str = "spend", n: int = 10) -> list[str]:
+    """The ``n`` largest values of ``col_name`` by total ``metric`` - a bounded
+    list (n names) for an explicit pivot over open-ended names."""
+    g = df.groupBy(col_name).agg(F.sum(metric).alias("_m"))
+    return [r[0] for r in g.orderBy(F.desc("_m"), F.asc(col_name)).limit(n).collect()]
+
+
+def spend_pivot(meta: DataFrame, names: Sequence[str] | None = None, by: By = (), pivot_col: str = "campaign_name",
+                top_n: int = 10) -> DataFrame:
     """Day x campaign spend matrix, NULL -> 0. ``names`` is the explicit
-    pivot list (e.g. a top-k), so no extra job discovers the values and the
-    width stays bounded."""
-    p = meta.groupBy(*by, "date_day").pivot(pivot_col, list(names)).agg(F.sum("spend"))
-    return p.fillna(0.0, subset=list(names))
+    pivot list, so no extra job discovers the values and the width stays
+    bounded; without it the ``top_n`` campaigns by spend are pivoted (one
+    small job returning at most ``top_n`` names)."""
+    names = list(names) if names is not None else top_values(meta, pivot_col, "spend", top_n)
+    p = meta.groupBy(*by, "date_day").pivot(pivot_col, names).agg(F.sum("spend"))
+    return p.fillna(0.0, subset=names)
 
 
 def social_breakdown(rows: DataFrame, dims: Sequence[str], by: By = ()) -> DataFrame:

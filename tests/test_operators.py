@@ -88,3 +88,11 @@ def test_fatigue_statuses(spark):
     df = spark.createDataFrame(rows, "campaign_name string, date_day date, spend double, frequency double, ctr double")
     s = {r.campaign_name: (r.fatigue_score, r.status) for r in N.creative_fatigue(df).collect()}
     assert s["tired"][1] == "High Fatigue" and s["fresh"] == (0.0, "Healthy") and s["aging"][1] == "Moderate"
+
+
+def test_spend_pivot_top_n(spark):
+    rows = [(dt.date(2024, 1, 1), f"c{i}", float(i)) for i in range(15)] + [(dt.date(2024, 1, 2), "c1", 5.0)]
+    df = spark.createDataFrame(rows, "date_day date, campaign_name string, spend double")
+    p = A.spend_pivot(df, top_n=3)
+    assert p.columns == ["date_day", "c14", "c13", "c12"]
+    assert {r.date_day: r.c14 for r in p.collect()} == {dt.date(2024, 1, 1): 14.0, dt.date(2024, 1, 2): 0.0}
