@@ -186,3 +186,21 @@ def validate_time_series(df: DataFrame, date_col: str, value_cols: Sequence[str]
         .where(F.col(date_col).isNotNull())
         .orderBy(date_col)
     )
+
+
+class GrainViolation(Exception):
+    """Raised by :func:`check_grains` when a declared grain is broken."""
+
+
+def check_grains(tables: Mapping[str, DataFrame | None], grains: Mapping[str, Sequence[str]] = GRAINS) -> DataFrame:
+    """Q02 as a gate (the validation step of view initialisation): run every
+    grain check in one job and raise when any table has duplicates or could
+    not be checked. The report has one row per table, so bringing it to the
+    driver is bounded by the number of tables."""
+    report = validate_all(tables, grains)
+    if report is None:
+        return report
+    bad = [r for r in report.where(F.col("duplicate_rows") != 0).collect()]
+    if bad:
+        raise GrainViolation("; ".join(f"{r['table']}: {r['duplicate_rows']} extra rows" for r in bad))
+    return report

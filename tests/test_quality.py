@@ -39,3 +39,13 @@ def test_report_availability_time_series(spark):
     assert a == {"x": (True, True), "e": (True, False), "m": (False, False)}
     ts = Q.validate_time_series(spark.createDataFrame([("20240102", "3"), ("bad", "1"), ("2024-01-01", "2")], "d string, v string"), "d", ["v"])
     assert [r.v for r in ts.collect()] == [2.0, 3.0]
+
+
+def test_check_grains_gate(spark):
+    import pytest
+
+    df = _dups(spark)
+    with pytest.raises(Q.GrainViolation):
+        Q.check_grains({"gads_daily_summary": df}, {"gads_daily_summary": ("date", "campaign_id")})
+    ok = Q.check_grains({"t": df}, {"t": ("date", "campaign_id", "extracted_at")})
+    assert ok.first().duplicate_rows == 0
