@@ -100,26 +100,24 @@ def campaign_quadrants(campaigns: DataFrame, by: By = ()) -> DataFrame:
 
 def quadrant_inputs(paid: DataFrame, by: By = ()) -> DataFrame:
     """N03 input: search-ads campaigns (conv = conversions) UNION ALL social
-    campaigns (conv = installs + purchases), each HAVING spend > 0."""
-    def side(platform_code: str, label: str, conv: Column) -> DataFrame:
-        g = (
-            paid.where(F.col("platform") == platform_code)
-            .groupBy(*by, "campaign_name")
-            .agg(
-                F.sum("spend").alias("spend"),
-                F.sum("clicks").alias("clicks"),
-                F.sum("impressions").alias("impressions"),
-                F.sum(conv).alias("conversions"),
-            )
-            .where(F.col("spend") > 0)
+    campaigns (conv = installs + purchases), each HAVING spend > 0 - computed
+    as ONE aggregate keyed by platform, so the paid fact is read once."""
+    is_search = F.col("platform") == "google_ads"
+    conv = F.when(is_search, F.col("conversions")).otherwise(nz("app_installs") + nz("purchases"))
+    g = (
+        paid.where(F.col("platform").isin("google_ads", "meta_ads"))
+        .groupBy(*by, "platform", "campaign_name")
+        .agg(
+            F.sum("spend").alias("spend"),
+            F.sum("clicks").alias("clicks"),
+            F.sum("impressions").alias("impressions"),
+            F.sum(conv).cast("double").alias("conversions"),
         )
-        return g.select(*by, F.lit(label).alias("platform"), "campaign_name", "spend", "clicks", "impressions",
-                        F.col("conversions").cast("double").alias("conversions"),
-                        F.when(F.col("conversions") > 0, F.col("spend") / F.col("conversions")).alias("cpa"))
-
-    return side("google_ads", "Google Ads", F.col("conversions")).unionByName(
-        side("meta_ads", "Meta Ads", nz("app_installs") + nz("purchases"))
+        .where(F.col("spend") > 0)
     )
+    label = F.when(F.col("platform") == "google_ads", "Google Ads").otherwise("Meta Ads")
+    return g.select(*by, label.alias("platform"), "campaign_name", "spend", "clicks", "impressions", "conversions",
+                    F.when(F.col("conversions") > 0, F.col("spend") / F.col("conversions")).alias("cpa"))
 
 
 # ------------------------------------------------------------------------ N04

@@ -492,16 +492,17 @@ def _dim_expr(d: str):
         ctr=R("COALESCE(ctr, 0.0)"), pos=R("COALESCE(position, 0.0)"))
     for ds in _GSC_SETS), ["organic"])
 def s12(t):
+    # one pass over the organic fact: each row is exploded into one raw
+    # search-console row per dimension set, then shaped in one projection
     o = ad.organic(t)
-    out = None
-    for ds in _GSC_SETS:
-        dims = S.SEARCH_CONSOLE_SETS[ds]
-        raw = o.select(F.array(*[_dim_expr(d) for d in dims]).alias("keys"), "clicks", "impressions", "ctr", "position")
-        rows = S.search_console_rows(raw, dims, ds)
-        rows = rows.select("_dataset", *[F.col(d) if d in dims else F.lit(None).cast("string").alias(d) for d in _ALL_DIMS],
-                           "clicks", "impressions", "ctr", "position")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    sets = {ds: S.SEARCH_CONSOLE_SETS[ds] for ds in _GSC_SETS}
+    per_set = F.array(*[
+        F.struct(F.lit(ds).alias("_dataset"), F.array(*[_dim_expr(d) for d in dims]).alias("keys"))
+        for ds, dims in sets.items()
+    ])
+    raw = o.select(F.explode(per_set).alias("_r"), "clicks", "impressions", "ctr", "position").select(
+        "_r._dataset", "_r.keys", "clicks", "impressions", "ctr", "position")
+    return S.search_console_batch(raw, sets).select("_dataset", *_ALL_DIMS, "clicks", "impressions", "ctr", "position")
 
 
 # ------------------------------------------------------ web report set

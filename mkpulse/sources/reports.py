@@ -166,6 +166,33 @@ def search_console_rows(raw: DataFrame, dimensions: Sequence[str], dataset: str)
     )
 
 
+def search_console_batch(raw: DataFrame, sets=None) -> DataFrame:
+    """S12 for a landing batch that mixes several dimension sets: each row
+    carries its ``_dataset`` and positional ``keys``; every dimension of any
+    set becomes a column (NULL for sets without it). One pass over the batch,
+    whatever the number of sets."""
+    sets = SEARCH_CONSOLE_SETS if sets is None else sets
+    dims: list[str] = []
+    for ds in sets.values():
+        dims += [d for d in ds if d not in dims]
+    cols = [F.col("_dataset")]
+    for d in dims:
+        e = None
+        for name, ds in sets.items():
+            if d in ds:
+                hit = F.col("_dataset") == name
+                v = F.get(F.col("keys"), ds.index(d))
+                e = F.when(hit, v) if e is None else e.when(hit, v)
+        cols.append(e.alias(d))
+    return raw.select(
+        *cols,
+        nz("clicks", 0).cast("bigint").alias("clicks"),
+        nz("impressions", 0).cast("bigint").alias("impressions"),
+        nz("ctr", 0.0).cast("double").alias("ctr"),
+        nz("position", 0.0).cast("double").alias("position"),
+    )
+
+
 # --------------------------------------------------------------------- S13-S14
 @dataclass(frozen=True)
 class WebReport:

@@ -94,3 +94,13 @@ def test_ad_insights_fallback(spark):
     assert len(r) == 1 and r[0].ad_name == "Ad one" and r[0].campaign_name == ""
     prim2 = spark.createDataFrame([("a9", 5.0, "c", "s", "n")], primary.schema)
     assert [x.ad_id for x in S.ad_insights_with_fallback(prim2, per_ad, meta).collect()] == ["a9"]
+
+
+def test_search_console_batch_mixed_sets(spark):
+    raw = spark.createDataFrame([("gsc_queries", ["2024-01-05", "q"], 3, 10, 0.3, 1.0),
+                                 ("gsc_page_device", ["/p", "MOBILE"], None, 5, None, None)],
+                                "_dataset string, keys array<string>, clicks long, impressions long, ctr double, position double")
+    sets = {"gsc_queries": ("date", "query"), "gsc_page_device": ("page", "device")}
+    r = {x._dataset: x for x in S.search_console_batch(raw, sets).collect()}
+    assert (r["gsc_queries"].date, r["gsc_queries"].query, r["gsc_queries"].page) == ("2024-01-05", "q", None)
+    assert (r["gsc_page_device"].page, r["gsc_page_device"].device, r["gsc_page_device"].clicks) == ("/p", "MOBILE", 0)
