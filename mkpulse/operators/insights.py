@@ -254,16 +254,16 @@ def what_changed(sessions_raw: DataFrame, traffic: DataFrame, tech: DataFrame, c
         )).alias("_a"),
     ).select(*by, F.explode("_a").alias("_i")).select(*by, "_i.*")
 
-    def top5(period: Column) -> DataFrame:
-        t = tag_periods(traffic, "date_day", cur, prev).where(period)
-        g = t.where(F.col("sessionSource").isNotNull() & F.col("sessionMedium").isNotNull()).groupBy(
-            *by, F.concat_ws(" / ", "sessionSource", "sessionMedium").alias("source_medium")
-        ).agg(F.sum("sessions").alias("sessions"))
-        w = Window.partitionBy(*by).orderBy(F.desc("sessions"), F.asc("source_medium"))
-        return g.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= 5)
-
-    cs, ps = top5(c), top5(p)
-    srcj = cs.join(ps.select(*by, "source_medium", F.col("sessions").alias("prev")), [*by, "source_medium"])
+    # both periods' top-5 source/medium from ONE aggregate (rank per period)
+    tt5 = tag_periods(traffic.where(F.col("sessionSource").isNotNull() & F.col("sessionMedium").isNotNull()),
+                      "date_day", cur, prev)
+    g = tt5.groupBy(*by, "period", F.concat_ws(" / ", "sessionSource", "sessionMedium").alias("source_medium")).agg(
+        F.sum("sessions").alias("sessions"))
+    w5 = Window.partitionBy(*by, "period").orderBy(F.desc("sessions"), F.asc("source_medium"))
+    ranked = g.withColumn("rk", F.row_number().over(w5)).where(F.col("rk") <= 5)
+    cs = ranked.where(F.col("period") == "current").drop("period")
+    ps = ranked.where(F.col("period") == "previous").select(*by, "source_medium", F.col("sessions").alias("prev"))
+    srcj = cs.join(ps, [*by, "source_medium"])
     ch = pct_change_abs("sessions", "prev")
     src = srcj.where(truthy(ch) & (F.abs(ch) > 20)).select(
         *by, F.lit(3).alias("grp"), F.col("rk").alias("ord"),
