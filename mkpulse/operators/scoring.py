@@ -1,9 +1,11 @@
 """Scores and classifications N01-N10, N13.
 
-Set-level statistics (means, medians, percentiles) are window aggregates over
-the entity partition of an already aggregated - and, where the reference
-limits first, already top-k limited - frame. Medians and percentiles are the
-exact interpolating ``percentile`` (never the approximate form).
+Set-level statistics (means, medians, percentiles) over open-ended sets
+(keywords, campaigns) are a partially aggregated ``groupBy(by).agg`` attached
+back with ``joins.with_stats`` - never a window over the whole set. Only the
+sets the reference limits first (top-20 / top-25) use windows, partitioned by
+entity and bounded by the limit. Medians and percentiles are the exact
+interpolating ``percentile`` (never the approximate form).
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ DRIVER_TABLES = (
 ).split()
 
 
-def build_session(master: str | None = None, partitions: int = 8, app: str = "mkpulse") -> SparkSession:
-    """Local/test session. On a cluster the caller's session is used instead."""
+def build_session(master: str | None = None, partitions: int = 8, app: str = "mkpulse",
+                  conf: dict[str, str] | None = None) -> SparkSession:
+    """Session for local runs and tests; on a cluster pass ``conf=scale_conf(...)``
+    (or use the caller's own session)."""
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -27,6 +29,8 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "mk
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     if master:
         b = b.master(master)
         if master.startswith("local"):
