@@ -214,3 +214,15 @@ def audit_rows(spark: SparkSession, results: dict[str, dict], run_ts: dt.datetim
     ]
     schema = "dataset string, mode string, rows_written long, error string, run_ts timestamp"
     return spark.createDataFrame(rows, schema)
+
+
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None,
+                   mode: str = "overwrite") -> None:
+    """Write ``df`` as a catalog table bucketed and sorted by ``keys``. Facts
+    that are joined repeatedly on the same key (campaign, account) and are
+    written with the same bucket count join without a shuffle of either side.
+    ``path`` places the files (an external table) instead of the warehouse."""
+    w = df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
+    if path is not None:
+        w = w.option("path", path)
+    w.saveAsTable(table)

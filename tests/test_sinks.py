@@ -84,3 +84,21 @@ def test_stamp_is_constant_per_batch(spark):
     out = K.stamp(spark.range(5), ts).select("extracted_at").distinct().collect()
     assert len(out) == 1 and out[0].extracted_at == ts
     assert K.stamp(spark.range(3)).select("extracted_at").distinct().count() == 1
+
+
+def test_bucketed_facts_join_without_shuffle(spark, scratch):
+    a = spark.range(1000).select((F.col("id") % 50).alias("campaign_id"), F.col("id").cast("double").alias("spend"))
+    b = spark.range(200).select((F.col("id") % 50).alias("campaign_id"), F.col("id").alias("clicks"))
+    K.write_bucketed(a, "t_bucket_spend", ["campaign_id"], 8, path=os.path.join(scratch, "spend"))
+    K.write_bucketed(b, "t_bucket_clicks", ["campaign_id"], 8, path=os.path.join(scratch, "clicks"))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("t_bucket_spend").join(spark.table("t_bucket_clicks"), "campaign_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 1000 * 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.sql("DROP TABLE IF EXISTS t_bucket_spend")
+        spark.sql("DROP TABLE IF EXISTS t_bucket_clicks")
