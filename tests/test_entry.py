@@ -47,3 +47,16 @@ def test_oracle_matches(spark, name):
     got = _norm(E.queries()[name](spark, SF).toPandas())
     want = _norm(con.execute(REGISTRY[name].sql).df())
     assert got == want
+
+
+def test_contract_loads_without_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import __spark_entry__ as E; q = E.queries(); s = E.oracle_sql(); "
+            "assert set(s) <= set(q) and all(isinstance(v, str) and v.strip() for v in s.values()); print(len(q))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert int(out.stdout.strip().splitlines()[-1]) >= 200
