@@ -96,3 +96,12 @@ def test_spend_pivot_top_n(spark):
     p = A.spend_pivot(df, top_n=3)
     assert p.columns == ["date_day", "c14", "c13", "c12"]
     assert {r.date_day: r.c14 for r in p.collect()} == {dt.date(2024, 1, 1): 14.0, dt.date(2024, 1, 2): 0.0}
+
+
+def test_per_entity_top_k_prelimits_before_shuffle(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("acct"), F.col("id").alias("v"))
+    top = T.top_k(df, [F.desc("v")], 5, by=["acct"])
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # partial limit per task, before the exchange
+    got = sorted((r.acct, r.v) for r in top.collect())
+    assert len(got) == 15 and got[:5] == [(0, 4986), (0, 4989), (0, 4992), (0, 4995), (0, 4998)]
