@@ -1,16 +1,20 @@
 """Query plans: adapters over the driver tables and the registered queries."""
 
-from mkpulse.plans.catalog import REGISTRY, finalize, run  # noqa: F401
+from mkpulse.plans.catalog import REGISTRY, finalize  # noqa: F401
 
 
 def load_all() -> dict:
     """Import every query module (each registers its queries) and return the registry."""
-    from mkpulse.plans import q_aggregates  # noqa: F401
+    from mkpulse.plans import (  # noqa: F401
+        q_aggregates, q_analytics, q_entities, q_functions, q_insights, q_quality, q_sinks, q_sources, q_streaming,
+        q_views,
+    )
 
-    for mod in ("q_analytics", "q_insights", "q_quality", "q_sources", "q_views", "q_functions", "q_sinks", "q_entities", "q_streaming"):
-        try:
-            __import__(f"mkpulse.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"mkpulse.plans.{mod}":
-                raise
     return REGISTRY
+
+
+def run(name: str, spark, sf_dir: str):
+    load_all()
+    from mkpulse.plans import catalog
+
+    return catalog.run(name, spark, sf_dir)
