@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mkpulse.llm import quality_rules
+from mkpulse.llm import mixing, quality_rules, simhash_dedup
+from mkpulse.llm.common import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +64,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op6(spark, sf_dir):
     led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_mix_sources", r"""WITH src AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat_ws('|', coalesce('=' || doc_id, ''), coalesce('=' || source, ''), coalesce('=' || text, ''))) AS h
+  FROM documents),
+tot AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM src GROUP BY source),
+wts AS (SELECT source, s, CAST([3, 1, 2][1 + k % 3] AS DOUBLE) AS w, 2.0 * s AS cap FROM tot),
+lev AS (SELECT *, row_number() OVER o AS pos,
+          (1.5 * sum(s) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM wts WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+one AS (SELECT arg_min(level, pos) AS level FROM lev WHERE level * w <= cap),
+tgt AS (SELECT source, s, least(cap, coalesce((SELECT level FROM one) * w, cap)) AS target FROM lev),
+cop AS (SELECT *, CASE WHEN s > 0 THEN CAST(floor(target / s) AS BIGINT) ELSE 0 END AS copies FROM tgt),
+run AS (SELECT src.doc_id, src.size, cop.s, cop.target, copies, target - copies * cop.s AS rest,
+          sum(size) OVER (PARTITION BY src.source ORDER BY h, doc_id) AS upto
+        FROM src JOIN cop ON src.source IS NOT DISTINCT FROM cop.source)
+SELECT doc_id, size, s AS source_size, target,
+       size * (copies + CASE WHEN rest > 0 AND (upto < rest OR (upto - size < rest AND 2 * (rest - (upto - size)) > size))
+               THEN 1 ELSE 0 END) AS taken FROM run""")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.sized(docs).select(F.col("row.doc_id").alias("doc_id"), "source", "size", "hash")
+    out = mixing.mix(materialize(rows, "mix-rows"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+@query("op7_simhash_components")
+def op7(spark, sf_dir):
+    return simhash_dedup.dedup(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
