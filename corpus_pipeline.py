@@ -1,10 +1,14 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing.
+
+Each stage takes what its predecessor kept, written as Parquet and read again.
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mkpulse.llm import quality_rules
+from mkpulse.llm import mixing, packing, quality_rules, secret_scan, simhash_dedup
 from mkpulse.llm.common import materialize
 
 
@@ -13,7 +17,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays: that with the smallest id."""
+    return simhash_dedup.keep_first(docs, shingle=3, max_bits=2)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text is replaced by a mark; all documents stay."""
+    return secret_scan.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return mixing.mixed(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality), ("simhash_dedup", near_duplicates), ("secret_scan", secrets), ("mixing", mixture),
+          ("packing", sequences)]
+
+#: SQL has neither the 64-bit shingle hashes nor the network nor the tokenizer;
+#: tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mkpulse.llm import mixing, quality_rules, simhash_dedup
+from mkpulse.llm import mixing, packing, quality_rules, secret_scan, simhash_dedup
 from mkpulse.llm.common import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,25 @@ def op4(spark, sf_dir):
 @query("op7_simhash_components")
 def op7(spark, sf_dir):
     return simhash_dedup.dedup(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@query("op1_pack_best_fit")
+def op1(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_secret_spans")
+def op8(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    base = F.filter("spans", lambda x: x["kind"] != secret_scan.MODEL_KIND)
+    return found.select(F.col("row.doc_id").alias("doc_id"), *map(number, secret_scan.KINDS), F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
