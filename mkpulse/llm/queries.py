@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mkpulse.llm import mixing, packing, quality_rules, secret_scan, simhash_dedup
+from mkpulse.llm import mixing, packing, quality_rules, secret_scan, simhash_dedup, url_filter, warc_zstd
 from mkpulse.llm.common import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,38 @@ def op8(spark, sf_dir):
     base = F.filter("spans", lambda x: x["kind"] != secret_scan.MODEL_KIND)
     return found.select(F.col("row.doc_id").alias("doc_id"), *map(number, secret_scan.KINDS), F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+_HOSTS_SQL = ", ".join(f"'{h}'" for h in url_filter.BLOCKED_HOSTS)
+
+
+@query("op10_url_cascade", f"""WITH rules(rh, rp, rv) AS (VALUES {_RULES_SQL}),
+cut AS (SELECT row_number() OVER () AS rid, page_id,
+          CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+par AS (SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fit AS (SELECT rid, arg_max(struct_pack(r := rh || rp, v := rv), length(rh || rp)) AS best FROM par JOIN rules
+        ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid)
+SELECT page_id, host, path, best.r AS rule,
+       coalesce(best.v, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest([{_HOSTS_SQL}]) AS b) WHERE host = b OR ends_with(host, '.' || b))
+                        THEN 'block' ELSE 'allow' END) AS verdict
+FROM par LEFT JOIN fit USING (rid)""")
+def op10(spark, sf_dir):
+    rules = url_filter.rules_frame(spark, url_filter.RULES)
+    hosts = url_filter.rules_frame(spark, [(h, "", "block") for h in url_filter.BLOCKED_HOSTS])
+    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, hosts)
+    return out.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_warc_zstd_dictionary", """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d),
+c AS (SELECT *, list_transform(range(32), lambda k: 1 + (CAST('0x' || substr(h, 1 + 10 * (k // 8), 10) AS BIGINT) >> (35 - 5 * (k % 8))) % 32) AS five FROM g)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(five, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to FROM c""")
+def op5(spark, sf_dir):
+    archives = warc_zstd.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    return warc_zstd.read_archives(archives).drop("url", "payload")
