@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mkpulse.llm import html_extract, mixing, packing, quality_rules, secret_scan, simhash_dedup, topk_search, url_filter, warc_zstd
+from mkpulse.llm import html_extract, mixing, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, topk_search, url_filter, warc_zstd
 from mkpulse.llm.common import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op3(spark, sf_dir):
     vectors = materialize(topk_search.quantized(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64), "topk-vectors")
     return topk_search.search(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+
+
+@query("op9_suffix_merge")
+def op9(spark, sf_dir):
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), stable=True)
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
