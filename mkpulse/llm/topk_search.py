@@ -87,8 +87,8 @@ def top_of(queries: pd.DataFrame, group: pd.DataFrame, k: int = K) -> tuple[pd.D
         q, high, low, index = q.astype(float), high.astype(float), low.astype(float), [(i, x.astype(float)) for i, x in index]
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     order = np.argsort(-bound, axis=1, kind="stable")
-    scores = np.full((len(q), k), -np.inf) if q.dtype == float else np.full((len(q), k), np.iinfo(np.int64).min)
-    none = scores[0, 0] if len(q) else 0
+    none = -np.inf if q.dtype == float else -np.iinfo(np.int64).max
+    scores = np.full((len(q), k), none)
     ids = np.full((len(q), k), np.iinfo(np.int64).max)
     scored = 0
     alive = np.arange(len(q))

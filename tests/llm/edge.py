@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards box with five dozen liquor jugs near old town".split()
 CLEAN = " ".join(f"{WORDS[(7 * i + i // 3) % len(WORDS)]}{i}" for i in range(120))
-LONG = " ".join(f"w{i * 7919 % 30011}" for i in range(40_000))
+LONG = " ".join(f"w{i * 7919 % 49999}" for i in range(40_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for columns of their own.
 CLASHES = "row fp who uid cell size hash key spans base cands target times n_words kept failed_bits k u h host content template html sequence_id start length bytes".split()
