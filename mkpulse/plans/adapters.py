@@ -21,24 +21,21 @@ import functools
 from mkpulse.functions import div
 from mkpulse.session import Tables
 
-_PLANS: dict[tuple, DataFrame] = {}
-
 
 def _memo(fn):
-    """Reuse an adapter's (immutable, lazy) plan per session, data folder and
-    arguments: queries that share a fact do not re-analyse it."""
+    """Reuse an adapter's (immutable, lazy) plan within one ``Tables``: facts
+    that a query uses twice are analysed once."""
 
     @functools.wraps(fn)
     def wrapper(t: Tables, *args, **kwargs):
-        key = (fn.__name__, t.spark.sparkContext.applicationId, id(t.spark), t.root, args, tuple(sorted(kwargs.items())))
-        df = _PLANS.get(key)
-        if df is None:
-            df = fn(t, *args, **kwargs)
-            _PLANS[key] = df
-        return df
+        key = (fn.__name__, args, tuple(sorted(kwargs.items())))
+        if key not in t.memo:
+            t.memo[key] = fn(t, *args, **kwargs)
+        return t.memo[key]
 
     return wrapper
 
+
 # fixed values used by the derived dimensions (labels of the fixture rules)
 MATCH_TYPES = {"A": "EXACT", "N": "PHRASE", "R": "BROAD"}
 DEVICES = ("MOBILE", "DESKTOP", "TABLET")  # by l_linenumber % 3

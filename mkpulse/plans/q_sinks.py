@@ -56,3 +56,52 @@ def k05(t):
     ad.dup_lines(t).write.parquet(path)
     K.dedupe_in_place(spark, path, _KEYS, "extracted_at", ["l_quantity", "l_extendedprice"])
     return spark.read.parquet(path)
+
+
+#: Lines whose year is even lose their partition value; the batch moves keys by a year and reaches some NULL ones.
+_YEAR = "CASE WHEN year(l_shipdate) % 2 = 0 THEN NULL ELSE CAST(year(l_shipdate) AS INTEGER) END"
+
+
+@register("k02_null_partition_upsert", f"""
+WITH lines AS (SELECT l_orderkey, l_linenumber, l_quantity, {_YEAR} AS ship_year FROM lineitem),
+bat AS (SELECT l_orderkey, l_linenumber, l_quantity + 1 AS l_quantity, ship_year FROM lines WHERE l_orderkey % 7 = 0)
+SELECT l_orderkey, l_linenumber, {R('l_quantity')} AS l_quantity, CAST(ship_year AS VARCHAR) AS ship_year FROM lines
+WHERE NOT EXISTS (SELECT 1 FROM bat WHERE bat.l_orderkey = lines.l_orderkey AND bat.l_linenumber = lines.l_linenumber
+  AND bat.ship_year IS NOT DISTINCT FROM lines.ship_year)
+UNION ALL SELECT l_orderkey, l_linenumber, {R('l_quantity')}, CAST(ship_year AS VARCHAR) FROM bat""")
+def k02_null(t):
+    spark = t.spark
+    base = run_folder(spark, "k02n") + "/lines"
+    year = F.when(F.year("l_shipdate") % 2 == 0, F.lit(None)).otherwise(F.year("l_shipdate")).cast("int")
+    lines = t.lineitem.select(*_KEYS, "l_quantity", year.alias("ship_year"))
+    K.replace(lines, base, ["ship_year"])
+    batch = lines.where(F.col("l_orderkey") % 7 == 0).withColumn("l_quantity", F.col("l_quantity") + 1)
+    K.upsert(batch, base, [*_KEYS, "ship_year"], partition_col="ship_year")
+    return spark.read.parquet(base).withColumn("ship_year", F.col("ship_year").cast("string"))
+
+
+@register("k02_moving_key_upsert", f"""
+WITH lines AS (SELECT l_orderkey, l_linenumber, l_quantity, CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM lineitem),
+bat AS (SELECT l_orderkey, l_linenumber, l_quantity, ship_year + 1 AS ship_year FROM lines WHERE l_orderkey % 5 = 0)
+SELECT l_orderkey, l_linenumber, {R('l_quantity')} AS l_quantity, ship_year FROM lines
+WHERE NOT EXISTS (SELECT 1 FROM bat WHERE bat.l_orderkey = lines.l_orderkey AND bat.l_linenumber = lines.l_linenumber)
+UNION ALL SELECT l_orderkey, l_linenumber, {R('l_quantity')}, ship_year FROM bat""")
+def k02_moving(t):
+    spark = t.spark
+    base = run_folder(spark, "k02m") + "/lines"
+    lines = _lines(t).drop("l_shipdate")
+    K.replace(lines, base, ["ship_year"])
+    K.upsert(lines.where(F.col("l_orderkey") % 5 == 0).withColumn("ship_year", F.col("ship_year") + 1), base, _KEYS, partition_col="ship_year")
+    return spark.read.parquet(base)
+
+
+@register("k04_typed_replace", f"""
+SELECT l_orderkey AS order_key, CAST(l_shipdate AS VARCHAR)[:10] AS date_day, {R('MAX(l_quantity)')} AS l_quantity
+FROM lineitem GROUP BY l_orderkey, CAST(l_shipdate AS VARCHAR)[:10]""")
+def k04(t):
+    # landed as strings, one row per line; the largest quantity of an order and day lands last
+    landed = t.lineitem.groupBy("l_orderkey", F.date_format("l_shipdate", "yyyyMMdd").alias("date")).agg(
+        F.sort_array(F.collect_list("l_quantity")).alias("q"))
+    landed = landed.select(F.col("l_orderkey").alias("orderKey"), "date", F.explode("q").alias("l_quantity"))
+    return K.typed_replace_batch(landed.withColumn("l_quantity", F.col("l_quantity").cast("string")), ["order_key", "date_day"],
+                                 renames={"orderKey": "order_key", "date": "date_day"}, date_cols=["date_day"], numeric_cols=["l_quantity"])

@@ -43,7 +43,7 @@ def r02h(t):
     q = windowed_kpis(spark, t.root, t.events.schema, base + "/kpis", base + "/_checkpoint", window="1 hour",
                       lateness="3 days", glob="events.parquet")
     q.awaitTermination()
-    return spark.read.parquet(base + "/kpis")
+    return spark.read.parquet(base + "/kpis").drop("window_day")
 
 
 @register("r02_windowed_kpis", f"""
@@ -57,4 +57,4 @@ def r02(t):
     base = run_folder(spark, "r02")
     q = windowed_kpis(spark, src, schema, base + "/kpis", base + "/_checkpoint", glob="events.parquet")
     q.awaitTermination()
-    return spark.read.parquet(base + "/kpis")
+    return spark.read.parquet(base + "/kpis").drop("window_day")

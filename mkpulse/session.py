@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +36,9 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "mk
             # local mode: the driver JVM is the executor; give it room
             b = b.config("spark.driver.memory", "8g")
     spark = b.getOrCreate()
+    if master and master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None):
+        # one machine: any folder is shared
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="mkpulse-ckpt-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -74,14 +76,12 @@ def scale_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_executo
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) is a scratch folder
-    chosen and registered; on a cluster the setting always comes from the
-    session.
+    It must be set: a folder chosen here would be local to one machine, and
+    what executors write there would be lost to the others.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="mkpulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -90,26 +90,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 class Tables:
     """Lazy ``name -> DataFrame`` over one folder of parquet tables.
 
-    Handles are shared per (session, path): the file listing and footer read
-    that resolve a parquet relation happen once per session, not per query.
+    Handles and the plans derived from them (``memo``) live as long as this
+    object: one query reads one listing of the files, the next a new one.
     """
 
-    _shared: dict[tuple[str, str], DataFrame] = {}
-
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.handles: dict[str, DataFrame] = {}
+        self.memo: dict[tuple, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        path = os.path.join(self.root, f"{name}.parquet")
-        key = (self.spark.sparkContext.applicationId + "/" + str(id(self.spark)), path)
-        df = Tables._shared.get(key)
-        if df is None:
-            df = self.spark.read.parquet(path)
-            Tables._shared[key] = df
-        return df
+        if name not in self.handles:
+            self.handles[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.handles[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name in ("spark", "root"):
+        if name.startswith("_") or name in ("spark", "root", "handles", "memo"):
             raise AttributeError(name)
         return self[name]

@@ -1,24 +1,30 @@
 """Write operators K01-K08: replace, keyed upsert, dedupe, stamping, audit.
 
 Tables are Parquet folders. A write never overwrites the folder it reads:
-the new content goes to a sibling staging folder and is swapped in with a
-file-system rename (atomic per folder on HDFS-like stores). A table
-partitioned by a date column is upserted partition by partition: only the
-partitions the batch touches are read (dynamic partition pruning through a
-semi join on the batch's partition values), merged and swapped.
+new content is written to a swap folder beside the table
+(``<table>.swap-<id>/new``). When it is whole, a ``COMMIT`` file there names
+the folders to exchange; only then are folders renamed, old ones into
+``<table>.swap-<id>/old``. Nothing but data ever lies inside the table
+folder. ``recover`` finishes a committed swap and drops an uncommitted one,
+and every write calls it first. A table partitioned by a column is upserted
+partition by partition: only the partitions that hold the batch's rows or
+keys are read, merged and exchanged.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mkpulse.operators.joins import anti_by_keys
+from mkpulse.operators.joins import anti_by_keys, semi_by_keys
 from mkpulse.operators.windows import keep_latest
 
 
@@ -89,50 +95,119 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def recover(spark: SparkSession, path: str) -> bool:
-    """Finish an interrupted swap: if the table folder is missing but a
-    ``<path>.old-*`` folder exists (the job died between the two renames),
-    move it back. Returns True when something was restored."""
-    fs, p, jvm = _fs(spark, path)
-    if fs.exists(p):
-        return False
+def _children(fs, folder) -> list:
+    return [st.getPath() for st in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def _swaps(spark: SparkSession, path: str, mark: str) -> list:
+    fs, p, _ = _fs(spark, path.rstrip("/"))
     parent = p.getParent()
-    if parent is None or not fs.exists(parent):
-        return False
-    olds = [st.getPath() for st in fs.listStatus(parent) if st.getPath().getName().startswith(p.getName() + ".old-")]
-    if len(olds) != 1:
-        return False
-    return bool(fs.rename(olds[0], p))
-
-
-def _swap(spark: SparkSession, staging: str, final: str) -> None:
-    fs, src, jvm = _fs(spark, staging)
-    dst = jvm.org.apache.hadoop.fs.Path(final)
-    old = jvm.org.apache.hadoop.fs.Path(final + f".old-{uuid.uuid4().hex[:8]}")
-    had = fs.exists(dst)
-    if had:
-        fs.rename(dst, old)
-    if not fs.rename(src, dst):
-        if had:
-            fs.rename(old, dst)
-        raise OSError(f"could not move {staging} to {final}")
-    if had:
-        fs.delete(old, True)
+    return [c for c in _children(fs, parent) if c.getName().startswith(p.getName() + mark)] if parent is not None else []
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish an interrupted write of the table at ``path``; True when the table changed.
+
+    A swap folder with ``COMMIT`` is carried on to its end, one without is
+    dropped: the table was not touched yet. Several committed swaps, or a
+    missing table with several ``.old-*`` folders, raise: nothing says which
+    of them is the table.
+    """
+    fs, p, jvm = _fs(spark, path.rstrip("/"))
+    done = [s for s in _swaps(spark, path, ".swap-") if fs.exists(jvm.org.apache.hadoop.fs.Path(s, "COMMIT"))]
+    if len(done) > 1:
+        raise RuntimeError(f"{path}: several committed swaps: {', '.join(s.getName() for s in done)}")
+    for s in _swaps(spark, path, ".swap-"):
+        if s in done:
+            _finish(spark, s.toString(), path)
+        else:
+            fs.delete(s, True)
+    if done or fs.exists(p):
+        return bool(done)
+    olds = _swaps(spark, path, ".old-")
+    if len(olds) > 1:
+        raise RuntimeError(f"{path} is missing and several copies exist: {', '.join(o.getName() for o in olds)}")
+    return bool(olds and fs.rename(olds[0], p))
+
+
+def _commit(spark: SparkSession, swap: str, path: str, folders: Sequence[str]) -> None:
+    """Name the folders to exchange (``""``: the whole table) and exchange them.
+
+    A named folder that the new content lacks is removed from the table.
+    """
+    fs, p, jvm = _fs(spark, swap)
+    mark = jvm.org.apache.hadoop.fs.Path(p, "COMMIT")
+    part = jvm.org.apache.hadoop.fs.Path(p, "COMMIT.part")
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(list(folders)).encode()))
+    out.close()
+    if not fs.rename(part, mark):  # the mark is there whole or not at all
+        raise OSError(f"could not commit {swap}")
+    _finish(spark, swap, path)
+
+
+def _finish(spark: SparkSession, swap: str, path: str) -> None:
+    fs, p, jvm = _fs(spark, swap)
+    hp = jvm.org.apache.hadoop.fs.Path
+    size = fs.getFileStatus(hp(p, "COMMIT")).getLen()
+    src = fs.open(hp(p, "COMMIT"))
+    folders = json.loads(bytes(src.readNBytes(int(size))).decode())
+    src.close()
+
+    def move(a, b):
+        fs.mkdirs(b.getParent())
+        if not fs.rename(a, b):
+            raise OSError(f"could not move {a} to {b}")
+
+    for name in folders:
+        final = hp(path.rstrip("/") + ("/" + name if name else ""))
+        new, old = hp(p, "new" + ("/" + name if name else "")), hp(p, "old/" + (name or "table"))
+        if fs.exists(final) and not fs.exists(old):
+            move(final, old)
+        if fs.exists(new):
+            move(new, final)
+    fs.delete(p, True)
+
+
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The columns by whose values the folders of the table at ``path`` are named."""
+    fs, p, _ = _fs(spark, path)
+    found: list[str] = []
+    while True:
+        named = [c for c in _children(fs, p) if "=" in c.getName() and fs.getFileStatus(c).isDirectory()]
+        if not named:
+            return found
+        found.append(named[0].getName().split("=", 1)[0])
+        p = named[0]
+
+
+def _new_swap(path: str) -> str:
+    return f"{path.rstrip('/')}.swap-{uuid.uuid4().hex[:8]}"
 
 
 def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
-    """Full replace. Empty input is a no-op that succeeds (returns 0)."""
-    recover(df.sparkSession, path)
-    if df.isEmpty():
-        return 0
-    obs = Observation("k01")
-    staging = path.rstrip("/") + f".staging-{uuid.uuid4().hex[:8]}"
-    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    """Full replace. Empty input is a no-op that succeeds (returns 0). ``df`` is evaluated once."""
+    spark = df.sparkSession
+    recover(spark, path)
+    obs, swap = Observation("k01"), _new_swap(path)
+    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(staging)
-    _swap(df.sparkSession, staging, path)
-    return int(obs.get["rows"])
+    w.parquet(swap + "/new")
+    n = int(obs.get["rows"])
+    if n:
+        _commit(spark, swap, path, [""])
+    else:
+        fs, p, _ = _fs(spark, swap)
+        fs.delete(p, True)
+    return n
+
+
+def _in_values(column: str, values: list):
+    """``column`` is one of ``values``, NULL included; a plain predicate, so partitions are pruned."""
+    c = F.col(column)
+    cond = c.isin([v for v in values if v is not None]) if any(v is not None for v in values) else F.lit(False)
+    return cond | c.isNull() if None in values else cond
 
 
 def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = True,
@@ -140,58 +215,65 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = T
     """Keyed upsert of ``batch`` into the table at ``path``.
 
     Missing table -> created from the batch. With ``partition_col`` only the
-    partitions present in the batch are rewritten. With ``newest_col`` the
-    newest row per key wins instead of the batch (see :func:`merge_newest`).
-    Returns an audit dict.
+    partitions that the batch's rows belong to are rewritten and, if the key
+    does not contain it, those that hold the batch's keys now; NULL is a
+    partition like any other. A table whose folders are named by other columns
+    is refused. With ``newest_col`` the newest row per key wins instead of the
+    batch (see :func:`merge_newest`). The batch is evaluated once. Returns an
+    audit dict.
     """
     spark = batch.sparkSession
     recover(spark, path)
+    by = [partition_col] if partition_col else []
     if not path_exists(spark, path):
-        n = replace(batch, path, [partition_col] if partition_col else [])
-        return {"mode": "create", "rows_written": n}
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    target = reader.parquet(path)
+        return {"mode": "create", "rows_written": replace(batch, path, by)}
+    if (has := partition_columns(spark, path)) != by:
+        raise ValueError(f"{path} is partitioned by {has or 'nothing'}, not by {by or 'nothing'}")
+    swap = _new_swap(path)
+    batch.write.parquet(swap + "/batch")
+    batch = spark.read.schema(batch.schema).parquet(swap + "/batch")
+    known = schema or spark.read.parquet(path).schema
+    if partition_col:  # folder names are read with the batch's type
+        known = T.StructType([batch.schema[f.name] if f.name == partition_col else f for f in known.fields])
+    target = spark.read.schema(known).parquet(path)
+    scope, values = target, []
     if partition_col:
-        touched = batch.select(partition_col).distinct()
-        scope = target.join(touched, partition_col, "left_semi")  # dynamic partition pruning
-    else:
-        scope = target
+        values = [r[0] for r in batch.select(partition_col).distinct().collect()]
+        if partition_col not in keys:
+            held = semi_by_keys(target, batch, keys, null_safe).select(partition_col).distinct().collect()
+            values = list(dict.fromkeys([*values, *(r[0] for r in held)]))
+        scope = target.where(_in_values(partition_col, values))
     obs = Observation("k02")
     merged = merge_newest(scope, batch, keys, newest_col) if newest_col else upsert_frame(scope, batch, keys, null_safe)
-    staging = path.rstrip("/") + f".staging-{uuid.uuid4().hex[:8]}"
-    w = merged.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
-    if partition_col:
-        w.partitionBy(partition_col).parquet(staging)
-        _swap_partitions(spark, staging, path, partition_col)
-    else:
-        w.parquet(staging)
-        _swap(spark, staging, path)
+    w = merged.observe(obs, F.count(F.lit(1)).alias("rows")).write
+    (w.partitionBy(partition_col) if partition_col else w).parquet(swap + "/new")
+    names = _folder_names(spark, scope, swap, partition_col) if partition_col else [""]
+    _commit(spark, swap, path, names)
     return {"mode": "upsert", "rows_written": int(obs.get["rows"])}
 
 
-def _swap_partitions(spark: SparkSession, staging: str, final: str, partition_col: str) -> None:
-    """Move each ``partition_col=value`` folder of ``staging`` over the same
-    folder of ``final`` (only the touched partitions are listed)."""
-    fs, src, jvm = _fs(spark, staging)
-    for st in fs.listStatus(src):
-        name = st.getPath().getName()
-        if not name.startswith(f"{partition_col}="):
-            continue
-        _swap(spark, st.getPath().toString(), final.rstrip("/") + "/" + name)
-    fs.delete(src, True)
+def _folder_names(spark: SparkSession, scope: DataFrame, swap: str, partition_col: str) -> list[str]:
+    """The partition folders that the new content has, or that hold rows in scope now."""
+    fs, p, _ = _fs(spark, swap + "/new")
+    new = {c.getName() for c in _children(fs, p)}
+    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    held = {unquote(r[0]) for r in scope.select(folder.alias("f")).distinct().collect()}
+    return sorted(n for n in new | held if n.startswith(partition_col + "="))
 
 
 def dedupe_in_place(spark: SparkSession, path: str, keys: Sequence[str], order_col: str = "extracted_at",
                     tiebreak: Sequence[str] = ()) -> dict:
     """Keep the newest row per key in the table at ``path``; report rows
     before, unique keys, duplicates and rows deleted. Without the order
-    column the last landed row (highest row id) is kept."""
+    column the last landed row (highest row id) is kept. The table keeps its
+    partition folders."""
+    recover(spark, path)
     df = spark.read.parquet(path)
     before = dedupe_report(df, keys).first()
     order = order_col if order_col in df.columns else None
     kept = (dedupe(df, keys, order, tiebreak) if order
             else dedupe(df.withColumn("_rowid", F.monotonically_increasing_id()), keys, "_rowid").drop("_rowid"))
-    n = replace(kept, path)
+    n = replace(kept, path, partition_columns(spark, path))
     return {"total_rows": before["total_rows"], "unique_keys": before["unique_keys"],
             "duplicate_rows": before["duplicate_rows"], "deleted": before["total_rows"] - n}
 
@@ -203,19 +285,39 @@ def load(batch: DataFrame, path: str, keys: Sequence[str], lifetime: bool, parti
     return upsert(batch, path, keys, partition_col=partition_col)
 
 
+def run_loads(loads: dict[str, Callable[[], dict]]) -> dict[str, dict]:
+    """Run each dataset's load in turn. A failed one is recorded with its
+    error and the run goes on; every result carries its ``duration_s``."""
+    results: dict[str, dict] = {}
+    for name, fn in loads.items():
+        began = time.monotonic()
+        try:
+            got = dict(fn())
+        except Exception as e:  # noqa: BLE001 - the audit row holds it
+            got = {"error": f"{type(e).__name__}: {e}"}
+        results[name] = got | {"duration_s": time.monotonic() - began}
+    return results
+
+
 def audit_rows(spark: SparkSession, results: dict[str, dict], run_ts: dt.datetime | None = None) -> DataFrame:
-    """One audit row per dataset (rows, mode, error) for a run; the caller
-    appends it to an audit table. Failed datasets carry their error and the
-    run continues."""
+    """One audit row per dataset (rows, mode, error, duration) for a run; the
+    caller appends it to an audit table."""
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     rows = [
-        (name, r.get("mode"), int(r.get("rows_written") or 0), r.get("error"), run_ts)
+        (name, r.get("mode"), int(r.get("rows_written") or 0), r.get("error"), r.get("duration_s"), run_ts)
         for name, r in sorted(results.items())
     ]
-    schema = "dataset string, mode string, rows_written long, error string, run_ts timestamp"
+    schema = "dataset string, mode string, rows_written long, error string, duration_s double, run_ts timestamp"
     return spark.createDataFrame(rows, schema)
 
 
+def run_totals(audit: DataFrame) -> DataFrame:
+    """Per run: datasets, failures, rows written and seconds."""
+    return audit.groupBy("run_ts").agg(
+        F.count(F.lit(1)).alias("datasets"), F.count("error").alias("failed"), F.sum("rows_written").alias("rows_written"),
+        F.sum("duration_s").alias("duration_s"))
+
+
 def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None,
                    mode: str = "overwrite") -> None:
     """Write ``df`` as a catalog table bucketed and sorted by ``keys``. Facts

@@ -59,3 +59,15 @@ def test_contract_loads_without_session():
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
     assert int(out.stdout.strip().splitlines()[-1]) >= 200
+
+
+def test_entry_is_the_first_call_of_a_process():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("from pyspark.sql import SparkSession; import __spark_entry__ as E; "
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print('ROWS', E.entry(s).count())")
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert "ROWS 2" in out.stdout, out.stderr[-2000:]

@@ -1,3 +1,5 @@
+import pytest
+
 from mkpulse.session import Tables, checkpoint_dir, scale_conf
 
 
@@ -17,6 +19,24 @@ def test_scale_conf_sizes_partitions():
 
 def test_tables_share_handles(spark):
     a = Tables(spark, "/root/testdata/sf0.001")
-    b = Tables(spark, "/root/testdata/sf0.001/")
-    assert a.lineitem is b["lineitem"]
+    assert a.lineitem is a["lineitem"]
     assert "l_orderkey" in a.lineitem.columns
+
+
+def test_replaced_files_are_seen(spark, scratch):
+    spark.range(3).write.parquet(f"{scratch}/t.parquet")
+    assert Tables(spark, scratch).t.count() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{scratch}/t.parquet")
+    assert Tables(spark, scratch).t.count() == 5
+
+
+def test_checkpoint_dir_must_be_set(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())

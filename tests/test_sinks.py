@@ -66,9 +66,16 @@ def test_typed_replace_batch_last_wins(spark):
     assert len(r) == 1 and r[0].sessions == 7.0 and r[0].date_day == dt.date(2024, 1, 5)
 
 
-def test_audit_rows(spark):
-    a = K.audit_rows(spark, {"campaigns": {"mode": "upsert", "rows_written": 5}, "ads": {"error": "boom"}})
-    assert sorted((r.dataset, r.rows_written, r.error) for r in a.collect()) == [("ads", 0, "boom"), ("campaigns", 5, None)]
+def test_run_goes_on_after_a_failure_and_is_audited(spark):
+    def boom():
+        raise OSError("boom")
+
+    done = K.run_loads({"ads": boom, "campaigns": lambda: {"mode": "upsert", "rows_written": 5}, "keywords": lambda: {"mode": "create", "rows_written": 2}})
+    a = K.audit_rows(spark, done)
+    assert sorted((r.dataset, r.rows_written, r.error) for r in a.collect()) == [("ads", 0, "OSError: boom"), ("campaigns", 5, None), ("keywords", 2, None)]
+    assert all(r.duration_s >= 0 for r in a.collect())
+    t = K.run_totals(a).first()
+    assert (t.datasets, t.failed, t.rows_written) == (3, 1, 7)
 
 
 def test_recover_interrupted_swap(spark, scratch):
@@ -102,3 +109,118 @@ def test_bucketed_facts_join_without_shuffle(spark, scratch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.sql("DROP TABLE IF EXISTS t_bucket_spend")
         spark.sql("DROP TABLE IF EXISTS t_bucket_clicks")
+
+
+PART = "k long, y int, v string"
+
+
+def table(spark, path):
+    return sorted(((r.k, r.y, r.v) for r in spark.read.parquet(path).collect()), key=repr)
+
+
+def test_null_partition_is_kept(spark, scratch):
+    path = os.path.join(scratch, "t")
+    K.replace(spark.createDataFrame([(1, 2020, "a"), (2, None, "b"), (3, None, "c")], PART), path, ["y"])
+    K.upsert(spark.createDataFrame([(4, None, "d"), (2, None, "B")], PART), path, ["k", "y"], partition_col="y")
+    assert table(spark, path) == [(1, 2020, "a"), (2, None, "B"), (3, None, "c"), (4, None, "d")]
+
+
+def test_moved_key_leaves_its_old_partition(spark, scratch):
+    path = os.path.join(scratch, "t")
+    K.replace(spark.createDataFrame([(1, 2020, "a"), (2, 2021, "b"), (3, 2022, "c"), (5, None, "e")], PART), path, ["y"])
+    K.upsert(spark.createDataFrame([(1, 2021, "A"), (5, 2022, "E")], PART), path, ["k"], partition_col="y")
+    assert table(spark, path) == [(1, 2021, "A"), (2, 2021, "b"), (3, 2022, "c"), (5, 2022, "E")]
+    assert not any(f.startswith("y=2020") for f in os.listdir(path))  # emptied
+
+
+def interrupted(monkeypatch, spark, path, stop, write):
+    """Run ``write`` and die at the ``stop``-th rename of a folder."""
+    real, n = K._fs, [0]
+
+    class Dying:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            n[0] += 1
+            if n[0] == stop:
+                raise KeyboardInterrupt
+            return self.fs.rename(a, b)
+
+    def fs(spark, path):
+        f, p, jvm = real(spark, path)
+        return Dying(f), p, jvm
+
+    monkeypatch.setattr(K, "_fs", fs)
+    try:
+        write()
+    except KeyboardInterrupt:
+        pass
+    monkeypatch.setattr(K, "_fs", real)
+    return n[0] >= stop
+
+
+@pytest.mark.parametrize("stop", range(1, 8))
+def test_crash_at_any_rename_of_a_partition_upsert(spark, scratch, monkeypatch, stop):
+    path = os.path.join(scratch, "t")
+    before = [(1, 2020, "a"), (2, 2021, "b"), (3, 2022, "c")]
+    K.replace(spark.createDataFrame(before, PART), path, ["y"])
+    after = [(1, 2021, "A"), (2, 2021, "b"), (3, 2022, "c"), (4, 2022, "d")]
+    batch = spark.createDataFrame([(1, 2021, "A"), (4, 2022, "d")], PART)
+    died = interrupted(monkeypatch, spark, path, stop, lambda: K.upsert(batch, path, ["k"], partition_col="y"))
+    finished = K.recover(spark, path)
+    assert table(spark, path) == (before if died and not finished else after)
+    assert sorted(f for f in os.listdir(path) if not f.startswith((".", "_"))) == [f"y={y}" for y in sorted({r[1] for r in table(spark, path)})]
+    K.upsert(batch, path, ["k"], partition_col="y")  # a rerun gives the same table
+    assert table(spark, path) == after and os.listdir(scratch) == ["t"]
+
+
+@pytest.mark.parametrize("stop", range(1, 4))
+def test_crash_at_any_rename_of_a_replace(spark, scratch, monkeypatch, stop):
+    path = os.path.join(scratch, "t")
+    K.replace(spark.createDataFrame([(1, 2020, "a")], PART), path)
+    died = interrupted(monkeypatch, spark, path, stop, lambda: K.replace(spark.createDataFrame([(2, 2021, "b")], PART), path))
+    finished = K.recover(spark, path)
+    assert died and table(spark, path) == ([(2, 2021, "b")] if finished else [(1, 2020, "a")])
+    assert finished == (stop > 1)
+
+
+def test_several_leftovers_raise(spark, scratch):
+    path = os.path.join(scratch, "t")
+    for n in (1, 2):
+        spark.range(5).write.parquet(f"{path}.old-{n}")
+    with pytest.raises(RuntimeError, match="several"):
+        K.upsert(spark.range(1), path, ["id"])
+    assert not os.path.exists(path)
+
+
+def test_dedupe_keeps_the_partition_folders(spark, scratch):
+    path = os.path.join(scratch, "t")
+    K.replace(spark.createDataFrame([(1, 2020, "a"), (1, 2020, "b"), (2, 2021, "c")], PART), path, ["y"])
+    assert K.dedupe_in_place(spark, path, ["k"])["deleted"] == 1
+    assert K.partition_columns(spark, path) == ["y"]
+    K.upsert(spark.createDataFrame([(3, 2021, "d")], PART), path, ["k", "y"], partition_col="y")
+    assert [(k, y) for k, y, _ in table(spark, path)] == [(1, 2020), (2, 2021), (3, 2021)]
+    with pytest.raises(ValueError, match="partitioned by"):
+        K.upsert(spark.createDataFrame([(3, 2021, "d")], PART), path, ["k", "y"])
+
+
+def test_empty_batch_and_single_evaluation(spark, scratch):
+    path = os.path.join(scratch, "t")
+    K.replace(spark.createDataFrame([(1, 2020, "a")], PART), path, ["y"])
+    K.upsert(spark.createDataFrame([], PART), path, ["k", "y"], partition_col="y")
+    assert table(spark, path) == [(1, 2020, "a")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k, 2020, "x") for k in range(10)], PART)
+    K.replace(rows.mapInArrow(count, PART), path, ["y"])
+    K.upsert(rows.mapInArrow(count, PART), path, ["k", "y"], partition_col="y")
+    assert seen.value == 20

@@ -1,7 +1,7 @@
 import datetime as dt
 import os
 
-from mkpulse.streaming import landing_to_bronze, run_folder, windowed_kpis
+from mkpulse.streaming import landing_to_bronze, late_rows, run_folder, windowed_kpis
 
 
 def test_landing_replay_is_idempotent(spark, scratch):
@@ -30,3 +30,22 @@ def test_windowed_kpis(spark, scratch):
     q.awaitTermination()
     got = sorted((str(r.window_start)[:10], r.event_type, r.events, r.value_sum) for r in spark.read.parquet(base + "/k").collect())
     assert got == [("2024-01-01", "view", 2, 3.0), ("2024-01-02", "click", 1, 3.0)]
+
+
+def test_late_rows_are_counted(spark, scratch):
+    src = os.path.join(scratch, "events")
+    schema = "ts timestamp, event_type string, value double"
+    day = dt.datetime(2024, 3, 1)
+    spark.createDataFrame([(day, "view", 1.0)], schema).write.parquet(src + "/a")
+    base = run_folder(spark, "t-late")
+
+    def run():
+        q = windowed_kpis(spark, src + "/*", spark.read.parquet(src + "/a").schema, base + "/k", base + "/ck")
+        q.awaitTermination()
+        return late_rows(q)
+
+    assert run() == 0
+    spark.createDataFrame([(day - dt.timedelta(days=30), f"late{n}", 1.0) for n in range(50)], schema).write.parquet(src + "/b")
+    assert run() == 50
+    assert spark.read.parquet(base + "/k").count() == 1
+    assert os.path.isdir(base + "/k/window_day=2024-03-01")
