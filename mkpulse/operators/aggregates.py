@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mkpulse.functions import col, div, nz, safe_divide
+from mkpulse.operators.topk import order_key
 
 By = Sequence[str]
 
@@ -560,21 +561,28 @@ def social_campaigns(meta: DataFrame, by: By = (), level: str | Sequence[str] =
     )
 
 
-def top_values(df: DataFrame, col_name: str, metric: str = "spend", n: int = 10) -> list[str]:
-    """The ``n`` largest values of ``col_name`` by total ``metric`` - a bounded
-    list (n names) for an explicit pivot over open-ended names."""
-    g = df.groupBy(col_name).agg(F.sum(metric).alias("_m"))
-    return [r[0] for r in g.orderBy(F.desc("_m"), F.asc(col_name)).limit(n).collect()]
+def pivot_values(df: DataFrame, col_name: str, most: int = 10_000) -> list:
+    """Every value of ``col_name``, sorted: the columns of a complete pivot.
 
+    One value more than ``most`` raises: a matrix of that width is better kept
+    in the long form, and leaving values out would lose their rows."""
+    found = [r[0] for r in df.select(col_name).where(F.col(col_name).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col_name} has more than {most} values; use the long form")
+    return sorted(found)
 
-def spend_pivot(meta: DataFrame, names: Sequence[str] | None = None, by: By = (), pivot_col: str = "campaign_name",
-                top_n: int = 10) -> DataFrame:
-    """Day x campaign spend matrix, NULL -> 0. ``names`` is the explicit
-    pivot list, so no extra job discovers the values and the width stays
-    bounded; without it the ``top_n`` campaigns by spend are pivoted (one
-    small job returning at most ``top_n`` names)."""
-    names = list(names) if names is not None else top_values(meta, pivot_col, "spend", top_n)
-    p = meta.groupBy(*by, "date_day").pivot(pivot_col, names).agg(F.sum("spend"))
+
+def spend_by_campaign(meta: DataFrame, by: By = (), pivot_col: str = "campaign_name") -> DataFrame:
+    """A34 long form: spend per day and campaign, any number of campaigns."""
+    return meta.groupBy(*by, "date_day", pivot_col).agg(F.sum("spend").alias("spend"))
+
+
+def spend_pivot(meta: DataFrame, names: Sequence[str] | None = None, by: By = (), pivot_col: str = "campaign_name") -> DataFrame:
+    """Day x campaign spend matrix, NULL -> 0, a column for every campaign
+    (``names`` selects some on the caller's wish); a NULL name is ``(none)``."""
+    filled = meta.withColumn(pivot_col, F.coalesce(F.col(pivot_col), F.lit("(none)")))
+    names = list(names) if names is not None else pivot_values(filled, pivot_col)
+    p = filled.groupBy(*by, "date_day").pivot(pivot_col, names).agg(F.sum("spend"))
     return p.fillna(0.0, subset=names)
 
 
@@ -618,14 +626,12 @@ AGE_ORDER = ("13-17", "18-24", "25-34", "35-44", "45-54", "55-64", "65+")
 
 
 def age_gender_matrix(rows: DataFrame, metric: str = "spend", by: By = ()) -> DataFrame:
-    """A38 matrix: age rows x gender columns of summed spend (explicit pivot
-    values), NULL -> 0, with the fixed age-bucket order."""
-    genders = ["female", "male", "unknown"]
+    """A38 matrix: age rows x a column for every gender (a NULL one counts as
+    ``unknown``) of summed spend, NULL -> 0, with the fixed age-bucket order."""
+    rows = rows.withColumn("gender", F.coalesce(F.col("gender"), F.lit("unknown")))
+    genders = pivot_values(rows, "gender")
     p = rows.groupBy(*by, "age").pivot("gender", genders).agg(F.sum(metric))
-    order = F.lit(len(AGE_ORDER))
-    for i, a in reversed(list(enumerate(AGE_ORDER))):
-        order = F.when(F.col("age") == a, i).otherwise(order)
-    return p.fillna(0, subset=genders).withColumn("age_order", order)
+    return p.fillna(0, subset=genders).withColumn("age_order", order_key("age", AGE_ORDER))
 
 
 # ---------------------------------------------------------------------- posts

@@ -149,22 +149,22 @@ def exec_insights(facts: DataFrame, by: By = (), limit: int = 4) -> DataFrame:
     rules = [
         Rule("spend_change", "info", truthy("spend_cur") & truthy("spend_prev") & truthy(sd) & (F.abs(sd) > 10),
              F.when(sd > 0, "Paid spend increased").otherwise("Paid spend decreased"), "spend", F.col("spend_cur"), sd,
-             F.when(sd > 20, "Review budget allocation").otherwise("Monitor closely")),
+             F.when(sd > 20, "Compare spend with plan before the next cycle").otherwise("No step needed, look again next period")),
         Rule("conversion_change", "info",
              truthy("conversions_cur") & truthy("conversions_prev") & truthy(cd) & (F.abs(cd) > 10),
              F.when(cd > 0, "Conversions up").otherwise("Conversions down"), "conversions", F.col("conversions_cur"), cd,
-             F.when(cd > 0, "Scale winning campaigns").otherwise("Investigate drop")),
+             F.when(cd > 0, "Move budget toward what converted").otherwise("Find which campaigns lost conversions")),
         Rule("organic_change", "info", truthy("organic_cur") & truthy("organic_prev") & truthy(od) & (F.abs(od) > 10),
              F.when(od > 0, "Organic clicks growing").otherwise("Organic clicks declining"), "organic_clicks",
-             F.col("organic_cur"), od, F.when(od > 0, "SEO momentum building").otherwise("Check ranking changes")),
+             F.col("organic_cur"), od, F.when(od > 0, "Keep publishing on the pages that gained").otherwise("List the queries whose position fell")),
         Rule("cpa_change", "info",
              truthy("spend_cur") & F.col("cpa_cur").isNotNull() & truthy("spend_prev") & F.col("cpa_prev").isNotNull()
              & truthy(ad) & (F.abs(ad) > 10),
              F.when(ad > 0, "CPA increased").otherwise("CPA improved"), "cpa", F.col("cpa_cur"), ad,
-             F.when(ad > 0, "Optimize targeting").otherwise("Increase spend on winners")),
+             F.when(ad > 0, "Narrow the audiences that convert at a high cost").otherwise("There is room to spend more at this cost")),
         Rule("top_channel", "info", (F.col("n_channels") > 1) & (F.col("top_cpa") > 0),
              F.concat(humanize("top_channel"), F.lit(" leads spend")), "spend", F.col("top_spend"), None,
-             "Compare efficiency across platforms"),
+             "Put cost per conversion of all channels side by side"),
     ]
     return emit(facts, rules, "executive", by, limit)
 
@@ -296,9 +296,9 @@ def what_changed_actions(changes: DataFrame, by: By = (), limit: int = 5) -> Dat
     t = F.lower("title")
     first = F.element_at(F.split("title", " "), 1)
     act = (
-        F.when(t.contains("bounce rate increased"), F.lit("Investigate recent website changes that may have degraded UX"))
-        .when(t.contains("traffic down"), F.concat(F.lit("Review "), first, F.lit(" acquisition strategy")))
-        .when(t.contains("traffic up"), F.concat(F.lit("Scale successful "), first, F.lit(" channel")))
+        F.when(t.contains("bounce rate increased"), F.lit("List the releases of this period and test the affected pages"))
+        .when(t.contains("traffic down"), F.concat(F.lit("Find out why "), first, F.lit(" sends fewer visits")))
+        .when(t.contains("traffic up"), F.concat(F.lit("Repeat what worked for "), first))
     )
     a = changes.select(*by, act.alias("action")).where(F.col("action").isNotNull()).distinct()
     w = Window.partitionBy(*by).orderBy("action")
@@ -344,7 +344,7 @@ def segment_insights(facts: DataFrame, by: By = ()) -> DataFrame:
         Rule("paid_beats_organic", "success", pe > oe + 0.1, "Paid engagement beats organic", "engagement_rate", pe, pe - oe),
         Rule("mobile_heavy", "info", mp > 60, "Mobile UX is critical", "mobile_pct", mp),
         Rule("desktop_heavy", "info", mp < 20, "Desktop-focused audience", "mobile_pct", mp),
-        Rule("mobile_majority", "warning", mp > 50, "Test mobile UX rigorously", "mobile_pct", mp),
+        Rule("mobile_majority", "warning", mp > 50, "Phones bring most visits", "mobile_pct", mp),
         Rule("country_concentration", "info", cc > 80, "Traffic highly concentrated", "concentration", cc),
         Rule("high_new_users", "warning", npct > 80, "High new user share", "new_pct", npct),
         Rule("strong_retention", "success", npct < 30, "Strong retention", "new_pct", npct),
@@ -361,10 +361,10 @@ def search_ads_daily_insights(daily: DataFrame, by: By = ()) -> DataFrame:
     rules = [
         Rule("gads_spend", "critical", (F.col("prev_cost") > 0) & (F.abs(sc) >= 0.80),
              F.when(sc > 0, "Google Ads spend increased").otherwise("Google Ads spend decreased"), "cost", F.col("cost"), sc,
-             "Review campaign budgets and bid strategies"),
+             "Look for campaigns that raised bids or daily limits"),
         Rule("gads_conversions_drop", "high", (F.col("prev_conversions") > 0) & (cc <= -0.20),
              "Google Ads conversions dropped", "conversions", F.col("conversions"), cc,
-             "Check landing page performance and tracking setup"),
+             "Confirm that tags fire and landing pages load"),
         Rule("gads_conversions_up", "medium", (F.col("prev_conversions") > 0) & (cc >= 0.20),
              "Google Ads conversions increased", "conversions", F.col("conversions"), cc),
     ]
@@ -391,7 +391,7 @@ def social_daily_insights(daily: DataFrame, by: By = ()) -> DataFrame:
     ok = (F.col("installs") > 0) & (F.col("prev_installs") > 0)
     rules = [
         Rule("meta_cpi", "high", ok & (F.when(ok, ch) >= 0.20), "Meta Ads CPI increased", "cpi", F.when(ok, lc), F.when(ok, ch),
-             "Review targeting and creative performance"),
+             "Sort ads by cost per result and pause the worst"),
     ]
     return emit(daily, rules, "meta", by)
 
@@ -421,8 +421,8 @@ def social_strategic_insights(kpis: DataFrame, by: By = ()) -> DataFrame:
     rules = [
         Rule("low_ctr", "warning", on & (ctr < 0.5), "Low CTR Alert", "ctr", ctr),
         Rule("strong_ctr", "success", on & (ctr > 1.5), "Strong CTR", "ctr", ctr),
-        Rule("high_frequency", "warning", on & (fq > 3), "High Frequency Warning", "frequency", fq),
-        Rule("cpi_high", "warning", on & (inst > 0) & (cpi > 5), "CPI Optimization Needed", "cpi", cpi),
+        Rule("high_frequency", "warning", on & (fq > 3), "People see the ads too often", "frequency", fq),
+        Rule("cpi_high", "warning", on & (inst > 0) & (cpi > 5), "Each install costs too much", "cpi", cpi),
         Rule("cpi_efficient", "success", on & (inst > 0) & (cpi < 2), "Efficient CPI", "cpi", cpi),
         Rule("budget_efficiency", "info", on & (sp > 0) & (cl > 0) & (cl / sp < 0.5), "Budget Efficiency", "clicks_per_spend", cl / sp),
     ]

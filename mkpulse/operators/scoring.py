@@ -4,20 +4,23 @@ Set-level statistics (means, medians, percentiles) over open-ended sets
 (keywords, campaigns) are a partially aggregated ``groupBy(by).agg`` attached
 back with ``joins.with_stats`` - never a window over the whole set. Only the
 sets the reference limits first (top-20 / top-25) use windows, partitioned by
-entity and bounded by the limit. Medians and percentiles are the exact
-interpolating ``percentile`` (never the approximate form).
+entity and bounded by the limit. Medians of open-ended sets are exact and
+distributed (``quantiles.medians``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mkpulse.functions import div, nz, safe_divide
-from mkpulse.operators.joins import with_stats
+from mkpulse.operators.joins import attach_scalars, with_stats
+from mkpulse.operators.quantiles import medians
 from mkpulse.operators.topk import top_k
+from mkpulse.session import materialize
 
 By = Sequence[str]
 
@@ -32,10 +35,6 @@ def _half_even(x: Column, digits: int = 0) -> Column:
 
 
 # ------------------------------------------------------------------------ N01
-# fixed values: traffic-quality classes
-QUALITY_CLASSES = ("Winner", "Monitor", "Junk", "Scale", "Standard")
-
-
 def traffic_quality(top: DataFrame, by: By = ()) -> DataFrame:
     """N01 over the top-20 source/medium set (A10 output)."""
     w = _w(by)
@@ -85,15 +84,13 @@ def campaign_efficiency(top: DataFrame, by: By = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ N03
-# fixed values: quadrant labels
-QUADRANTS = ("Stars", "Question Marks", "Cash Cows", "Dogs")
-
-
 def campaign_quadrants(campaigns: DataFrame, by: By = ()) -> DataFrame:
     """Campaigns with conversions > 0 (and a CPA) split by the median
-    spend and median CPA of that set."""
-    df = campaigns.where((F.col("conversions") > 0) & F.col("cpa").isNotNull())
-    df = with_stats(df, [F.median("spend").alias("median_spend"), F.median("cpa").alias("median_cpa")], by)
+    spend and median CPA of that set. The campaign rows are materialized once;
+    the medians are found over the whole cluster."""
+    df = materialize(campaigns.where((F.col("conversions") > 0) & F.col("cpa").isNotNull()), "quadrants")
+    for column in ("spend", "cpa"):
+        df = attach_scalars(df, medians(df, column, f"median_{column}", by), by)
     hi = F.col("spend") >= F.col("median_spend")
     lo = F.col("cpa") <= F.col("median_cpa")
     q = F.when(hi & lo, "Stars").when(~hi & lo, "Question Marks").when(hi & ~lo, "Cash Cows").otherwise("Dogs")
@@ -123,18 +120,14 @@ def quadrant_inputs(paid: DataFrame, by: By = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ N04
-# fixed values: budget recommendation classes
-BUDGET_CLASSES = ("Scale", "Maintain", "Reduce", "Pause")
-
-
 def budget_optimizer(campaigns: DataFrame, by: By = ()) -> DataFrame:
     """N04 over campaign rows (cost > 0): efficiency ratio vs the mean, class,
-    bounded %-change, recommended budget rescaled so its sum equals the spend."""
-    df = (
+    bounded %-change, recommended budget rescaled so its sum equals the spend.
+    The campaign rows are materialized once for the two sets of statistics."""
+    df = materialize(
         campaigns.where(F.col("cost") > 0)
         .withColumn("efficiency", div("conversions", "cost"))
-        .withColumn("cpa", div("cost", "conversions"))
-    )
+        .withColumn("cpa", div("cost", "conversions")), "budgets")
     df = with_stats(df, [F.avg("efficiency").alias("_avg_eff")], by)
     r = F.when(F.col("_avg_eff") > 0, F.col("efficiency") / F.col("_avg_eff")).otherwise(1.0)
     df = df.withColumn("efficiency_ratio", r)
@@ -152,10 +145,14 @@ def budget_optimizer(campaigns: DataFrame, by: By = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ N05
-def creative_fatigue(daily: DataFrame, by: By = (), min_days: int = 3) -> DataFrame:
+def creative_fatigue(daily: DataFrame, by: By = (), min_days: int = 3, key: str = "campaign_id") -> DataFrame:
     """N05 over per (campaign, day) rows with ``frequency`` and ``ctr``:
-    halves by date (W07), decline %, fatigue score, status."""
-    keys = [*by, "campaign_name"]
+    halves by date (W07), decline %, fatigue score, status. A campaign is its
+    id: campaigns of one name stay apart; ``campaign_name``, if there, is the
+    name of the last day. Fewer than ``min_days`` days tell no trend: such a
+    campaign has the status ``Too few days`` and no decline or score."""
+    keys = [*by, key]
+    named = "campaign_name" in daily.columns and key != "campaign_name"
     o = Window.partitionBy(*keys).orderBy("date_day")
     df = daily.withColumn("_rn", F.row_number().over(o)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     first = F.col("_rn") <= F.floor(F.col("_n") / 2)
@@ -165,17 +162,20 @@ def creative_fatigue(daily: DataFrame, by: By = (), min_days: int = 3) -> DataFr
         F.sum("spend").alias("total_spend"),
         F.avg(F.when(first, F.col("ctr"))).alias("_c1"),
         F.avg(F.when(~first, F.col("ctr"))).alias("_c2"),
-    ).where(F.col("days_running") >= min_days)
+        *([F.max_by("campaign_name", "_rn").alias("campaign_name")] if named else []),
+    )
+    enough = F.col("days_running") >= min_days
     d = F.when(F.col("_c1") > 0, (F.col("_c1") - F.col("_c2")) / F.col("_c1") * 100).otherwise(0.0)
-    g = g.withColumn("ctr_decline_pct", d)
-    score = (
+    g = g.withColumn("ctr_decline_pct", F.when(enough, d))
+    score = F.when(enough,
         F.when(F.col("ctr_decline_pct") > 0, F.least(F.col("ctr_decline_pct") * 2, F.lit(40.0))).otherwise(0.0)
         + F.when(F.col("avg_frequency") > 2, F.least((F.col("avg_frequency") - 2) * 10, F.lit(30.0))).otherwise(0.0)
         + F.when(F.col("days_running") > 14, F.least((F.col("days_running") - 14) * 2.0, F.lit(30.0))).otherwise(0.0)
     )
     g = g.withColumn("fatigue_score", score)
     s = F.col("fatigue_score")
-    return g.withColumn("status", F.when(s >= 60, "High Fatigue").when(s >= 30, "Moderate").otherwise("Healthy")).drop("_c1", "_c2")
+    status = F.when(~enough, "Too few days").when(s >= 60, "High Fatigue").when(s >= 30, "Moderate").otherwise("Healthy")
+    return g.withColumn("status", status).drop("_c1", "_c2")
 
 
 def fatigue_counts(fatigue: DataFrame, by: By = ()) -> DataFrame:
@@ -221,47 +221,62 @@ def best_worst_hours(hourly: DataFrame, k: int = 5, by: By = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ N07
-def keyword_clusters(keywords: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10, features=("clicks", "impressions", "ctr", "position")) -> DataFrame:
-    """K-means over the (<= 500 row) keyword set: z-scaled features
-    (``withMean=True``), ``n_init`` seeds, the fit with the least training cost
-    kept, PCA to 2D. Needs >= 10 rows (else empty). The fit runs on Spark ML;
-    its input is the bounded top-500 set, cached once for the repeated fits."""
+#: Keywords that the clusters are fitted on at most: those with the most impressions.
+FIT_ROWS = 500
+
+
+@dataclass(frozen=True)
+class KeywordClusters:
+    """Fitted centres: Spark ML models over the scaled features."""
+    features: tuple[str, ...]
+    model: object | None
+
+    def assign(self, keywords: DataFrame) -> DataFrame:
+        """Every keyword with its ``cluster`` and two principal components
+        ``pca_x``, ``pca_y``; NULL where a feature is missing or nothing could be fitted."""
+        if self.model is None:
+            return keywords.select("*", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("pca_x"),
+                                   F.lit(None).cast("double").alias("pca_y"))
+        from pyspark.ml.functions import vector_to_array
+
+        whole = F.lit(True)
+        for c in self.features:
+            whole = whole & F.col(c).isNotNull()
+        xy = vector_to_array("_pca")
+        out = self.model.transform(keywords.where(whole)).select(
+            *keywords.columns, F.col("_cluster").cast("int").alias("cluster"), xy[0].alias("pca_x"), xy[1].alias("pca_y"))
+        return out.unionByName(keywords.where(~whole), allowMissingColumns=True)
+
+
+def fit_keyword_clusters(keywords: DataFrame, k: int = 5, seed: int = 42, n_init: int = 3,
+                         features: Sequence[str] = ("clicks", "impressions", "ctr", "position"), fit_rows: int = FIT_ROWS) -> KeywordClusters:
+    """K-means over z-scaled features and their first two principal
+    components, a Spark ML pipeline. Features that the frame lacks are left
+    out (paid keywords have no position). It is fitted on at most ``fit_rows``
+    keywords (most impressions, then by name) and assigns any number. The
+    seed with the least cost wins. Fewer than 10 keywords fit nothing."""
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 
-    feats = [c for c in features if c in keywords.columns]
-    df = keywords.dropna(subset=feats)
-    va = VectorAssembler(inputCols=feats, outputCol="_raw")
-    data = va.transform(df)
-    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(data)
-    # the bounded feature set is reused by n_init fits: checkpoint it to the
-    # shared checkpoint folder so a lost executor does not recompute upstream
-    from mkpulse.session import checkpoint_dir
-
-    checkpoint_dir(keywords.sparkSession)
-    data = scaler.transform(data).checkpoint(eager=True)
-    if data.limit(10).count() < 10:  # the reference needs at least 10 keywords
-        return df.where(F.lit(False)).select(*df.columns, F.lit(None).cast("int").alias("cluster"),
-                                             F.lit(None).cast("double").alias("pca_x"), F.lit(None).cast("double").alias("pca_y"))
-    # the n_init seeded fits are independent Spark jobs: submit them together
-    # (the scheduler interleaves their tasks) and keep the least-cost model
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit(i: int):
-        m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", initMode="k-means||").fit(data)
-        return m.summary.trainingCost, i, m
-
-    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    _, _, best = min(fits, key=lambda x: (x[0], x[1]))
-    out = best.transform(data)
-    pca = PCA(k=2, inputCol="features", outputCol="_pca").fit(data)
-    out = pca.transform(out)
-    from pyspark.ml.functions import vector_to_array
-
-    arr = vector_to_array("_pca")
-    res = out.select(*df.columns, F.col("cluster").cast("int").alias("cluster"), arr[0].alias("pca_x"), arr[1].alias("pca_y"))
-    return res
+    feats = tuple(c for c in features if c in keywords.columns)
+    data = top_k(keywords.dropna(subset=list(feats)), [F.desc("impressions"), F.asc("keyword")], fit_rows)
+    data = materialize(data, "keyword-fit")
+    if data.limit(10).count() < 10:
+        return KeywordClusters(feats, None)
+    shape = Pipeline(stages=[
+        VectorAssembler(inputCols=list(feats), outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
+        PCA(k=2, inputCol="_features", outputCol="_pca")]).fit(data)
+    scaled = shape.transform(data)
+    fits = [KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="_cluster").fit(scaled) for i in range(n_init)]
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    return KeywordClusters(feats, PipelineModel(stages=[*shape.stages, best]))
+
+
+def cluster_top_keywords(clustered: DataFrame, n: int = 15) -> DataFrame:
+    """The ``n`` keywords with the most clicks of each cluster."""
+    return top_k(clustered.where(F.col("cluster").isNotNull()), [F.desc("clicks"), F.asc("keyword")], n, ["cluster"])
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:
@@ -303,11 +318,12 @@ def wasted_spend(kw: DataFrame, k: int = 15, by: By = ()) -> DataFrame:
 def keyword_opportunities(kw: DataFrame, k: int = 15, by: By = ()) -> DataFrame:
     """Converting keywords with spend/conv <= Σspend/Σconv (over
     converting rows; the reference calls it 'median_cpa') and spend below the
-    median positive spend; top k by conv_rate."""
+    median positive spend; top k by conv_rate. The keyword rows are
+    materialized once for the statistics and the rows."""
+    kw = materialize(kw, "keywords")
     df = with_stats(kw, [
-        F.median(F.when(F.col("cost") > 0, F.col("cost"))).alias("_med"),
-        (F.sum(F.when(F.col("conversions") > 0, F.col("cost"))) / F.nullif(F.sum("conversions"), F.lit(0))).alias("_cpa"),
-    ], by)
+        (F.sum(F.when(F.col("conversions") > 0, F.col("cost"))) / F.nullif(F.sum("conversions"), F.lit(0))).alias("_cpa")], by)
+    df = attach_scalars(df, medians(kw.where(F.col("cost") > 0), "cost", "_med", by), by)
     df = df.where(
         (F.col("conversions") > 0) & (F.col("cost") / F.col("conversions") <= F.col("_cpa")) & (F.col("cost") < F.col("_med"))
     ).drop("_med", "_cpa")
@@ -321,60 +337,3 @@ def page_opportunity(top: DataFrame, k: int = 10, by: By = ()) -> DataFrame:
     df = top.withColumn("engagement_rate", 1.0 - F.col("bounce_rate"))  # (already there for A12 output)
     df = df.withColumn("opportunity_score", F.col("sessions") * (F.avg("engagement_rate").over(_w(by)) - F.col("engagement_rate")))
     return top_k(df.where(F.col("opportunity_score") > 0), [F.desc("opportunity_score"), "page_path", "page_title"], k, by)
-
-
-def safe_ratio(a: str, b: str) -> Column:
-    return safe_divide(a, b)
-
-
-def keyword_clusters_by(keywords: DataFrame, by: By, k: int = 5, seed: int = 42, n_init: int = 10,
-                        features=("clicks", "impressions", "ctr", "position"), limit: int = 500) -> DataFrame:
-    """N07 per entity: every entity's top-``limit`` keywords by impressions
-    (ties by keyword) are clustered in one grouped pandas task - the group is
-    bounded by ``limit``, so no task ever holds more than ``limit`` rows.
-    z-scaling uses the population std (as sklearn's scaler), k-means++ seeds
-    with ``n_init`` restarts keep the least inertia, PCA to 2D via SVD.
-    Entities with fewer than 10 rows get no rows (as the single-entity form)."""
-    import numpy as np
-    import pandas as pd
-
-    feats = [c for c in features if c in keywords.columns]
-    top = top_k(keywords.dropna(subset=feats), [F.desc("impressions"), F.asc("keyword")], limit, by)
-    cols = [*by, "keyword", *feats]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in top.select(*cols).schema.fields]
-                       + ["cluster int", "pca_x double", "pca_y double"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        if n < 10:
-            return pd.DataFrame(columns=[*cols, "cluster", "pca_x", "pca_y"])
-        x = pdf[feats].to_numpy(dtype=float)
-        sd = x.std(axis=0)
-        z = (x - x.mean(axis=0)) / np.where(sd == 0, 1.0, sd)
-        kk = min(k, n)
-        best = None
-        for i in range(n_init):
-            rng = np.random.default_rng(seed + i)
-            centers = [z[rng.integers(n)]]
-            for _ in range(1, kk):  # k-means++ seeding
-                d2 = np.min(((z[:, None, :] - np.array(centers)[None]) ** 2).sum(-1), axis=1)
-                p = d2 / d2.sum() if d2.sum() > 0 else np.full(n, 1.0 / n)
-                centers.append(z[rng.choice(n, p=p)])
-            c = np.array(centers)
-            for _ in range(100):
-                lab = ((z[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
-                new = np.array([z[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(kk)])
-                if np.allclose(new, c):
-                    break
-                c = new
-            inertia = ((z - c[lab]) ** 2).sum()
-            if best is None or inertia < best[0]:
-                best = (inertia, lab)
-        u, s_, _ = np.linalg.svd(z - z.mean(0), full_matrices=False)
-        pcs = u[:, :2] * s_[:2]
-        out = pdf[cols].copy()
-        out["cluster"] = best[1].astype("int32")
-        out["pca_x"], out["pca_y"] = pcs[:, 0], (pcs[:, 1] if pcs.shape[1] > 1 else 0.0)
-        return out
-
-    return top.select(*cols).groupBy(*by).applyInPandas(fit, schema)

@@ -220,7 +220,3 @@ def linear_forecast(
         .withColumn("daily_trend_pct", F.when(F.col("ma7_last") > 0, F.col("slope") / F.col("ma7_last") * 100).otherwise(0.0))
     )
     return out.drop("_slope", "_fit_n", "last_date", "n_rows")
-
-
-def col_list(*cs: str | Column) -> list[Column]:
-    return [col(c) for c in cs]

@@ -529,9 +529,8 @@ def a35(t):
     return top_k(g, [F.desc("spend"), "ad_group_name", "campaign_name"], 20)
 
 
-# fixed values: the campaign columns of the spend pivot (the five brands of the
-# fixture), listed explicitly so the pivot needs no discovery job
-PIVOT_CAMPAIGNS = ("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5")
+# the columns that the oracle's matrix must have: all 25 brands of the driver's parts
+PIVOT_CAMPAIGNS = tuple(f"Brand#{n}" for n in range(1, 26))
 
 
 @register("a34_spend_pivot", f"""
@@ -539,7 +538,14 @@ SELECT {DS('date_day')} AS date_day,
   {', '.join(R(f"COALESCE(SUM(CASE WHEN campaign_name = '{c}' THEN spend END), 0.0)") + f' AS "{c}"' for c in PIVOT_CAMPAIGNS)}
 FROM ads WHERE {_META} GROUP BY date_day""", ["ads"])
 def a34(t):
-    return A.spend_pivot(ad.ads(t).where(F.col("platform") == "meta_ads"), PIVOT_CAMPAIGNS)
+    return A.spend_pivot(ad.ads(t).where(F.col("platform") == "meta_ads"))
+
+
+@register("a34_spend_by_campaign", f"""
+SELECT {DS('date_day')} AS date_day, campaign_name, {R('SUM(spend)')} AS spend
+FROM ads WHERE {_META} GROUP BY date_day, campaign_name""", ["ads"])
+def a34_long(t):
+    return A.spend_by_campaign(ad.ads(t).where(F.col("platform") == "meta_ads"))
 
 
 def _bd_sql(dims: str) -> str:

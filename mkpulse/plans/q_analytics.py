@@ -533,13 +533,15 @@ def n04(t):
     return N.budget_optimizer(g)
 
 
-_FATIGUE_SQL = f"""d AS (SELECT date_day, campaign_name, SUM(spend) AS spend, AVG(frequency) AS frequency, AVG(ctr) AS ctr
-  FROM ads WHERE {_M} GROUP BY 1, 2),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY campaign_name ORDER BY date_day) AS rn,
-  COUNT(*) OVER (PARTITION BY campaign_name) AS n FROM d),
-g AS (SELECT campaign_name, COUNT(*) AS days_running, AVG(frequency) AS avg_frequency, SUM(spend) AS total_spend,
+# five names for the 25 campaign ids: campaigns of one name are apart by their id
+_FATIGUE_SQL = f"""d AS (SELECT date_day, campaign_name AS campaign_id, 'Group ' || right(campaign_name, 1) AS campaign_name,
+  SUM(spend) AS spend, AVG(frequency) AS frequency, AVG(ctr) AS ctr
+  FROM ads WHERE {_M} GROUP BY 1, 2, 3),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY campaign_id ORDER BY date_day) AS rn,
+  COUNT(*) OVER (PARTITION BY campaign_id) AS n FROM d),
+g AS (SELECT campaign_id, MAX(campaign_name) AS campaign_name, COUNT(*) AS days_running, AVG(frequency) AS avg_frequency, SUM(spend) AS total_spend,
   AVG(CASE WHEN rn <= n // 2 THEN ctr END) AS c1, AVG(CASE WHEN rn > n // 2 THEN ctr END) AS c2 FROM r
-  GROUP BY campaign_name HAVING COUNT(*) >= 3),
+  GROUP BY campaign_id HAVING COUNT(*) >= 3),
 s AS (SELECT *, CASE WHEN c1 > 0 THEN (c1 - c2) / c1 * 100 ELSE 0.0 END AS ctr_decline_pct FROM g),
 f AS (SELECT *, CASE WHEN ctr_decline_pct > 0 THEN LEAST(ctr_decline_pct * 2, 40.0) ELSE 0.0 END
   + CASE WHEN avg_frequency > 2 THEN LEAST((avg_frequency - 2) * 10, 30.0) ELSE 0.0 END
@@ -548,15 +550,15 @@ st AS (SELECT *, CASE WHEN fatigue_score >= 60 THEN 'High Fatigue' WHEN fatigue_
 
 
 def _fatigue(t):
-    d = _meta(t).groupBy("date_day", "campaign_name").agg(
+    d = _meta(t).groupBy("date_day", F.col("campaign_name").alias("campaign_id")).agg(
         F.sum("spend").alias("spend"), F.avg("frequency").alias("frequency"), F.avg("ctr").alias("ctr")
     )
-    return N.creative_fatigue(d)
+    return N.creative_fatigue(d.withColumn("campaign_name", F.concat(F.lit("Group "), F.expr("right(campaign_id, 1)"))))
 
 
 @register("n05_creative_fatigue", f"""
 WITH {_FATIGUE_SQL}
-SELECT campaign_name, days_running, {R('avg_frequency')} AS avg_frequency, {R('total_spend')} AS total_spend,
+SELECT campaign_id, campaign_name, days_running, {R('avg_frequency')} AS avg_frequency, {R('total_spend')} AS total_spend,
   {R('ctr_decline_pct')} AS ctr_decline_pct, {R('fatigue_score')} AS fatigue_score, status FROM st""", ["ads"])
 def n05(t):
     return _fatigue(t)
@@ -598,24 +600,40 @@ def n06b(t):
     return N.best_worst_hours(ad.hourly(t))
 
 
-def _kw_top500(t):
-    g = ad.organic(t).groupBy(F.col("query").alias("keyword")).agg(
+def _keywords(t):
+    return ad.organic(t).groupBy(F.col("query").alias("keyword")).agg(
         F.sum("clicks").alias("clicks"),
         F.sum("impressions").alias("impressions"),
         F.avg("ctr").alias("ctr"),
         F.avg("position").alias("position"),
     ).where(F.col("impressions") >= 10)
-    return top_k(g, [F.desc("impressions"), "keyword"], 500)
+
+
+def _clustered(keywords):
+    return N.fit_keyword_clusters(keywords).assign(keywords)
 
 
 @register("n07_keyword_clusters")
 def n07(t):
-    return N.keyword_clusters(_kw_top500(t))
+    return _clustered(_keywords(t))
 
 
 @register("n07_cluster_summary")
 def n07s(t):
-    return N.cluster_summary(N.keyword_clusters(_kw_top500(t)))
+    return N.cluster_summary(_clustered(_keywords(t)))
+
+
+@register("n07_cluster_top_keywords")
+def n07_top(t):
+    return N.cluster_top_keywords(_clustered(_keywords(t)))
+
+
+@register("n07_paid_keyword_clusters")
+def n07_paid(t):
+    g = _google(t).groupBy(F.col("keyword_text").alias("keyword")).agg(
+        F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
+        (F.sum("clicks") / F.nullif(F.sum("impressions"), F.lit(0))).alias("ctr")).where(F.col("impressions") > 0)
+    return _clustered(g)
 
 
 @register("n07_keyword_clusters_by_device")
@@ -626,7 +644,9 @@ def n07d(t):
         F.avg("ctr").alias("ctr"),
         F.avg("position").alias("position"),
     ).where(F.col("impressions") >= 10)
-    return N.keyword_clusters_by(g, ["device"])
+    # a closed list of three devices: one model each
+    parts = [_clustered(g.where(F.col("device") == d)) for d in ad.DEVICES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("n09_cannibalization", f"""

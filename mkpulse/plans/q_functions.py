@@ -335,6 +335,21 @@ def s17(t):
     return S.ad_insights_with_fallback(primary, per_ad, _ads_meta(t))
 
 
+@register("s17_ad_insights_primary", f"""
+SELECT {DS('CAST(l_shipdate AS DATE)')} AS date, CAST(l_partkey AS VARCHAR) AS ad_id,
+  CAST(SUM(CAST(l_quantity AS BIGINT) * 20) AS BIGINT) AS impressions, {R('SUM(l_extendedprice / 1000)')} AS spend,
+  CAST(l_partkey % 9 AS VARCHAR) AS adset_id, CAST(l_partkey % 5 AS VARCHAR) AS campaign_id, 'c' || CAST(l_partkey % 5 AS VARCHAR) AS campaign_name,
+  's' || CAST(l_partkey % 9 AS VARCHAR) AS adset_name, 'a' || CAST(l_partkey AS VARCHAR) AS ad_name
+FROM lineitem WHERE l_linestatus = 'O' GROUP BY CAST(l_shipdate AS DATE), l_partkey""")
+def s17_primary(t):
+    per_ad = _per_ad(t)
+    n = F.col("ad_id").cast("bigint")
+    primary = per_ad.withColumns({
+        "campaign_name": F.concat(F.lit("c"), (n % 5).cast("string")), "adset_name": F.concat(F.lit("s"), (n % 9).cast("string")),
+        "ad_name": F.concat(F.lit("a"), F.col("ad_id")), "adset_id": (n % 9).cast("string"), "campaign_id": (n % 5).cast("string")})
+    return S.ad_insights_with_fallback(primary, per_ad, _ads_meta(t))
+
+
 # ---------------------------------------------------------------- A47 status
 def _meta_objects(t):
     p = t.part.select("p_partkey", "p_brand", "p_size")

@@ -78,20 +78,20 @@ def _exec_facts(t):
 _N14_RULES = [
     ("spend_change", "'info'", f"{T('spend_cur')} AND {T('spend_prev')} AND {T('spend_delta')} AND abs(spend_delta) > 10",
      "CASE WHEN spend_delta > 0 THEN 'Paid spend increased' ELSE 'Paid spend decreased' END", "spend", "spend_cur",
-     "spend_delta", "CASE WHEN spend_delta > 20 THEN 'Review budget allocation' ELSE 'Monitor closely' END"),
+     "spend_delta", "CASE WHEN spend_delta > 20 THEN 'Compare spend with plan before the next cycle' ELSE 'No step needed, look again next period' END"),
     ("conversion_change", "'info'",
      f"{T('conversions_cur')} AND {T('conversions_prev')} AND {T('conversions_delta')} AND abs(conversions_delta) > 10",
      "CASE WHEN conversions_delta > 0 THEN 'Conversions up' ELSE 'Conversions down' END", "conversions", "conversions_cur",
-     "conversions_delta", "CASE WHEN conversions_delta > 0 THEN 'Scale winning campaigns' ELSE 'Investigate drop' END"),
+     "conversions_delta", "CASE WHEN conversions_delta > 0 THEN 'Move budget toward what converted' ELSE 'Find which campaigns lost conversions' END"),
     ("organic_change", "'info'", f"{T('organic_cur')} AND {T('organic_prev')} AND {T('organic_delta')} AND abs(organic_delta) > 10",
      "CASE WHEN organic_delta > 0 THEN 'Organic clicks growing' ELSE 'Organic clicks declining' END", "organic_clicks",
-     "organic_cur", "organic_delta", "CASE WHEN organic_delta > 0 THEN 'SEO momentum building' ELSE 'Check ranking changes' END"),
+     "organic_cur", "organic_delta", "CASE WHEN organic_delta > 0 THEN 'Keep publishing on the pages that gained' ELSE 'List the queries whose position fell' END"),
     ("cpa_change", "'info'",
      f"{T('spend_cur')} AND cpa_cur IS NOT NULL AND {T('spend_prev')} AND cpa_prev IS NOT NULL AND {T('cpa_delta')} AND abs(cpa_delta) > 10",
      "CASE WHEN cpa_delta > 0 THEN 'CPA increased' ELSE 'CPA improved' END", "cpa", "cpa_cur", "cpa_delta",
-     "CASE WHEN cpa_delta > 0 THEN 'Optimize targeting' ELSE 'Increase spend on winners' END"),
+     "CASE WHEN cpa_delta > 0 THEN 'Narrow the audiences that convert at a high cost' ELSE 'There is room to spend more at this cost' END"),
     ("top_channel", "'info'", "n_channels > 1 AND top_cpa > 0", f"{INITCAP('top_channel')} || ' leads spend'", "spend",
-     "top_spend", "NULL", "'Compare efficiency across platforms'"),
+     "top_spend", "NULL", "'Put cost per conversion of all channels side by side'"),
 ]
 
 
@@ -229,9 +229,9 @@ def n18(t):
 
 @register("n18_actions", f"""WITH {_N18_SQL},
 a AS (SELECT DISTINCT CASE WHEN contains(lower(title), 'bounce rate increased')
-    THEN 'Investigate recent website changes that may have degraded UX'
-  WHEN contains(lower(title), 'traffic down') THEN 'Review ' || split_part(title, ' ', 1) || ' acquisition strategy'
-  WHEN contains(lower(title), 'traffic up') THEN 'Scale successful ' || split_part(title, ' ', 1) || ' channel' END AS action
+    THEN 'List the releases of this period and test the affected pages'
+  WHEN contains(lower(title), 'traffic down') THEN 'Find out why ' || split_part(title, ' ', 1) || ' sends fewer visits'
+  WHEN contains(lower(title), 'traffic up') THEN 'Repeat what worked for ' || split_part(title, ' ', 1) END AS action
   FROM ranked WHERE rank <= 6)
 SELECT action FROM a WHERE action IS NOT NULL ORDER BY action LIMIT 5""", ["web_sessions_raw", "web_traffic", "web_tech"])
 def n18a(t):
@@ -259,7 +259,7 @@ _N19_RULES = [
      "engagement_rate", "paid_engagement", "paid_engagement - organic_engagement", "NULL"),
     ("mobile_heavy", "'info'", "mobile_pct > 60", "'Mobile UX is critical'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
     ("desktop_heavy", "'info'", "mobile_pct < 20", "'Desktop-focused audience'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
-    ("mobile_majority", "'warning'", "mobile_pct > 50", "'Test mobile UX rigorously'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
+    ("mobile_majority", "'warning'", "mobile_pct > 50", "'Phones bring most visits'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
     ("country_concentration", "'info'", "concentration > 80", "'Traffic highly concentrated'", "concentration",
      "concentration", "NULL", "NULL"),
     ("high_new_users", "'warning'", "new_pct > 80", "'High new user share'", "new_pct", "new_pct", "NULL", "NULL"),
@@ -280,9 +280,9 @@ def n19(t):
 _N20_RULES = [
     ("gads_spend", "'critical'", "prev_cost > 0 AND abs(cost_change) >= 0.80",
      "CASE WHEN cost_change > 0 THEN 'Google Ads spend increased' ELSE 'Google Ads spend decreased' END", "cost", "cost",
-     "cost_change", "'Review campaign budgets and bid strategies'"),
+     "cost_change", "'Look for campaigns that raised bids or daily limits'"),
     ("gads_conversions_drop", "'high'", "prev_conversions > 0 AND conversions_change <= -0.20", "'Google Ads conversions dropped'",
-     "conversions", "conversions", "conversions_change", "'Check landing page performance and tracking setup'"),
+     "conversions", "conversions", "conversions_change", "'Confirm that tags fire and landing pages load'"),
     ("gads_conversions_up", "'medium'", "prev_conversions > 0 AND conversions_change >= 0.20", "'Google Ads conversions increased'",
      "conversions", "conversions", "conversions_change", "NULL"),
 ]
@@ -300,7 +300,7 @@ mf AS (SELECT *, spend / installs AS lc, prev_spend / prev_installs AS pc FROM m
   WHERE rd = 1 AND n >= 2 AND installs > 0 AND prev_installs > 0)"""
 _N22_RULES = [
     ("meta_cpi", "'high'", "(lc - pc) / pc >= 0.20", "'Meta Ads CPI increased'", "cpi", "lc", "(lc - pc) / pc",
-     "'Review targeting and creative performance'"),
+     "'Sort ads by cost per result and pause the worst'"),
 ]
 
 
@@ -361,10 +361,10 @@ def n23(t):
 _N24_RULES = [
     ("low_ctr", "'warning'", f"{T('spend')} AND COALESCE(ctr, 0.0) < 0.5", "'Low CTR Alert'", "ctr", "COALESCE(ctr, 0.0)", "NULL", "NULL"),
     ("strong_ctr", "'success'", f"{T('spend')} AND COALESCE(ctr, 0.0) > 1.5", "'Strong CTR'", "ctr", "COALESCE(ctr, 0.0)", "NULL", "NULL"),
-    ("high_frequency", "'warning'", f"{T('spend')} AND COALESCE(frequency, 0.0) > 3", "'High Frequency Warning'", "frequency",
+    ("high_frequency", "'warning'", f"{T('spend')} AND COALESCE(frequency, 0.0) > 3", "'People see the ads too often'", "frequency",
      "COALESCE(frequency, 0.0)", "NULL", "NULL"),
     ("cpi_high", "'warning'", f"{T('spend')} AND COALESCE(app_installs, 0) > 0 AND COALESCE(cpi, 0.0) > 5",
-     "'CPI Optimization Needed'", "cpi", "COALESCE(cpi, 0.0)", "NULL", "NULL"),
+     "'Each install costs too much'", "cpi", "COALESCE(cpi, 0.0)", "NULL", "NULL"),
     ("cpi_efficient", "'success'", f"{T('spend')} AND COALESCE(app_installs, 0) > 0 AND COALESCE(cpi, 0.0) < 2",
      "'Efficient CPI'", "cpi", "COALESCE(cpi, 0.0)", "NULL", "NULL"),
     ("budget_efficiency", "'info'",

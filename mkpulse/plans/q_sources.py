@@ -147,9 +147,9 @@ for _code, _rep in (("s02", "campaigns"), ("s03", "ad_groups"), ("s04", "keyword
     _report_query(_rep, _code)
 
 
-@register("s08_hourly_report", _s01_sql("hour IS NOT NULL AND date BETWEEN '2001-01-01' AND '2001-12-31'"))
+@register("s08_hourly_report", _s01_sql("hour IS NOT NULL"))
 def s08(t):
-    return _micros_as_double(S.search_ads_report(_raw_search_ads(t), S.SEARCH_ADS_REPORTS["hourly"], "2001-01-01", "2001-12-31"))
+    return _micros_as_double(S.search_ads_report(_raw_search_ads(t), S.SEARCH_ADS_REPORTS["hourly"]))
 
 
 @register("s09_conversion_report", _s01_sql("conversion_action IS NOT NULL"))
@@ -291,11 +291,12 @@ def _raw_social_breakdown(t):
     ))
     return b.select(
         F.col("date_start").cast("string").alias("date_start"), F.col("date_start").cast("string").alias("date_stop"),
-        F.lit("act_1").alias("account_id"), "age", "gender",
+        F.lit("act_1").alias("account_id"), "age", "gender", "country", "device_platform", "publisher_platform",
         F.col("impressions").cast("string").alias("impressions"), F.lit(None).cast("string").alias("reach"),
         F.col("clicks").cast("string").alias("clicks"), F.col("spend").cast("string").alias("spend"),
         *[F.lit(None).cast("string").alias(c) for c in ("ctr", "cpc", "cpm")],
         acts.alias("actions"),
+        F.when(F.col("purchases") > 0, F.array(_act("purchase", F.col("purchases") * 2.5))).alias("action_values"),
     )
 
 
@@ -309,6 +310,25 @@ def s18(t):
     return S.social_breakdown_rows(_raw_social_breakdown(t), "meta_demographics")
 
 
+@register("s18_social_devices", f"""
+SELECT {DS('date_start')} AS date_start, {DS('date_start')} AS date_stop, 'act_1' AS ad_account_id, device_platform, publisher_platform,
+  impressions, CAST(0 AS BIGINT) AS reach, clicks, {R('spend')} AS spend, CAST(0 AS DOUBLE) AS ctr,
+  CAST(0 AS DOUBLE) AS cpc, CAST(0 AS DOUBLE) AS cpm, app_installs, purchases
+FROM social_breakdowns""", ["social_breakdowns"])
+def s18_devices(t):
+    return S.social_breakdown_rows(_raw_social_breakdown(t), "meta_devices")
+
+
+@register("s18_social_geographic", f"""
+SELECT {DS('date_start')} AS date_start, {DS('date_start')} AS date_stop, 'act_1' AS ad_account_id, country,
+  impressions, CAST(0 AS BIGINT) AS reach, clicks, {R('spend')} AS spend, CAST(0 AS DOUBLE) AS ctr,
+  CAST(0 AS DOUBLE) AS cpc, CAST(0 AS DOUBLE) AS cpm, app_installs, purchases,
+  {R('CASE WHEN purchases > 0 THEN purchases * 2.5 ELSE 0.0 END')} AS purchase_value
+FROM social_breakdowns""", ["social_breakdowns"])
+def s18_geographic(t):
+    return S.social_breakdown_rows(_raw_social_breakdown(t), "meta_geographic")
+
+
 def _raw_adsets(t):
     p = t.part
     k = F.col("p_partkey") % 4
@@ -472,22 +492,34 @@ def s20(t):
 
 
 # ------------------------------------------------------ search-console sets
-# the S12 dimension sets the organic fact can feed (country and search
-# appearance are not carried by the driver data)
-_GSC_SETS = ("gsc_queries", "gsc_pages", "gsc_devices", "gsc_query_page", "gsc_query_device", "gsc_page_device",
-             "gsc_daily_totals")
-_ALL_DIMS = ("date", "query", "page", "device")
+# all S12 dimension sets; the organic fact has no country and no search
+# appearance of its own, both are derived from its numbers
+_GSC_SETS = tuple(S.SEARCH_CONSOLE_SETS)
+_ALL_DIMS = ("date", "query", "page", "device", "country", "searchAppearance")
+_DERIVED = {
+    "country": (F.concat(F.lit("c"), (F.col("impressions") % 7).cast("string")), "'c' || CAST(impressions % 7 AS VARCHAR)"),
+    "searchAppearance": (F.when(F.col("clicks") % 2 == 0, "RICHCARD").otherwise("VIDEO"),
+                         "CASE WHEN clicks % 2 = 0 THEN 'RICHCARD' ELSE 'VIDEO' END"),
+}
 
 
 def _dim_expr(d: str):
+    if d in _DERIVED:
+        return _DERIVED[d][0]
     return F.date_format("date_day", "yyyy-MM-dd") if d == "date" else F.col(d)
 
 
+def _dim_sql(d: str) -> str:
+    if d in _DERIVED:
+        return _DERIVED[d][1]
+    return "strftime(date_day, '%Y-%m-%d')" if d == "date" else d
+
+
 @register("s12_search_console_sets", "\nUNION ALL\n".join(
     "SELECT '{ds}' AS _dataset, {cols}, clicks, impressions, {ctr} AS ctr, {pos} AS position FROM organic".format(
         ds=ds,
         cols=", ".join(
-            (("strftime(date_day, '%Y-%m-%d')" if d == "date" else d) if d in S.SEARCH_CONSOLE_SETS[ds] else "CAST(NULL AS VARCHAR)")
+            (_dim_sql(d) if d in S.SEARCH_CONSOLE_SETS[ds] else "CAST(NULL AS VARCHAR)")
             + f" AS {d}" for d in _ALL_DIMS),
         ctr=R("COALESCE(ctr, 0.0)"), pos=R("COALESCE(position, 0.0)"))
     for ds in _GSC_SETS), ["organic"])

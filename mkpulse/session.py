@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,6 +88,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back: a
+    frame that several branches of a plan read is computed once, and a lost
+    executor does not recompute what is upstream of it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Tables:
     """Lazy ``name -> DataFrame`` over one folder of parquet tables.
 

@@ -1,6 +1,10 @@
 from mkpulse.operators import scoring as N
 
 
+def clustered(df, **how):
+    return N.fit_keyword_clusters(df, **how).assign(df)
+
+
 def test_keyword_clusters_separate_blobs(spark):
     rows = []
     for i in range(12):
@@ -8,36 +12,33 @@ def test_keyword_clusters_separate_blobs(spark):
         rows.append((f"b{i}", 500 + i % 3, 1000 + i, 0.5, 9.0))      # high clicks
         rows.append((f"c{i}", 10 + i % 3, 90000 + i, 0.0001, 5.0))   # huge impressions
     df = spark.createDataFrame(rows, "keyword string, clicks long, impressions long, ctr double, position double")
-    out = N.keyword_clusters(df, k=3).collect()
+    out = clustered(df, k=3).collect()
     assert len(out) == 36
     by_prefix = {}
     for r in out:
         by_prefix.setdefault(r.keyword[0], set()).add(r.cluster)
     assert all(len(v) == 1 for v in by_prefix.values())  # each blob in one cluster
     assert len({next(iter(v)) for v in by_prefix.values()}) == 3  # three distinct clusters
-    s = {r.cluster: r.keywords for r in N.cluster_summary(N.keyword_clusters(df, k=3)).collect()}
+    s = {r.cluster: r.keywords for r in N.cluster_summary(clustered(df, k=3)).collect()}
     assert sorted(s.values()) == [12, 12, 12]
 
 
 def test_keyword_clusters_needs_ten_rows(spark):
     df = spark.createDataFrame([(f"k{i}", i, 100, 0.1, 1.0) for i in range(5)],
                                "keyword string, clicks long, impressions long, ctr double, position double")
-    assert N.keyword_clusters(df, k=3).count() == 0
+    out = clustered(df, k=3).collect()
+    assert len(out) == 5 and all(r.cluster is None for r in out)
+
+
+def test_all_keywords_are_assigned_beyond_the_fit(spark):
+    rows = [(f"{'ab'[i % 2]}{i}", 10 if i % 2 else 500, 1000 + i, 0.01 if i % 2 else 0.5) for i in range(300)] + [("none", None, 5, 0.1)]
+    df = spark.createDataFrame(rows, "keyword string, clicks long, impressions long, ctr double")  # paid: no position
+    models = [N.fit_keyword_clusters(df, k=2, fit_rows=40).assign(df).collect() for _ in range(2)]
+    assert {r.keyword: r.cluster for r in models[0]} == {r.keyword: r.cluster for r in models[1]}
+    got = {r.keyword: r.cluster for r in models[0]}
+    assert len(got) == 301 and got["none"] is None
+    assert len({v for k, v in got.items() if k[0] == "a"}) == 1 == len({v for k, v in got.items() if k[0] == "b"})
+    top = N.cluster_top_keywords(clustered(df, k=2)).collect()
+    assert len(top) == 30
 
 
-def test_keyword_clusters_by_entity(spark):
-    rows = []
-    for acct in ("x", "y"):
-        for i in range(12):
-            rows.append((acct, f"a{i}", 10 + i % 3, 1000 + i, 0.01, 2.0))
-            rows.append((acct, f"b{i}", 500 + i % 3, 1000 + i, 0.5, 9.0))
-            rows.append((acct, f"c{i}", 10 + i % 3, 90000 + i, 0.0001, 5.0))
-    rows += [("z", f"k{i}", i, 100 + i, 0.1, 1.0) for i in range(5)]  # too few keywords
-    df = spark.createDataFrame(rows, "acct string, keyword string, clicks long, impressions long, ctr double, position double")
-    out = N.keyword_clusters_by(df, ["acct"], k=3).collect()
-    assert {r.acct for r in out} == {"x", "y"}
-    for acct in ("x", "y"):
-        groups = {}
-        for r in (r for r in out if r.acct == acct):
-            groups.setdefault(r.keyword[0], set()).add(r.cluster)
-        assert all(len(v) == 1 for v in groups.values()) and len({next(iter(v)) for v in groups.values()}) == 3

@@ -20,7 +20,7 @@ def _facts(spark, **kw):
 def test_exec_insights_order_and_limit(spark):
     r = I.exec_insights(_facts(spark)).orderBy("rule_order").collect()
     assert [x.rule for x in r] == ["spend_change", "organic_change", "cpa_change", "top_channel"]
-    assert r[0].title == "Paid spend increased" and r[0].action == "Monitor closely"
+    assert r[0].title == "Paid spend increased" and r[0].action == "No step needed, look again next period"
     assert r[-1].title == "Google Ads leads spend"
     r2 = I.exec_insights(_facts(spark, spend_cur=1500.0, conversions_cur=50.0)).collect()
     assert len(r2) == 4  # five rules fire, first four kept
@@ -72,8 +72,8 @@ def test_what_changed_fires_and_actions(spark):
     assert [x.title for x in ch] == ["Sessions up", "Bounce rate increased", "bing / organic traffic up",
                                      "google / cpc traffic down", "Mobile traffic up"]
     acts = [x.action for x in I.what_changed_actions(I.what_changed(raw, traffic, tech, cur, prev)).collect()]
-    assert acts == sorted(["Investigate recent website changes that may have degraded UX", "Review google acquisition strategy",
-                           "Scale successful bing channel", "Scale successful Mobile channel"])
+    assert acts == sorted(["List the releases of this period and test the affected pages", "Find out why google sends fewer visits",
+                           "Repeat what worked for bing", "Repeat what worked for Mobile"])
 
 
 def test_social_cpi_rule(spark):

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from mkpulse.operators import aggregates as A
@@ -85,17 +87,55 @@ def test_fatigue_statuses(spark):
         rows.append(("fresh", dt.date(2024, 1, 1) + dt.timedelta(days=d), 10.0, 1.0, 2.0))
     for d in range(20):  # 20 days, frequency 3, flat -> 12 + 10 = 22 -> Healthy; with a mild decline -> Moderate
         rows.append(("aging", dt.date(2024, 1, 1) + dt.timedelta(days=d), 10.0, 3.0, 2.0 if d < 10 else 1.8))
-    df = spark.createDataFrame(rows, "campaign_name string, date_day date, spend double, frequency double, ctr double")
-    s = {r.campaign_name: (r.fatigue_score, r.status) for r in N.creative_fatigue(df).collect()}
+    df = spark.createDataFrame(rows, "campaign_id string, date_day date, spend double, frequency double, ctr double")
+    s = {r.campaign_id: (r.fatigue_score, r.status) for r in N.creative_fatigue(df).collect()}
     assert s["tired"][1] == "High Fatigue" and s["fresh"] == (0.0, "Healthy") and s["aging"][1] == "Moderate"
 
 
-def test_spend_pivot_top_n(spark):
-    rows = [(dt.date(2024, 1, 1), f"c{i}", float(i)) for i in range(15)] + [(dt.date(2024, 1, 2), "c1", 5.0)]
+def test_fatigue_keeps_campaigns_of_one_name_apart(spark):
+    day = lambda d: dt.date(2024, 1, 1) + dt.timedelta(days=d)
+    rows = [(1, "Brand", day(d), 1.0, 1.0, 4.0 - 0.3 * d) for d in range(12)] + [(2, "Brand", day(d), 1.0, 1.0, 1.0 + 0.3 * d) for d in range(12)]
+    rows += [(3, "Brand", day(d), 1.0, 9.0, 1.0) for d in range(2)]
+    df = spark.createDataFrame(rows, "campaign_id long, campaign_name string, date_day date, spend double, frequency double, ctr double")
+    got = {r.campaign_id: r for r in N.creative_fatigue(df).collect()}
+    assert got[1].ctr_decline_pct > 40 and got[2].ctr_decline_pct < -40 and {r.campaign_name for r in got.values()} == {"Brand"}
+    assert got[3].status == "Too few days" and got[3].fatigue_score is None
+
+
+def test_spend_pivot_has_every_campaign(spark):
+    rows = [(dt.date(2024, 1, 1), f"c{i:02d}", float(i)) for i in range(15)] + [(dt.date(2024, 1, 2), "c01", 5.0), (dt.date(2024, 1, 2), None, 7.0)]
     df = spark.createDataFrame(rows, "date_day date, campaign_name string, spend double")
-    p = A.spend_pivot(df, top_n=3)
-    assert p.columns == ["date_day", "c14", "c13", "c12"]
-    assert {r.date_day: r.c14 for r in p.collect()} == {dt.date(2024, 1, 1): 14.0, dt.date(2024, 1, 2): 0.0}
+    p = A.spend_pivot(df)
+    assert p.columns == ["date_day", "(none)", *[f"c{i:02d}" for i in range(15)]]
+    assert {r.date_day: (r.c14, r["(none)"]) for r in p.collect()} == {dt.date(2024, 1, 1): (14.0, 0.0), dt.date(2024, 1, 2): (0.0, 7.0)}
+    with pytest.raises(ValueError, match="long form"):
+        A.pivot_values(df, "campaign_name", most=5)
+    assert A.spend_by_campaign(df).count() == 17
+
+
+def test_age_gender_matrix_has_every_gender(spark):
+    df = spark.createDataFrame([("18-24", "male", 1.0), ("18-24", "nonbinary", 5.0), ("25-34", None, 2.0)], "age string, gender string, spend double")
+    got = {r.age: r.asDict() for r in A.age_gender_matrix(df).collect()}
+    assert got["18-24"]["nonbinary"] == 5.0 and got["25-34"]["unknown"] == 2.0
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 501])
+def test_medians_are_exact(spark, n):
+    import random
+    import statistics
+
+    from mkpulse.operators.quantiles import medians
+
+    rng = random.Random(n)
+    rows = [(g, rng.choice([0.0, -3.5, rng.lognormvariate(0, 3), 7.25, 1e12 * rng.random(), 1e-9 * rng.random()])) for g in "ab" for _ in range(n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").cache()
+    got = {r.g: r.m for r in medians(df, "v", "m", ["g"]).collect()}
+    for g in "ab":
+        assert got[g] == pytest.approx(statistics.median([v for k, v in rows if k == g and v is not None]), abs=0, rel=1e-15)
+    whole = medians(df, "v", "m")
+    assert whole.first().m == pytest.approx(statistics.median([v for _, v in rows if v is not None]), abs=0, rel=1e-15)
+    assert medians(df.limit(0), "v", "m").first().m is None
+    assert "percentile" not in whole._jdf.queryExecution().executedPlan().toString()
 
 
 def test_per_entity_top_k_prelimits_before_shuffle(spark):
