@@ -497,15 +497,15 @@ def s20(t):
 _GSC_SETS = tuple(S.SEARCH_CONSOLE_SETS)
 _ALL_DIMS = ("date", "query", "page", "device", "country", "searchAppearance")
 _DERIVED = {
-    "country": (F.concat(F.lit("c"), (F.col("impressions") % 7).cast("string")), "'c' || CAST(impressions % 7 AS VARCHAR)"),
-    "searchAppearance": (F.when(F.col("clicks") % 2 == 0, "RICHCARD").otherwise("VIDEO"),
+    "country": (lambda: F.concat(F.lit("c"), (F.col("impressions") % 7).cast("string")), "'c' || CAST(impressions % 7 AS VARCHAR)"),
+    "searchAppearance": (lambda: F.when(F.col("clicks") % 2 == 0, "RICHCARD").otherwise("VIDEO"),
                          "CASE WHEN clicks % 2 = 0 THEN 'RICHCARD' ELSE 'VIDEO' END"),
 }
 
 
 def _dim_expr(d: str):
     if d in _DERIVED:
-        return _DERIVED[d][0]
+        return _DERIVED[d][0]()
     return F.date_format("date_day", "yyyy-MM-dd") if d == "date" else F.col(d)
 
 
