@@ -195,3 +195,30 @@ def cents_to_units(c: str | Column, numeric: bool = False) -> Column:
 def weekday_name(d: str | Column) -> Column:
     """English weekday name (Monday..Sunday)."""
     return F.date_format(col(d), "EEEE")
+
+
+# fixed values: short labels of the known search-ads campaign types
+CAMPAIGN_TYPE_LABELS = {
+    "SEARCH": "Search", "PERFORMANCE_MAX": "PMax", "DISPLAY": "Display", "VIDEO": "Video", "SHOPPING": "Shopping", "SMART": "Smart",
+    "LOCAL": "Local", "DISCOVERY": "Discovery", "DEMAND_GEN": "Demand Gen", "APP": "App", "HOTEL": "Hotel",
+    "LOCAL_SERVICES": "Local Svc", "MULTI_CHANNEL": "Multi-Ch",
+}
+
+
+def campaign_type_label(c: str | Column) -> Column:
+    """Short label of a known campaign type, else its words in title case; NULL or empty is ``Unknown``."""
+    x = col(c)
+    known = F.create_map(*[F.lit(v) for kv in CAMPAIGN_TYPE_LABELS.items() for v in kv])
+    return F.when(x.isNull() | (x == ""), "Unknown").otherwise(F.coalesce(
+        F.try_element_at(known, x), F.initcap(F.replace(x, F.lit("_"), F.lit(" ")))))
+
+
+def is_set(c: str | Column, placeholder: str = "(not set)") -> Column:
+    """The dimension has a value that is not the source's placeholder."""
+    x = col(c)
+    return x.isNotNull() & (x != placeholder)
+
+
+def optional_equals(c: str | Column, value) -> Column:
+    """``c`` equals ``value``; no filter when ``value`` is None."""
+    return F.lit(True) if value is None else col(c) == value

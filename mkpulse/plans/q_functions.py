@@ -230,13 +230,21 @@ def p08(t):
         ad._pick(F.col("user_id") % 5, ad.MEDIUMS).alias("sessionMedium"),
         F.when(k == 0, "(not set)").otherwise(F.concat(F.lit("c"), k.cast("string"))).alias("campaign"),
     )
-    x = x.where(F.col("campaign").isNotNull() & (F.col("campaign") != "(not set)"))  # P08
-    account = "acct_1"
-    if account is not None:  # P09: optional equality filter
-        x = x.where(F.col("account_id") == account)
+    x = x.where(FN.is_set("campaign")).where(FN.optional_equals("account_id", "acct_1")).where(FN.optional_equals("sessionMedium", None))
     return x.groupBy("account_id", "sessionMedium").agg(F.count(F.lit(1)).alias("sessions"))
 
 
+_TYPES = ("SEARCH", "PERFORMANCE_MAX", "DEMAND_GEN", "BRAND_NEW_TYPE", "", None, "LOCAL_SERVICES")
+
+
+@register("p11_campaign_type_labels", """
+SELECT CASE l_suppkey % 7 WHEN 0 THEN 'Search' WHEN 1 THEN 'PMax' WHEN 2 THEN 'Demand Gen' WHEN 3 THEN 'Brand New Type' WHEN 6 THEN 'Local Svc'
+  ELSE 'Unknown' END AS campaign_type, COUNT(*) AS lines FROM lineitem GROUP BY 1""")
+def p11(t):
+    raw = F.get(F.array(*[F.lit(x) for x in _TYPES]), (F.col("l_suppkey") % 7).cast("int"))
+    return t.lineitem.select(FN.campaign_type_label(raw).alias("campaign_type")).groupBy("campaign_type").agg(F.count("*").alias("lines"))
+
+
 @register("p10_distinct_accounts", "SELECT DISTINCT account_id FROM ads_lean WHERE platform = 'meta_ads'", ["ads_lean"])
 def p10(t):
     return T.distinct_keys(ad.ads(t, dims=False).where(F.col("platform") == "meta_ads"), ["account_id"])

@@ -103,6 +103,15 @@ def q07(t):
     return Q.validate_time_series(ad.web_sessions_raw(t), "date", ["sessions"])
 
 
+@register("s24_row_counts", """
+SELECT 'customer' AS "table", COUNT(*) AS row_count FROM customer UNION ALL SELECT 'events', COUNT(*) FROM events
+UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem UNION ALL SELECT 'orders', COUNT(*) FROM orders""")
+def s24_rows(t):
+    from mkpulse.sources.catalog import row_counts
+
+    return row_counts({name: t[name] for name in ("customer", "events", "lineitem", "orders")})
+
+
 @register("s24_source_coverage", f"""
 SELECT 'search_ads' AS source, COUNT(*) AS row_count, {DS('MIN(date_day)')} AS min_date, {DS('MAX(date_day)')} AS max_date,
   CASE WHEN COUNT(*) > 0 THEN 'loaded' ELSE 'empty' END AS status FROM ads_lean WHERE platform = 'google_ads'

@@ -81,7 +81,7 @@ def _gsc_daily(t):
                                       "clicks", "impressions", "ctr", "position")
 
 
-def bronze(t) -> _Lazy:
+def bronze(t, metadata: bool = False) -> _Lazy:
     """Bronze tables shaped like the landed platform tables, at their grain;
     each is only planned when a view asks for it."""
     return _Lazy({
@@ -94,17 +94,45 @@ def bronze(t) -> _Lazy:
         "meta_adset_insights": lambda: _meta(t, adsets=True),
         "ga4_sessions": lambda: ad.web_sessions_raw(t),
         "gsc_daily_totals": lambda: _gsc_daily(t),
-        "ga4_traffic_overview": None,
-        "gsc_queries": None,
-    })
+        "ga4_traffic_overview": lambda: _ga4_traffic(t),
+        "gsc_queries": lambda: _gsc_set(t, "query"),
+        "gsc_pages": lambda: _gsc_set(t, "page"),
+        "meta_demographics": lambda: _meta_demographics(t),
+    } | ({"meta_campaigns": lambda: _meta_campaigns(t)} if metadata else {}))
+
+
+def _ga4_traffic(t):
+    return ad.web_traffic(t).select(
+        F.date_format("date_day", "yyyyMMdd").alias("date"), "sessionSource", "sessionMedium", F.lit("c1").alias("sessionCampaignName"),
+        *[F.col(c).cast("string").alias(c) for c in ("sessions", "totalUsers")], F.lit("0").alias("newUsers"), F.lit("0.25").alias("bounceRate"),
+        F.lit("bad").alias("screenPageViews"))
+
+
+def _gsc_set(t, dim):
+    return ad.organic(t).select(F.date_format("date_day", "yyyy-MM-dd").alias("date"), dim, "clicks", "impressions", "ctr", "position")
+
+
+def _meta_demographics(t):
+    b = ad.social_breakdowns(t)
+    return b.select(F.col("date_start").cast("string").alias("date_start"), F.lit("act_1").alias("ad_account_id"), "age", "gender",
+                    "impressions", "clicks", "spend")
+
+
+def _meta_campaigns(t):
+    """Metadata of the even brands and of one campaign that never ran."""
+    n = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+    some = t.part.select(n.alias("n")).distinct().where(F.col("n") % 2 == 0).union(t.region.select(F.lit(999).alias("n")).distinct())
+    return some.select(F.col("n").cast("string").alias("campaign_id"), F.lit("act_1").alias("ad_account_id"),
+                       F.concat(F.lit("Meta "), F.col("n").cast("string")).alias("campaign_name"),
+                       F.when(F.col("n") % 4 == 0, "PAUSED").otherwise("ACTIVE").alias("status"), (F.col("n") * 1.5).alias("daily_budget"))
 
 
 class _Views:
-    def __init__(self, t):
-        self.t = t
+    def __init__(self, t, metadata=False):
+        self.t, self.metadata = t, metadata
 
     def __getitem__(self, name):
-        views, report = V.build_views(bronze(self.t), only=[name])
+        views, report = V.build_views(bronze(self.t, self.metadata), only=[name])
         if name not in views:
             raise KeyError(f"view {name} not built: {report}")
         return views[name]
@@ -284,3 +312,43 @@ WITH ma AS (SELECT date_day AS date, account_id, CAST({_CID_SQL} AS VARCHAR) AS
           + _dim_sql("ma", ["ad_id"], ["ad_name", "ad_group_id", "campaign_id", "account_id"]), ["ads"])
 def v09f(t):
     return _views(t)["dim_meta_ad"]
+
+
+@register("v09_dim_meta_campaign_metadata", f"""
+WITH {_META_B}, mb AS (SELECT *, ad_account_id AS account_id FROM meta_b), ins AS ({_dim_sql("mb", ["campaign_id"], ["campaign_name", "account_id"])}),
+n AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INTEGER) AS n FROM part),
+md AS (SELECT n FROM n WHERE n % 2 = 0 UNION SELECT 999)
+SELECT CAST(n AS VARCHAR) AS campaign_id, 'Meta ' || CAST(n AS VARCHAR) AS campaign_name, 'act_1' AS account_id,
+  CASE WHEN n % 4 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status, {R('n * 1.5')} AS daily_budget FROM md
+UNION ALL SELECT campaign_id, campaign_name, account_id, NULL, NULL FROM ins
+WHERE campaign_id NOT IN (SELECT CAST(n AS VARCHAR) FROM md)""", ["ads"])
+def v09_metadata(t):
+    return _Views(t, metadata=True)["dim_meta_campaign"]
+
+
+@register("v01_demographics_silver", f"""
+SELECT CAST(date_start AS VARCHAR) AS date_start, 'act_1' AS account_id, age, gender, impressions, clicks, {R('spend')} AS spend,
+  {DS('date_start')} AS date_day, 'meta_ads' AS platform FROM social_breakdowns""", ["social_breakdowns"])
+def v01_demographics(t):
+    return _views(t)["meta_demographics_v"]
+
+
+@register("v02_pages_silver", f"""
+SELECT strftime(date_day, '%Y-%m-%d') AS date, page, clicks, impressions, {R('ctr')} AS ctr, {R('position')} AS position,
+  {DS('date_day')} AS date_day, 'gsc' AS platform, {R('position')} AS avg_position FROM organic""", ["organic"])
+def v02_pages(t):
+    return _views(t)["gsc_pages_v"]
+
+
+@register("v07_fact_organic_queries", f"""
+SELECT {DS('date_day')} AS date_day, query, clicks, impressions, {R('ctr')} AS ctr, {R('position')} AS position, {R('position')} AS avg_position
+FROM organic""", ["organic"])
+def v07_queries(t):
+    return _views(t)["fact_organic_queries"]
+
+
+@register("v08_fact_web_traffic", f"""
+SELECT {DS('date_day')} AS date_day, sessionSource AS source, sessionMedium AS medium, 'c1' AS campaign, CAST(sessions AS BIGINT) AS sessions,
+  CAST(totalUsers AS BIGINT) AS users, CAST(0 AS BIGINT) AS new_users, CAST(0.25 AS DOUBLE) AS bounce_rate FROM web_traffic""", ["web_traffic"])
+def v08_traffic(t):
+    return _views(t)["fact_web_traffic"].drop("page_views")

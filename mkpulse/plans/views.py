@@ -152,6 +152,33 @@ def dimension(df: DataFrame, keys: Sequence[str], attrs: Sequence[str], order_co
     return keep_latest(df.select(*keys, *attrs, order_col), keys, order_col, list(attrs)).drop(order_col)
 
 
+def social_dimension(insights: DataFrame, metadata: DataFrame | None, keys: Sequence[str], attrs: Sequence[str],
+                     more: Sequence[str]) -> DataFrame:
+    """V09 for social objects: the metadata row of an id (``attrs`` and
+    ``more``, its status and budgets); ids that only insights know get their
+    latest insight row. Without a metadata table: the insight rows alone."""
+    known = dimension(insights, keys, attrs)
+    if metadata is None:
+        return known
+    have = [c for c in (*attrs, *more) if c in metadata.columns]
+    rows = metadata.select(*keys, *have).withColumn("_meta", F.lit(1)).unionByName(known.withColumn("_meta", F.lit(0)), allowMissingColumns=True)
+    out = keep_latest(rows, keys, "_meta", [c for c in rows.columns if c not in (*keys, "_meta")]).drop("_meta")
+    return out.select(*keys, *[c for c in (*attrs, *more) if c in out.columns])
+
+
+def meta_metadata_silver(df: DataFrame) -> DataFrame:
+    """V01 for social metadata: object names as in the insight views."""
+    names = {"adset_id": "ad_group_id", "adset_name": "ad_group_name", "ad_account_id": "account_id"}
+    return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns], F.lit("meta_ads").alias("platform"))
+
+
+def meta_period_silver(df: DataFrame) -> DataFrame:
+    """V01 for social breakdowns: one row per period, day = its first day."""
+    out = silver(df, "date_start", ("impressions", "reach", "clicks", "app_installs", "purchases"), ("spend", "ctr", "cpc", "cpm", "purchase_value"),
+                 {"ad_account_id": "account_id", "purchase_value": "revenue"}, platform="meta_ads")
+    return out
+
+
 def summary_platform_totals(paid: DataFrame) -> DataFrame:
     """Totals per platform."""
     return paid.groupBy("platform").agg(
@@ -165,8 +192,19 @@ def summary_platform_totals(paid: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- registration
 ViewFn = Callable[..., DataFrame]
 
-# dependency order: (view, inputs, function of the inputs)
+# dependency order: (view, inputs, function of the inputs); an input named "?x" may be missing
+# fixed values: one silver view for each bronze table
+_SILVER: dict[str, ViewFn] = {
+    **dict.fromkeys(("ga4_page_performance", "ga4_geographic_data", "ga4_technology_data", "ga4_event_data"), ga4_silver),
+    **dict.fromkeys(("gsc_pages", "gsc_countries", "gsc_devices", "gsc_search_appearance", "gsc_query_page", "gsc_query_country",
+                     "gsc_query_device", "gsc_page_country", "gsc_page_device"), gsc_silver),
+    **dict.fromkeys(("gads_ads", "gads_devices", "gads_geographic", "gads_conversions", "gads_daily_summary"), gads_silver),
+    "meta_daily_account": meta_silver,
+    **dict.fromkeys(("meta_geographic", "meta_devices", "meta_demographics"), meta_period_silver),
+    **dict.fromkeys(("meta_campaigns", "meta_adsets", "meta_ads"), meta_metadata_silver),
+}
 VIEW_ORDER: list[tuple[str, tuple[str, ...], ViewFn]] = [
+    *[(f"{table}_v", (table,), fn) for table, fn in _SILVER.items()],
     ("ga4_sessions_v", ("ga4_sessions",), ga4_silver),
     ("ga4_traffic_overview_v", ("ga4_traffic_overview",), ga4_silver),
     ("gsc_daily_totals_v", ("gsc_daily_totals",), gsc_silver),
@@ -192,12 +230,15 @@ VIEW_ORDER: list[tuple[str, tuple[str, ...], ViewFn]] = [
      lambda v: dimension(v, ["campaign_id", "ad_group_id"], ["ad_group_name", "ad_group_status"])),
     ("dim_gads_keyword", ("gads_keywords_v",),
      lambda v: dimension(v, ["campaign_id", "ad_group_id", "keyword_id"], ["keyword_text", "keyword_match_type"])),
-    ("dim_meta_campaign", ("meta_campaign_insights_v",),
-     lambda v: dimension(v, ["campaign_id"], ["campaign_name", "account_id"])),
-    ("dim_meta_adset", ("meta_adset_insights_v",),
-     lambda v: dimension(v, ["ad_group_id"], ["ad_group_name", "campaign_id", "account_id"])),
-    ("dim_meta_ad", ("meta_ad_insights_v",),
-     lambda v: dimension(v, ["ad_id"], ["ad_name", "ad_group_id", "campaign_id", "account_id"])),
+    ("dim_meta_campaign", ("meta_campaign_insights_v", "?meta_campaigns_v"),
+     lambda v, m: social_dimension(v, m, ["campaign_id"], ["campaign_name", "account_id"],
+                                   ["status", "effective_status", "objective", "daily_budget", "lifetime_budget"])),
+    ("dim_meta_adset", ("meta_adset_insights_v", "?meta_adsets_v"),
+     lambda v, m: social_dimension(v, m, ["ad_group_id"], ["ad_group_name", "campaign_id", "account_id"],
+                                   ["status", "effective_status", "optimization_goal", "daily_budget", "lifetime_budget"])),
+    ("dim_meta_ad", ("meta_ad_insights_v", "?meta_ads_v"),
+     lambda v, m: social_dimension(v, m, ["ad_id"], ["ad_name", "ad_group_id", "campaign_id", "account_id"],
+                                   ["status", "effective_status", "creative_id"])),
     ("summary_platform_totals", ("fact_paid_daily",), summary_platform_totals),
 ]
 _DEPS = {name: deps for name, deps, _ in VIEW_ORDER}
@@ -211,7 +252,7 @@ def _needed(targets) -> set[str]:
         if n in out:
             continue
         out.add(n)
-        todo.extend(_DEPS.get(n, ()))
+        todo.extend(d.removeprefix("?") for d in _DEPS.get(n, ()))
     return out
 
 
@@ -223,7 +264,9 @@ def build_views(bronze: Tables, only=None) -> tuple[dict[str, DataFrame], list[t
     report: list[tuple[str, str, str | None]] = []
     need = _needed(only) if only else None
 
-    def get(n: str) -> DataFrame:
+    def get(n: str) -> DataFrame | None:
+        if n.startswith("?"):
+            return env.get(n[1:])
         return env[n] if n in env else bronze[n]  # bronze may be a lazy mapping
 
     for name, deps, fn in VIEW_ORDER:
@@ -237,7 +280,7 @@ def build_views(bronze: Tables, only=None) -> tuple[dict[str, DataFrame], list[t
         except KeyError as e:
             report.append((name, "skipped", f"missing input {e}"))
         except Exception as e:  # noqa: BLE001 - reported, like the reference
-            report.append((name, "failed", str(e)[:200]))
+            report.append((name, "failed", str(e)))
     return dict(env), report
 
 
