@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mkpulse.functions import col, div, nz, safe_divide
-from mkpulse.operators.topk import order_key
+from mkpulse.operators.topk import order_key, spread_rank
 
 By = Sequence[str]
 
@@ -736,16 +736,17 @@ def cross_platform_spend(paid: DataFrame, organic: DataFrame, by: By = ()) -> Da
 
 
 def account_comparison(meta: DataFrame, by: By = ()) -> DataFrame:
-    """Per account x campaign totals with the account's spend rank."""
+    """Per account x campaign totals with the account's spend rank; an
+    account may have any number of campaigns."""
     g = meta.groupBy(*by, "account_id", "campaign_name").agg(
         F.sum("spend").alias("spend"),
         F.sum("impressions").alias("impressions"),
         F.sum("clicks").alias("clicks"),
         F.sum(nz("app_installs")).alias("app_installs"),
     )
-    w = Window.partitionBy(*by, "account_id").orderBy(F.desc("spend"), F.asc("campaign_name"))
-    wa = Window.partitionBy(*by, "account_id")
-    return g.withColumn("spend_rank", F.row_number().over(w)).withColumn("account_spend", F.sum("spend").over(wa))
+    entity = [*by, "account_id"]
+    ranked = spread_rank(g, [F.desc("spend"), F.asc("campaign_name")], entity, "spend_rank")
+    return ranked.join(ranked.groupBy(*entity).agg(F.sum("spend").alias("account_spend")), entity).select(*ranked.columns, "account_spend")
 
 
 def status_counts(meta_objects: DataFrame, by: By = ()) -> DataFrame:

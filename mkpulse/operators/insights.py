@@ -108,30 +108,28 @@ def exec_facts(paid: DataFrame, organic: DataFrame, cur: tuple, prev: tuple, by:
     conv = nz("conversions") + nz("app_installs")
     tp = tag_periods(paid, "date_day", cur, prev)
     c, p = F.col("period") == "current", F.col("period") == "previous"
-    k = tp.groupBy(*by).agg(
+    # one aggregate by channel feeds the totals and the top channel: the paid fact is read once
+    ch = tp.groupBy(*by, "platform").agg(
         F.sum(F.when(c, F.col("spend"))).alias("spend_cur"),
         F.sum(F.when(p, F.col("spend"))).alias("spend_prev"),
         F.sum(F.when(c, conv)).alias("conversions_cur"),
         F.sum(F.when(p, conv)).alias("conversions_prev"),
+        F.count(F.when(c, 1)).alias("_rows"),
     )
-    ch = (
-        paid.where(F.col("date_day").between(F.lit(as_date(cur[0])), F.lit(as_date(cur[1]))))
-        .groupBy(*by, "platform")
-        .agg(F.sum("spend").alias("spend"), F.sum(conv).alias("conv"))
-        .withColumn("cpa", F.when(F.col("conv") > 0, F.col("spend") / F.col("conv")))
-        .groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("n_channels"),
-            F.max_by(F.struct("platform", "spend", "cpa"), F.struct(F.col("spend"), F.col("platform"))).alias("_top"),
-        )
-        .select(*by, "n_channels", F.col("_top.platform").alias("top_channel"),
-                F.col("_top.spend").alias("top_spend"), F.col("_top.cpa").alias("top_cpa"))
+    now = F.col("_rows") > 0
+    cpa = F.when(F.col("conversions_cur") > 0, F.col("spend_cur") / F.col("conversions_cur")).alias("cpa")
+    k = ch.groupBy(*by).agg(
+        *[F.sum(x).alias(x) for x in ("spend_cur", "spend_prev", "conversions_cur", "conversions_prev")],
+        F.count(F.when(now, 1)).alias("n_channels"),
+        F.max_by(F.struct("platform", "spend_cur", cpa), F.when(now, F.struct("spend_cur", "platform"))).alias("_top"),
     )
+    k = k.select(*[x for x in k.columns if x != "_top"], F.col("_top.platform").alias("top_channel"),
+                 F.col("_top.spend_cur").alias("top_spend"), F.col("_top.cpa").alias("top_cpa"))
     to = tag_periods(organic, "date_day", cur, prev)
     o = to.groupBy(*by).agg(
         F.sum(F.when(c, F.col("clicks"))).alias("organic_cur"), F.sum(F.when(p, F.col("clicks"))).alias("organic_prev")
     )
-    f = stack_rows([k, ch, o], by)
+    f = stack_rows([k, o], by)
     return (
         f.withColumn("spend_delta", pct_change("spend_cur", "spend_prev"))
         .withColumn("conversions_delta", pct_change("conversions_cur", "conversions_prev"))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mkpulse.session import materialize
 from mkpulse.functions import col
 
 By = Sequence[str]
@@ -39,6 +40,24 @@ def rank_within(df: DataFrame, order: Order, by: By = (), name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(w))
 
 
+def spread_rank(df: DataFrame, order: Order, by: By, name: str = "rank") -> DataFrame:
+    """Row number by ``order`` in each entity, for entities of any size.
+
+    The rows are dealt out by ranges of (entity, order) and written once; each
+    range numbers its own rows and adds the rows of the entity in the ranges
+    before it, so a large entity is numbered by many tasks."""
+    ranges = df.repartitionByRange(*by, *_orders(order)).withColumn("_part", F.spark_partition_id())
+    ranges = materialize(ranges, "ranked")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*_orders(order)))
+    return ranges.join(sizes, same).withColumn(name, (own + F.col("_before")).cast("int")).select(*df.columns, name)
+
+
 def largest_smallest(df: DataFrame, score: str, key: str, k: int = 5, by: By = (), positive_smallest: bool = True):
     """The k largest and the k smallest rows by ``score``; the smallest
     list keeps only score > 0 AFTER taking k (as the reference does)."""
@@ -51,12 +70,15 @@ def largest_smallest(df: DataFrame, score: str, key: str, k: int = 5, by: By = (
 
 def top_n_others(df: DataFrame, label: str, metric: str, n: int = 8, by: By = (), sums: Sequence[str] = ()) -> DataFrame:
     """Keep the top ``n`` labels by ``metric``; collapse the rest into one
-    'Others' row (other metrics 0) only when the remainder is > 0."""
-    w = Window.partitionBy(*by).orderBy(F.desc(metric), F.asc(label)) if by else Window.orderBy(F.desc(metric), F.asc(label))
-    r = df.withColumn("_rk", F.row_number().over(w))
-    top = r.where(F.col("_rk") <= n).drop("_rk")
+    'Others' row (other metrics 0) only when the remainder is > 0. Labels are
+    unique (per entity); only the top ones are put in order."""
+    top = top_k(df, [F.desc(metric), F.asc(label)], n, by)
+    held = top.select(*[F.col(c).alias(f"_{c}") for c in (*by, label)])
+    same = F.lit(True)
+    for c in (*by, label):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     rest = (
-        r.where(F.col("_rk") > n)
+        df.join(held, same, "left_anti")
         .groupBy(*by)
         .agg(F.sum(metric).alias(metric))
         .where(F.col(metric) > 0)

@@ -145,3 +145,13 @@ def test_per_entity_top_k_prelimits_before_shuffle(spark):
     assert "WindowGroupLimit" in plan  # partial limit per task, before the exchange
     got = sorted((r.acct, r.v) for r in top.collect())
     assert len(got) == 15 and got[:5] == [(0, 4986), (0, 4989), (0, 4992), (0, 4995), (0, 4998)]
+
+
+def test_spread_rank_numbers_large_entities_in_many_tasks(spark):
+    from mkpulse.operators.topk import rank_within, spread_rank
+
+    df = spark.range(5000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("e"), F.col("id") % 10)).alias("e"),
+                                  (F.col("id") * 7919 % 1000).alias("v"), "id")
+    got = spread_rank(df, [F.desc("v"), F.asc("id")], ["e"], "r")
+    want = rank_within(df, [F.desc("v"), F.asc("id")], ["e"], "r")
+    assert got.exceptAll(want).isEmpty() and got.count() == 5000
