@@ -200,8 +200,14 @@ def random_secret(w: str) -> str:
 
 def labelled(extracted: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """At most ``sample`` windows, their labels, and a split number 0 to 4 by hash of the window."""
-    found = extracted.select(F.explode("cands").alias("c")).select("c.window", "c.label").withColumn("h", F.xxhash64("window"))
-    rows = [r for y in (0, 1) for r in found.where(F.col("label") == y).orderBy("h", "window").limit(sample // 2 if y == 0 else sample // 4).collect()]
+    found = extracted.select(F.explode("cands").alias("c")).select("c.window", "c.label").distinct().withColumn("h", F.xxhash64("window"))
+    found = materialize(found, "secret-windows")
+    held = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = []
+    for label, most in ((0, sample // 2), (1, sample // 4)):
+        # about twice as many as wanted pass the hash bound, however many partitions there are
+        bound = int(-(2**63) + 2**64 * min(1.0, 2 * most / max(1, held.get(label, 0)))) - 1
+        rows += found.where((F.col("label") == label) & (F.col("h") <= bound)).orderBy("h", "window").limit(most).collect()
     windows, labels = [r.window for r in rows], [r.label for r in rows]
     none = [w for w, y in zip(windows, labels) if not y]
     made = [random_secret(w) for w in none[: sample // 4]]
