@@ -1,30 +1,16 @@
-"""Helpers shared by the corpus operators: row packing, shared tables, words."""
+"""Helpers shared by the corpus operators: row packing and words; frames are materialized by the library's helper."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mkpulse.session import checkpoint_dir
+from mkpulse.session import materialize  # noqa: F401 - used by the operators
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage: later jobs, also after a lost executor, start from the
-    committed Parquet files.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def packed(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as one struct column ``row``, so that no added column can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
