@@ -29,10 +29,10 @@ def medians(df: DataFrame, column: str, name: str, by: By = ()) -> DataFrame:
 
     ``df`` is read four times: pass a materialized or cheap frame.
     """
-    out, by = list(by), [*by, "_all"]  # the constant stands for the entity where there is none
+    out, by = list(by), [*by, "_all"]  # always 0: stands for the entity where there is none
     s = _scale(F.col(column).cast("double"))
     v = df.where(F.col(column).isNotNull()).select(
-        *out, F.lit(0).alias("_all"), F.col(column).cast("double").alias("_v"), F.floor(s).alias("_b1"), F.floor((s - F.floor(s)) * FINE).alias("_b2"))
+        *out, F.pmod(F.floor(s), F.lit(1)).alias("_all"), F.col(column).cast("double").alias("_v"), F.floor(s).alias("_b1"), F.floor((s - F.floor(s)) * FINE).alias("_b2"))
     n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     # the two middle ranks, counted from 0; the same one twice for an odd number
     want = n.where("_n > 0").select(*by, F.posexplode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_w", "_rank"))
