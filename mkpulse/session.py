@@ -37,9 +37,6 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "mk
             # local mode: the driver JVM is the executor; give it room
             b = b.config("spark.driver.memory", "8g")
     spark = b.getOrCreate()
-    if master and master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None):
-        # one machine: any folder is shared
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="mkpulse-ckpt-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -77,12 +74,17 @@ def scale_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_executo
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    It must be set: a folder chosen here would be local to one machine, and
-    what executors write there would be lost to the others.
+    On a cluster it must be set: a folder chosen here would be local to one
+    machine, and what executors write there would be lost to the others. Only
+    a session whose driver is its executor (``local[n]``, as in tests) gets a
+    folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="mkpulse-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

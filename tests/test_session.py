@@ -35,8 +35,11 @@ def test_checkpoint_dir_must_be_set(spark):
         def get(self, key, default=None):
             return default
 
+    class Context:
+        master = "local-cluster[3,2,1000]"
+
     class Session:
-        conf = Conf()
+        conf, sparkContext = Conf(), Context()
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
