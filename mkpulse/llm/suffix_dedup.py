@@ -267,9 +267,31 @@ def whole_range(suffix: int, before: int, length: int, gram: int) -> tuple[int,
     return max(0, length - suffix), min(length - gram, before)
 
 
+#: Bytes of the gram hash before the suffix in a key.
+HEAD = 8
+#: Entries decided together; a gram's entries are never divided.
+TOGETHER = 20_000
+
+
+def by_grams(merged: Iterator[tuple[int, tuple]], gram: int, least: int = TOGETHER) -> Iterator[list[tuple[int, tuple]]]:
+    """The merged entries in lists of at least ``least``, cut where a new gram begins."""
+    held: list[tuple[int, tuple]] = []
+    for n, entry in merged:
+        if len(held) >= least and n < HEAD + gram:
+            yield held
+            held = []
+        held.append((n if held else 0, entry))
+    if held:
+        yield held
+
+
 def decide(merged: Iterator[tuple[int, tuple]], length: int, gram: int) -> Iterator[tuple[int, int, int]]:
     """(uid, start, end) of the covered bytes around the entries of one key range, in merged order."""
-    head = 8  # bytes of the gram hash before the suffix
+    for part in by_grams(merged, gram):
+        yield from decide_part(part, length, gram)
+
+
+def decide_part(merged: list[tuple[int, tuple]], length: int, gram: int) -> Iterator[tuple[int, int, int]]:
     texts: list[tuple[bytes, bytes]] = []
     places: list[list[tuple[int, int]]] = []
     counts: list[int] = []
@@ -277,9 +299,7 @@ def decide(merged: Iterator[tuple[int, tuple]], length: int, gram: int) -> Itera
     same: dict[bytes, int] = {}  # text before, of the entries with the last key
     least = 0
     for n, (key, before, uid, place, count) in merged:
-        if texts and n == len(key) == len(texts[-1][0]):
-            pass
-        else:
+        if not (texts and n == len(key) == len(texts[-1][0])):
             same.clear()
         least = min(least, n)
         k = same.get(before)
@@ -295,7 +315,7 @@ def decide(merged: Iterator[tuple[int, tuple]], length: int, gram: int) -> Itera
             places[k].append((uid, place))
     if not texts:
         return
-    lcp, counts_, sizes = np.array(share) - head, np.array(counts), np.array([len(k) - head for k, _ in texts])
+    lcp, counts_, sizes = np.array(share) - HEAD, np.array(counts), np.array([len(k) - HEAD for k, _ in texts])
     befores = np.array([len(b) for _, b in texts])
     # entries found twice with the same surroundings
     for k in np.flatnonzero(counts_ >= 2).tolist():
@@ -304,7 +324,7 @@ def decide(merged: Iterator[tuple[int, tuple]], length: int, gram: int) -> Itera
             for uid, place in places[k]:
                 yield uid, *span(place, first, last, length)
     # of the others, those whose gram has other surroundings too
-    lcp[0] = -head
+    lcp[0] = -HEAD
     near = lcp >= gram
     shared = near | np.append(near[1:], False)
     lcp = np.where(near, lcp, -1)
@@ -357,7 +377,7 @@ def coverage(hits: DataFrame, buckets: int, length: int = LENGTH, gram: int = GR
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(fields)], [f for f, _ in fields])
 
         def settle(uid: int, place: int, key: bytes, before: bytes):
-            first, last = whole_range(len(key) - 8, len(before), length, gram)
+            first, last = whole_range(len(key) - HEAD, len(before), length, gram)
             if first <= last:
                 settled.append((uid, *span(place, first, last, length)))
 
@@ -406,27 +426,31 @@ def coverage(hits: DataFrame, buckets: int, length: int = LENGTH, gram: int = GR
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "uid long, start long, end long")
 
 
+def owned_windows(text: bytes, ats: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and two hashes of every window of ``text`` whose anchor is one of ``ats``."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))]
+    low = np.uint64((1 << 21) - 1)
+    for at in range(0, max(0, len(text) - length + 1), SLICE - length + 1):
+        x = np.frombuffer(text, dtype=np.uint8)[at : at + SLICE]
+        if len(x) < length:
+            break
+        h = gram_hashes(x, gram)
+        owner = (window_minima((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & low).astype(np.int64) + at
+        own = np.flatnonzero(np.isin(owner, ats))
+        found.append((own + at, gram_hashes(x, length)[own], gram_hashes(x ^ np.uint8(0x5A), length)[own]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
 def hot_coverage(hits: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """As ``coverage``, for grams too frequent for one task: every window around an anchor is counted by its hashes."""
+    """As ``coverage``, for grams too frequent for one task: every window with such an anchor is counted by its hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uid, text, ats, _ in zip(*b.columns):
-                uid, text, rows = uid.as_py(), text.as_py(), []
-                for at in ats.as_py():
-                    suffix, before = surroundings(text, at, length, gram)
-                    first, last = whole_range(len(suffix), len(before), length, gram)
-                    if first <= last:
-                        near = np.frombuffer(text[at - last : at + length - first], dtype=np.uint8)
-                        a, c = gram_hashes(near, length), gram_hashes(near ^ np.uint8(0x5A), length)
-                        rows.append((np.arange(last, first - 1, -1), np.full(len(a), at), a, c))
-                if rows:
-                    x, at, a, c = (np.concatenate([r[k] for r in rows]) for k in range(4))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), uid)), pa.array(at), pa.array(x), pa.array(a.view(np.int64)),
-                                                      pa.array(c.view(np.int64))], ["uid", "at", "x", "a", "c"])
-
-    windows = materialize(hits.mapInArrow(run, "uid long, at long, x long, a long, c long"), "hot-windows")
-    # anchors share windows; a window counts once
-    windows = windows.select("uid", (F.col("at") - F.col("x")).alias("start"), "a", "c").distinct()
+                start, a, c = owned_windows(text.as_py(), np.array(ats.as_py()), length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), uid.as_py())), pa.array(start), pa.array(a.view(np.int64)),
+                                                  pa.array(c.view(np.int64))], ["uid", "start", "a", "c"])
+
+    windows = materialize(hits.mapInArrow(run, "uid long, start long, a long, c long"), "hot-windows")
     twice = materialize(windows.groupBy("a", "c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("p"), F.col("c").alias("q")), "hot-twice")
     hit = windows.join(twice, (F.col("a") == F.col("p")) & (F.col("c") == F.col("q")), "left_semi")
     return hit.select("uid", "start", (F.col("start") + length).alias("end"))
