@@ -386,7 +386,8 @@ def coverage(hits: DataFrame, buckets: int, length: int = LENGTH, gram: int = GR
                 uid, text = uid.as_py(), text.as_py()
                 for at, h in zip(ats.as_py(), hs.as_py()):
                     suffix, before = surroundings(text, at, length, gram)
-                    key = (h & _M).to_bytes(8) + suffix
+                    # anchors have small hashes; multiplied, they spread over the key range
+                    key = (h * _BASE & _M).to_bytes(8) + suffix
                     held = seen.get((key, before))
                     if held is None:
                         seen[key, before] = [uid, at, 1]
