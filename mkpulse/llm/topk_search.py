@@ -56,8 +56,10 @@ def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
                 x[i, : len(v)] = v
             ids = np.array([i for i, _ in rows], dtype="<i8")
             high, low = (f(initial=0, axis=0) if dim == 0 else f(axis=0) for f in (x.max, x.min))
-            return pa.RecordBatch.from_pydict({"n": [len(rows)], "dim": [dim], "ids": [ids.tobytes()], "x": [x.tobytes()],
-                                               "high": [high.tobytes()], "low": [low.tobytes()]})
+            # in the narrowest whole numbers that hold the block's values
+            width = next(w for w in (1, 2, 4, 8) if x.size == 0 or -(1 << 8 * w - 1) <= low.min() and high.max() < 1 << 8 * w - 1)
+            x, high, low = (m.astype(f"<i{width}").tobytes() for m in (x, high, low))
+            return pa.RecordBatch.from_pydict({"n": [len(rows)], "dim": [dim], "width": [width], "ids": [ids.tobytes()], "x": [x], "high": [high], "low": [low]})
 
         for b in batches:
             held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
@@ -67,12 +69,12 @@ def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
         if held:
             yield cut(held)
 
-    return vectors.mapInArrow(run, "n long, dim long, ids binary, x binary, high binary, low binary")
+    return vectors.mapInArrow(run, "n long, dim long, width long, ids binary, x binary, high binary, low binary")
 
 
 def _matrix(b, dim: int, col: str = "x") -> np.ndarray:
     out = np.zeros((b.n if col == "x" else 1, dim), dtype=np.int64)
-    out[:, : b.dim] = np.frombuffer(getattr(b, col), dtype="<i8").reshape(len(out), b.dim)
+    out[:, : b.dim] = np.frombuffer(getattr(b, col), dtype=f"<i{b.width}").reshape(len(out), b.dim)
     return out
 
 

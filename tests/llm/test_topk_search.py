@@ -57,7 +57,7 @@ def test_bounds_prune_blocks():
     x = np.floor(np.concatenate([c + rng.normal(0, 1, (64, 16)) for c in centers])).astype("<i8")
 
     def block(rows, at):
-        return {"n": len(rows), "dim": 16, "ids": np.arange(at, at + len(rows), dtype="<i8").tobytes(), "x": rows.tobytes(),
+        return {"n": len(rows), "dim": 16, "width": 8, "ids": np.arange(at, at + len(rows), dtype="<i8").tobytes(), "x": rows.tobytes(),
                 "high": rows.max(0).tobytes(), "low": rows.min(0).tobytes()}
 
     group = pd.DataFrame([block(x[k : k + 64], k) for k in range(0, len(x), 64)])
