@@ -5,8 +5,10 @@ page headers, footers, sidebars, notices, adverts, forms, scripts, comments;
 by tag, role, class or id) are left out. What no mark shows is found in Spark:
 the subtrees of the remaining elements are hashed, the pages of each host that
 hold a subtree are counted, and subtrees recurring across many pages of that
-host are deleted. Inside an ``article`` or ``main`` element prose (paragraphs,
-headings, list items, quotations) is never deleted: a sentence may recur.
+host are deleted. Inside an ``article`` or ``main`` element a sentence may
+recur, so prose (paragraphs, headings, list items, quotations) goes only if half
+of the host's pages, or of those in one leading path section of it, hold it;
+table cells go with their row.
 
 Only hashes are shuffled to count; a page is parsed again when its text is
 written, and joined with the hashes to delete, if it has any.
@@ -25,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,8 @@ from mkpulse.llm.url_filter import host_and_path
 
 #: A subtree is template if at least this many pages and this share of the host's pages hold it.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: Prose inside a landmark, of the pages of the host or of one leading path section of it.
+PROSE_PAGES, PROSE_SHARE = 20, 0.5
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?|<[!?/][^>]*+>?""", re.S)
 MARKS = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -41,6 +45,7 @@ MARKS = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th caption figcaption".split())
+CELLS = frozenset("td th".split())
 BLOCK = PROSE | frozenset("address article aside body center details dialog div dl fieldset figure footer form header hgroup hr html legend "
                           "main menu nav ol option section summary table tbody tfoot thead tr ul".split())
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas audio video nav footer aside form button select "
@@ -194,9 +199,11 @@ def outline(html: str) -> list[tuple[str, tuple[int, ...]]]:
                 buffer.append(" ")
             elif kept(k):
                 own = hashes
-                # prose of an article is its own; everything else may be template
-                if k.tag in BLOCK and k.tag != "body" and not (landmark and k.tag in PROSE):
-                    own = (*hashes, int.from_bytes(digest(k), "little", signed=True))
+                # a table's cells may hold the same figure on every page
+                if k.tag in BLOCK and k.tag != "body" and not (landmark and k.tag in CELLS):
+                    # the lowest bit tells prose of an article, which may recur, from the rest
+                    prose = landmark and k.tag in PROSE
+                    own = (*hashes, int.from_bytes(digest(k), "little", signed=True) & ~1 | prose)
                 if k.tag in BLOCK:
                     flush(hashes)
                     walk(k, own)
@@ -217,23 +224,37 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     """Per page content with something to delete: ``content`` (md5 of url and html) and ``template``, the hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted({h for _, hashes in outline(x.as_py() or "") for h in hashes}) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["host", "content", "hashes"])
-
-    host, _ = host_and_path(F.col(url))
-    held = pages.select(host.alias("host"), content(F.col(url), F.col(html)).alias("content"), F.col(html).alias("html"))
-    held = materialize(held.mapInArrow(run, "host string, content string, hashes array<long>"), "page-hashes")
-    # a content once for its host; the copies fall together before the shuffle
-    seen = held.select("host", "content", F.explode("hashes").alias("hash")).distinct()
-    pages_of = held.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "h")
-    often = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = often.join(pages_of, F.col("host") == F.col("h")).where(F.col("n") >= min_share * F.col("pages")).select(
-        F.col("host").alias("h"), F.col("hash").alias("x"))
-    often = materialize(often, "page-templates")
-    hit = seen.join(often, (F.col("host") == F.col("h")) & (F.col("hash") == F.col("x")), "left_semi")
+            found = [sorted({h for _, hashes in outline(x.as_py() or "") for h in hashes}) for x in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["host", "section", "content", "page", "hashes"])
+
+    host, section = place(F.col(url))
+    held = pages.select(host.alias("host"), section.alias("section"), content(F.col(url), F.col(html)).alias("content"),
+                        F.xxhash64(F.col(url), F.col(html)).alias("page"), F.col(html).alias("html"))
+    held = materialize(held.mapInArrow(run, "host string, section string, content string, page long, hashes array<long>"), "page-hashes")
+
+    def recurring(keys: list[str], least: int, share: float, strict: bool) -> DataFrame:
+        # a content once for its host or section; the copies fall together before the hashes are counted
+        once = held.dropDuplicates([*keys, "page"])
+        pages_of = once.groupBy(*keys).agg(F.count("*").alias("pages"))
+        often = once.select(*keys, F.explode("hashes").alias("hash")).where(F.col("hash").bitwiseAND(F.lit(1)) == int(strict))
+        often = often.groupBy(*keys, "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        often = often.join(pages_of, keys).where(F.col("n") >= share * F.col("pages"))
+        return often.select("host", (F.col("section") if "section" in keys else F.lit(None).cast("string")).alias("section"), "hash")
+
+    often = recurring(["host"], min_pages, min_share, False).unionByName(recurring(["host"], PROSE_PAGES, PROSE_SHARE, True))
+    often = often.unionByName(recurring(["host", "section"], PROSE_PAGES, PROSE_SHARE, True))
+    often = materialize(often.toDF("h", "s", "x"), "page-templates")
+    seen = held.dropDuplicates(["content"]).select("host", "section", "content", F.explode("hashes").alias("hash"))
+    hit = seen.join(often, (F.col("host") == F.col("h")) & (F.col("hash") == F.col("x")) & F.coalesce(F.col("section") == F.col("s"), F.lit(True)), "left_semi")
     return materialize(hit.groupBy("content").agg(F.collect_set("hash").alias("template")), "page-deletions")
 
 
+def place(url: Column) -> tuple[Column, Column]:
+    """Host, and the first folder of the path (empty if there is none)."""
+    host, path = host_and_path(url)
+    return host, F.regexp_extract(path, "^/+([^/]+)/", 1)
+
+
 def content(url, html):
     return F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), url), F.lit("")), F.coalesce(F.concat(F.lit("="), html), F.lit(""))))
 

@@ -73,3 +73,12 @@ def test_edge_rows(spark):
     got = H.extract(clashing(pages)).collect()
     assert sorted((r.row.page_id or 0, r.text) for r in got) == [(0, ""), (1, ""), (1, ""), (2, "t")]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_prose_on_every_page_of_a_host_goes(spark):
+    pages = site(30, lambda i: f"<article><h1>Title {i}</h1><p>Text {i}</p><p>Order our new book today.</p>{'<p>Twice told.</p>' if i % 3 == 0 else ''}"
+                 f"<table><tr><td>{i}<td>0</table></article>")
+    pages += [(100 + i, f"http://h.com/{'news' if i < 30 else 'blog'}/{i}", f"<article><p>Item {i}</p>{'<p>News by mail.</p>' if i < 30 else ''}</article>") for i in range(90)]
+    got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u.replace("h.com", "a.com") if i < 100 else u, h) for i, u, h in pages], SCHEMA)).collect()}
+    assert got[3] == "Title 3\n\nText 3\n\nTwice told.\n\n3\n\n0"
+    assert got[105] == "Item 5" and got[185] == "Item 85"
