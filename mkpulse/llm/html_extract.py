@@ -138,33 +138,62 @@ def text_length(node: Node) -> int:
     return sum(len(k.strip()) if isinstance(k, str) else 0 if k.tag in DROPPED else text_length(k) for k in node.kids)
 
 
-def main_root(root: Node) -> tuple[Node, bool]:
-    """The longest article, else the longest main element, else the page; and whether it is such a landmark.
-
-    Articles in lists of comments or related pages do not count.
+def titled(node: Node) -> bool:
+    """Whether the element is or holds an h1."""
+    nodes = [node]
+    while nodes:
+        n = nodes.pop()
+        if n.tag == "h1":
+            return True
+        nodes += [k for k in n.kids if not isinstance(k, str)]
+    return False
+
+
+def main_roots(root: Node) -> tuple[list[Node], bool]:
+    """The articles and main elements of a page in page order, else the page; and whether they are such landmarks.
+
+    Those in lists of comments or related pages, and empty ones, do not count. A main element stands for the articles
+    in it unless these hold most of its text. Where no article has an ``h1``, those beside them count too.
     """
-    found: list[tuple[int, int, tuple[Node, ...]]] = []
-
-    def walk(node: Node, path: tuple[Node, ...]):
-        path = (*path, node)
-        if node.tag in ("article", "main") or 'role="main"' in node.attrs:
-            if not any(talk(n) for n in path):
-                found.append((node.tag == "article", text_length(node), path))
-        for k in node.kids:
-            if not isinstance(k, str) and k.tag not in DROPPED:
-                walk(k, path)
-
-    walk(root, ())
+    lengths: dict[int, int] = {}
+
+    def length(node: Node) -> int:
+        if id(node) not in lengths:
+            lengths[id(node)] = sum(len(k.strip()) if isinstance(k, str) else 0 if k.tag in DROPPED else length(k) for k in node.kids)
+        return lengths[id(node)]
+
+    def walk(node: Node) -> list[Node]:
+        if talk(node):
+            return []
+        main = node.tag == "main" or 'role="main"' in node.attrs
+        if (main or node.tag == "article") and not length(node):
+            return []
+        if node.tag == "article":
+            return [node]
+        found = [n for k in node.kids if not isinstance(k, str) and k.tag not in DROPPED for n in walk(k)]
+        return [node] if main and 2 * sum(map(length, found)) <= length(node) else found
+
+    def with_titles(node: Node) -> list[Node]:
+        if node.tag == "h1" or id(node) in landmarks:
+            return [node]
+        return [n for k in node.kids if not isinstance(k, str) and k.tag not in DROPPED and not marked(k) for n in with_titles(k)]
+
+    found = walk(root)
     if not found:
-        return root, False
-    return max(found, key=lambda f: f[:2])[2][-1], True
+        return [root], False
+    if any(titled(n) for n in found):
+        return found, True
+    landmarks = {id(n) for n in found}
+    with_h1 = with_titles(root)
+    # a mark around a landmark hides the titles there, never the landmark
+    return (with_h1 if landmarks <= {id(n) for n in with_h1} else found), True
 
 
 def outline(html: str) -> list[tuple[str, tuple[int, ...]]]:
     """The blocks of the main text in page order: text, and the hashes of the subtrees that may be template around it."""
     blocks: list[tuple[str, tuple[int, ...]]] = []
-    start, landmark = main_root(parse(html))
-    total = 0 if landmark else text_length(start)
+    starts, landmark = main_roots(parse(html))
+    total = 0 if landmark else text_length(starts[0])
     buffer: list[str] = []
     digests: dict[int, bytes] = {}
 
@@ -211,8 +240,15 @@ def outline(html: str) -> list[tuple[str, tuple[int, ...]]]:
                 else:
                     walk(k, own)
 
-    walk(start, ())
-    flush(())
+    for start in starts:
+        if landmark and start.tag == "h1":
+            # a title beside the landmarks may be the site's own
+            own = (int.from_bytes(digest(start), "little", signed=True) & ~1,)
+            walk(start, own)
+            flush(own)
+        else:
+            walk(start, ())
+            flush(())
     return blocks
 
 

@@ -82,3 +82,26 @@ def test_prose_on_every_page_of_a_host_goes(spark):
     got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame([(i, u.replace("h.com", "a.com") if i < 100 else u, h) for i, u, h in pages], SCHEMA)).collect()}
     assert got[3] == "Title 3\n\nText 3\n\nTwice told.\n\n3\n\n0"
     assert got[105] == "Item 5" and got[185] == "Item 85"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<main><h1>T</h1><p>The long text of the page.</p><article class=card>teaser</article></main>", "T\n\nThe long text of the page.\n\nteaser"),
+    ("<article></article><p>Text</p>", "Text"), ("<main><p>Text</p><article> </article></main>", "Text"),
+    ("<article><p>One, longer</p></article><div>x</div><article><p>Two</p></article>", "One, longer\n\nTwo"),
+    ("<div><h1>T</h1><p>x</p><article><p>Text</p></article></div>", "T\n\nText"),
+    ("<main><h1>T</h1><div>by</div><article><p>The long text</p></article></main>", "T\n\nThe long text"),
+    ("<nav><h1>Site</h1></nav><h1>Site</h1><article><h1>T</h1><p>Text</p></article>", "T\n\nText"),
+    ("<main><p>Of the main</p></main><article><p>Beside</p></article>", "Of the main\n\nBeside"),
+])
+def test_landmarks(page, text):
+    assert H.main_text(page) == text
+
+
+def test_a_sites_own_title_beside_articles_goes(spark):
+    pages = site(12, lambda i: f"<h1>Our site</h1><article><p>Text {i}</p></article>")
+    got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got[5] == "Text 5"
+
+
+def test_deep_landmarks():
+    assert H.main_text("<main><article>" + "<div>" * 30_000 + "x") == H.main_text("<main>" * 30_000 + "x") == "x"
