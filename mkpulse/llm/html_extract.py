@@ -2,7 +2,9 @@
 
 Every page is parsed into elements. Elements that say what they are (menus,
 page headers, footers, sidebars, notices, adverts, forms, scripts, comments;
-by tag, role, class or id) are left out. What no mark shows is found in Spark:
+by tag, role, class or id) are left out; inside an ``article`` or ``main`` a class
+or id other than that of comments does so only for elements made of links.
+What no mark shows is found in Spark:
 the subtrees of the remaining elements are hashed, the pages of each host that
 hold a subtree are counted, and subtrees recurring across many pages of that
 host are deleted. Inside an ``article`` or ``main`` element a sentence may
@@ -40,7 +42,7 @@ MIN_PAGES, MIN_SHARE = 5, 0.2
 PROSE_PAGES, PROSE_SHARE = 20, 0.5
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?|<[!?/][^>]*+>?""", re.S)
-MARKS = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -55,7 +57,15 @@ DROPPED_MARKS = frozenset("ad ads advert adverts advertisement advertising adsen
                           "notice notices popup modal newsletter subscribe subscription sidebar menu navbar nav navigation breadcrumb breadcrumbs "
                           "pagination pager footer header masthead topbar toolbar share sharing social related recommended comments comment "
                           "respond replies disqus login signup search skip banner".split())
-TALK = frozenset("comment comments respond replies disqus related recommended".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that also name the head of an article, which holds its title.
+HEADS = frozenset("header masthead".split())
+#: Whole names of lists of comments, and of links to other pages.
+LISTS = r"(?:[-_]?(?:list|area|section|thread|form|body|posts?|articles?|stories|items?|links|pages|content|box|block|wrap|wrapper|container))*"
+COMMENTS = re.compile(rf"(?:.*[-_])?(?:comments?|respond|replies|disqus){LISTS}")
+TALK = re.compile(rf"(?:.*[-_])?(?:comments?|respond|replies|disqus|related|recommended){LISTS}")
+#: Inside a landmark, a class or id marks an element with at least this share of its text in links.
+LINK_SHARE = 0.5
 #: Elements are nested at most so deep; deeper ones count as their parent's content.
 DEEPEST = 400
 #: An opening tag closes the nearest open element of these names, unless one of the second names is open inside.
@@ -118,20 +128,40 @@ def parse(html: str) -> Node:
     return root
 
 
-def marks(node: Node) -> Iterator[tuple[str, list[str]]]:
-    for name, a, b, c in MARKS.findall(node.attrs):
-        yield name.lower(), re.split(r"[^a-z0-9]+", (a or b or c).lower())
+def attributes(node: Node) -> dict[str, str]:
+    return {name.lower(): (a or b or c).lower() for name, a, b, c in reversed(ATTRIBUTE.findall(node.attrs))}  # the first of a name holds
 
 
-def marked(node: Node) -> bool:
-    """Whether role, class, id or hidden say that the element is no main text."""
-    return bool(node.attrs) and any(name == "hidden" or not (DROPPED_ROLES if name == "role" else DROPPED_MARKS).isdisjoint(words)
-                                    for name, words in marks(node))
+def hidden(node: Node) -> bool:
+    """Whether the role or the attribute hidden say that the element is no main text."""
+    if not node.attrs:
+        return False
+    found = attributes(node)
+    return "hidden" in found or not DROPPED_ROLES.isdisjoint(found.get("role", "").split())
 
 
-def talk(node: Node) -> bool:
+def named(node: Node) -> bool:
+    """Whether class or id hint that the element is no main text. Headings, and sections by their id, are named after what they tell."""
+    if not node.attrs or node.tag in HEADINGS:
+        return False
+    found = attributes(node)
+    own = found.get("id", "").strip()
+    words = set(re.split(r"[^a-z0-9]+", found.get("class", "")))
+    words |= {own} if node.tag == "section" else set(re.split(r"[^a-z0-9]+", own))
+    words &= DROPPED_MARKS
+    return bool(words) and (not words <= HEADS or not titled(node))
+
+
+def talk(node: Node, names: re.Pattern = TALK) -> bool:
     """Whether class or id say that the element holds comments or links to other pages."""
-    return bool(node.attrs) and any(name in ("class", "id") and not TALK.isdisjoint(words) for name, words in marks(node))
+    if not node.attrs or node.tag == "body" or node.tag in HEADINGS:
+        return False
+    found = attributes(node)
+    return any(names.fullmatch(x) for x in [*found.get("class", "").split(), found.get("id", "").strip()])
+
+
+def link_length(node: Node) -> int:
+    return sum(0 if isinstance(k, str) or k.tag in DROPPED else text_length(k) if k.tag == "a" else link_length(k) for k in node.kids)
 
 
 def text_length(node: Node) -> int:
@@ -165,7 +195,7 @@ def main_roots(root: Node) -> tuple[list[Node], bool]:
     def walk(node: Node) -> list[Node]:
         if talk(node):
             return []
-        main = node.tag == "main" or 'role="main"' in node.attrs
+        main = node.tag == "main" or "main" in attributes(node).get("role", "").split()
         if (main or node.tag == "article") and not length(node):
             return []
         if node.tag == "article":
@@ -176,7 +206,7 @@ def main_roots(root: Node) -> tuple[list[Node], bool]:
     def with_titles(node: Node) -> list[Node]:
         if node.tag == "h1" or id(node) in landmarks:
             return [node]
-        return [n for k in node.kids if not isinstance(k, str) and k.tag not in DROPPED and not marked(k) for n in with_titles(k)]
+        return [n for k in node.kids if not isinstance(k, str) and k.tag not in DROPPED and not hidden(k) and not named(k) for n in with_titles(k)]
 
     found = walk(root)
     if not found:
@@ -206,8 +236,13 @@ def outline(html: str) -> list[tuple[str, tuple[int, ...]]]:
     def kept(node: Node) -> bool:
         if node.tag in DROPPED or node.tag == "header" and not landmark:
             return False
+        if node.tag == "body":
+            return True
+        if landmark:
+            # a name alone marks comments; it needs links to mark others, or the counts
+            return not hidden(node) and not talk(node, COMMENTS) and not (named(node) and link_length(node) >= LINK_SHARE * max(1, text_length(node)))
         # a page's wrapper may be named after what it also holds ("with-sidebar")
-        return not marked(node) or node.tag == "body" or not landmark and not talk(node) and 2 * text_length(node) > total
+        return not hidden(node) and not named(node) and not talk(node) or not talk(node) and 2 * text_length(node) > total
 
     def digest(node: Node) -> bytes:
         if id(node) not in digests:
@@ -231,7 +266,7 @@ def outline(html: str) -> list[tuple[str, tuple[int, ...]]]:
                 # a table's cells may hold the same figure on every page
                 if k.tag in BLOCK and k.tag != "body" and not (landmark and k.tag in CELLS):
                     # the lowest bit tells prose of an article, which may recur, from the rest
-                    prose = landmark and k.tag in PROSE
+                    prose = landmark and k.tag in PROSE and not named(k)
                     own = (*hashes, int.from_bytes(digest(k), "little", signed=True) & ~1 | prose)
                 if k.tag in BLOCK:
                     flush(hashes)

@@ -105,3 +105,21 @@ def test_a_sites_own_title_beside_articles_goes(spark):
 
 def test_deep_landmarks():
     assert H.main_text("<main><article>" + "<div>" * 30_000 + "x") == H.main_text("<main>" * 30_000 + "x") == "x"
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><p style="overflow:hidden">a</p><p aria-hidden="false">b</p><p title="a hidden gem">c</p><p hidden>d</p><p HIDDEN="">e</p></article>', "a\n\nb\n\nc"),
+    ('<div><p style="overflow:hidden">a</p><p data-x="class=ad">b</p><p hidden>c</p></div>', "a\n\nb"),
+    ('<article><h2 id="search">Search</h2><section id="related-work">Work</section><div class="entry-header"><h1>T</h1></div></article>', "Search\n\nWork\n\nT"),
+    ('<div class="entry-header"><h1>T</h1></div><h2 id="search">Search</h2><section id="related-work">Work</section>', "T\n\nSearch\n\nWork"),
+    ('<article><p>x</p><div class="share"><a>Tell</a> all</div><div class="share">of the market</div></article>', "x\n\nof the market"),
+    ('<body class="comments-open"><div role=main><p>x</p><div class="comments-area">y</div></div><p>z</p></body>', "x"),
+])
+def test_names_inside_and_outside_landmarks(page, text):
+    assert H.main_text(page) == text
+
+
+def test_counts_confirm_names_inside_landmarks(spark):
+    pages = site(12, lambda i: f"<article><p>Text {i}</p><p class=notice>We use cookies.</p></article>")
+    got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame([*pages, (20, "http://b.com/", pages[0][2])], SCHEMA)).collect()}
+    assert got[5] == "Text 5" and got[20] == "Text 0\n\nWe use cookies."
