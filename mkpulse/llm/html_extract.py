@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from mkpulse.llm.common import materialize, packed
 from mkpulse.llm.url_filter import host_and_path
 
-#: A subtree is template if at least this many pages and this share of the host's pages hold it.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is template if at least this many pages and this share of the host's pages hold it,
+#: or this many pages that differ in their html, however many the host has.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 20
 #: Prose inside a landmark, of the pages of the host or of one leading path section of it.
 PROSE_PAGES, PROSE_SHARE = 20, 0.5
 
@@ -291,29 +292,36 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
     return "\n\n".join(t for t, hashes in outline(html) if template.isdisjoint(hashes))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+              many_pages: int = MANY_PAGES) -> DataFrame:
     """Per page content with something to delete: ``content`` (md5 of url and html) and ``template``, the hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted({h for _, hashes in outline(x.as_py() or "") for h in hashes}) for x in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["host", "section", "content", "page", "hashes"])
+            found = [sorted({h for _, hashes in outline(x.as_py() or "") for h in hashes}) for x in b.column(5)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(found, pa.list_(pa.int64()))],
+                                             ["host", "section", "content", "page", "body", "hashes"])
 
     host, section = place(F.col(url))
     held = pages.select(host.alias("host"), section.alias("section"), content(F.col(url), F.col(html)).alias("content"),
-                        F.xxhash64(F.col(url), F.col(html)).alias("page"), F.col(html).alias("html"))
-    held = materialize(held.mapInArrow(run, "host string, section string, content string, page long, hashes array<long>"), "page-hashes")
+                        F.xxhash64(F.col(url), F.col(html)).alias("page"), F.xxhash64(F.col(html)).alias("body"), F.col(html).alias("html"))
+    held = materialize(held.mapInArrow(run, "host string, section string, content string, page long, body long, hashes array<long>"), "page-hashes")
+
+    def counted(once: DataFrame, keys: list[str], strict: bool, least: int) -> DataFrame:
+        often = once.select(*keys, F.explode("hashes").alias("hash")).where(F.col("hash").bitwiseAND(F.lit(1)) == int(strict))
+        return often.groupBy(*keys, "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
     def recurring(keys: list[str], least: int, share: float, strict: bool) -> DataFrame:
         # a content once for its host or section; the copies fall together before the hashes are counted
         once = held.dropDuplicates([*keys, "page"])
         pages_of = once.groupBy(*keys).agg(F.count("*").alias("pages"))
-        often = once.select(*keys, F.explode("hashes").alias("hash")).where(F.col("hash").bitwiseAND(F.lit(1)) == int(strict))
-        often = often.groupBy(*keys, "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        often = often.join(pages_of, keys).where(F.col("n") >= share * F.col("pages"))
+        often = counted(once, keys, strict, least).join(pages_of, keys).where(F.col("n") >= share * F.col("pages"))
         return often.select("host", (F.col("section") if "section" in keys else F.lit(None).cast("string")).alias("section"), "hash")
 
     often = recurring(["host"], min_pages, min_share, False).unionByName(recurring(["host"], PROSE_PAGES, PROSE_SHARE, True))
     often = often.unionByName(recurring(["host", "section"], PROSE_PAGES, PROSE_SHARE, True))
+    # copies under other addresses make no template of a page's own text, so many pages differ in their html
+    many = counted(held.dropDuplicates(["host", "body"]), ["host"], False, many_pages)
+    often = often.unionByName(many.select("host", F.lit(None).cast("string").alias("section"), "hash")).distinct()
     often = materialize(often.toDF("h", "s", "x"), "page-templates")
     seen = held.dropDuplicates(["content"]).select("host", "section", "content", F.explode("hashes").alias("hash"))
     hit = seen.join(often, (F.col("host") == F.col("h")) & (F.col("hash") == F.col("x")) & F.coalesce(F.col("section") == F.col("s"), F.lit(True)), "left_semi")
@@ -330,9 +338,10 @@ def content(url, html):
     return F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), url), F.lit("")), F.coalesce(F.concat(F.lit("="), html), F.lit(""))))
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+            many_pages: int = MANY_PAGES) -> DataFrame:
     """``row`` (without the html) and ``text`` of every page."""
-    deletions = templates(pages, url, html, min_pages, min_share).withColumnRenamed("content", "k")
+    deletions = templates(pages, url, html, min_pages, min_share, many_pages).withColumnRenamed("content", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

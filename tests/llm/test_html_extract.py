@@ -123,3 +123,11 @@ def test_counts_confirm_names_inside_landmarks(spark):
     pages = site(12, lambda i: f"<article><p>Text {i}</p><p class=notice>We use cookies.</p></article>")
     got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame([*pages, (20, "http://b.com/", pages[0][2])], SCHEMA)).collect()}
     assert got[5] == "Text 5" and got[20] == "Text 0\n\nWe use cookies."
+
+
+def test_template_on_many_pages_of_a_large_host_goes(spark):
+    pages = site(400, lambda i: f"<div><p>Text {i}</p></div>{'<div>See our archive</div>' if i % 16 == 0 else ''}")
+    # copies of one page under many addresses are no template of it
+    pages += [(1000 + i, f"http://h.com/copy?{i}", "<div><p>One page, many addresses</p></div>") for i in range(40)]
+    got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got[16] == "Text 16" and got[1003] == "One page, many addresses"
