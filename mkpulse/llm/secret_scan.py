@@ -12,7 +12,9 @@ Fitting reads at most ``SAMPLE`` labelled rows, those with the smallest hash
 over the whole corpus; scanning covers every text in full.
 
 Defined results: null text counts as empty; spans are in code points, end
-exclusive; candidates that overlap a pattern's span are not reported again;
+exclusive; candidates that a pattern's span covers are not reported again,
+those that go on beside one are, whole; a candidate longer than the network's
+window is read in overlapping windows and has the score of the best;
 repeated rows are scanned each; without both labels to learn from, the
 network reports nothing; an empty table gives an empty result; other columns
 stay in ``row`` whatever their names.
@@ -51,7 +53,9 @@ RECALL = 0.98
 CONTEXT, INSIDE = 16, 48
 
 SPAN = "struct<kind:string,start:int,end:int>"
+#: A span has a window or, if it is long, several; label UNKNOWN: holds a pattern's span and more.
 CANDIDATES = "struct<start:int,end:int,label:int,window:string>"
+UNKNOWN = 2
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -67,20 +71,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def window(text: str, start: int, end: int) -> str:
-    """Context, candidate (its two ends, if long) and context, each at fixed places; places without text hold NUL."""
-    inside = text[start:end]
-    if len(inside) > INSIDE:
-        inside = inside[: INSIDE // 2] + inside[-INSIDE // 2 :]
-    return (text[max(0, start - CONTEXT) : start].rjust(CONTEXT, "\0") + inside.ljust(INSIDE, "\0")
+    """Context, at most ``INSIDE`` characters of a candidate, and context, each at fixed places; places without text hold NUL."""
+    return (text[max(0, start - CONTEXT) : start].rjust(CONTEXT, "\0") + text[start:end].ljust(INSIDE, "\0")
             + text[end : end + CONTEXT].ljust(CONTEXT, "\0"))
 
 
+def windows_of(text: str, start: int, end: int) -> list[str]:
+    """The windows of a candidate: each character lies in one at least, each run of ``INSIDE`` / 2 whole in one."""
+    last = max(start, end - INSIDE)
+    return [window(text, s, min(end, s + INSIDE)) for s in [*range(start, last, INSIDE // 2), last]]
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str]]:
-    """(start, end, label, window): every pattern's span (label 1) and every other candidate (label 0)."""
-    found = [(s, e, 1, window(text, s, e)) for _, s, e in base]
+    """(start, end, label, window): every pattern's span (label 1) and every other candidate (label 0, or UNKNOWN
+    where it holds key characters beside a pattern's span)."""
+    found = [(s, e, 1, w) for _, s, e in base for w in windows_of(text, s, e)]
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for _, s, e in base):
-            found.append((m.start(), m.end(), 0, window(text, *m.span())))
+        within = [(s, e) for _, s, e in base if s < m.end() and m.start() < e]
+        at, rest = m.start(), ""
+        for s, e in within:
+            rest += text[at : max(at, s)]
+            at = max(at, e)
+        rest += text[at : m.end()]
+        if any(c.isalnum() for c in rest):
+            found += [(m.start(), m.end(), UNKNOWN if within else 0, w) for w in windows_of(text, *m.span())]
     return found
 
 
@@ -204,7 +218,7 @@ def labelled(extracted: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.
     found = materialize(found, "secret-windows")
     held = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rows = []
-    for label, most in ((0, sample // 2), (1, sample // 4)):
+    for label, most in ((0, sample // 2), (1, sample // 4)):  # UNKNOWN ones teach nothing
         # about twice as many as wanted pass the hash bound, however many partitions there are
         bound = int(-(2**63) + 2**64 * min(1.0, 2 * most / max(1, held.get(label, 0)))) - 1
         rows += found.where((F.col("label") == label) & (F.col("h") <= bound)).orderBy("h", "window").limit(most).collect()
@@ -233,12 +247,13 @@ def report(extracted: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = {k: i for i, k in enumerate((*KINDS, MODEL_KIND))}
         for b in batches:
-            cands = [[c for c in x if not c["label"]] for x in b.column(2).to_pylist()]
+            cands = [[c for c in x if c["label"] != 1] for x in b.column(2).to_pylist()]
             scores = iter(net.score([c["window"] for x in cands for c in x]) if net else ())
             spans = []
             for base, own in zip(b.column(1).to_pylist(), cands):
-                more = [{"kind": MODEL_KIND, "start": c["start"], "end": c["end"]} for c in own if net and next(scores) >= net.threshold]
-                spans.append(sorted(base + more, key=lambda x: (x["start"], order[x["kind"]])))
+                # a candidate is secret if one of its windows is
+                more = {(c["start"], c["end"]) for c in own if net and next(scores) >= net.threshold}
+                spans.append(sorted(base + [{"kind": MODEL_KIND, "start": s, "end": e} for s, e in more], key=lambda x: (x["start"], order[x["kind"]])))
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["row", "spans"])
 

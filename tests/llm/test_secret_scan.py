@@ -112,3 +112,33 @@ def test_empty_table_and_no_labels(spark):
 def test_random_secret_is_fixed():
     w = S.window("before 0123456789abcdefgh after", 7, 25)
     assert S.random_secret(w) == S.random_secret(w) != w and zlib.crc32(w.encode()) and len(S.random_secret(w)) == len(w)
+
+
+def test_long_candidates_are_read_whole():
+    key = "Zq3vT9xKw7LmP2rY8sBn"
+    text = "see /" + "the/path/" * 12 + key + "/and/on" * 12 + " end"
+    found = S.candidates(text, S.base_spans(text))
+    assert len({c[:3] for c in found}) == 1 and any(key in c[3][S.CONTEXT : S.CONTEXT + S.INSIDE] for c in found)
+    assert all(len(c[3]) == 2 * S.CONTEXT + S.INSIDE for c in found)
+    for n in (16, 47, 48, 49, 72, 73, 200):
+        inside = [w[S.CONTEXT : S.CONTEXT + S.INSIDE].rstrip("\0") for w in S.windows_of("x " + "".join(chr(65 + i) for i in range(n)) + " y", 2, 2 + n)]
+        assert {c for w in inside for c in w} == {chr(65 + i) for i in range(n)} and (n > 48 or len(inside) == 1)
+
+
+@pytest.mark.parametrize("text, extra", [
+    ("key AbCdEfGh0123456789abcdefZyXwVuTs end", [(4, 36, S.UNKNOWN)]), ("see 0123456789abcdef0123 end", []), ('token = "0123456789abcdef0123" y', []),
+    ("key 0123456789abcdef== end", []), ("plain abcdefghijklmnopq end", [(6, 23, 0)]),
+])
+def test_candidates_beside_base_spans(text, extra):
+    assert [c[:3] for c in S.candidates(text, S.base_spans(text)) if c[2] != 1] == extra
+
+
+def test_rest_of_a_longer_key_and_keys_in_long_candidates_are_reported(spark):
+    _, rows = corpus(spark)
+    rng = np.random.default_rng(5)
+    mixed = ["".join(rng.choice(list(S.KEY_CHARACTERS), 28)) for _ in range(40)]
+    rows += [(1000 + i, f"key {m[:14]}0123456789abcdef{m[14:]} end") for i, m in enumerate(mixed)]
+    got = {r.row.doc_id: [tuple(s) for s in r.spans] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((S.MODEL_KIND, 4, 48) in got[1000 + i] for i in range(40)) >= 36
+    redacted = S.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000").collect()
+    assert sum(r.text == "key [SECRET] end" for r in redacted) >= 36
