@@ -5,11 +5,14 @@ run of key characters is a candidate; a small convolutional network in numpy
 reads its characters and the text around it. The network is trained on the
 patterns' own findings, on candidates that no pattern reports, and on copies
 of the latter whose run is replaced by random key characters, which are
-labelled secret. Its scores are calibrated on held-back rows, and the
-threshold is the highest one that keeps the wanted recall there.
+labelled secret. Its scores are calibrated on held-back rows. Every finding of
+the patterns in the corpus is then scored, and the threshold is the highest
+one (in fine steps) that keeps the wanted recall of them, and that of the
+held-back rows, which stand for the keys that no pattern finds.
 
-Fitting reads at most ``SAMPLE`` labelled rows, those with the smallest hash
-over the whole corpus; scanning covers every text in full.
+Weights and calibration come from at most ``SAMPLE`` labelled rows, those with
+the smallest hash over the whole corpus; the threshold and the scan cover
+every text in full.
 
 Defined results: null text counts as empty; spans are in code points, end
 exclusive; candidates that a pattern's span covers are not reported again,
@@ -47,8 +50,10 @@ KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 
 #: Most labelled rows the network is fitted on; half secrets, half not.
 SAMPLE = 4000
-#: Least share of labelled secrets that the threshold must keep.
+#: Least share of the corpus's labelled findings that the threshold must keep.
 RECALL = 0.98
+#: Score buckets for the threshold: so many to a unit of the network's output, which counts within the bound.
+BUCKETS, BOUND = 256, 256
 #: Characters of context on either side, and of the candidate.
 CONTEXT, INSIDE = 16, 48
 
@@ -147,12 +152,17 @@ class Network:
         feats = np.concatenate([np.take_along_axis(h, top[:, None, :], 1)[:, 0], h.mean(axis=1), np.ones((n, 1))], axis=1)
         return cols, h, top, feats, feats @ self.out
 
-    def score(self, windows: list[str]) -> np.ndarray:
-        """Calibrated probabilities."""
+    def outputs(self, windows: list[str]) -> np.ndarray:
         parts = [self.forward(self.codes(windows[k : k + 512]))[-1] for k in range(0, len(windows), 512)]
-        z = np.concatenate(parts) if parts else np.empty(0)
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale[0] * z + self.scale[1])))
 
+    def score(self, windows: list[str]) -> np.ndarray:
+        """Calibrated probabilities."""
+        return self.probability(self.outputs(windows))
+
 
 def train(windows: list[str], labels: np.ndarray, epochs: int = 6, filters: int = 24, width: int = 8, seed: int = 7) -> Network:
     """Adam on the log loss; the seed fixes the result."""
@@ -191,7 +201,7 @@ def train(windows: list[str], labels: np.ndarray, epochs: int = 6, filters: int
 
 def calibrate(net: Network, windows: list[str], labels: np.ndarray, recall: float = RECALL) -> Network:
     """Platt scaling on held-back rows, then the highest threshold that keeps ``recall`` of their secrets."""
-    z = np.concatenate([net.forward(Network.codes(windows[k : k + 512]))[-1] for k in range(0, len(windows), 512)])
+    z = net.outputs(windows)
     a, b = 1.0, 0.0
     n1, n0 = labels.sum(), (1 - labels).sum()
     goal = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -229,8 +239,30 @@ def labelled(extracted: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.
     return windows, np.array(labels, dtype=int), np.array([zlib.crc32(w.encode()) % 5 for w in windows], dtype=int)
 
 
+def finding_scores(extracted: DataFrame, net: Network) -> dict[int, int]:
+    """How many of the corpus's labelled findings have their best window's output in each bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owners, windows = [], []
+            for i, cands in enumerate(b.column(0).to_pylist()):
+                for c in cands:
+                    if c["label"] == 1:
+                        owners.append((i, c["start"], c["end"]))
+                        windows.append(c["window"])
+            best: dict[tuple[int, int, int], float] = {}
+            for k, z in zip(owners, net.outputs(windows)):
+                best[k] = max(z, best.get(k, -np.inf))
+            z = np.clip(np.array(list(best.values())), -BOUND, BOUND)
+            buckets, n = np.unique(np.floor(z * BUCKETS).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    found = extracted.select("cands").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return {r.bucket: r.n for r in found.collect()}
+
+
 def fit(extracted: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network | None:
-    """The network: three fifths of the labelled rows train it, one fifth calibrates it, one is held out for tests."""
+    """The network: three fifths of the labelled rows train it, one fifth calibrates it, one is held out for tests;
+    all findings of the corpus bound its threshold."""
     windows, labels, part = labelled(extracted, sample)
 
     def pick(which):
@@ -239,7 +271,16 @@ def fit(extracted: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> N
     (train_w, train_y), (cal_w, cal_y) = pick((0, 1, 2)), pick((3,))
     if min(train_y.sum(), (1 - train_y).sum(), cal_y.sum(), (1 - cal_y).sum()) == 0:
         return None
-    return calibrate(train(train_w, train_y), cal_w, cal_y, recall)
+    net = calibrate(train(train_w, train_y), cal_w, cal_y, recall)
+    counts = finding_scores(extracted, net)
+    total, kept = sum(counts.values()), 0
+    for bucket in sorted(counts, reverse=True):
+        kept += counts[bucket]
+        if kept >= recall * total:
+            own = float(net.probability(np.array(bucket / BUCKETS))) if bucket > -BOUND * BUCKETS else 0.0
+            net.threshold = min(net.threshold, own)
+            break
+    return net
 
 
 def report(extracted: DataFrame, net: Network | None) -> DataFrame:

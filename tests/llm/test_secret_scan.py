@@ -142,3 +142,18 @@ def test_rest_of_a_longer_key_and_keys_in_long_candidates_are_reported(spark):
     assert sum((S.MODEL_KIND, 4, 48) in got[1000 + i] for i in range(40)) >= 36
     redacted = S.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000").collect()
     assert sum(r.text == "key [SECRET] end" for r in redacted) >= 36
+
+
+def test_threshold_keeps_the_recall_of_all_findings(spark, monkeypatch):
+    rows = corpus(spark)[1]
+    rng = np.random.default_rng(6)
+    # rare findings of another kind, fewer than the sample is sure to hold
+    rows += [(2000 + i, 'passwd = "' + "".join(rng.choice(["ing", "the", "tion", "er", "and", "re"], 8)) + '" end') for i in range(12)]
+    found = S.extract(spark.createDataFrame(rows, "doc_id long, text string")).localCheckpoint()
+    net = S.fit(found, sample=400)
+    scores = np.array([max(net.score(S.windows_of(t, s, e))) for _, t in rows for _, s, e in brute(t)])
+    assert np.mean(scores >= net.threshold) >= S.RECALL
+    assert sum(S.finding_scores(found, net).values()) == len(scores)
+    monkeypatch.setattr(S, "finding_scores", lambda *_: {})
+    held_back = S.fit(found, sample=400).threshold
+    assert np.mean(scores >= held_back) < S.RECALL and net.threshold < held_back
