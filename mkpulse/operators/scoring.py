@@ -248,7 +248,7 @@ class KeywordClusters:
         return out.unionByName(keywords.where(~whole), allowMissingColumns=True)
 
 
-def fit_keyword_clusters(keywords: DataFrame, k: int = 5, seed: int = 42, n_init: int = 3,
+def fit_keyword_clusters(keywords: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
                          features: Sequence[str] = ("clicks", "impressions", "ctr", "position"), fit_rows: int = FIT_ROWS) -> KeywordClusters:
     """K-means over z-scaled features and their first two principal
     components, a Spark ML pipeline. Features that the frame lacks are left

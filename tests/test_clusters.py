@@ -42,3 +42,18 @@ def test_all_keywords_are_assigned_beyond_the_fit(spark):
     assert len(top) == 30
 
 
+
+
+def test_best_of_ten_seeds_wins(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    seeds, fit = [], KMeans.fit
+
+    def counted(self, *args, **how):
+        seeds.append(self.getSeed())
+        return fit(self, *args, **how)
+
+    monkeypatch.setattr(KMeans, "fit", counted)
+    rows = [(f"k{i}", i % 7, 10 + i, 0.01 * i, 1.0 + i % 5) for i in range(12)]
+    N.fit_keyword_clusters(spark.createDataFrame(rows, "keyword string, clicks long, impressions long, ctr double, position double"), k=2)
+    assert sorted(seeds) == list(range(42, 52))
