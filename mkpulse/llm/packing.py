@@ -67,11 +67,30 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def whole_encoder(path: str):
+    """``encode(text) -> ids`` as ``tokenizers`` does by default: the file's added tokens in a text become their own ids."""
+    file = json.load(open(path, encoding="utf-8"))
+    added = [t["content"] for t in file.get("added_tokens", [])]
+    fast, own = encoder(path), []
+
+    def encode(text: str) -> list[int]:
+        # a normalizer may make an added token of other characters
+        if not file.get("normalizer") and not any(a in text for a in added):
+            return fast(text)
+        if not own:
+            from tokenizers import Tokenizer
+
+            own.append(Tokenizer.from_file(path))
+        return own[0].encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY,
            end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, the ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = whole_encoder(tokenizer)
         for b in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             kept: list[np.ndarray] = []

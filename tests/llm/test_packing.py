@@ -101,3 +101,13 @@ def test_sequences_hold_the_ids(spark):
 
 def test_empty_table(spark):
     assert P.pack_documents(documents(spark).limit(0), PATH).count() == 0
+
+
+def test_added_tokens_in_a_text_get_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> x", "<|endoftext|><|endoftext|>", "plain", "<|endoftext"]
+    want = [[*Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in P.pieces(docs, PATH, with_ids=True).collect()}
+    assert [got[i] for i in range(4)] == want and want[1] == [50256, 50256, 0]
