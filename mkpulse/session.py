@@ -97,7 +97,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.materialized_at = path
+    return held
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames that :func:`materialize` wrote, once nothing
+    will read them again. Other frames are left alone."""
+    for frame in frames:
+        path = frame.__dict__.pop("materialized_at", None)
+        if path:
+            spark = frame.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Tables:
