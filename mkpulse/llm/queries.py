@@ -6,12 +6,27 @@ operator returns. ``ORACLE`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mkpulse.llm import html_extract, mixing, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, topk_search, url_filter, warc_zstd
+from mkpulse.llm import (
+    centroid_clustering,
+    html_extract,
+    license_scan,
+    mixing,
+    packing,
+    quality_rules,
+    secret_scan,
+    simhash_dedup,
+    suffix_dedup,
+    topk_search,
+    url_filter,
+    warc_zstd,
+    whitening,
+)
 from mkpulse.llm.common import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +190,81 @@ def op3(spark, sf_dir):
 def op9(spark, sf_dir):
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), stable=True)
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_whiten_lanczos")
+def op11(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, scale=1024)
+    # a deviation beyond a long (over some 10^9 rows squared) is null
+    return out.select("row.vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def _license_sql() -> str:
+    t = license_scan.TEMPLATES
+    text = ", ".join(f"({n}, '{x.label}', string_split('{x.text}', ' '))" for n, x in enumerate(t))
+    keys = ", ".join(f"({n}, {license_scan.places(x.text.split(), k.split())[0]}, string_split('{k}', ' '))" for n, x in enumerate(t) for k in x.keys)
+    base = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in license_scan.PHRASES.items())
+    return rf"""WITH tpl(t, label, w) AS (VALUES {text}), kys(t, pl, w) AS (VALUES {keys}), phr(label, w) AS (VALUES {base}),
+src AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+          '{license_scan.WORD}') AS w FROM documents),
+wrd AS (SELECT rid, w[i + 1] AS x, i FROM (SELECT rid, w, unnest(range(len(w))) AS i FROM src)),
+tpw AS (SELECT t, w[i + 1] AS x, i AS pl FROM (SELECT t, w, unnest(range(len(w))) AS i FROM tpl)),
+cnt AS (SELECT x, count(DISTINCT rid) AS n FROM wrd WHERE x IN (SELECT x FROM tpw) GROUP BY x),
+rar AS (SELECT t, x FROM (SELECT t, x, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), x) AS k
+          FROM (SELECT DISTINCT t, x FROM tpw) LEFT JOIN cnt USING (x)) WHERE k <= {license_scan.RARE}),
+pos AS (SELECT t, x, pl, count(*) OVER (PARTITION BY t) AS everything FROM tpw JOIN rar USING (t, x)),
+can AS (SELECT rid, t, i - pl AS o, count(*) AS n, max(everything) AS everything FROM wrd JOIN pos USING (x) GROUP BY rid, t, o HAVING 2 * n >= max(everything)),
+see AS (SELECT can.rid, can.t, o, n, everything, kys.pl, bool_or(o + kys.pl + d >= 0 AND src.w[o + kys.pl + d + 1 : o + kys.pl + d + len(kys.w)] = kys.w) AS ok
+        FROM can JOIN kys USING (t) JOIN src USING (rid), (SELECT unnest(range(-{license_scan.SLACK}, {license_scan.SLACK + 1})) AS d)
+        GROUP BY can.rid, can.t, o, n, everything, kys.pl, kys.w),
+own AS (SELECT rid, label, n / everything AS share FROM (SELECT rid, t, o, any_value(n) AS n, any_value(everything) AS everything FROM see
+          GROUP BY rid, t, o HAVING bool_and(ok)) JOIN tpl USING (t)),
+bas AS (SELECT rid, phr.label, i FROM wrd JOIN phr ON x = phr.w[1] JOIN src USING (rid) WHERE src.w[i + 1 : i + len(phr.w)] = phr.w),
+bsm AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM bas GROUP BY rid),
+alb AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT rid, label FROM bas UNION ALL SELECT rid, label FROM own) GROUP BY rid),
+scr AS (SELECT rid, max(share) AS score FROM own GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(bsm.l, '') AS base_labels,
+       coalesce(alb.l, '') AS labels, coalesce(score, 0.0) AS score
+FROM src LEFT JOIN bsm USING (rid) LEFT JOIN alb USING (rid) LEFT JOIN scr USING (rid)"""
+
+
+@query("op12_license_index", _license_sql())
+def op12(spark, sf_dir):
+    found = license_scan.verdicts(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _clustering_sql(k: int, rounds: int, dim: int, scale: int) -> str:
+    def near(r: int) -> str:
+        return f"""a{r} AS (SELECT rid, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (SELECT v.rid, m.c,
+          CAST(list_inner_product(v.f, v.f) - 2 * list_inner_product(v.f, m.f) + list_inner_product(m.f, m.f) AS BIGINT) AS d
+        FROM v, (SELECT c, e, CAST(e AS DOUBLE[]) AS f FROM c{r}) m) GROUP BY rid)"""
+
+    def move(r: int) -> str:
+        return f"""s{r} AS (SELECT c, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n
+        FROM (SELECT a{r}.c, v.e, unnest(range(1, {dim + 1})) AS i FROM v JOIN a{r} USING (rid)) GROUP BY c, i),
+c{r + 1} AS (SELECT c{r}.c, coalesce(g.e, c{r}.e) AS e FROM c{r} LEFT JOIN
+        (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM s{r} GROUP BY c) g USING (c))"""
+
+    steps = ", ".join(f"{near(r)}, {move(r)}" for r in range(rounds))
+    return f"""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT row_number() OVER () AS rid, vec_id, e, CAST(e AS DOUBLE[]) AS f FROM q),
+c0 AS (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('1:' || vec_id) AS h, e FROM v) ORDER BY h, e LIMIT {k}),
+{steps},
+{near(rounds)},
+g AS (SELECT c, CAST(sum(d) AS BIGINT) AS own FROM a{rounds} GROUP BY c)
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, own AS cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a{rounds}) AS inertia,
+       sha256(array_to_string(m.e, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (rid) JOIN g USING (c) JOIN c{rounds} m USING (c)"""
+
+
+@query("op13_heap_kmeans", _clustering_sql(16, 3, 64, 64))
+def op13(spark, sf_dir):
+    rows, model = centroid_clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=16, rounds=3, dim=64, scale=64)
+    fits = {a: s if s is not None and s < 2**63 else None for a, s in model.inertia.items()}
+    total = model.total if model.total is not None and model.total < 2**63 else None
+    sha = {a: hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for a, c in enumerate(model.centroids)}
+    return rows.select(F.col("id").alias("vec_id"), "cluster", F.expr("try_cast(distance AS BIGINT)").alias("distance"),
+                       centroid_clustering.by_cluster(fits, "long").alias("cluster_inertia"), F.lit(total).cast("long").alias("inertia"),
+                       centroid_clustering.by_cluster(sha, "string").alias("centroid_sha256"))
