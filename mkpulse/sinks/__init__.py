@@ -3,21 +3,36 @@
 Tables are Parquet folders. A write never overwrites the folder it reads:
 new content is written to a swap folder beside the table
 (``<table>.swap-<id>/new``). When it is whole, a ``COMMIT`` file there names
-the folders to exchange; only then are folders renamed, old ones into
-``<table>.swap-<id>/old``. Nothing but data ever lies inside the table
-folder. ``recover`` finishes a committed swap and drops an uncommitted one,
-and every write calls it first. A table partitioned by a column is upserted
-partition by partition: only the partitions that hold the batch's rows or
-keys are read, merged and exchanged.
+the folders to exchange and says of each whether the table had it before and
+whether the new content has it; only then are folders renamed, old ones into
+``<table>.swap-<id>/old``. With all in place ``COMMIT`` becomes ``DONE`` and
+the swap folder is deleted. Nothing but data ever lies inside the table
+folder. ``recover`` carries a committed swap to its end (a folder the write
+made is never taken away again, however often it is repeated) and drops the
+others; every write does so first.
+
+One writer at a time: a write holds ``<table>.lease``, a file that names it
+and that it renews while it lives. A second writer gets :class:`TableBusy`. A
+lease not renewed for ``LEASE_S`` seconds is broken; its writer finds so
+before it commits, or before the next folder it moves, and stops. Where the
+file system creates files atomically (HDFS) the lease is exact.
+
+A stream's progress can be committed with a table: the ``ledger`` given to a
+write is kept in ``<table>.ledger`` and changes in the same commit.
+
+A table partitioned by a column is upserted partition by partition: only the
+partitions that hold the batch's rows or keys are read, merged and exchanged.
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import json
+import threading
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -105,21 +120,118 @@ def _swaps(spark: SparkSession, path: str, mark: str) -> list:
     return [c for c in _children(fs, parent) if c.getName().startswith(p.getName() + mark)] if parent is not None else []
 
 
+#: Seconds after which a lease that was not renewed counts as left by a dead writer.
+LEASE_S = 900
+#: The same for a lease file without a name in it: its writer died between making and filling it.
+HALF_MADE_S = 30
+#: Leases that writes of this process hold: lease file -> writer.
+_held: dict[str, str] = {}
+
+
+class TableBusy(RuntimeError):
+    """Another writer holds the table, or took it over."""
+
+
+def _read(fs, p) -> str | None:
+    if not fs.exists(p):
+        return None
+    src = fs.open(p)
+    try:
+        return bytes(src.readAllBytes()).decode()
+    finally:
+        src.close()
+
+
+def _write(fs, p, text: str, overwrite: bool) -> None:
+    out = fs.create(p, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+class Lease:
+    """The right to write the table at ``path``, renewed by a thread of its own until released."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.fs, p, jvm = _fs(spark, path.rstrip("/") + ".lease")
+        self.file, self.key, self.me = p, p.toString(), f"{spark.sparkContext.applicationId} {uuid.uuid4().hex}"
+        self.path, self.app = path, spark.sparkContext.applicationId
+        self.over = threading.Event()
+
+    def take(self) -> None:
+        held = _read(self.fs, self.file)
+        if held is not None:
+            # of this application but of no living write: its write failed and could not release it
+            orphan = held.split(" ")[0] == self.app and _held.get(self.key) != held
+            age = time.time() - self.fs.getFileStatus(self.file).getModificationTime() / 1000
+            if not orphan and age < (LEASE_S if held else HALF_MADE_S):
+                raise TableBusy(f"{self.path} is being written by {held or 'someone'} (lease renewed {age:.0f} s ago)")
+            self.fs.delete(self.file, False)
+        self.fs.mkdirs(self.file.getParent())
+        try:
+            _write(self.fs, self.file, self.me, overwrite=False)
+        except Exception as e:  # noqa: BLE001 - the file system's own kind: someone was faster
+            raise TableBusy(f"{self.path}: the lease could not be made") from e
+        _held[self.key] = self.me
+        threading.Thread(target=self._renew, daemon=True).start()
+
+    def _renew(self) -> None:
+        while not self.over.wait(LEASE_S / 4):
+            with contextlib.suppress(Exception):  # a lease that cannot be renewed runs out, and the write finds it lost
+                if _read(self.fs, self.file) == self.me:
+                    _write(self.fs, self.file, self.me, overwrite=True)
+
+    def check(self) -> None:
+        if _read(self.fs, self.file) != self.me:
+            raise TableBusy(f"{self.path}: another writer took the table over")
+
+    def release(self) -> None:
+        self.over.set()
+        if _held.get(self.key) == self.me:
+            del _held[self.key]
+        if _read(self.fs, self.file) == self.me:
+            self.fs.delete(self.file, False)
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession, path: str) -> Iterator[Lease]:
+    """Hold the table's lease; what earlier writers left is finished or dropped first."""
+    lease = Lease(spark, path)
+    lease.take()
+    try:
+        _recover(spark, path, lease)
+        yield lease
+    finally:
+        lease.release()
+
+
 def recover(spark: SparkSession, path: str) -> bool:
     """Finish an interrupted write of the table at ``path``; True when the table changed.
 
     A swap folder with ``COMMIT`` is carried on to its end, one without is
-    dropped: the table was not touched yet. Several committed swaps, or a
-    missing table with several ``.old-*`` folders, raise: nothing says which
-    of them is the table.
+    dropped: the table was not touched yet, or has all of it (``DONE``).
+    Several committed swaps, or a missing table with several ``.old-*``
+    folders, raise: nothing says which of them is the table. While another
+    write is alive it raises :class:`TableBusy`.
     """
+    lease = Lease(spark, path)
+    lease.take()
+    try:
+        return _recover(spark, path, lease)
+    finally:
+        lease.release()
+
+
+def _recover(spark: SparkSession, path: str, lease: Lease) -> bool:
     fs, p, jvm = _fs(spark, path.rstrip("/"))
-    done = [s for s in _swaps(spark, path, ".swap-") if fs.exists(jvm.org.apache.hadoop.fs.Path(s, "COMMIT"))]
+    swaps = _swaps(spark, path, ".swap-")
+    done = [s for s in swaps if fs.exists(jvm.org.apache.hadoop.fs.Path(s, "COMMIT"))]
     if len(done) > 1:
         raise RuntimeError(f"{path}: several committed swaps: {', '.join(s.getName() for s in done)}")
-    for s in _swaps(spark, path, ".swap-"):
+    for s in swaps:
         if s in done:
-            _finish(spark, s.toString(), path)
+            _finish(spark, s.toString(), path, lease)
         else:
             fs.delete(s, True)
     if done or fs.exists(p):
@@ -130,42 +242,54 @@ def recover(spark: SparkSession, path: str) -> bool:
     return bool(olds and fs.rename(olds[0], p))
 
 
-def _commit(spark: SparkSession, swap: str, path: str, folders: Sequence[str]) -> None:
+def ledger(spark: SparkSession, path: str) -> dict:
+    """What writes of the table at ``path`` committed beside its rows (see :func:`upsert`); call under its lease or after :func:`recover`."""
+    fs, p, _ = _fs(spark, path.rstrip("/") + ".ledger")
+    return json.loads(_read(fs, p) or "{}")
+
+
+def _commit(spark: SparkSession, swap: str, path: str, folders: Sequence[str], lease: Lease, entry: dict | None = None) -> None:
     """Name the folders to exchange (``""``: the whole table) and exchange them.
 
     A named folder that the new content lacks is removed from the table.
     """
     fs, p, jvm = _fs(spark, swap)
-    mark = jvm.org.apache.hadoop.fs.Path(p, "COMMIT")
-    part = jvm.org.apache.hadoop.fs.Path(p, "COMMIT.part")
-    out = fs.create(part, True)
-    out.write(bytearray(json.dumps(list(folders)).encode()))
-    out.close()
-    if not fs.rename(part, mark):  # the mark is there whole or not at all
+    hp = jvm.org.apache.hadoop.fs.Path
+    plan = [[f, bool(fs.exists(_in(hp, path, f))), bool(fs.exists(_in(hp, f"{swap}/new", f)))] for f in folders]
+    _write(fs, hp(p, "COMMIT.part"), json.dumps({"folders": plan, "ledger": ledger(spark, path) | entry if entry else None}), overwrite=True)
+    lease.check()
+    if not fs.rename(hp(p, "COMMIT.part"), hp(p, "COMMIT")):  # the mark is there whole or not at all
         raise OSError(f"could not commit {swap}")
-    _finish(spark, swap, path)
+    _finish(spark, swap, path, lease)
 
 
-def _finish(spark: SparkSession, swap: str, path: str) -> None:
+def _in(hp, folder: str, name: str):
+    return hp(folder.rstrip("/") + ("/" + name if name else ""))
+
+
+def _finish(spark: SparkSession, swap: str, path: str, lease: Lease) -> None:
+    """Exchange the folders of a committed swap; may be repeated from any point."""
     fs, p, jvm = _fs(spark, swap)
     hp = jvm.org.apache.hadoop.fs.Path
-    size = fs.getFileStatus(hp(p, "COMMIT")).getLen()
-    src = fs.open(hp(p, "COMMIT"))
-    folders = json.loads(bytes(src.readNBytes(int(size))).decode())
-    src.close()
+    commit = json.loads(_read(fs, hp(p, "COMMIT")))
 
     def move(a, b):
+        lease.check()
         fs.mkdirs(b.getParent())
-        if not fs.rename(a, b):
+        if fs.exists(b) or not fs.rename(a, b):
             raise OSError(f"could not move {a} to {b}")
 
-    for name in folders:
-        final = hp(path.rstrip("/") + ("/" + name if name else ""))
-        new, old = hp(p, "new" + ("/" + name if name else "")), hp(p, "old/" + (name or "table"))
-        if fs.exists(final) and not fs.exists(old):
+    for name, was, comes in commit["folders"]:
+        final, new, old = _in(hp, path, name), _in(hp, f"{swap}/new", name), hp(p, "old/" + (name or "table"))
+        if was and not fs.exists(old):
             move(final, old)
-        if fs.exists(new):
+        if comes and fs.exists(new):  # else it is in the table already
             move(new, final)
+    if commit["ledger"]:
+        _write(fs, hp(path.rstrip("/") + ".ledger"), json.dumps(commit["ledger"]), overwrite=True)
+    # from here on nothing may be repeated: what lies in old goes, in any order
+    if not fs.rename(hp(p, "COMMIT"), hp(p, "DONE")):
+        raise OSError(f"could not close {swap}")
     fs.delete(p, True)
 
 
@@ -185,24 +309,42 @@ def _new_swap(path: str) -> str:
     return f"{path.rstrip('/')}.swap-{uuid.uuid4().hex[:8]}"
 
 
-def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
-    """Full replace. Empty input is a no-op that succeeds (returns 0). ``df`` is evaluated once."""
+def replace(df: DataFrame, path: str, partition_by: Sequence[str] = (), entry: dict | None = None) -> int:
+    """Full replace. Empty input is a no-op that succeeds (returns 0). ``df`` is
+    evaluated once. ``entry`` goes into the table's ledger in the same commit."""
+    with writing(df.sparkSession, path) as lease:
+        return _replace(df, path, partition_by, lease, entry)
+
+
+def _replace(df: DataFrame, path: str, partition_by: Sequence[str], lease: Lease, entry: dict | None = None) -> int:
     spark = df.sparkSession
-    recover(spark, path)
     obs, swap = Observation("k01"), _new_swap(path)
     w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(swap + "/new")
     n = int(obs.get["rows"])
-    if n:
-        _commit(spark, swap, path, [""])
+    if n or entry:
+        _commit(spark, swap, path, [""] if n else [], lease, entry)
     else:
         fs, p, _ = _fs(spark, swap)
         fs.delete(p, True)
     return n
 
 
+def write_partition(df: DataFrame, path: str, column: str, value: object) -> int:
+    """Put the rows of ``df`` into the folder ``column=value`` of the table at ``path``,
+    in place of what it held; other folders stay. Returns the rows written."""
+    spark = df.sparkSession
+    with writing(spark, path) as lease:
+        if path_exists(spark, path) and (has := partition_columns(spark, path)) != [column]:
+            raise ValueError(f"{path} is partitioned by {has or 'nothing'}, not by {column}")
+        obs, swap = Observation("part"), _new_swap(path)
+        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.parquet(f"{swap}/new/{column}={value}")
+        _commit(spark, swap, path, [f"{column}={value}"], lease)
+        return int(obs.get["rows"])
+
+
 def _in_values(column: str, values: list):
     """``column`` is one of ``values``, NULL included; a plain predicate, so partitions are pruned."""
     c = F.col(column)
@@ -211,7 +353,8 @@ def _in_values(column: str, values: list):
 
 
 def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = True,
-           partition_col: str | None = None, schema: T.StructType | None = None, newest_col: str | None = None) -> dict:
+           partition_col: str | None = None, schema: T.StructType | None = None, newest_col: str | None = None,
+           combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, entry: dict | None = None) -> dict:
     """Keyed upsert of ``batch`` into the table at ``path``.
 
     Missing table -> created from the batch. With ``partition_col`` only the
@@ -219,14 +362,19 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = T
     does not contain it, those that hold the batch's keys now; NULL is a
     partition like any other. A table whose folders are named by other columns
     is refused. With ``newest_col`` the newest row per key wins instead of the
-    batch (see :func:`merge_newest`). The batch is evaluated once. Returns an
-    audit dict.
+    batch (see :func:`merge_newest`); ``combine(rows in scope, batch)`` merges
+    in any other way. ``entry`` is added to the table's ledger in the same
+    commit. The batch is evaluated once. Returns an audit dict.
     """
+    with writing(batch.sparkSession, path) as lease:
+        return _upsert(batch, path, keys, null_safe, partition_col, schema, newest_col, combine, entry, lease)
+
+
+def _upsert(batch, path, keys, null_safe, partition_col, schema, newest_col, combine, entry, lease) -> dict:
     spark = batch.sparkSession
-    recover(spark, path)
     by = [partition_col] if partition_col else []
     if not path_exists(spark, path):
-        return {"mode": "create", "rows_written": replace(batch, path, by)}
+        return {"mode": "create", "rows_written": _replace(batch, path, by, lease, entry)}
     if (has := partition_columns(spark, path)) != by:
         raise ValueError(f"{path} is partitioned by {has or 'nothing'}, not by {by or 'nothing'}")
     swap = _new_swap(path)
@@ -244,11 +392,14 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = T
             values = list(dict.fromkeys([*values, *(r[0] for r in held)]))
         scope = target.where(_in_values(partition_col, values))
     obs = Observation("k02")
-    merged = merge_newest(scope, batch, keys, newest_col) if newest_col else upsert_frame(scope, batch, keys, null_safe)
+    if combine:
+        merged = combine(scope, batch)
+    else:
+        merged = merge_newest(scope, batch, keys, newest_col) if newest_col else upsert_frame(scope, batch, keys, null_safe)
     w = merged.observe(obs, F.count(F.lit(1)).alias("rows")).write
     (w.partitionBy(partition_col) if partition_col else w).parquet(swap + "/new")
     names = _folder_names(spark, scope, swap, partition_col) if partition_col else [""]
-    _commit(spark, swap, path, names)
+    _commit(spark, swap, path, names, lease, entry)
     return {"mode": "upsert", "rows_written": int(obs.get["rows"])}
 
 
@@ -267,13 +418,13 @@ def dedupe_in_place(spark: SparkSession, path: str, keys: Sequence[str], order_c
     before, unique keys, duplicates and rows deleted. Without the order
     column the last landed row (highest row id) is kept. The table keeps its
     partition folders."""
-    recover(spark, path)
-    df = spark.read.parquet(path)
-    before = dedupe_report(df, keys).first()
-    order = order_col if order_col in df.columns else None
-    kept = (dedupe(df, keys, order, tiebreak) if order
-            else dedupe(df.withColumn("_rowid", F.monotonically_increasing_id()), keys, "_rowid").drop("_rowid"))
-    n = replace(kept, path, partition_columns(spark, path))
+    with writing(spark, path) as lease:
+        df = spark.read.parquet(path)
+        before = dedupe_report(df, keys).first()
+        order = order_col if order_col in df.columns else None
+        kept = (dedupe(df, keys, order, tiebreak) if order
+                else dedupe(df.withColumn("_rowid", F.monotonically_increasing_id()), keys, "_rowid").drop("_rowid"))
+        n = _replace(kept, path, partition_columns(spark, path), lease)
     return {"total_rows": before["total_rows"], "unique_keys": before["unique_keys"],
             "duplicate_rows": before["duplicate_rows"], "deleted": before["total_rows"] - n}
 
