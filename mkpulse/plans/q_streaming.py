@@ -3,8 +3,11 @@ over the driver tables as the landed stream."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from mkpulse.plans.catalog import DS, R, register
-from mkpulse.streaming import landing_to_bronze, run_folder, windowed_kpis
+from mkpulse.sinks import remove, replace
+from mkpulse.streaming import landing_to_bronze, late_rows, run_folder, windowed_kpis
 
 _LINE_KEYS = ["l_orderkey", "l_linenumber", "ship_year"]
 _TIEBREAK = ["l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_shipdate"]
@@ -24,8 +27,6 @@ def r01(t):
     src = t.root
     schema = t.lineitem.select(*_LINE_COLS).schema
     base = run_folder(spark, "r01")
-    from pyspark.sql import functions as F
-
     q = landing_to_bronze(spark, src, schema, base + "/bronze", _LINE_KEYS, base + "/_checkpoint",
                           glob="lineitem.parquet", tiebreak=_TIEBREAK, partition_col="ship_year",
                           derive=lambda b: b.withColumn("ship_year", F.year("l_shipdate")))
@@ -58,3 +59,54 @@ def r02(t):
     q = windowed_kpis(spark, src, schema, base + "/kpis", base + "/_checkpoint", glob="events.parquet")
     q.awaitTermination()
     return spark.read.parquet(base + "/kpis").drop("window_day")
+
+
+def _late_run(t):
+    """Events land in two drops: every seventh event, whatever its time, comes second. Run after each drop."""
+    spark = t.spark
+    base = run_folder(spark, "r02l")
+    second = F.col("event_id") % 7 == 0
+    for n, rows in enumerate((t.events.where(~second), t.events.where(second))):
+        rows.write.parquet(f"{base}/landed/drop={n}")
+        windowed_kpis(spark, f"{base}/landed/*", t.events.schema, base + "/kpis", base + "/_checkpoint").awaitTermination()
+    return base + "/kpis"
+
+
+_LATE = """WITH bound AS (SELECT max(ts) - INTERVAL 3 DAY AS b FROM events WHERE event_id % 7 <> 0),
+late AS (SELECT events.* FROM events, bound WHERE event_id % 7 = 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <= b)"""
+
+
+@register("r02_late_rows", f"""{_LATE}
+SELECT event_id, {DS('ts')} AS ts, user_id, event_type, {R('value')} AS value, 'late' AS reason FROM late""")
+def r02_late(t):
+    return late_rows(t.spark, _late_run(t), t.events.schema).drop("props", "batch_id")
+
+
+@register("r02_kpis_without_late", f"""{_LATE}
+SELECT {DS("date_trunc('day', ts)")} AS window_start, event_type, COUNT(*) AS events, {R('SUM(value)')} AS value_sum
+FROM (SELECT ts, event_type, value FROM events WHERE event_id NOT IN (SELECT event_id FROM late)) GROUP BY 1, event_type""")
+def r02_on_time(t):
+    return t.spark.read.parquet(_late_run(t)).drop("window_day", "window_end")
+
+
+@register("r01_replayed_landing", f"""
+SELECT l_orderkey, l_linenumber, ship_year, {R('MAX(l_quantity)')} AS l_quantity
+FROM (SELECT l_orderkey, l_linenumber, l_quantity, CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM lineitem)
+GROUP BY l_orderkey, l_linenumber, ship_year""")
+def r01_replayed(t):
+    """The checkpoint forgets that the batch was committed, as after a crash between the table's commit and its own:
+    Spark replays it, and the table, changed by hand in between, stays as it is."""
+    spark = t.spark
+    base = run_folder(spark, "r01r")
+    schema = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").schema
+
+    def land():
+        landing_to_bronze(spark, t.root, schema, base + "/bronze", _LINE_KEYS, base + "/_checkpoint", glob="lineitem.parquet",
+                          order_col="l_quantity", partition_col="ship_year", derive=lambda b: b.withColumn("ship_year", F.year("l_shipdate"))).awaitTermination()
+
+    land()
+    spark.read.parquet(base + "/bronze").drop("l_shipdate").write.parquet(base + "/copy")
+    replace(spark.read.parquet(base + "/copy"), base + "/bronze", ["ship_year"])
+    remove(spark, f"{base}/_checkpoint/commits")
+    land()
+    return spark.read.parquet(base + "/bronze")

@@ -110,6 +110,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file; None if there is none."""
+    fs, p, _ = _fs(spark, path)
+    return _read(fs, p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that is no table."""
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def _children(fs, folder) -> list:
     return [st.getPath() for st in fs.listStatus(folder)] if fs.exists(folder) else []
 
