@@ -1,47 +1,70 @@
-"""Exact medians without one task that holds all values.
+"""Exact medians in two reads, without one task that holds all values.
 
-Values are counted by buckets of an order-preserving scale, the bucket that
-holds the middle rank is cut again, and only the distinct values of one fine
-bucket are put in order. Each level is a partially aggregated ``groupBy``; the
-windows run over at most some thousand bucket rows per entity.
+The first read is one aggregate for all columns and entities at once: the
+number of values and a mergeable quantile summary, which brackets the middle.
+The second counts the values below the bracket and each value inside it (some
+thousandth of all), again partially aggregated before the shuffle; the middle
+ranks are looked up among those. The summary's error is a fifth of the
+bracket; were the middle outside it nevertheless, the query would fail rather
+than return a neighbour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 By = Sequence[str]
 
-#: Coarse buckets per doubling of the value, and fine buckets in a coarse one.
-COARSE, FINE = 64, 4096
+#: The summary's rank error is at most 1/ACCURACY of the values; the bracket reaches five times as far on either side.
+ACCURACY = 10_000
 
 
-def _scale(v: Column) -> Column:
-    """Rises with ``v``: a signed logarithm."""
-    return F.signum(v) * F.log2(F.abs(v) + 1) * COARSE
+def _attach(df: DataFrame, one: DataFrame, by: By) -> DataFrame:
+    """The columns of the entity's row (a NULL entity is one too), or of the only row, which is computed once."""
+    if by:
+        own = one.select(*[F.col(c).alias(f"_by_{c}" if c in by else c) for c in one.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        return df.join(own, same, "left").drop(*[f"_by_{c}" for c in by])
+    row = one.select(F.struct(*one.columns).alias("_row")).scalar()
+    return df.select("*", *[row[c].alias(c) for c in one.columns])
 
 
-def medians(df: DataFrame, column: str, name: str, by: By = ()) -> DataFrame:
-    """One row per entity: ``by`` and the median of ``column`` (NULLs left out) as ``name``.
+def medians(df: DataFrame, columns: Mapping[str, str], by: By = ()) -> DataFrame:
+    """One row per entity: ``by`` and the median of each column of ``columns`` (NULLs left out) under the name it maps to.
 
-    ``df`` is read four times: pass a materialized or cheap frame.
+    ``df`` is read twice, however many columns and entities there are.
     """
-    out, by = list(by), [*by, "_all"]  # always 0: stands for the entity where there is none
-    s = _scale(F.col(column).cast("double"))
-    v = df.where(F.col(column).isNotNull()).select(
-        *out, F.pmod(F.floor(s), F.lit(1)).alias("_all"), F.col(column).cast("double").alias("_v"), F.floor(s).alias("_b1"), F.floor((s - F.floor(s)) * FINE).alias("_b2"))
-    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    # the two middle ranks, counted from 0; the same one twice for an odd number
-    want = n.where("_n > 0").select(*by, F.posexplode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_w", "_rank"))
-    at: list[str] = []
-    for level in ("_b1", "_b2", "_v"):
-        here = v if not at else v.join(want.select(*by, *at).distinct(), [*by, *at], "left_semi")
-        counts = here.groupBy(*by, *at, level).agg(F.count(F.lit(1)).alias("_c"))
-        counts = counts.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by, *at).orderBy(level)))
-        hit = want.join(counts, [*by, *at]).where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
-        want = hit.select(*by, *at, level, "_w", (F.col("_rank") - (F.col("_end") - F.col("_c"))).alias("_rank"))
-        at.append(level)
-    return want.groupBy(*out).agg(F.avg("_v").alias(name))
+    by, around = list(by), [0.5 - 5 / ACCURACY, 0.5 + 5 / ACCURACY]
+
+    def bracket(c: str) -> Column:
+        return F.struct(F.count(c).alias("n"), F.percentile_approx(F.col(c).cast("double"), around, ACCURACY).alias("q"))
+
+    bounds = df.groupBy(*by).agg(F.array(*[bracket(c) for c in columns]).alias("_bounds"))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"), F.get("_bounds", F.lit(i)).alias("b"))
+                     for i, c in enumerate(columns)])
+    long = _attach(df.select(*by, *columns), bounds, by).select(*by, F.inline(each)).where(F.col("v") <= F.get("b.q", F.lit(1)))
+    # every value below the bracket is the same to the count
+    inside = F.when(F.col("v") >= F.get("b.q", F.lit(0)), F.col("v"))
+    counts = long.groupBy(*by, "i", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max("b.n").alias("_n"))
+    counts = counts.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by, "i").orderBy(F.asc_nulls_first("_v"))))
+
+    def at(i: int, rank: Column) -> Column:
+        here = (F.col("i") == i) & (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_c"))
+        failed = F.raise_error(F.lit("the quantile summary missed the median")).cast("double")
+        return F.max(F.when(here, F.coalesce("_v", failed)))
+
+    def middle(i: int) -> Column:
+        low, high = (at(i, F.floor(r)) for r in ((F.col("_n") - 1) / 2, F.col("_n") / 2))
+        failed = F.raise_error(F.lit("the quantile summary missed the median")).cast("double")
+        there = F.count(F.when(F.col("i") == i, 1)) > 0
+        return F.when(there, F.coalesce((low + high) / 2, failed))
+
+    return counts.groupBy(*by).agg(*[middle(i).alias(name) for i, name in enumerate(columns.values())])
+
+
+def with_medians(df: DataFrame, columns: Mapping[str, str], by: By = (), of: Column | None = None) -> DataFrame:
+    """``df`` with the medians of its entity (of its rows where ``of`` holds) on every row."""
+    return _attach(df, medians(df if of is None else df.where(of), columns, by), by)

@@ -5,7 +5,7 @@ Set-level statistics (means, medians, percentiles) over open-ended sets
 back with ``joins.with_stats`` - never a window over the whole set. Only the
 sets the reference limits first (top-20 / top-25) use windows, partitioned by
 entity and bounded by the limit. Medians of open-ended sets are exact and
-distributed (``quantiles.medians``).
+distributed (``quantiles.with_medians``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mkpulse.functions import div, nz, safe_divide
 from mkpulse.operators.joins import attach_scalars, with_stats
-from mkpulse.operators.quantiles import medians
+from mkpulse.operators.quantiles import with_medians
 from mkpulse.operators.topk import top_k
 from mkpulse.session import materialize
 
@@ -89,8 +89,7 @@ def campaign_quadrants(campaigns: DataFrame, by: By = ()) -> DataFrame:
     spend and median CPA of that set. The campaign rows are materialized once;
     the medians are found over the whole cluster."""
     df = materialize(campaigns.where((F.col("conversions") > 0) & F.col("cpa").isNotNull()), "quadrants")
-    for column in ("spend", "cpa"):
-        df = attach_scalars(df, medians(df, column, f"median_{column}", by), by)
+    df = with_medians(df, {"spend": "median_spend", "cpa": "median_cpa"}, by)
     hi = F.col("spend") >= F.col("median_spend")
     lo = F.col("cpa") <= F.col("median_cpa")
     q = F.when(hi & lo, "Stars").when(~hi & lo, "Question Marks").when(hi & ~lo, "Cash Cows").otherwise("Dogs")
@@ -323,7 +322,7 @@ def keyword_opportunities(kw: DataFrame, k: int = 15, by: By = ()) -> DataFrame:
     kw = materialize(kw, "keywords")
     df = with_stats(kw, [
         (F.sum(F.when(F.col("conversions") > 0, F.col("cost"))) / F.nullif(F.sum("conversions"), F.lit(0))).alias("_cpa")], by)
-    df = attach_scalars(df, medians(kw.where(F.col("cost") > 0), "cost", "_med", by), by)
+    df = with_medians(df, {"cost": "_med"}, by, of=F.col("cost") > 0)
     df = df.where(
         (F.col("conversions") > 0) & (F.col("cost") / F.col("conversions") <= F.col("_cpa")) & (F.col("cost") < F.col("_med"))
     ).drop("_med", "_cpa")

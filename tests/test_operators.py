@@ -129,13 +129,38 @@ def test_medians_are_exact(spark, n):
     rng = random.Random(n)
     rows = [(g, rng.choice([0.0, -3.5, rng.lognormvariate(0, 3), 7.25, 1e12 * rng.random(), 1e-9 * rng.random()])) for g in "ab" for _ in range(n)] + [("a", None)]
     df = spark.createDataFrame(rows, "g string, v double").cache()
-    got = {r.g: r.m for r in medians(df, "v", "m", ["g"]).collect()}
+    got = {r.g: r.m for r in medians(df, {"v": "m"}, ["g"]).collect()}
     for g in "ab":
         assert got[g] == pytest.approx(statistics.median([v for k, v in rows if k == g and v is not None]), abs=0, rel=1e-15)
-    whole = medians(df, "v", "m")
+    whole = medians(df, {"v": "m"})
     assert whole.first().m == pytest.approx(statistics.median([v for _, v in rows if v is not None]), abs=0, rel=1e-15)
-    assert medians(df.limit(0), "v", "m").first().m is None
-    assert "percentile" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert medians(df.limit(0), {"v": "m"}).first().m is None
+    assert "percentile(" not in whole._jdf.queryExecution().executedPlan().toString()  # that one holds all values
+
+
+def test_medians_of_many_values_and_columns_in_two_reads(spark, scratch):
+    """More values than the summary keeps, heavy ties around the middle, two columns at once."""
+    import statistics
+
+    from mkpulse.operators.quantiles import medians, with_medians
+
+    df = spark.range(120_000).select(F.nullif(F.col("id") % 2, F.lit(1)).alias("g"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.pmod(F.hash("id"), F.lit(99991)) / 7).alias("a"),
+                                     F.when(F.col("id") % 11 > 0, -F.pmod(F.hash("id", F.lit(1)), F.lit(10**6)).cast("double")).alias("b"))
+    df.write.parquet(scratch + "/v")
+    df = spark.read.parquet(scratch + "/v")
+    rows = df.collect()
+    got = medians(df, {"a": "ma", "b": "mb"}, ["g"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    found = got.collect()
+    assert {r.g for r in found} == {0, None}
+    for r in found:
+        assert r.ma == statistics.median([x.a for x in rows if x.g == r.g])
+        assert r.mb == statistics.median([x.b for x in rows if x.g == r.g and x.b is not None])
+    whole = medians(df, {"a": "ma", "b": "mb"})
+    assert whole.collect() == [(statistics.median([x.a for x in rows]), statistics.median([x.b for x in rows if x.b is not None]))]
+    both = with_medians(df, {"a": "ma", "b": "mb"}, of=F.col("a") > 5)
+    assert both.select("ma", "mb").distinct().collect() == [
+        (statistics.median([x.a for x in rows if x.a > 5]), statistics.median([x.b for x in rows if x.a > 5 and x.b is not None]))]
 
 
 def test_per_entity_top_k_prelimits_before_shuffle(spark):
