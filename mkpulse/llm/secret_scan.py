@@ -3,12 +3,14 @@
 The patterns (kinds assign, access, hex) always report. Every further long
 run of key characters is a candidate; a small convolutional network in numpy
 reads its characters and the text around it. The network is trained on the
-patterns' own findings, on candidates that no pattern reports, and on copies
-of the latter whose run is replaced by random key characters, which are
-labelled secret. Its scores are calibrated on held-back rows. Every finding of
-the patterns in the corpus is then scored, and the threshold is the highest
-one (in fine steps) that keeps the wanted recall of them, and that of the
-held-back rows, which stand for the keys that no pattern finds.
+patterns' own findings and on random keys in the places of candidates, against
+those candidates that are less random than copies of themselves with other
+letters (see :func:`learn`): a candidate that no pattern reports is unlabelled,
+since a corpus holds keys that no pattern knows. Its scores are calibrated on
+held-back rows. Every finding of the patterns in the corpus is then scored, and
+the threshold is the highest one (in fine steps) that keeps the wanted recall
+of them, and that of the held-back rows, which stand for the keys that no
+pattern finds.
 
 Weights and calibration come from at most ``SAMPLE`` labelled rows, those with
 the smallest hash over the whole corpus; the threshold and the scan cover
@@ -52,6 +54,8 @@ KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 SAMPLE = 4000
 #: Least share of the corpus's labelled findings that the threshold must keep.
 RECALL = 0.98
+#: Copies of a candidate that it is compared with, and how often.
+COPIES, ROUNDS = 8, 2
 #: Score buckets for the threshold: so many to a unit of the network's output, which counts within the bound.
 BUCKETS, BOUND = 256, 256
 #: Characters of context on either side, and of the candidate.
@@ -214,16 +218,73 @@ def calibrate(net: Network, windows: list[str], labels: np.ndarray, recall: floa
     return net
 
 
-def random_secret(w: str) -> str:
-    """The window with its candidate replaced by random key characters."""
-    rng = np.random.default_rng(zlib.crc32(w.encode()))
-    inside = w[CONTEXT : CONTEXT + INSIDE].rstrip("\0")
-    keys = KEY_CHARACTERS[: (36, 62)[rng.integers(2)]] if rng.integers(2) else KEY_CHARACTERS[26:]
-    return w[:CONTEXT] + "".join(keys[k] for k in rng.integers(len(keys), size=len(inside))).ljust(INSIDE, "\0") + w[-CONTEXT:]
+def _seeded(w: str, salt: str) -> np.random.Generator:
+    return np.random.default_rng(zlib.crc32((salt + w).encode()))
+
+
+def _inside(w: str, text: str) -> str:
+    """The window with ``text`` as its candidate."""
+    return w[:CONTEXT] + text[:INSIDE].ljust(INSIDE, "\0") + w[-CONTEXT:]
+
 
+UPPERS, LOWERS, DIGITS = KEY_CHARACTERS[:26], KEY_CHARACTERS[26:52], KEY_CHARACTERS[52:]
 
-def labelled(extracted: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """At most ``sample`` windows, their labels, and a split number 0 to 4 by hash of the window."""
+
+def _some(rng: np.random.Generator, keys: str, n: int) -> str:
+    return "".join(keys[k] for k in rng.integers(len(keys), size=n))
+
+
+def random_secret(w: str) -> str:
+    """The window with its candidate replaced by random key characters: of one of the usual alphabets, plain, after a
+    short prefix, or in groups."""
+    rng = _seeded(w, "")
+    alphabets = (KEY_CHARACTERS, LOWERS + DIGITS, UPPERS + DIGITS, KEY_CHARACTERS + "+/", UPPERS, LOWERS, KEY_CHARACTERS + "_-")
+    keys = alphabets[rng.choice(len(alphabets), p=(0.25, 0.2, 0.15, 0.1, 0.1, 0.1, 0.1))]
+    n = max(len(w[CONTEXT : CONTEXT + INSIDE].rstrip("\0")), int(rng.integers(16, INSIDE + 1)))
+    shape = rng.integers(4)
+    if shape == 0:  # a prefix names the issuer
+        mark = str(rng.choice(["_", "-"]))
+        head = "".join(_some(rng, str(rng.choice([LOWERS, UPPERS])), int(rng.integers(2, 5))) + mark for _ in range(rng.integers(1, 3)))
+        return _inside(w, head + _some(rng, keys, n))
+    if shape == 1:  # groups
+        mark = str(rng.choice(["_", "-", "/"]))
+        return _inside(w, mark.join(_some(rng, keys if k else DIGITS + UPPERS, int(rng.integers(6, 14))) for k in range(int(rng.integers(2, 5)))))
+    return _inside(w, _some(rng, keys, n))
+
+
+def own_form(w: str, copy: int = 0) -> str | None:
+    """The window with each letter and digit of its candidate replaced by a random one of its kind; what stands before
+    a mark at the start is kept. None for a candidate that is almost without letters: its like would be numbers again."""
+    rng, own = _seeded(w, f"own {copy}"), w[CONTEXT : CONTEXT + INSIDE].rstrip("\0")
+    if sum(c.isalpha() for c in own) < 4:
+        return None
+    head = re.match(r"(?:[A-Za-z]{2,8}[_-]){0,2}", own)[0]
+    return _inside(w, head + "".join(_some(rng, next((k for k in (UPPERS, LOWERS, DIGITS) if c in k), c), 1) for c in own[len(head) :]))
+
+
+def harmless(w: str) -> str:
+    """The window with its candidate replaced by what looks like a key and is none: dates, numbers, the candidate's
+    own letters shouted, capitalised or as a path of parts."""
+    rng = _seeded(w, "harmless")
+    own = w[CONTEXT : CONTEXT + INSIDE].rstrip("\0")
+    parts = [x for x in re.split(r"[^A-Za-z]+", own) if x] or ["run"]
+    mark = str(rng.choice(["-", "_", "/", "="]))
+    shape = rng.integers(5)
+    if shape == 0:
+        date = f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 32):02d}"
+        return _inside(w, date + "".join(f"{mark}{rng.integers(0, 60):02d}" for _ in range(rng.integers(2, 5))))
+    if shape == 1:
+        return _inside(w, mark.join(str(rng.integers(10 ** int(rng.integers(1, 6)))).zfill(2) for _ in range(rng.integers(4, 9))))
+    if shape == 2:
+        return _inside(w, own.upper())
+    if shape == 3:
+        return _inside(w, "".join(x[:1].upper() + x[1:].lower() for x in parts for x in (x[: len(x) // 2], x[len(x) // 2 :])))
+    cut = [x[k : k + 6] for x in parts for k in range(0, len(x), 6)]
+    return _inside(w, mark.join(x.lower() for x in cut) + (mark + str(rng.integers(1000)) if rng.integers(2) else ""))
+
+
+def labelled(extracted: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Windows of at most ``sample`` / 4 findings (1) and ``sample`` / 2 candidates that no pattern reports (0: unlabelled)."""
     found = extracted.select(F.explode("cands").alias("c")).select("c.window", "c.label").distinct().withColumn("h", F.xxhash64("window"))
     found = materialize(found, "secret-windows")
     held = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -233,10 +294,7 @@ def labelled(extracted: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.
         bound = int(-(2**63) + 2**64 * min(1.0, 2 * most / max(1, held.get(label, 0)))) - 1
         rows += found.where((F.col("label") == label) & (F.col("h") <= bound)).orderBy("h", "window").limit(most).collect()
     windows, labels = [r.window for r in rows], [r.label for r in rows]
-    none = [w for w, y in zip(windows, labels) if not y]
-    made = [random_secret(w) for w in none[: sample // 4]]
-    windows, labels = windows + made, labels + [1] * len(made)
-    return windows, np.array(labels, dtype=int), np.array([zlib.crc32(w.encode()) % 5 for w in windows], dtype=int)
+    return windows, np.array(labels, dtype=int)
 
 
 def finding_scores(extracted: DataFrame, net: Network) -> dict[int, int]:
@@ -260,18 +318,52 @@ def finding_scores(extracted: DataFrame, net: Network) -> dict[int, int]:
     return {r.bucket: r.n for r in found.collect()}
 
 
-def fit(extracted: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network | None:
-    """The network: three fifths of the labelled rows train it, one fifth calibrates it, one is held out for tests;
-    all findings of the corpus bound its threshold."""
-    windows, labels, part = labelled(extracted, sample)
+def part_of(windows: list[str]) -> np.ndarray:
+    """0 to 4 by hash: 0 to 2 train, 3 calibrates, 4 is held out."""
+    return np.array([zlib.crc32(w.encode()) % 5 for w in windows], dtype=int)
 
-    def pick(which):
-        return [w for w, k in zip(windows, part) if k in which], labels[np.isin(part, which)]
 
-    (train_w, train_y), (cal_w, cal_y) = pick((0, 1, 2)), pick((3,))
+def learn(windows: list[str], labels: np.ndarray, sample: int = SAMPLE, recall: float = RECALL) -> Network | None:
+    """Network and calibration from findings and unlabelled candidates; None without one of either.
+
+    A candidate that no pattern reports is not known to be harmless: a corpus
+    holds keys that no pattern finds. Secrets are the findings, random keys in
+    the places of candidates, and a copy of every candidate in its own form
+    with other letters and digits. A key is as random as its copies and scores
+    like them; a word or path scores below. So a first network takes all
+    candidates for harmless, and then only those count as harmless that score
+    clearly below all of ``COPIES`` other copies of themselves; with these, and
+    look-alikes made of them, the next network learns. ``ROUNDS`` times.
+    """
+    found, none = ([w for w, y in zip(windows, labels) if y == k] for k in (1, 0))
+    if not found or not none:
+        return None
+    made = [random_secret(w) for w in none[: sample // 4]] + [c for c in map(own_form, none) if c]
+    others = [[c for c in (own_form(w, k) for k in range(1, COPIES + 1)) if c] for w in none]
+
+    def rows(plain: list[str], which) -> tuple[list[str], np.ndarray]:
+        kept = [(w, y) for ws, y in ((found + made, 1), (plain, 0)) for w, k in zip(ws, part_of(ws)) if k in which]
+        return [w for w, _ in kept], np.array([y for _, y in kept], dtype=int)
+
+    plain = none
+    for _ in range(ROUNDS):
+        net = train(*rows(plain, (0, 1, 2)))
+        like = iter(net.outputs([c for cs in others for c in cs]))
+        least = [min(z) - np.std(z) if (z := [next(like) for _ in cs]) else np.inf for cs in others]
+        plain = [w for w, z, lo in zip(none, net.outputs(none), least) if z < lo]
+        plain += [harmless(w) for w in (plain or none)[: sample // 4]]
+    train_w, train_y = rows(plain, (0, 1, 2))
+    cal_w, cal_y = rows(plain, (3,))
     if min(train_y.sum(), (1 - train_y).sum(), cal_y.sum(), (1 - cal_y).sum()) == 0:
         return None
-    net = calibrate(train(train_w, train_y), cal_w, cal_y, recall)
+    return calibrate(train(train_w, train_y), cal_w, cal_y, recall)
+
+
+def fit(extracted: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network | None:
+    """The network of :func:`learn`; all findings of the corpus bound its threshold."""
+    net = learn(*labelled(extracted, sample), sample, recall)
+    if net is None:
+        return None
     counts = finding_scores(extracted, net)
     total, kept = sum(counts.values()), 0
     for bucket in sorted(counts, reverse=True):
