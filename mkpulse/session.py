@@ -13,6 +13,10 @@ DRIVER_TABLES = (
 ).split()
 
 
+#: Spark's setting for deleting the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(master: str | None = None, partitions: int = 8, app: str = "mkpulse",
                   conf: dict[str, str] | None = None) -> SparkSession:
     """Session for local runs and tests; on a cluster pass ``conf=scale_conf(...)``
@@ -93,10 +97,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: a
     frame that several branches of a plan read is computed once, and a lost
-    executor does not recompute what is upstream of it."""
+    executor does not recompute what is upstream of it. What the write shuffled
+    is deleted when it is done: nothing reads it again."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     held = spark.read.schema(df.schema).parquet(path)
     held.materialized_at = path
     return held

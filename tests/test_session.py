@@ -1,6 +1,8 @@
 import pytest
 
-from mkpulse.session import Tables, checkpoint_dir, scale_conf
+import os
+
+from mkpulse.session import SHUFFLE_CLEANUP, Tables, checkpoint_dir, materialize, release, scale_conf
 
 
 def test_checkpoint_dir_reads_session_setting(spark):
@@ -43,3 +45,17 @@ def test_checkpoint_dir_must_be_set(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_materialized_frames_leave_no_shuffle_and_can_be_released(spark):
+    def shuffles():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+
+    before, kept = shuffles(), spark.conf.get(SHUFFLE_CLEANUP)
+    held = materialize(spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(4, "k"), "t-release")
+    assert shuffles() <= before and spark.conf.get(SHUFFLE_CLEANUP) == kept
+    path = held.materialized_at
+    assert held.count() == 1000 and os.path.isdir(path)
+    release(held, spark.range(3))
+    assert not os.path.exists(path)
+    release(held)  # a second time: nothing left to do
