@@ -21,7 +21,11 @@ suffixes at anchors, with the text before them, decides every window exactly.
 Entries that agree in suffix and text before it are settled inside their run
 and leave one entry, so copies and passages that many texts share do not pile
 up. A gram of more than ``HOT`` occurrences is not merged in one task: its
-windows are counted by two 64-bit hashes over the whole cluster instead.
+windows are counted by their SHA-256 over the whole cluster instead.
+
+The texts are read three times and exchanged twice, to meet their anchors and
+to meet their spans; written are anchors, lists of those that repeat, and
+spans, each deleted as soon as the next is there.
 
 Defined results: null text counts as empty; texts shorter than ``length``
 keep everything; repeated rows repeat each other; an empty table gives an
@@ -30,6 +34,7 @@ empty result; other columns stay in ``row`` whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -41,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mkpulse.llm.common import materialize, packed
+from mkpulse.session import release
 
 LENGTH = 200
 GRAM = 64
@@ -396,8 +402,8 @@ def coverage(hits: DataFrame, buckets: int, length: int = LENGTH, gram: int = GR
                         if held[2] == 1:
                             settle(held[0], held[1], key, before)
                             held[2] = 2
-                if len(seen) >= run_entries or len(settled) >= 4 * run_entries:
-                    yield flush()
+                    if len(seen) >= run_entries or len(settled) >= 4 * run_entries:
+                        yield flush()  # also inside a text: a very long one has millions of anchors
         if seen or settled:
             yield flush()
 
@@ -427,9 +433,9 @@ def coverage(hits: DataFrame, buckets: int, length: int = LENGTH, gram: int = GR
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "uid long, start long, end long")
 
 
-def owned_windows(text: bytes, ats: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and two hashes of every window of ``text`` whose anchor is one of ``ats``."""
-    found = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))]
+def owned_windows(text: bytes, ats: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Start of every window of ``text`` whose anchor is one of ``ats``."""
+    found = [np.empty(0, np.int64)]
     low = np.uint64((1 << 21) - 1)
     for at in range(0, max(0, len(text) - length + 1), SLICE - length + 1):
         x = np.frombuffer(text, dtype=np.uint8)[at : at + SLICE]
@@ -437,34 +443,33 @@ def owned_windows(text: bytes, ats: np.ndarray, length: int, gram: int) -> tuple
             break
         h = gram_hashes(x, gram)
         owner = (window_minima((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & low).astype(np.int64) + at
-        own = np.flatnonzero(np.isin(owner, ats))
-        found.append((own + at, gram_hashes(x, length)[own], gram_hashes(x ^ np.uint8(0x5A), length)[own]))
-    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+        found.append(np.flatnonzero(np.isin(owner, ats)) + at)
+    return np.concatenate(found)
 
 
 def hot_coverage(hits: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """As ``coverage``, for grams too frequent for one task: every window with such an anchor is counted by its hashes."""
+    """As ``coverage``, for grams too frequent for one task: every window with such an anchor is counted by its SHA-256."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uid, text, ats, _ in zip(*b.columns):
-                start, a, c = owned_windows(text.as_py(), np.array(ats.as_py()), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), uid.as_py())), pa.array(start), pa.array(a.view(np.int64)),
-                                                  pa.array(c.view(np.int64))], ["uid", "start", "a", "c"])
+                uid, text = uid.as_py(), text.as_py()
+                start = owned_windows(text, np.array(ats.as_py()), length, gram)
+                for at in range(0, len(start), RUN):
+                    part = start[at : at + RUN]
+                    digests = [hashlib.sha256(text[s : s + length]).digest() for s in part.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), uid)), pa.array(part), pa.array(digests, pa.binary())], ["uid", "start", "w"])
 
-    windows = materialize(hits.mapInArrow(run, "uid long, start long, a long, c long"), "hot-windows")
-    twice = materialize(windows.groupBy("a", "c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("p"), F.col("c").alias("q")), "hot-twice")
-    hit = windows.join(twice, (F.col("a") == F.col("p")) & (F.col("c") == F.col("q")), "left_semi")
-    return hit.select("uid", "start", (F.col("start") + length).alias("end"))
+    windows = materialize(hits.mapInArrow(run, "uid long, start long, w binary"), "hot-windows")
+    twice = materialize(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("v")), "hot-twice")
+    return windows.join(twice, F.col("w") == F.col("v"), "left_semi").select("uid", "start", (F.col("start") + length).alias("end"))
 
 
 def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, stable: bool = False) -> DataFrame:
     """``row`` (without the text), n_bytes, n_removed, n_spans, kept (bytes; null if ``text`` is kept whole), kept_sha256.
 
     ``stable`` says that ``docs`` gives the same rows in the same order when
-    read twice (a table); otherwise it is written once first.
+    read again (a table); otherwise it is written once first.
     """
-    import hashlib
-
     if not stable:
         docs = materialize(docs, "suffix-input")
     body = F.coalesce(F.col("row")[text], F.lit("")).cast("binary")
@@ -473,44 +478,44 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     found = materialize(anchors(rows.select("uid", "bytes"), length, gram), "anchors")
     twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("k"), "n"), "grams")
     hit = found.join(twice, F.col("h") == F.col("k"))
-    lists = hit.groupBy("uid").agg(*[
+    lists = materialize(hit.groupBy(F.col("uid").alias("u")).agg(*[
         F.collect_list(F.when((F.col("n") > hot) if heat else (F.col("n") <= hot), F.struct("at", "h"))).alias(name)
-        for name, heat in (("cool", False), ("hot", True))]).withColumnRenamed("uid", "u")
-    has = F.col("u").isNotNull()
-    texts = materialize(rows.join(lists, F.col("uid") == F.col("u"), "left").select(
-        "uid", "row", F.octet_length("bytes").cast("long").alias("n_bytes"), F.when(has, F.col("bytes")).alias("bytes"),
-        F.when(~has, F.sha2("bytes", 256)).alias("whole"), "cool", "hot"), "suffix-texts")
+        for name, heat in (("cool", False), ("hot", True))]), "repeated-anchors")
+    heated = not twice.where(F.col("n") > hot).isEmpty()
+    release(found, twice)
 
     def of(col: str) -> DataFrame:
-        part = texts.where(F.size(col) > 0)
+        """The texts with repeated anchors, read again, and these anchors."""
+        part = rows.select("uid", "bytes").join(lists.where(F.size(col) > 0), F.col("uid") == F.col("u"))
         return part.select("uid", "bytes", F.transform(col, lambda a: a["at"]).alias("ats"), F.transform(col, lambda a: a["h"]).alias("hs"))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = coverage(of("cool"), 4 * n, length, gram)
-    if not twice.where(F.col("n") > hot).isEmpty():
+    if heated:
         spans = spans.union(hot_coverage(of("hot"), length, gram))
-    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("uid", "u")
+    spans = materialize(spans.groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeated-spans")
+    release(lists)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]
         for b in batches:
             out = []
-            for n_bytes, data, whole, spans in zip(*(c for c in b.columns[1:])):
-                n_bytes, data, runs = n_bytes.as_py(), data.as_py(), []
+            for data, spans in zip(*(c for c in b.columns[1:])):
+                data, runs = data.as_py(), []
                 for x in sorted((s["start"], s["end"]) for s in spans.as_py() or ()):
                     if runs and x[0] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], x[1])
                     else:
                         runs.append([*x])
                 if not runs:
-                    out.append((n_bytes, 0, 0, None, whole.as_py() if data is None else hashlib.sha256(data).hexdigest()))
+                    out.append((len(data), 0, 0, None, hashlib.sha256(data).hexdigest()))
                     continue
-                edges = [0, *(e for r in runs for e in r), n_bytes]
+                edges = [0, *(e for r in runs for e in r), len(data)]
                 kept = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2]))
-                out.append((n_bytes, n_bytes - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest()))
+                out.append((len(data), len(data) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[k] for o in out], t) for k, (_, t) in enumerate(fields))],
                                              ["row", *(f for f, _ in fields)])
 
-    done = texts.join(spans, F.col("uid") == F.col("u"), "left").select("row", "n_bytes", "bytes", "whole", "spans")
+    done = rows.join(spans, F.col("uid") == F.col("u"), "left").select("row", "bytes", "spans")
     more = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return done.mapInArrow(cut, T.StructType([done.schema["row"], *more.fields]))

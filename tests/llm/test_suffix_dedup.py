@@ -1,4 +1,6 @@
+import functools
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -48,6 +50,23 @@ def test_matches_brute_force(spark, monkeypatch, seed, length, gram, hot):
     assert run(spark, texts, length=length, gram=gram, hot=hot) == brute([t.encode() for t in texts], length)
 
 
+def test_runs_are_flushed_inside_a_long_text(spark, monkeypatch):
+    """A text with far more anchors than a run holds, and its copies: several runs come from one row."""
+    monkeypatch.setattr(S, "coverage", functools.partial(S.coverage, run_entries=20))
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    texts = [long, long[5_000:9_000] + "x" * 100 + long[100:300], "".join(rng.choice("abcdefgh ") for _ in range(3_000))]
+    assert run(spark, texts, length=60, gram=16) == brute([t.encode() for t in texts], 60)
+
+
+def test_nothing_is_left_behind_but_what_the_result_reads(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    out = S.dedup(spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3))], "doc_id long, text string"), length=40, gram=12)
+    out.collect()
+    assert sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before) == ["repeated-spans", "suffix-input"]
+
+
 def test_production_length(spark):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefghij klmno") for _ in range(260))
