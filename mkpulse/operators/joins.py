@@ -120,9 +120,11 @@ def attach_scalars(df: DataFrame, scalars: DataFrame, by: By = ()) -> DataFrame:
     """Attach per-entity (or global) aggregates to every row. Global
     scalars (one row) become scalar subqueries - computed once, merged into a
     single aggregate by the optimizer and inlined as values, so no join at
-    all; per-entity scalars join on the entity keys."""
+    all; per-entity scalars join on the entity keys (NULL is an entity too)."""
     if by:
-        return df.join(scalars, list(by), "left")
+        own = scalars.select(*[F.col(c).alias(f"_by_{c}" if c in by else c) for c in scalars.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        return df.join(own, same, "left").drop(*[f"_by_{c}" for c in by])
     return df.select("*", *[scalars.select(c).scalar().alias(c) for c in scalars.columns])
 
 

@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mkpulse.operators.joins import attach_scalars
+
 By = Sequence[str]
 
 #: The summary's rank error is at most 1/ACCURACY of the values; the bracket reaches five times as far on either side.
@@ -23,11 +25,9 @@ ACCURACY = 10_000
 
 
 def _attach(df: DataFrame, one: DataFrame, by: By) -> DataFrame:
-    """The columns of the entity's row (a NULL entity is one too), or of the only row, which is computed once."""
+    """The columns of the entity's row, or of the only row, which is computed once."""
     if by:
-        own = one.select(*[F.col(c).alias(f"_by_{c}" if c in by else c) for c in one.columns])
-        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-        return df.join(own, same, "left").drop(*[f"_by_{c}" for c in by])
+        return attach_scalars(df, one, by)
     row = one.select(F.struct(*one.columns).alias("_row")).scalar()
     return df.select("*", *[row[c].alias(c) for c in one.columns])
 

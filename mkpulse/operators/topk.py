@@ -40,7 +40,7 @@ def rank_within(df: DataFrame, order: Order, by: By = (), name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(w))
 
 
-def spread_rank(df: DataFrame, order: Order, by: By, name: str = "rank") -> DataFrame:
+def spread_rank(df: DataFrame, order: Order, by: By, name: str = "rank", kind: str = "int") -> DataFrame:
     """Row number by ``order`` in each entity, for entities of any size.
 
     The rows are dealt out by ranges of (entity, order) and written once; each
@@ -55,7 +55,7 @@ def spread_rank(df: DataFrame, order: Order, by: By, name: str = "rank") -> Data
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*_orders(order)))
-    return ranges.join(sizes, same).withColumn(name, (own + F.col("_before")).cast("int")).select(*df.columns, name)
+    return ranges.join(sizes, same).withColumn(name, (own + F.col("_before")).cast(kind)).select(*df.columns, name)
 
 
 def largest_smallest(df: DataFrame, score: str, key: str, k: int = 5, by: By = (), positive_smallest: bool = True):

@@ -3,7 +3,10 @@
 Windows are partitioned by the caller's ``by`` entities. With ``by=()`` they
 run unpartitioned, which is only done on frames already aggregated to one row
 per day (or per ranked item): the input of those windows is bounded by the
-number of days, not by the number of fact rows. Rolling logic is row based
+number of days, not by the number of fact rows. On raw grains (hours, single events)
+give ``spread``: the series is cut into ranges of so many rows, each of which
+borrows the rows before it that its windows reach (a halo), so that a series
+of any length is rolled over by many tasks. Rolling logic is row based
 (``rowsBetween``), like the reference; gaps are not densified.
 """
 
@@ -15,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mkpulse.functions import col, div, pct_change_abs
+from mkpulse.operators.joins import attach_scalars
+from mkpulse.operators.topk import spread_rank, top_k
 
 By = Sequence[str]
 
@@ -38,36 +43,63 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order_col: str = "extracted_
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+def with_halo(df: DataFrame, order: Sequence[str], n: int, by: By = (), size: int = 1_000_000) -> DataFrame:
+    """``df`` for windows of ``n`` rows that end at each row, as ranges of ``size`` consecutive rows of an entity.
+
+    ``_range`` numbers the range, ``_at`` the row in the entity (from 0).
+    Every range also holds the ``n`` - 1 rows before its own, marked
+    ``_halo``. A window partitioned by (``by``, ``_range``) and ordered by
+    ``_at`` then sees what one over the whole entity would; drop the marked
+    rows afterwards."""
+    ranked = spread_rank(df, [F.asc(c) for c in order], by, "_at", "bigint").withColumn("_at", F.col("_at") - 1)
+    first, last = (F.floor(x / size) for x in (F.col("_at"), F.col("_at") + (n - 1)))
+    dealt = ranked.withColumn("_range", F.explode(F.sequence(first, last)))
+    return dealt.withColumn("_halo", F.col("_range") != F.floor(F.col("_at") / size))
+
+
+def _series(df: DataFrame, date_col: str | Sequence[str], n: int, by: By, spread: int | None):
+    """The frame, its window specification without a frame, and what turns the result back."""
+    order = [date_col] if isinstance(date_col, str) else list(date_col)
+    if spread is None:
+        return df, Window.partitionBy(*by).orderBy(*order), lambda out: out
+    cut = with_halo(df, order, n, by, spread)
+    return cut, Window.partitionBy(*by, "_range").orderBy("_at"), lambda out: out.where(~F.col("_halo")).drop("_at", "_range", "_halo")
+
+
 def rolling_anomalies(
     daily: DataFrame,
     value: str,
-    date_col: str = "date_day",
+    date_col: str | Sequence[str] = "date_day",
     by: By = (),
     threshold: float = 2.5,
     window: int = 7,
     min_periods: int = 3,
     min_rows: int = 7,
     include_current: bool = True,
+    spread: int | None = None,
 ) -> DataFrame:
     """Rolling mean / sample std over ``window`` rows (the current row
     included, as in the reference; ``include_current=False`` uses the previous
     rows only), z-score, spike / drop / normal, deviation %. Entities with
-    fewer than ``min_rows`` rows produce no rows."""
+    fewer than ``min_rows`` rows produce no rows. ``spread``: see above."""
     hi = 0 if include_current else -1
-    o = Window.partitionBy(*by).orderBy(date_col)
+    cut, o, back = _series(daily, date_col, window - hi, by, spread)
     r = o.rowsBetween(-(window - 1) + hi, hi)
     v = F.col(value)
     n = F.count(v).over(r)
+    if spread is None:
+        counted = cut.withColumn("_n", F.count(F.lit(1)).over(_w(by)))
+    else:
+        counted = attach_scalars(cut, daily.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
     df = (
-        daily.withColumn("_n", F.count(F.lit(1)).over(_w(by)))
-        .where(F.col("_n") >= min_rows)
+        counted.where(F.col("_n") >= min_rows)
         .withColumn("rolling_mean", F.when(n >= min_periods, F.avg(v).over(r)))
         .withColumn("rolling_std", F.when(n >= min_periods, F.stddev_samp(v).over(r)))
         .withColumn("z_score", div(v - F.col("rolling_mean"), "rolling_std"))
     )
     z = F.col("z_score")
     t = float(threshold)
-    return (
+    return back(
         df.withColumn("anomaly_type", F.when(z > t, "spike").when(z < -t, "drop").otherwise("normal"))
         .withColumn("is_anomaly", F.coalesce(F.abs(z) > t, F.lit(False)))
         .withColumn("deviation_pct", div(v - F.col("rolling_mean"), "rolling_mean") * 100)
@@ -75,10 +107,12 @@ def rolling_anomalies(
     )
 
 
-def moving_average(df: DataFrame, value: str, date_col: str = "date_day", n: int = 7, by: By = (), name: str = "ma") -> DataFrame:
-    """N-row moving average, NULL until n rows are available."""
-    r = Window.partitionBy(*by).orderBy(date_col).rowsBetween(-(n - 1), 0)
-    return df.withColumn(name, F.when(F.count(F.lit(1)).over(r) == n, F.avg(value).over(r)))
+def moving_average(df: DataFrame, value: str, date_col: str | Sequence[str] = "date_day", n: int = 7, by: By = (), name: str = "ma",
+                   spread: int | None = None) -> DataFrame:
+    """N-row moving average, NULL until n rows are available. ``spread``: see above."""
+    cut, o, back = _series(df, date_col, n, by, spread)
+    r = o.rowsBetween(-(n - 1), 0)
+    return back(cut.withColumn(name, F.when(F.count(F.lit(1)).over(r) == n, F.avg(value).over(r))))
 
 
 def last_vs_previous(daily: DataFrame, values: Sequence[str], date_col: str = "date_day", by: By = ()) -> DataFrame:
@@ -185,25 +219,22 @@ def linear_forecast(
     slope over the last ``fit_rows`` rows against their position (0 when fewer
     than 7 non-null values); CI = +-1.96 x sample std of the whole series, lower
     bound floored at 0. Only entities with >= ``min_rows`` rows. One aggregate
-    per entity, then ``sequence`` + ``explode`` of ``horizon`` rows.
+    over the series and one over its last rows, then ``sequence`` + ``explode``
+    of ``horizon`` rows; no window spans a series.
     """
-    o = Window.partitionBy(*by).orderBy(date_col)
+    # what looks back reads the last rows alone, which are limited per entity before any exchange
+    last = top_k(daily, [F.desc(date_col)], max(fit_rows, 7), by)
     od = Window.partitionBy(*by).orderBy(F.col(date_col).desc())
-    df = (
-        daily.withColumn("_rd", F.row_number().over(od))
-        .withColumn("_n", F.count(F.lit(1)).over(_w(by)))
-    )
-    df = moving_average(df, value, date_col, 7, by, name="_ma7")
+    tail = moving_average(last.withColumn("_rd", F.row_number().over(od)), value, date_col, 7, by, name="_ma7")
     x = (F.lit(fit_rows) - F.col("_rd")).cast("double")  # 0..fit_rows-1 on the fitted tail
     in_fit = F.col("_rd") <= fit_rows
-    g = df.groupBy(*by).agg(
-        F.max("_n").alias("n_rows"),
-        F.max(date_col).alias("last_date"),
+    ends = tail.groupBy(*by).agg(
         F.max(F.when(F.col("_rd") == 1, F.col("_ma7"))).alias("ma7_last"),
         F.regr_slope(F.when(in_fit, F.col(value)), F.when(in_fit & F.col(value).isNotNull(), x)).alias("_slope"),
         F.count(F.when(in_fit, F.col(value))).alias("_fit_n"),
-        F.stddev_samp(value).alias("std_dev"),
-    ).where(F.col("n_rows") >= min_rows)
+    )
+    whole = daily.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.max(date_col).alias("last_date"), F.stddev_samp(value).alias("std_dev"))
+    g = attach_scalars(whole, ends, by).where(F.col("n_rows") >= min_rows)
     g = g.withColumn("slope", F.when(F.col("_fit_n") >= 7, F.coalesce(F.col("_slope"), F.lit(0.0))).otherwise(0.0))
     g = g.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     fc = F.greatest(F.lit(0.0), F.col("ma7_last") + F.col("slope") * F.col("i"))

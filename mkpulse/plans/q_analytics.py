@@ -202,6 +202,30 @@ def w03(t):
     return W.moving_average(_daily_google(t).select("date_day", "cost"), "cost")
 
 
+@register("w03_event_moving_average", f"""
+SELECT event_id, {DS('ts')} AS ts, {R('CASE WHEN COUNT(*) OVER w = 25 THEN AVG(value) OVER w END')} AS ma
+FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)""")
+def w03_events(t):
+    """Over the single events of the whole stream: one series of any length, rolled over in ranges with a halo."""
+    return W.moving_average(t.events.select("event_id", "ts", "value"), "value", ["ts", "event_id"], 25, spread=2_000).drop("value")
+
+
+@register("w02_event_anomalies", f"""
+WITH r AS (SELECT event_type, ts, event_id, value,
+  CASE WHEN COUNT(value) OVER w >= 3 THEN AVG(value) OVER w END AS rolling_mean,
+  CASE WHEN COUNT(value) OVER w >= 3 THEN STDDEV_SAMP(value) OVER w END AS rolling_std, COUNT(*) OVER (PARTITION BY event_type) AS n
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, (value - rolling_mean) / NULLIF(rolling_std, 0) AS z_score FROM r)
+SELECT event_type, event_id, {R('value')} AS value, {R('rolling_mean')} AS rolling_mean, {R('z_score')} AS z_score,
+  CASE WHEN z_score > 2.5 THEN 'spike' ELSE 'drop' END AS anomaly_type
+FROM z WHERE n >= 7 AND abs(z_score) > 2.5""")
+def w02_events(t):
+    """Single events against the twelve before them of their type: a type may hold any share of the stream."""
+    out = W.rolling_anomalies(t.events.select("event_type", "ts", "event_id", "value"), "value", ["ts", "event_id"], ["event_type"], threshold=2.5,
+                              window=12, include_current=False, spread=2_000)
+    return out.where("is_anomaly").select("event_type", "event_id", "value", "rolling_mean", "z_score", "anomaly_type")
+
+
 @register("w04_last_vs_previous", f"""
 WITH d AS ({_DAILY_G.replace('GROUP BY', f"AND date_day >= DATE '{LI_ASOF}' - INTERVAL 7 DAY GROUP BY")}),
 l AS (SELECT *, LAG(cost) OVER (ORDER BY date_day) AS prev_cost, LAG(conversions) OVER (ORDER BY date_day) AS prev_conversions,

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from mkpulse.operators import windows as W
 
@@ -65,3 +66,39 @@ def test_keep_latest_nulls_last(spark):
     df = spark.createDataFrame(rows, "k int, extracted_at timestamp, v int")
     r = W.keep_latest(df, ["k"]).collect()
     assert len(r) == 1 and r[0].v == 10
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+@pytest.mark.parametrize("size", [3, 10, 1000])
+def test_halo_windows_equal_whole_ones(spark, by, size):
+    """Ranges shorter and longer than the window, an entity that is NULL, values that are NULL."""
+    import random
+
+    rng = random.Random(size)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), t, rng.choice([None, 1.0, 2.5, float(rng.randint(0, 99))])) for t in rng.sample(range(9999), 200)]
+    df = spark.createDataFrame(rows + [("few", 1, 1.0), ("few", 2, 2.0)], "g string, t int, v double")
+
+    def same(a, b):
+        assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+    same(W.moving_average(df, "v", "t", 7, by, spread=size), W.moving_average(df, "v", "t", 7, by))
+    for current in (True, False):
+        how = {"date_col": "t", "by": by, "threshold": 1.2, "include_current": current}
+        same(W.rolling_anomalies(df, "v", spread=size, **how), W.rolling_anomalies(df, "v", **how))
+
+
+def test_halo_windows_need_no_single_task(spark):
+    df = spark.range(20_000).select("id", (F.col("id") * 7 % 101).cast("double").alias("v"))
+    out = W.moving_average(df, "v", "id", 7, spread=500)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan and "Window [avg" in plan.replace("Window [count", "Window [avg")
+    per_range = W.with_halo(df, ["id"], 7, size=500).groupBy("_range").count()
+    assert per_range.count() == 40 + 1 and per_range.agg({"count": "max"}).first()[0] == 506  # the last one holds a halo alone
+    want = W.moving_average(df, "v", "id", 7)
+    assert out.exceptAll(want).isEmpty() and out.count() == 20_000
+
+
+def test_forecast_has_no_window_over_the_series(spark):
+    out = W.linear_forecast(_series(spark, [5 + i % 3 for i in range(40)]), "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit 14" in plan and out.count() == 14
