@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from mkpulse.plans import adapters as ad
 from mkpulse.plans.catalog import DS, R, register
 from mkpulse.sources import reports as S
+from mkpulse.sources import schemas as SC
 from mkpulse.sources.catalog import execute_query, preview
+from mkpulse.streaming import run_folder
 
 _DEV = ad.DEVICES
 
@@ -581,3 +583,37 @@ def _web_report_query(report: str):
 
 for _rep in _WEB_SOURCES:
     _web_report_query(_rep)
+
+
+# ------------------------------------------------------------- rejected records
+def _landed_lines(t):
+    """Search-ads lines as text, some of them broken: cut off, a word for a number, without a campaign."""
+    li = t.lineitem.where(F.col("l_linestatus") == "F")
+    key, part = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    campaign = F.concat(F.lit('"campaign": {"id": '), part, F.lit("}, "))
+    clicks = F.when(key % 29 == 0, F.lit('"many"')).otherwise(F.col("l_quantity").cast("bigint").cast("string"))
+    line = F.concat(F.lit('{"ad_group": {"id": '), key.cast("string"), F.lit("}, "), F.when(key % 31 == 0, F.lit("")).otherwise(campaign),
+                    F.lit('"metrics": {"clicks": '), clicks, F.lit("}}"))
+    path = run_folder(t.spark, "landed-lines")
+    li.select(F.when(key % 37 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+    return S.inspect_landed(t.spark, path, SC.SEARCH_ADS_RAW, required=["campaign.id"])
+
+
+_LINE_KEY = "l_orderkey * 8 + l_linenumber"
+_LINE_REASON = f"""CASE WHEN ({_LINE_KEY}) % 37 = 0 THEN 'malformed' WHEN ({_LINE_KEY}) % 29 = 0 THEN 'wrong type: metrics.clicks'
+  WHEN ({_LINE_KEY}) % 31 = 0 THEN 'missing: campaign.id' END"""
+
+
+@register("s01_rejected_records", f"""
+SELECT CAST({_LINE_KEY} AS BIGINT) AS ad_group_id, {_LINE_REASON} AS reason FROM lineitem WHERE l_linestatus = 'F' AND {_LINE_REASON} IS NOT NULL""")
+def s01_rejected(t):
+    bad = S.rejected(_landed_lines(t))
+    return bad.select(F.regexp_extract("record", r'"id": (\d+)', 1).cast("bigint").alias("ad_group_id"), "reason")
+
+
+@register("s01_accepted_records", f"""
+SELECT CAST({_LINE_KEY} AS BIGINT) AS ad_group_id, l_partkey AS campaign_id, CAST(l_quantity AS BIGINT) AS clicks
+FROM lineitem WHERE l_linestatus = 'F' AND {_LINE_REASON} IS NULL""")
+def s01_accepted(t):
+    good = S.search_ads_rows(S.accepted(_landed_lines(t)))
+    return good.select("ad_group_id", "campaign_id", "clicks")

@@ -25,6 +25,74 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return r.json(path) if fmt == "json" else r.format(fmt).load(path)
 
 
+#: What :func:`inspect_landed` adds to the landed columns.
+RECORD, REASON, FILE = "_record", "_reason", "_file"
+
+
+def leaf_paths(schema: T.StructType, prefix: str = "") -> list[str]:
+    """Dotted paths of the fields that hold a single value (lists are one value)."""
+    out: list[str] = []
+    for f in schema.fields:
+        path = prefix + f.name
+        out += leaf_paths(f.dataType, path + ".") if isinstance(f.dataType, T.StructType) else [path]
+    return out
+
+
+def inspect_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", required: Sequence[str] = ()) -> DataFrame:
+    """Landed rows with their file (``_file``), the record as it stands
+    (``_record``) and why it can not be used (``_reason``, NULL if it can).
+
+    Reasons: ``malformed`` (the line is no record of the format), ``wrong
+    type: <fields>`` (a value does not fit the declared type; the reader would
+    make it NULL without a trace), ``missing: <fields>`` (a required field is
+    absent or NULL). JSON is read line by line, blank lines are skipped;
+    columnar formats hold typed values, so only ``required`` can fail there.
+    """
+    if fmt == "json":
+        lines = spark.read.text(path).select(F.col("value").alias(RECORD), F.col("_metadata.file_path").alias(FILE)).where(F.trim(RECORD) != "")
+        kept = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+        parsed = lines.withColumn("_r", F.from_json(RECORD, kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+        # values that the line has and the row lost
+        lost = F.array_compact(F.array(*[F.when(F.col(f"_r.{p}").isNull() & F.get_json_object(RECORD, f"$.{p}").isNotNull(), F.lit(p)) for p in leaf_paths(schema)]))
+        whole = F.try_parse_json(RECORD).isNotNull() & F.trim(RECORD).startswith("{")
+        broken = F.when(F.col("_r._corrupt").isNotNull(), F.when(~whole, F.lit("malformed")).otherwise(
+            F.concat(F.lit("wrong type: "), F.array_join(lost, ", "))))
+        rows, at = parsed, "_r."
+    else:
+        rows = spark.read.schema(schema).format(fmt).load(path)
+        rows = rows.select("*", F.col("_metadata.file_path").alias(FILE), F.to_json(F.struct(*rows.columns)).alias(RECORD))
+        broken, at = F.lit(None).cast("string"), ""
+    missing = F.array_compact(F.array(*[F.when(F.col(at + p).isNull(), F.lit(p)) for p in required]).cast("array<string>"))
+    absent = F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    return rows.select(*[F.col(f"{at}`{f.name}`").alias(f.name) for f in schema.fields], RECORD, F.coalesce(broken, absent).alias(REASON), FILE)
+
+
+def accepted(inspected: DataFrame) -> DataFrame:
+    """The usable rows, in the declared columns."""
+    return inspected.where(F.col(REASON).isNull()).drop(RECORD, REASON, FILE)
+
+
+def rejected(inspected: DataFrame) -> DataFrame:
+    """The others: file, reason and the record as it stands."""
+    return inspected.where(F.col(REASON).isNotNull()).select(F.col(FILE).alias("file"), F.col(REASON).alias("reason"), F.col(RECORD).alias("record"))
+
+
+def reject_summary(rejects: DataFrame) -> DataFrame:
+    """Rejected records per file and reason."""
+    return rejects.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+def land(spark: SparkSession, path: str, schema: T.StructType, quarantine: str, batch: str, fmt: str = "json", required: Sequence[str] = ()) -> DataFrame:
+    """The usable rows of a landed batch; its other records are put into the
+    quarantine table, under the batch's name. Landing the batch again replaces
+    what it left there, so a record that was mended disappears."""
+    from mkpulse.sinks import write_partition
+
+    found = inspect_landed(spark, path, schema, fmt, required)
+    write_partition(rejected(found), quarantine, "batch", batch)
+    return accepted(found)
+
+
 def _has(df: DataFrame, path: str) -> bool:
     cur: T.DataType = df.schema
     for part in path.split("."):

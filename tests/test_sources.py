@@ -104,3 +104,53 @@ def test_search_console_batch_mixed_sets(spark):
     r = {x._dataset: x for x in S.search_console_batch(raw, sets).collect()}
     assert (r["gsc_queries"].date, r["gsc_queries"].query, r["gsc_queries"].page) == ("2024-01-05", "q", None)
     assert (r["gsc_page_device"].page, r["gsc_page_device"].device, r["gsc_page_device"].clicks) == ("/p", "MOBILE", 0)
+
+
+LINES = [
+    '{"campaign": {"id": 1, "name": "a"}, "metrics": {"clicks": 4, "ctr": 0.5}}', '{"campaign": {"id": 2, "name": "b"}, "metri', '',
+    '{"campaign": {"id": "two", "name": "c"}, "metrics": {"clicks": "many"}}', '{"campaign": {"name": "d"}}', '[1, 2]', '"text"', '   ',
+    '{"campaign": {"id": 3, "name": null}, "unknown": {"x": 1}}', '{}', '{"campaign": 7}', 'null',
+]
+
+
+def _broken(scratch):
+    path = os.path.join(scratch, "landed")
+    os.makedirs(path)
+    with open(os.path.join(path, "part-0.json"), "w") as f:
+        f.write("\n".join(LINES) + "\n")
+    return path
+
+
+def test_rejected_records_are_reported(spark, scratch):
+    found = S.inspect_landed(spark, _broken(scratch), SC.SEARCH_ADS_RAW, required=["campaign.id"])
+    good = S.accepted(found)
+    assert good.schema == SC.SEARCH_ADS_RAW
+    assert sorted((r.campaign.id, r.campaign.name, r.metrics.clicks if r.metrics else None) for r in good.collect()) == [(1, "a", 4), (3, None, None)]
+    bad = {r.record: r.reason for r in S.rejected(found).collect()}
+    assert bad == {
+        LINES[1]: "malformed", LINES[3]: "wrong type: campaign.id, metrics.clicks", LINES[4]: "missing: campaign.id", LINES[5]: "malformed",
+        LINES[6]: "malformed", LINES[9]: "missing: campaign.id", LINES[10]: bad[LINES[10]], LINES[11]: bad[LINES[11]],
+    }
+    assert bad[LINES[10]].startswith("wrong type") and bad[LINES[11]] in ("malformed", "missing: campaign.id")
+    total = S.reject_summary(S.rejected(found)).agg({"records": "sum"}).first()[0]
+    assert total + good.count() == len([x for x in LINES if x.strip()])
+    assert all(r.file.endswith("part-0.json") for r in S.rejected(found).collect())
+
+
+def test_quarantine_holds_one_folder_per_batch(spark, scratch):
+    path, table = _broken(scratch), os.path.join(scratch, "quarantine")
+    for batch in ("2024-01-30", "2024-01-31", "2024-01-30"):  # the first lands twice
+        assert S.land(spark, path, SC.SEARCH_ADS_RAW, table, batch, required=["campaign.id"]).count() == 2
+    got = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(table)
+    assert sorted((str(r["batch"]), r["count"]) for r in got.groupBy("batch").count().collect()) == [("2024-01-30", 8), ("2024-01-31", 8)]
+    with open(os.path.join(path, "part-0.json"), "w") as f:
+        f.write(LINES[0])
+    S.land(spark, path, SC.SEARCH_ADS_RAW, table, "2024-01-31", required=["campaign.id"])  # mended: nothing is left of it
+    assert [(str(r["batch"]), r["count"]) for r in spark.read.parquet(table).groupBy("batch").count().collect()] == [("2024-01-30", 8)]
+
+
+def test_columnar_files_are_checked_for_required_fields(spark, scratch):
+    path = os.path.join(scratch, "p")
+    spark.createDataFrame([(["q"], 1, 2, 0.5, 1.0), (None, 1, 2, 0.5, 1.0)], SC.SEARCH_CONSOLE_RAW).write.parquet(path)
+    found = S.inspect_landed(spark, path, SC.SEARCH_CONSOLE_RAW, "parquet", required=["keys", "clicks"])
+    assert S.accepted(found).count() == 1 and [r.reason for r in S.rejected(found).collect()] == ["missing: keys"]
