@@ -387,3 +387,35 @@ SELECT account_id, level, COUNT(CASE WHEN status = 'ACTIVE' THEN 1 END) AS activ
   COUNT(CASE WHEN status = 'PAUSED' THEN 1 END) AS paused, COUNT(*) AS total FROM o GROUP BY 1, 2""")
 def a47s(t):
     return A.status_counts(_meta_objects(t))
+
+
+# ---------------------------------------------------------------- P01 / P02 / F06
+@register("p01_p02_load_windows", """
+WITH a AS (SELECT max(CAST(ts AS DATE)) AS d, CAST(ts AS DATE) AS day FROM events GROUP BY 2),
+b AS (SELECT max(day) AS t FROM a),
+w(name, s, e) AS (SELECT * FROM (SELECT 'default', t - 30, t - 1 FROM b UNION ALL SELECT 'last_7', t - 7, t - 1 FROM b
+  UNION ALL SELECT 'from_start', DATE '2024-01-10', t - 1 FROM b UNION ALL SELECT 'closed', DATE '2024-01-10', DATE '2024-01-12' FROM b
+  UNION ALL SELECT 'lifetime', DATE '2020-01-01', t - 1 FROM b UNION ALL SELECT 'social', t - 30, t FROM b
+  UNION ALL SELECT 'social_lifetime', t - 400, t FROM b))
+SELECT name, CAST(CAST(s AS DATE) AS VARCHAR) AS first_day, CAST(CAST(e AS DATE) AS VARCHAR) AS last_day,
+  (SELECT COUNT(*) FROM events WHERE CAST(ts AS DATE) BETWEEN CAST(s AS DATE) AND CAST(e AS DATE)) AS events FROM w""")
+def p01_p02(t):
+    """The load windows as of the last day of the stream, and the events that each would load (one pass)."""
+    day = F.to_date("ts")
+    as_of = t.events.select(F.max(day)).first()[0]
+    windows = {
+        "default": P.etl_range(as_of), "last_7": P.etl_range(as_of, 7), "from_start": P.etl_range(as_of, start="2024-01-10"),
+        "closed": P.etl_range(as_of, start="2024-01-10", end="2024-01-12"), "lifetime": P.etl_range(as_of, lifetime_start="2020-01-01"),
+        "social": P.social_range(as_of), "social_lifetime": P.social_range(as_of, lifetime=True)}
+    counts = t.events.agg(*[F.count(F.when(P.in_range(day, *w), 1)).alias(n) for n, w in windows.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w[0]).alias("first_day"), F.lit(w[1]).alias("last_day"), F.col(n).alias("events"))
+                     for n, w in windows.items()])
+    return counts.select(F.inline(rows))
+
+
+@register("f06_clean_columns", """
+SELECT l_returnflag AS "ga_flag__", COUNT(*) AS "cost__USD_", CAST(MAX(l_linenumber) AS BIGINT) AS "max_line_" FROM lineitem GROUP BY 1""")
+def f06(t):
+    out = t.lineitem.groupBy(F.col("l_returnflag").alias("ga:flag %")).agg(
+        F.count(F.lit(1)).alias("cost (USD)"), F.max("l_linenumber").cast("long").alias("max-line\u00e9"))
+    return FN.clean_columns(out)

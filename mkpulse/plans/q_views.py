@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mkpulse import sinks as K
 from mkpulse.plans import adapters as ad
 from mkpulse.plans import views as V
 from mkpulse.plans.catalog import DS, R, register
+from mkpulse.plans.refresh import refresh_facts
+from mkpulse.streaming import run_folder
 
 def _cid():
     return F.regexp_extract("campaign_name", r"#(\d+)", 1).cast("bigint")
@@ -352,3 +355,45 @@ SELECT {DS('date_day')} AS date_day, sessionSource AS source, sessionMedium AS m
   CAST(totalUsers AS BIGINT) AS users, CAST(0 AS BIGINT) AS new_users, CAST(0.25 AS DOUBLE) AS bounce_rate FROM web_traffic""", ["web_traffic"])
 def v08_traffic(t):
     return _views(t)["fact_web_traffic"].drop("page_views")
+
+
+@register("v11_refreshed_fact", f"""
+WITH d AS (SELECT CAST(ts AS DATE) AS date_day, COUNT(*) AS sessions, COUNT(DISTINCT user_id) AS users FROM events GROUP BY 1)
+SELECT {DS('date_day')} AS date_day, CASE WHEN date_day = (SELECT max(date_day) FROM d) THEN 2 * sessions ELSE sessions END AS sessions, users,
+  date_day = (SELECT max(date_day) FROM d) AS rewritten FROM d""")
+def v11_refreshed(t):
+    """The gold fact is built from all days of its bronze table; the last day lands again, doubled, and only that day is rewritten."""
+    base = run_folder(t.spark, "v11")
+    raw = t.events.groupBy(F.to_date("ts").alias("date_day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("u"))
+
+    def landed(times):
+        return raw.select(F.date_format("date_day", "yyyyMMdd").alias("date"), (F.col("n") * times).cast("string").alias("sessions"),
+                          F.col("u").cast("string").alias("totalUsers"), F.lit("0").alias("newUsers"), F.lit("0.5").alias("bounceRate"), "date_day")
+
+    bronze = {"ga4_sessions": base + "/ga4_sessions"}
+    K.load(landed(1), bronze["ga4_sessions"], ["date_day"], lifetime=True, partition_col="date_day")
+    refresh_facts(t.spark, bronze, base + "/gold")
+    K.load(landed(2).where(F.col("date_day") == raw.select(F.max("date_day")).scalar()), bronze["ga4_sessions"], ["date_day"], lifetime=False,
+           partition_col="date_day")
+    days = [d.split("=", 1)[1] for d in refresh_facts(t.spark, bronze, base + "/gold")["fact_web_daily"]]
+    fact = t.spark.read.parquet(base + "/gold/fact_web_daily")
+    return fact.select("date_day", "sessions", "users", F.col("date_day").cast("string").isin(days).alias("rewritten"))
+
+
+@register("v11_view_report", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS \"view\", '{s}' AS status, CAST((SELECT COUNT(*) FROM orders) AS BIGINT) AS fact_rows" for n, s in (
+        ("gads_campaigns_v", "created"), ("meta_campaign_insights_v", "created"), ("fact_paid_daily", "created"), ("dim_campaign", "created"),
+        ("summary_platform_totals", "created"))))
+def v11_report(t):
+    """The views that paid totals need, in dependency order; one row of the fact per order."""
+    o = t.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), (F.col("o_orderkey") % 9).alias("campaign_id"),
+                        F.lit("c").alias("campaign_name"), F.lit(1).cast("long").alias("impressions"), F.lit(1).cast("long").alias("clicks"),
+                        F.col("o_totalprice").alias("cost"), F.lit(1.0).alias("conversions"), F.lit(0.0).alias("conversions_value"), "o_custkey")
+    meta = o.where(F.col("o_custkey") % 2 == 0).select(
+        "date", F.lit("a").alias("ad_account_id"), F.col("campaign_id").cast("string").alias("campaign_id"), "campaign_name", "impressions", "clicks",
+        F.col("impressions").alias("reach"), F.col("cost").alias("spend"), F.lit(1).cast("long").alias("app_installs"),
+        F.lit(1).cast("long").alias("purchases"), F.lit(1.0).alias("purchase_value"))
+    tables = {"gads_campaigns": o.where(F.col("o_custkey") % 2 == 1).drop("o_custkey"), "meta_campaign_insights": meta}
+    views, report = V.build_views(tables, only=["summary_platform_totals", "dim_campaign"])
+    rows = t.spark.createDataFrame([(n, s) for n, s, _ in report], "view string, status string")
+    return rows.withColumn("fact_rows", views["fact_paid_daily"].agg(F.count(F.lit(1)).alias("n")).scalar())

@@ -28,6 +28,8 @@ def silver(df: DataFrame, date_col: str = "date", ints: Sequence[str] = (), floa
     renames = renames or {}
     cols = []
     for c in df.columns:
+        if c == "date_day" and date_col in df.columns:
+            continue  # a partition column of the bronze table: derived anew below
         e = F.col(c)
         if c in ints:
             e = safe_int(c, None)

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import hashlib
 import json
 import threading
 import time
@@ -260,7 +261,8 @@ def ledger(spark: SparkSession, path: str) -> dict:
     return json.loads(_read(fs, p) or "{}")
 
 
-def _commit(spark: SparkSession, swap: str, path: str, folders: Sequence[str], lease: Lease, entry: dict | None = None) -> None:
+def _commit(spark: SparkSession, swap: str, path: str, folders: Sequence[str], lease: Lease, entry: dict | None = None,
+            exchange: bool = True) -> None:
     """Name the folders to exchange (``""``: the whole table) and exchange them.
 
     A named folder that the new content lacks is removed from the table.
@@ -272,7 +274,8 @@ def _commit(spark: SparkSession, swap: str, path: str, folders: Sequence[str], l
     lease.check()
     if not fs.rename(hp(p, "COMMIT.part"), hp(p, "COMMIT")):  # the mark is there whole or not at all
         raise OSError(f"could not commit {swap}")
-    _finish(spark, swap, path, lease)
+    if exchange:
+        _finish(spark, swap, path, lease)
 
 
 def _in(hp, folder: str, name: str):
@@ -357,6 +360,49 @@ def write_partition(df: DataFrame, path: str, column: str, value: object) -> int
         return int(obs.get["rows"])
 
 
+#: The folder of a NULL partition value, as Spark names it.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def partition_stamps(spark: SparkSession, path: str) -> dict[str, str]:
+    """Partition folder -> stamp of its files (names and sizes), for a table partitioned by one column.
+
+    Every write gives files new names, so a folder whose stamp is unchanged
+    holds the rows it held. Reads listings only, one per folder."""
+    fs, p, _ = _fs(spark, path.rstrip("/"))
+    out = {}
+    for folder in _children(fs, p):
+        if "=" in folder.getName():
+            files = sorted(f"{st.getPath().getName()}:{st.getLen()}" for st in fs.listStatus(folder) if not st.getPath().getName().startswith(("_", ".")))
+            out[folder.getName()] = hashlib.sha1("\n".join(files).encode()).hexdigest()
+    return out
+
+
+def partition_values(spark: SparkSession, folders: Sequence[str], kind: T.DataType) -> dict[str, object]:
+    """Partition folder -> its value in the column's type."""
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    raw = [(f, None if (v := f.split("=", 1)[1]) == NULL_FOLDER else unescape(v)) for f in folders]
+    return {r.f: r.v for r in spark.createDataFrame(raw, "f string, v string").select("f", F.col("v").cast(kind).alias("v")).collect()}
+
+
+def replace_partitions(df: DataFrame, path: str, column: str, folders: Sequence[str], entry: dict | None = None) -> int:
+    """Put the rows of ``df`` in place of the table's partitions ``folders``; one that
+    ``df`` has no row for is emptied. ``df`` must hold rows of these partitions
+    alone. Other partitions are not read. Returns the rows written."""
+    spark = df.sparkSession
+    with writing(spark, path) as lease:
+        if path_exists(spark, path) and (has := partition_columns(spark, path)) not in ([], [column]):
+            raise ValueError(f"{path} is partitioned by {has}, not by {column}")
+        obs, swap = Observation("parts"), _new_swap(path)
+        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.partitionBy(column).parquet(swap + "/new")
+        fs, p, _ = _fs(spark, swap + "/new")
+        new = {c.getName() for c in _children(fs, p) if "=" in c.getName()}
+        if more := new - set(folders):
+            raise ValueError(f"rows of partitions that were not to be replaced: {', '.join(sorted(more)[:5])}")
+        _commit(spark, swap, path, sorted(folders), lease, entry)
+        return int(obs.get["rows"])
+
+
 def _in_values(column: str, values: list):
     """``column`` is one of ``values``, NULL included; a plain predicate, so partitions are pruned."""
     c = F.col(column)
@@ -366,7 +412,7 @@ def _in_values(column: str, values: list):
 
 def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = True,
            partition_col: str | None = None, schema: T.StructType | None = None, newest_col: str | None = None,
-           combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, entry: dict | None = None) -> dict:
+           combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, entry: dict | None = None, exchange: bool = True) -> dict:
     """Keyed upsert of ``batch`` into the table at ``path``.
 
     Missing table -> created from the batch. With ``partition_col`` only the
@@ -376,13 +422,15 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], null_safe: bool = T
     is refused. With ``newest_col`` the newest row per key wins instead of the
     batch (see :func:`merge_newest`); ``combine(rows in scope, batch)`` merges
     in any other way. ``entry`` is added to the table's ledger in the same
-    commit. The batch is evaluated once. Returns an audit dict.
+    commit. With ``exchange=False`` an existing table is left as it is once the
+    write is committed: the next writer or :func:`recover` moves the folders.
+    The batch is evaluated once. Returns an audit dict.
     """
     with writing(batch.sparkSession, path) as lease:
-        return _upsert(batch, path, keys, null_safe, partition_col, schema, newest_col, combine, entry, lease)
+        return _upsert(batch, path, keys, null_safe, partition_col, schema, newest_col, combine, entry, lease, exchange)
 
 
-def _upsert(batch, path, keys, null_safe, partition_col, schema, newest_col, combine, entry, lease) -> dict:
+def _upsert(batch, path, keys, null_safe, partition_col, schema, newest_col, combine, entry, lease, exchange) -> dict:
     spark = batch.sparkSession
     by = [partition_col] if partition_col else []
     if not path_exists(spark, path):
@@ -411,7 +459,7 @@ def _upsert(batch, path, keys, null_safe, partition_col, schema, newest_col, com
     w = merged.observe(obs, F.count(F.lit(1)).alias("rows")).write
     (w.partitionBy(partition_col) if partition_col else w).parquet(swap + "/new")
     names = _folder_names(spark, scope, swap, partition_col) if partition_col else [""]
-    _commit(spark, swap, path, names, lease, entry)
+    _commit(spark, swap, path, names, lease, entry, exchange)
     return {"mode": "upsert", "rows_written": int(obs.get["rows"])}
 
 
