@@ -178,13 +178,13 @@ def risk_signals(facts: DataFrame, cpa_target: float = 5.0, budget: float = 1000
     all4 = truthy("spend_cur") & truthy("spend_prev") & truthy("conversions_cur") & truthy("conversions_prev")
     rules = [
         Rule("spend_outgrows_conversions", "warning", all4 & (sg > 10) & (cg < sg - 10),
-             "Spend growing faster than conversions", "spend", sg, cg),
+             "Spend outpaces conversions", "spend", sg, cg),
         Rule("cpa_above_target", "warning", truthy("spend_cur") & (F.col("conversions_cur") > 0) & (cpa > cpa_target * 1.2),
              "CPA above target", "cpa", cpa, (cpa / cpa_target - 1) * 100),
         Rule("budget_utilization", "warning", truthy("spend_cur") & F.lit(budget > 0) & (util > 0.9),
              "Budget nearly used", "spend", util * 100),
         Rule("conversion_target_met", "success", truthy("conversions_cur") & F.lit(conversions_target > 0) & (prog >= 1.0),
-             "Conversion target achieved", "conversions", prog * 100),
+             "Conversions have reached their goal", "conversions", prog * 100),
     ]
     return emit(facts, rules, "risk", by)
 
@@ -213,7 +213,7 @@ def trend_diagnosis(split: DataFrame, by: By = ()) -> DataFrame:
         Rule("intent_problem", "warning", both & (s > 10) & (e < -5), "Sessions up, engagement down: intent problem", "sessions", s, e),
         Rule("regression", "error", both & (s < -10) & (e < -5), "Sessions and engagement down: UX or content regression", "sessions", s, e),
         Rule("healthy_growth", "success", both & (s > 10) & (e > 5), "Healthy growth", "sessions", s, e),
-        Rule("quality_over_quantity", "info", both & (s < 0) & (e > 0), "Quality over quantity", "sessions", s, e),
+        Rule("quality_over_quantity", "info", both & (s < 0) & (e > 0), "Fewer visits, more engaged", "sessions", s, e),
     ]
     return emit(split, rules, "web_trend", by, limit=1)
 
@@ -246,7 +246,7 @@ def what_changed(sessions_raw: DataFrame, traffic: DataFrame, tech: DataFrame, c
                 F.when(sc > 0, "success").otherwise("warning").alias("severity"))),
             F.when(truthy(bc) & (F.abs(bc) > 5), F.struct(
                 F.lit(2).alias("grp"), F.lit(1).alias("ord"),
-                F.when(bc > 0, "Bounce rate increased").otherwise("Bounce rate decreased").alias("title"),
+                F.when(bc > 0, "More visits end on the first page").otherwise("Fewer visits end on the first page").alias("title"),
                 F.lit("bounce_rate").alias("metric"), F.col("cur_b").cast("double").alias("value"), bc.alias("change"),
                 F.when(bc > 0, "warning").otherwise("success").alias("severity"))),
         )).alias("_a"),
@@ -294,7 +294,7 @@ def what_changed_actions(changes: DataFrame, by: By = (), limit: int = 5) -> Dat
     t = F.lower("title")
     first = F.element_at(F.split("title", " "), 1)
     act = (
-        F.when(t.contains("bounce rate increased"), F.lit("List the releases of this period and test the affected pages"))
+        F.when(t.contains("more visits end on the first page"), F.lit("List the releases of this period and test the affected pages"))
         .when(t.contains("traffic down"), F.concat(F.lit("Find out why "), first, F.lit(" sends fewer visits")))
         .when(t.contains("traffic up"), F.concat(F.lit("Repeat what worked for "), first))
     )
@@ -340,8 +340,8 @@ def segment_insights(facts: DataFrame, by: By = ()) -> DataFrame:
     rules = [
         Rule("paid_lags_organic", "warning", pe < oe - 0.1, "Paid engagement lags organic", "engagement_rate", pe, pe - oe),
         Rule("paid_beats_organic", "success", pe > oe + 0.1, "Paid engagement beats organic", "engagement_rate", pe, pe - oe),
-        Rule("mobile_heavy", "info", mp > 60, "Mobile UX is critical", "mobile_pct", mp),
-        Rule("desktop_heavy", "info", mp < 20, "Desktop-focused audience", "mobile_pct", mp),
+        Rule("mobile_heavy", "info", mp > 60, "Phones bring most visits", "mobile_pct", mp),
+        Rule("desktop_heavy", "info", mp < 20, "Most visits come from desktops", "mobile_pct", mp),
         Rule("mobile_majority", "warning", mp > 50, "Phones bring most visits", "mobile_pct", mp),
         Rule("country_concentration", "info", cc > 80, "Traffic highly concentrated", "concentration", cc),
         Rule("high_new_users", "warning", npct > 80, "High new user share", "new_pct", npct),
@@ -361,10 +361,10 @@ def search_ads_daily_insights(daily: DataFrame, by: By = ()) -> DataFrame:
              F.when(sc > 0, "Google Ads spend increased").otherwise("Google Ads spend decreased"), "cost", F.col("cost"), sc,
              "Look for campaigns that raised bids or daily limits"),
         Rule("gads_conversions_drop", "high", (F.col("prev_conversions") > 0) & (cc <= -0.20),
-             "Google Ads conversions dropped", "conversions", F.col("conversions"), cc,
+             "Search-ads conversions fell from the day before", "conversions", F.col("conversions"), cc,
              "Confirm that tags fire and landing pages load"),
         Rule("gads_conversions_up", "medium", (F.col("prev_conversions") > 0) & (cc >= 0.20),
-             "Google Ads conversions increased", "conversions", F.col("conversions"), cc),
+             "Search-ads conversions rose from the day before", "conversions", F.col("conversions"), cc),
     ]
     return emit(daily, rules, "gads", by)
 
@@ -388,7 +388,7 @@ def social_daily_insights(daily: DataFrame, by: By = ()) -> DataFrame:
     ch = (lc - pc) / pc
     ok = (F.col("installs") > 0) & (F.col("prev_installs") > 0)
     rules = [
-        Rule("meta_cpi", "high", ok & (F.when(ok, ch) >= 0.20), "Meta Ads CPI increased", "cpi", F.when(ok, lc), F.when(ok, ch),
+        Rule("meta_cpi", "high", ok & (F.when(ok, ch) >= 0.20), "Each social-ads install costs more", "cpi", F.when(ok, lc), F.when(ok, ch),
              "Sort ads by cost per result and pause the worst"),
     ]
     return emit(daily, rules, "meta", by)

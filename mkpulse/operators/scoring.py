@@ -10,9 +10,12 @@ distributed (``quantiles.with_medians``).
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,57 +223,123 @@ def best_worst_hours(hourly: DataFrame, k: int = 5, by: By = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ N07
-#: Keywords that the clusters are fitted on at most: those with the most impressions.
+#: Keywords that the clusters of an entity are fitted on at most: those with the most impressions.
 FIT_ROWS = 500
+#: Scaled features are whole numbers of 1 / GRID standard deviations, so that every engine finds the same clusters.
+GRID = 10**6
+#: Starts, and rounds of each.
+STARTS, LLOYD_ROUNDS = 10, 20
+
+
+@dataclass(frozen=True)
+class KeywordFit:
+    """Scaler, centres (whole numbers) and two principal components of one entity."""
+    mean: list[float]
+    std: list[float]
+    centers: list[list[int]]
+    components: list[list[float]]
+
+
+def _whole(z: float) -> int:
+    return int(math.copysign(math.floor(abs(z) * GRID + 0.5), z))
+
+
+def fit_entity(names: Sequence[str], rows: Sequence[Sequence[float]], k: int, starts: int, rounds: int) -> KeywordFit | None:
+    """Best of ``starts`` k-means fits over z-scaled features; None for fewer than 10 rows.
+
+    Start s takes the ``k`` rows of least md5 of ``s:<name>`` as centres; each
+    round assigns every row to the nearest centre (of equal ones the smaller
+    number) and moves centres with rows to floor(sum / count). The start of
+    least total distance wins, of equal ones the smaller number."""
+    n, f = len(rows), len(rows[0]) if rows else 0
+    if n < 10:
+        return None
+    mean = [math.fsum(r[j] for r in rows) / n for j in range(f)]
+    std = [math.sqrt(math.fsum((r[j] - mean[j]) ** 2 for r in rows) / (n - 1)) for j in range(f)]
+    x = np.array([[_whole((r[j] - mean[j]) / std[j]) if std[j] > 0 else 0 for j in range(f)] for r in rows], dtype=np.int64)
+    best = None
+    for s in range(starts):
+        order = sorted(range(n), key=lambda i: (hashlib.md5(f"{s}:{names[i]}".encode()).hexdigest(), names[i]))
+        c = x[order[:k]]
+        for _ in range(rounds):
+            at = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[at == j].sum(axis=0) // max(1, (at == j).sum()) if (at == j).any() else c[j] for j in range(len(c))])
+        cost = int(((x[:, None, :] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
+        if best is None or cost < best[0]:
+            best = cost, c
+    z = x / GRID
+    _, v = np.linalg.eigh(z.T @ z)
+    axes = v[:, ::-1].T[:2]
+    axes = axes * np.where(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)] < 0, -1, 1)[:, None]  # the largest weight is positive
+    return KeywordFit(mean, std, best[1].tolist(), [*axes.tolist(), *[[0.0] * f] * (2 - len(axes))])
 
 
 @dataclass(frozen=True)
 class KeywordClusters:
-    """Fitted centres: Spark ML models over the scaled features."""
+    """Fitted clusters, one fit for all keywords or one for each value of ``by``."""
     features: tuple[str, ...]
-    model: object | None
+    fits: dict[str | None, KeywordFit]
+    by: str | None = None
+
+    def table(self, spark) -> DataFrame:
+        """The fits as a small table: one row per entity."""
+        kind = "_entity string, _mean array<double>, _std array<double>, _centers array<array<bigint>>, _components array<array<double>>"
+        return spark.createDataFrame([(e, x.mean, x.std, x.centers, x.components) for e, x in self.fits.items()], kind)
 
     def assign(self, keywords: DataFrame) -> DataFrame:
         """Every keyword with its ``cluster`` and two principal components
-        ``pca_x``, ``pca_y``; NULL where a feature is missing or nothing could be fitted."""
-        if self.model is None:
-            return keywords.select("*", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("pca_x"),
-                                   F.lit(None).cast("double").alias("pca_y"))
-        from pyspark.ml.functions import vector_to_array
-
+        ``pca_x``, ``pca_y``; NULL where a feature is missing or nothing could
+        be fitted. Column expressions over the table of fits, no Python."""
+        fits = self.table(keywords.sparkSession)
+        if self.by is not None:
+            at = keywords.join(fits, F.col(self.by).cast("string").eqNullSafe(F.col("_entity")), "left")
+        else:
+            at = keywords.select("*", fits.select(F.struct("*")).scalar().alias("_m")).select(*keywords.columns, "_m.*")
         whole = F.lit(True)
         for c in self.features:
             whole = whole & F.col(c).isNotNull()
-        xy = vector_to_array("_pca")
-        out = self.model.transform(keywords.where(whole)).select(
-            *keywords.columns, F.col("_cluster").cast("int").alias("cluster"), xy[0].alias("pca_x"), xy[1].alias("pca_y"))
-        return out.unionByName(keywords.where(~whole), allowMissingColumns=True)
+        f = F.array(*[F.col(c).cast("double") for c in self.features])
 
+        def scaled(x: Column, j: Column) -> Column:
+            std = F.get("_std", j)
+            return F.when(std > 0, F.round((x - F.get("_mean", j)) / std * GRID)).otherwise(0.0).cast("bigint")
 
-def fit_keyword_clusters(keywords: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
-                         features: Sequence[str] = ("clicks", "impressions", "ctr", "position"), fit_rows: int = FIT_ROWS) -> KeywordClusters:
-    """K-means over z-scaled features and their first two principal
-    components, a Spark ML pipeline. Features that the frame lacks are left
-    out (paid keywords have no position). It is fitted on at most ``fit_rows``
-    keywords (most impressions, then by name) and assigns any number. The
-    seed with the least cost wins. Fewer than 10 keywords fit nothing."""
-    from pyspark.ml import Pipeline, PipelineModel
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+        def total(a: Column, b: Column, each, zero: Column) -> Column:
+            return F.aggregate(F.zip_with(a, b, each), zero, lambda s, x: s + x)
 
+        def away(c: Column) -> Column:
+            return total(c, F.col("_z"), lambda x, y: (x - y) * (x - y), F.lit(0).cast("bigint"))
+
+        def along(axis: int) -> Column:
+            return total(F.col("_z"), F.get("_components", F.lit(axis)), lambda x, y: x / GRID * y, F.lit(0.0))
+
+        known = F.col("_z").isNotNull()
+        at = at.withColumn("_z", F.when(whole & F.col("_centers").isNotNull(), F.transform(f, scaled)))
+        at = at.withColumn("_far", F.when(known, F.transform("_centers", away)))
+        near = (F.array_position("_far", F.array_min("_far")) - 1).cast("int")
+        return at.select(*keywords.columns, near.alias("cluster"), F.when(known, along(0)).alias("pca_x"), F.when(known, along(1)).alias("pca_y"))
+
+
+def fit_keyword_clusters(keywords: DataFrame, k: int = 5, n_init: int = STARTS, features: Sequence[str] = ("clicks", "impressions", "ctr", "position"),
+                         fit_rows: int = FIT_ROWS, by: str | None = None, most: int = 100, rounds: int = LLOYD_ROUNDS) -> KeywordClusters:
+    """K-means over z-scaled features and their first two principal
+    components. Features that the frame lacks are left out (paid keywords have
+    no position). Fitted on at most ``fit_rows`` keywords of an entity (most
+    impressions, then by name), which is all that reaches the driver; any
+    number is assigned. With ``by`` each value found in the data has a fit of
+    its own; more than ``most`` values are refused. See :func:`fit_entity`."""
     feats = tuple(c for c in features if c in keywords.columns)
-    data = top_k(keywords.dropna(subset=list(feats)), [F.desc("impressions"), F.asc("keyword")], fit_rows)
-    data = materialize(data, "keyword-fit")
-    if data.limit(10).count() < 10:
-        return KeywordClusters(feats, None)
-    shape = Pipeline(stages=[
-        VectorAssembler(inputCols=list(feats), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
-        PCA(k=2, inputCol="_features", outputCol="_pca")]).fit(data)
-    scaled = shape.transform(data)
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="_cluster").fit(scaled) for i in range(n_init)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return KeywordClusters(feats, PipelineModel(stages=[*shape.stages, best]))
+    whole = keywords.dropna(subset=list(feats))
+    entity = F.col(by).cast("string") if by is not None else F.lit(None).cast("string")
+    if by is not None and len(found := whole.select(entity).distinct().limit(most + 1).collect()) > most:
+        raise ValueError(f"{by} has more than {most} values: {', '.join(sorted(str(r[0]) for r in found)[:5])}, ...")
+    data = top_k(whole.select(entity.alias("_entity"), "keyword", *[F.col(c).cast("double") for c in feats]),
+                 [F.desc("impressions"), F.asc("keyword")], fit_rows, ["_entity"] if by is not None else ())
+    groups: dict[str | None, list] = {}
+    for r in data.collect():
+        groups.setdefault(r[0], []).append(r)
+    fits = {e: fit_entity([r[1] for r in rows], [r[2:] for r in rows], k, n_init, rounds) for e, rows in groups.items()}
+    return KeywordClusters(feats, {e: x for e, x in fits.items() if x is not None}, by)
 
 
 def cluster_top_keywords(clustered: DataFrame, n: int = 15) -> DataFrame:

@@ -500,6 +500,35 @@ def t09b(t):
     return needs_attention(_n02(t), score_max=55.0)
 
 
+#: One "campaign" per campaign and day: small numbers, so that the scores spread over all grades.
+_ADS_BY_DAY = "ads_day AS (SELECT * REPLACE (campaign_name || '/' || CAST(date_day AS VARCHAR) AS campaign_name) FROM ads)"
+_TOP20_CAMPAIGN_DAYS = f"{_ADS_BY_DAY},\n" + _TOP20_CAMPAIGNS.replace("FROM ads WHERE", "FROM ads_day WHERE")
+
+
+def _n02_days(t):
+    ads = _google(t).withColumn("campaign_name", F.concat_ws("/", "campaign_name", F.col("date_day").cast("string")))
+    return N.campaign_efficiency(top_k(A.campaign_performance(ads), [F.desc("cost"), "campaign_name", "campaign_type"], 20))
+
+
+@register("n02_campaign_day_efficiency", f"WITH {_TOP20_CAMPAIGN_DAYS} SELECT {_N02_COLS} FROM sc", ["ads"])
+def n02_days(t):
+    return _n02_days(t)
+
+
+@register("t09_campaign_days_needing_attention", f"""
+WITH {_TOP20_CAMPAIGN_DAYS},
+f AS (SELECT *, quantile_cont(cost, 0.25) OVER () AS p25 FROM sc),
+x AS (SELECT *, list_filter([CASE WHEN conv_rate < avg_conv_rate * 0.5 THEN 'low conv rate' END,
+    CASE WHEN cpa > avg_cpa * 1.5 THEN 'high CPA' END, CASE WHEN roas < avg_roas * 0.5 THEN 'low ROAS' END], lambda x: x IS NOT NULL) AS tags
+  FROM f WHERE cost > p25 AND efficiency_score < 40)
+SELECT {_N02_COLS}, CASE WHEN len(tags) > 0 THEN array_to_string(tags, ', ') ELSE 'underperforming' END AS issues
+FROM x ORDER BY efficiency_score, campaign_name LIMIT 3""", ["ads"])
+def t09_days(t):
+    from mkpulse.operators.topk import needs_attention
+
+    return needs_attention(_n02_days(t))
+
+
 _QUAD_IN = f"""qi AS (
   SELECT 'Google Ads' AS platform, campaign_name, SUM(spend) AS spend, CAST(SUM(clicks) AS BIGINT) AS clicks,
     CAST(SUM(impressions) AS BIGINT) AS impressions, SUM(conversions) AS conversions,
@@ -534,7 +563,7 @@ def a45(t):
     return A.quadrant_summary(N.campaign_quadrants(N.quadrant_inputs(ad.ads(t))))
 
 
-@register("n04_budget_optimizer", f"""
+_N04_SQL = f"""
 WITH g AS (SELECT campaign_name, campaign_type, SUM(spend) AS cost, SUM(conversions) AS conversions,
     CAST(SUM(clicks) AS BIGINT) AS clicks FROM ads WHERE {_G} GROUP BY 1, 2 HAVING SUM(spend) > 0),
 e AS (SELECT *, conversions / NULLIF(cost, 0) AS efficiency, cost / NULLIF(conversions, 0) AS cpa FROM g),
@@ -549,7 +578,10 @@ SELECT campaign_name, campaign_type, {R('cost')} AS cost, {R('conversions')} AS
     WHEN efficiency_ratio > 0.5 THEN 'Reduce' ELSE 'Pause' END AS recommendation,
   {R('budget_change_pct')} AS budget_change_pct, {R('recommended_budget')} AS recommended_budget,
   {R('rbn')} AS recommended_budget_normalized, {R('rbn - cost')} AS budget_delta
-FROM n""", ["ads"])
+FROM n"""
+
+
+@register("n04_budget_optimizer", _N04_SQL, ["ads"])
 def n04(t):
     g = _google(t).groupBy("campaign_name", "campaign_type").agg(
         F.sum("spend").alias("cost"), F.sum("conversions").alias("conversions"), F.sum("clicks").alias("clicks")
@@ -557,6 +589,14 @@ def n04(t):
     return N.budget_optimizer(g)
 
 
+@register("n04_campaign_day_budgets", f"WITH {_ADS_BY_DAY}," + _N04_SQL.replace("WITH g AS", "g AS", 1).replace("FROM ads WHERE", "FROM ads_day WHERE"), ["ads"])
+def n04_days(t):
+    """Every campaign and day with a budget of its own: all four classes occur."""
+    g = _google(t).groupBy(F.concat_ws("/", "campaign_name", F.col("date_day").cast("string")).alias("campaign_name"), "campaign_type").agg(
+        F.sum("spend").alias("cost"), F.sum("conversions").alias("conversions"), F.sum("clicks").alias("clicks"))
+    return N.budget_optimizer(g)
+
+
 # five names for the 25 campaign ids: campaigns of one name are apart by their id
 _FATIGUE_SQL = f"""d AS (SELECT date_day, campaign_name AS campaign_id, 'Group ' || right(campaign_name, 1) AS campaign_name,
   SUM(spend) AS spend, AVG(frequency) AS frequency, AVG(ctr) AS ctr
@@ -633,34 +673,84 @@ def _keywords(t):
     ).where(F.col("impressions") >= 10)
 
 
-def _clustered(keywords):
-    return N.fit_keyword_clusters(keywords).assign(keywords)
+def _clustered(keywords, by=None):
+    return N.fit_keyword_clusters(keywords, by=by).assign(keywords)
+
+
+def _clusters_sql(source: str, features: tuple[str, ...], part: str = "0") -> str:
+    """CTEs that fit and assign: ``kw`` (the keywords) gets ``cluster`` in ``clu``; one fit for each value of ``part``."""
+    cols, n, k = ", ".join(features), len(features), 5
+    z = ", ".join(f"CAST(CASE WHEN s{j} > 0 THEN round((CAST({c} AS DOUBLE) - m{j}) / s{j} * {N.GRID}) ELSE 0 END AS BIGINT)" for j, c in enumerate(features))
+    stats = ", ".join(f"AVG(CAST({c} AS DOUBLE)) AS m{j}, STDDEV_SAMP(CAST({c} AS DOUBLE)) AS s{j}" for j, c in enumerate(features))
+    there = " AND ".join(f"{c} IS NOT NULL" for c in features)
+    far = " + ".join(f"(x.z[{j}] - c.z[{j}]) * (x.z[{j}] - c.z[{j}])" for j in range(1, n + 1))
+    move = ", ".join(f"CAST(floor(CAST(SUM(z[{j}]) AS DOUBLE) / COUNT(*)) AS BIGINT)" for j in range(1, n + 1))
+    out = f"""kw AS ({source}), fit0 AS (SELECT *, {part} AS p, ROW_NUMBER() OVER (PARTITION BY {part} ORDER BY impressions DESC, keyword) AS rk FROM kw WHERE {there}),
+fit AS MATERIALIZED (SELECT p, keyword, {cols} FROM fit0 WHERE rk <= {N.FIT_ROWS}),
+sca AS MATERIALIZED (SELECT p, {stats} FROM fit GROUP BY p HAVING COUNT(*) >= 10),
+pts AS MATERIALIZED (SELECT p, keyword, [{z}] AS z FROM fit JOIN sca USING (p)),
+c0 AS MATERIALIZED (SELECT p, s, CAST(rk - 1 AS INTEGER) AS c, z FROM (SELECT p, s, z,
+    ROW_NUMBER() OVER (PARTITION BY p, s ORDER BY md5(CAST(s AS VARCHAR) || ':' || keyword), keyword) AS rk
+  FROM pts, (SELECT UNNEST(range({N.STARTS})) AS s)) WHERE rk <= {k}),
+"""
+    for r in range(N.LLOYD_ROUNDS):
+        out += f"""a{r} AS MATERIALIZED (SELECT p, s, z, arg_min(c, struct_pack(d := d, c := c)) AS c
+  FROM (SELECT c.p, c.s, x.keyword, x.z, c.c, {far} AS d FROM pts x JOIN c{r} c ON x.p = c.p) GROUP BY p, s, keyword, z),
+c{r + 1} AS MATERIALIZED (SELECT p, s, c, COALESCE(g.z, o.z) AS z FROM c{r} o LEFT JOIN (SELECT p, s, c, [{move}] AS z FROM a{r} GROUP BY p, s, c) g USING (p, s, c)),
+"""
+    last = f"c{N.LLOYD_ROUNDS}"
+    return out + f"""cost AS (SELECT p, s, SUM(d) AS d FROM (SELECT c.p, c.s, x.keyword, MIN({far}) AS d FROM pts x JOIN {last} c ON x.p = c.p GROUP BY c.p, c.s, x.keyword)
+  GROUP BY p, s),
+cen AS MATERIALIZED (SELECT p, c, z FROM {last} JOIN (SELECT p, arg_min(s, struct_pack(d := d, s := s)) AS s FROM cost GROUP BY p) USING (p, s)),
+al0 AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS rid, kw.*, {part} AS p FROM kw),
+al1 AS (SELECT rid, p, [{z}] AS z FROM al0 JOIN sca USING (p) WHERE {there}),
+asg AS (SELECT rid, arg_min(c, struct_pack(d := d, c := c)) AS cluster FROM (SELECT x.rid, c.c, {far} AS d FROM al1 x JOIN cen c ON x.p = c.p) GROUP BY rid),
+clu AS (SELECT al0.* EXCLUDE (rid, p), cluster FROM al0 LEFT JOIN asg USING (rid))"""
+
+
+_FEATURES = ("clicks", "impressions", "ctr", "position")
+_KW_SQL = """SELECT query AS keyword, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions, AVG(ctr) AS ctr,
+  AVG(position) AS position FROM organic GROUP BY 1 HAVING SUM(impressions) >= 10"""
+_KW_DEVICE_SQL = _KW_SQL.replace("SELECT query AS keyword", "SELECT device, query AS keyword").replace("GROUP BY 1 HAVING", "GROUP BY 1, 2 HAVING")
+_KW_PAID_SQL = f"""SELECT keyword_text AS keyword, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
+  SUM(clicks) / NULLIF(SUM(impressions), 0) AS ctr FROM ads WHERE {_G} GROUP BY 1 HAVING SUM(impressions) > 0"""
+_KW_OUT = f"keyword, clicks, impressions, {R('ctr')} AS ctr, {R('position')} AS position, CAST(cluster AS INTEGER) AS cluster"
+
+
+@register("n07_keyword_clusters", f"WITH {_clusters_sql(_KW_SQL, _FEATURES)} SELECT {_KW_OUT} FROM clu", ["organic"])
+def n07(t):
+    return _clustered(_keywords(t)).drop("pca_x", "pca_y")
 
 
-@register("n07_keyword_clusters")
-def n07(t):
-    return _clustered(_keywords(t))
+@register("n07_keyword_projection")
+def n07_xy(t):
+    """The two principal components of every keyword: SQL has no eigenvectors, a test holds them against numpy."""
+    return _clustered(_keywords(t)).select("keyword", "cluster", "pca_x", "pca_y")
 
 
-@register("n07_cluster_summary")
+@register("n07_cluster_summary", f"""WITH {_clusters_sql(_KW_SQL, _FEATURES)}
+SELECT CAST(cluster AS INTEGER) AS cluster, COUNT(*) AS keywords, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
+  {R('AVG(ctr)')} AS avg_ctr FROM clu GROUP BY cluster""", ["organic"])
 def n07s(t):
     return N.cluster_summary(_clustered(_keywords(t)))
 
 
-@register("n07_cluster_top_keywords")
+@register("n07_cluster_top_keywords", f"""WITH {_clusters_sql(_KW_SQL, _FEATURES)}
+SELECT {_KW_OUT} FROM clu WHERE cluster IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY clicks DESC, keyword) <= 15""", ["organic"])
 def n07_top(t):
-    return N.cluster_top_keywords(_clustered(_keywords(t)))
+    return N.cluster_top_keywords(_clustered(_keywords(t))).drop("pca_x", "pca_y")
 
 
-@register("n07_paid_keyword_clusters")
+@register("n07_paid_keyword_clusters", f"""WITH {_clusters_sql(_KW_PAID_SQL, _FEATURES[:3])}
+SELECT keyword, clicks, impressions, {R('ctr')} AS ctr, CAST(cluster AS INTEGER) AS cluster FROM clu""", ["ads"])
 def n07_paid(t):
     g = _google(t).groupBy(F.col("keyword_text").alias("keyword")).agg(
         F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
         (F.sum("clicks") / F.nullif(F.sum("impressions"), F.lit(0))).alias("ctr")).where(F.col("impressions") > 0)
-    return _clustered(g)
+    return _clustered(g).drop("pca_x", "pca_y")
 
 
-@register("n07_keyword_clusters_by_device")
+@register("n07_keyword_clusters_by_device", f"WITH {_clusters_sql(_KW_DEVICE_SQL, _FEATURES, 'device')} SELECT device, {_KW_OUT} FROM clu", ["organic"])
 def n07d(t):
     g = ad.organic(t).groupBy("device", F.col("query").alias("keyword")).agg(
         F.sum("clicks").alias("clicks"),
@@ -668,9 +758,7 @@ def n07d(t):
         F.avg("ctr").alias("ctr"),
         F.avg("position").alias("position"),
     ).where(F.col("impressions") >= 10)
-    # a closed list of three devices: one model each
-    parts = [_clustered(g.where(F.col("device") == d)) for d in ad.DEVICES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _clustered(g, by="device").drop("pca_x", "pca_y")
 
 
 @register("n09_cannibalization", f"""

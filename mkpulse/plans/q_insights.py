@@ -105,13 +105,13 @@ _SG, _CG = "COALESCE(spend_delta, 0.0)", "COALESCE(conversions_delta, 0.0)"
 _N15_RULES = [
     ("spend_outgrows_conversions", "'warning'",
      f"{T('spend_cur')} AND {T('spend_prev')} AND {T('conversions_cur')} AND {T('conversions_prev')} AND {_SG} > 10 AND {_CG} < {_SG} - 10",
-     "'Spend growing faster than conversions'", "spend", _SG, _CG, "NULL"),
+     "'Spend outpaces conversions'", "spend", _SG, _CG, "NULL"),
     ("cpa_above_target", "'warning'", f"{T('spend_cur')} AND conversions_cur > 0 AND spend_cur / conversions_cur > 6.0",
      "'CPA above target'", "cpa", "spend_cur / conversions_cur", "(spend_cur / conversions_cur / 5.0 - 1) * 100", "NULL"),
     ("budget_utilization", "'warning'", f"{T('spend_cur')} AND spend_cur / 10000.0 > 0.9", "'Budget nearly used'", "spend",
      "spend_cur / 10000.0 * 100", "NULL", "NULL"),
     ("conversion_target_met", "'success'", f"{T('conversions_cur')} AND conversions_cur / 1000.0 >= 1.0",
-     "'Conversion target achieved'", "conversions", "conversions_cur / 1000.0 * 100", "NULL", "NULL"),
+     "'Conversions have reached their goal'", "conversions", "conversions_cur / 1000.0 * 100", "NULL", "NULL"),
 ]
 
 
@@ -147,7 +147,7 @@ _N17_RULES = [
     ("healthy_growth", "'success'", f"{_BOTH} AND sessions_change > 10 AND engagement_rate_change > 5",
      "'Healthy growth'", "sessions", "sessions_change", "engagement_rate_change", "NULL"),
     ("quality_over_quantity", "'info'", f"{_BOTH} AND sessions_change < 0 AND engagement_rate_change > 0",
-     "'Quality over quantity'", "sessions", "sessions_change", "engagement_rate_change", "NULL"),
+     "'Fewer visits, more engaged'", "sessions", "sessions_change", "engagement_rate_change", "NULL"),
 ]
 
 
@@ -191,7 +191,7 @@ head AS (
     CAST(cur_s AS DOUBLE) AS value, sc AS change, CASE WHEN sc > 0 THEN 'success' ELSE 'warning' END AS severity
   FROM tc WHERE {T('sc')} AND abs(sc) > 10
   UNION ALL
-  SELECT 2, 1, CASE WHEN bc > 0 THEN 'Bounce rate increased' ELSE 'Bounce rate decreased' END, 'bounce_rate',
+  SELECT 2, 1, CASE WHEN bc > 0 THEN 'More visits end on the first page' ELSE 'Fewer visits end on the first page' END, 'bounce_rate',
     CAST(cur_b AS DOUBLE), bc, CASE WHEN bc > 0 THEN 'warning' ELSE 'success' END
   FROM tc WHERE {T('bc')} AND abs(bc) > 5),
 cs AS (SELECT sessionSource || ' / ' || sessionMedium AS source_medium, SUM(sessions) AS sessions FROM web_traffic
@@ -228,7 +228,7 @@ def n18(t):
 
 
 @register("n18_actions", f"""WITH {_N18_SQL},
-a AS (SELECT DISTINCT CASE WHEN contains(lower(title), 'bounce rate increased')
+a AS (SELECT DISTINCT CASE WHEN contains(lower(title), 'more visits end on the first page')
     THEN 'List the releases of this period and test the affected pages'
   WHEN contains(lower(title), 'traffic down') THEN 'Find out why ' || split_part(title, ' ', 1) || ' sends fewer visits'
   WHEN contains(lower(title), 'traffic up') THEN 'Repeat what worked for ' || split_part(title, ' ', 1) END AS action
@@ -257,8 +257,8 @@ _N19_RULES = [
      "engagement_rate", "paid_engagement", "paid_engagement - organic_engagement", "NULL"),
     ("paid_beats_organic", "'success'", "paid_engagement > organic_engagement + 0.1", "'Paid engagement beats organic'",
      "engagement_rate", "paid_engagement", "paid_engagement - organic_engagement", "NULL"),
-    ("mobile_heavy", "'info'", "mobile_pct > 60", "'Mobile UX is critical'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
-    ("desktop_heavy", "'info'", "mobile_pct < 20", "'Desktop-focused audience'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
+    ("mobile_heavy", "'info'", "mobile_pct > 60", "'Phones bring most visits'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
+    ("desktop_heavy", "'info'", "mobile_pct < 20", "'Most visits come from desktops'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
     ("mobile_majority", "'warning'", "mobile_pct > 50", "'Phones bring most visits'", "mobile_pct", "mobile_pct", "NULL", "NULL"),
     ("country_concentration", "'info'", "concentration > 80", "'Traffic highly concentrated'", "concentration",
      "concentration", "NULL", "NULL"),
@@ -281,9 +281,9 @@ _N20_RULES = [
     ("gads_spend", "'critical'", "prev_cost > 0 AND abs(cost_change) >= 0.80",
      "CASE WHEN cost_change > 0 THEN 'Google Ads spend increased' ELSE 'Google Ads spend decreased' END", "cost", "cost",
      "cost_change", "'Look for campaigns that raised bids or daily limits'"),
-    ("gads_conversions_drop", "'high'", "prev_conversions > 0 AND conversions_change <= -0.20", "'Google Ads conversions dropped'",
+    ("gads_conversions_drop", "'high'", "prev_conversions > 0 AND conversions_change <= -0.20", "'Search-ads conversions fell from the day before'",
      "conversions", "conversions", "conversions_change", "'Confirm that tags fire and landing pages load'"),
-    ("gads_conversions_up", "'medium'", "prev_conversions > 0 AND conversions_change >= 0.20", "'Google Ads conversions increased'",
+    ("gads_conversions_up", "'medium'", "prev_conversions > 0 AND conversions_change >= 0.20", "'Search-ads conversions rose from the day before'",
      "conversions", "conversions", "conversions_change", "NULL"),
 ]
 _N21_RULES = [
@@ -299,7 +299,7 @@ ml AS (SELECT *, LAG(spend) OVER (ORDER BY date_day) AS prev_spend, LAG(installs
 mf AS (SELECT *, spend / installs AS lc, prev_spend / prev_installs AS pc FROM ml
   WHERE rd = 1 AND n >= 2 AND installs > 0 AND prev_installs > 0)"""
 _N22_RULES = [
-    ("meta_cpi", "'high'", "(lc - pc) / pc >= 0.20", "'Meta Ads CPI increased'", "cpi", "lc", "(lc - pc) / pc",
+    ("meta_cpi", "'high'", "(lc - pc) / pc >= 0.20", "'Each social-ads install costs more'", "cpi", "lc", "(lc - pc) / pc",
      "'Sort ads by cost per result and pause the worst'"),
 ]
 

@@ -69,7 +69,7 @@ def test_what_changed_fires_and_actions(spark):
                                  "date_day date, deviceCategory string, sessions long")
     ch = I.what_changed(raw, traffic, tech, cur, prev).orderBy("rank").collect()
     # sources in current-period session order (bing 210 > google 140)
-    assert [x.title for x in ch] == ["Sessions up", "Bounce rate increased", "bing / organic traffic up",
+    assert [x.title for x in ch] == ["Sessions up", "More visits end on the first page", "bing / organic traffic up",
                                      "google / cpc traffic down", "Mobile traffic up"]
     acts = [x.action for x in I.what_changed_actions(I.what_changed(raw, traffic, tech, cur, prev)).collect()]
     assert acts == sorted(["List the releases of this period and test the affected pages", "Find out why google sends fewer visits",
