@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mkpulse.functions import col, div, nz, safe_divide
 from mkpulse.operators.topk import order_key, spread_rank
+from mkpulse.session import materialize
 
 By = Sequence[str]
 
@@ -454,10 +455,10 @@ def adgroup_performance(ads: DataFrame, by: By = ()) -> DataFrame:
 
 def geo_performance(ads: DataFrame, names: DataFrame, by: By = ()) -> DataFrame:
     """A29 + P11: per country criterion id, name from a small lookup with
-    fallback 'Unknown (<id>)'. The lookup is a fixed-size dimension (one row
-    per country), so it is broadcast; the fact side is aggregated first."""
+    fallback 'Unknown (<id>)'. The fact side is aggregated first; the planner
+    broadcasts the lookup when its size allows."""
     g = ads.where(F.col("country_criterion_id").isNotNull()).groupBy(*by, "country_criterion_id").agg(*_perf_cols())
-    j = g.join(F.broadcast(names), g.country_criterion_id == names.criterion_id, "left")
+    j = g.join(names, g.country_criterion_id == names.criterion_id, "left")
     nm = F.coalesce(F.col("country_name"), F.concat(F.lit("Unknown ("), F.col("country_criterion_id").cast("string"), F.lit(")")))
     return _rates(j.withColumn("country", nm).drop("criterion_id", "country_name"))
 
@@ -580,10 +581,12 @@ def spend_by_campaign(meta: DataFrame, by: By = (), pivot_col: str = "campaign_n
 def spend_pivot(meta: DataFrame, names: Sequence[str] | None = None, by: By = (), pivot_col: str = "campaign_name") -> DataFrame:
     """Day x campaign spend matrix, NULL -> 0, a column for every campaign
     (``names`` selects some on the caller's wish); a NULL name is ``(none)``."""
-    filled = meta.withColumn(pivot_col, F.coalesce(F.col(pivot_col), F.lit("(none)")))
-    names = list(names) if names is not None else pivot_values(filled, pivot_col)
-    p = filled.groupBy(*by, "date_day").pivot(pivot_col, names).agg(F.sum("spend"))
-    return p.fillna(0.0, subset=names)
+    long = spend_by_campaign(meta.withColumn(pivot_col, F.coalesce(F.col(pivot_col), F.lit("(none)"))), by, pivot_col)
+    if names is None:  # the fact is read once; names and matrix come from its days
+        long = materialize(long, "spend-pivot")
+        names = pivot_values(long, pivot_col)
+    p = long.groupBy(*by, "date_day").pivot(pivot_col, list(names)).agg(F.sum("spend"))
+    return p.fillna(0.0, subset=list(names))
 
 
 def social_breakdown(rows: DataFrame, dims: Sequence[str], by: By = ()) -> DataFrame:
@@ -628,9 +631,10 @@ AGE_ORDER = ("13-17", "18-24", "25-34", "35-44", "45-54", "55-64", "65+")
 def age_gender_matrix(rows: DataFrame, metric: str = "spend", by: By = ()) -> DataFrame:
     """A38 matrix: age rows x a column for every gender (a NULL one counts as
     ``unknown``) of summed spend, NULL -> 0, with the fixed age-bucket order."""
-    rows = rows.withColumn("gender", F.coalesce(F.col("gender"), F.lit("unknown")))
-    genders = pivot_values(rows, "gender")
-    p = rows.groupBy(*by, "age").pivot("gender", genders).agg(F.sum(metric))
+    long = rows.groupBy(*by, "age", F.coalesce(F.col("gender"), F.lit("unknown")).alias("gender")).agg(F.sum(metric).alias("_sum"))
+    long = materialize(long, "age-gender")  # the rows are read once
+    genders = pivot_values(long, "gender")
+    p = long.groupBy(*by, "age").pivot("gender", genders).agg(F.sum("_sum"))
     return p.fillna(0, subset=genders).withColumn("age_order", order_key("age", AGE_ORDER))
 
 

@@ -2,9 +2,8 @@
 
 Facts are aggregated to their join grain before any join (a day, a keyword,
 a dimension value), so the join inputs are bounded by the key cardinality,
-not by fact rows. Broadcast is used only for sides with a fixed, known bound
-(one row of scalars, a small lookup); everything else is left to the planner
-and AQE, which switch to broadcast at runtime when the measured size allows.
+not by fact rows. No join carries a broadcast hint: the planner and AQE
+broadcast a side when its measured size allows.
 """
 
 from __future__ import annotations
@@ -102,17 +101,12 @@ def period_match(cur: DataFrame, prev: DataFrame, keys: Sequence[str], metrics:
     return j
 
 
-def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str, label: str, fallback: Column,
-           bounded: bool = False) -> DataFrame:
-    """Dimension left join, label falls back to ``fallback``.
-
-    ``bounded=True`` asserts the dimension has a fixed size (one row per code
-    of a closed list, e.g. countries) and broadcasts it. Otherwise no hint is
-    given: the planner broadcasts only when the measured size is under
+def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str, label: str, fallback: Column) -> DataFrame:
+    """Dimension left join, label falls back to ``fallback``. No
+    hint is given: the planner broadcasts only when the measured size is under
     ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime) and
     falls back to a shuffle join beyond it."""
-    d = F.broadcast(dim) if bounded else dim
-    j = df.join(d, df[left_key] == dim[right_key], "left")
+    j = df.join(dim, df[left_key] == dim[right_key], "left")
     return j.withColumn(label, F.coalesce(F.col(label), fallback)).drop(right_key) if right_key != left_key else j
 
 
