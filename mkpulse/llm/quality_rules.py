@@ -1,9 +1,10 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document. The ledger keeps the measurements
-and one failure bit per rule; policies are named, versioned bit masks that are
-applied to the stored bits, and ablations are bitwise aggregations over them.
-Nothing is measured again when a policy changes.
+and one failure bit per rule, written to a table (:func:`store`, or the shared
+folder); policies are named, versioned bit masks that are applied to the
+stored bits, and ablations are bitwise aggregations over them. Nothing is
+measured again when a policy changes.
 
 Everything here is a DataFrame expression over a whole text; no shuffle is
 needed to build the ledger.
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mkpulse.llm.common import bind, packed, text_of, words
+from mkpulse.sinks import write_partition
 
 WHITE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -33,8 +35,10 @@ def repeat_words(w: Column) -> Column:
     Windows are compared inside the row. Most texts repeat no window, which a
     distinct count of the 64-bit window hashes shows. For the others each hash
     gives its low bits to the window's place, the numbers are sorted, and
-    neighbours of equal hash are compared word by word. n log n for any text,
-    no pairs, no shuffle.
+    neighbours of equal hash are compared word by word, so no hash collision
+    makes a repeat; one that fell between two equal windows could part them,
+    which a million words meet with a chance of about 10^-7. n log n for any
+    text, no pairs, no shuffle.
     """
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3),
                          lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
@@ -128,6 +132,20 @@ def ledger(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: b
     return flat.withColumn("failed_bits", bits.cast("long"))
 
 
+#: Version of the rules: the number of them, since a rule keeps its bit for good.
+VERSION = len(RULES)
+
+
+def store(led: DataFrame, path: str) -> None:
+    """Put a ledger into the table at ``path``, in place of what it holds for this version of the rules."""
+    write_partition(led, path, "rules_version", VERSION)
+
+
+def stored(spark: SparkSession, path: str, version: int = VERSION) -> DataFrame:
+    """The ledger of one version of the rules; policies of that version apply to its bits."""
+    return spark.read.parquet(path).where(F.col("rules_version") == version).drop("rules_version")
+
+
 def rejects(policy: str, bits: str = "failed_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(POLICIES[policy])) != 0
 
@@ -137,6 +155,19 @@ def apply_policy(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     return led.withColumns({"base_failed": rejects("base"), "kept": ~rejects("base") & ~rejects(policy)})
 
 
+def verdicts(led: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """A stored ledger with the verdict of every policy (``kept_<name>``, and ``base_failed`` and ``kept`` of ``policy``),
+    and the ablation seen from the row: ``sole_rule`` is the rule that alone rejects it under ``policy``, ``sole_rule_total``
+    how many documents that rule alone rejects, which a policy without it would keep."""
+    every = led.withColumns({f"kept_{p}": ~rejects("base") & ~rejects(p) for p in POLICIES})
+    hit = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy]))
+    sole = F.lit(None).cast("string")
+    for r in RULES:
+        sole = F.when(hit == BIT[r.name], F.lit(r.name)).otherwise(sole)
+    own = ablations(led, (policy,)).where("rule IS NOT NULL").agg(F.map_from_arrays(F.collect_list("rule"), F.collect_list("n_only")).alias("m"))
+    return apply_policy(every, policy).withColumn("sole_rule", sole).withColumn("sole_rule_total", F.try_element_at(own.scalar(), F.col("sole_rule")))
+
+
 def ablations(led: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
     """For each policy and rule in it: documents failing the rule, and documents
     rejected by this rule alone, which removing it from the policy would keep.

@@ -73,12 +73,25 @@ led AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fa
 """
 
 
-@query("op6_quality_ledger", f"""WITH {QUALITY_CTE}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT more_failed AS kept FROM led""")
+def _ledger_sql() -> str:
+    rules, names = quality_rules.RULES, quality_rules.POLICIES
+    bits = " | ".join(f"CASE WHEN {r.sql} THEN {quality_rules.BIT[r.name]} ELSE 0 END" for r in rules)
+    current = names[quality_rules.CURRENT]
+    kept = ", ".join(f"failed_bits & {m | quality_rules.BASE} = 0 AS kept_{p}" for p, m in names.items())
+    sole = " ".join(f"WHEN {quality_rules.BIT[r.name]} THEN '{r.name}'" for r in rules)
+    return f"""WITH {QUALITY_CTE},
+bit AS (SELECT *, {bits} AS failed_bits FROM mea),
+one AS (SELECT *, CASE failed_bits & {current} {sole} END AS sole_rule FROM bit)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {quality_rules.BASE} <> 0 AS base_failed,
+       failed_bits & {current | quality_rules.BASE} = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits, {kept}, sole_rule,
+       CASE WHEN sole_rule IS NOT NULL THEN COUNT(*) OVER (PARTITION BY sole_rule) END AS sole_rule_total FROM one"""
+
+
+@query("op6_quality_ledger", _ledger_sql())
 def op6(spark, sf_dir):
-    led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    led = materialize(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-ledger")
+    return quality_rules.verdicts(led).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                                              "failed_bits", *[f"kept_{p}" for p in quality_rules.POLICIES], "sole_rule", "sole_rule_total")
 
 
 @query("op4_mix_sources", r"""WITH src AS (

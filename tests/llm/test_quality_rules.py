@@ -61,6 +61,22 @@ def test_policies_and_ablations(spark):
                 assert now == table[p, r.name][1]
 
 
+def test_stored_ledger_serves_every_policy(spark, scratch):
+    """Written once, by version of the rules; verdicts and ablations come from the stored bits, the texts are not there."""
+    docs, path = documents(spark), f"{scratch}/ledger"
+    for _ in range(2):  # storing again replaces the version
+        Q.store(Q.ledger(docs), path)
+    led = Q.stored(spark, path)
+    assert led.count() == docs.count() and "text" not in led.columns and Q.stored(spark, path, Q.VERSION + 1).count() == 0
+    got = Q.verdicts(led).collect()
+    for r in got:
+        assert [r[f"kept_{p}"] for p in Q.POLICIES] == [r.failed_bits & (m | Q.BASE) == 0 for m in Q.POLICIES.values()]
+        alone = [x.name for x in Q.RULES if r.failed_bits & Q.POLICIES[Q.CURRENT] == Q.BIT[x.name]]
+        assert r.sole_rule == (alone[0] if alone else None) and r.kept == r[f"kept_{Q.CURRENT}"]
+        assert r.sole_rule_total == (sum(x.sole_rule == r.sole_rule for x in got) if alone else None)
+    assert {r.sole_rule for r in got} > {None}
+
+
 def test_keep_passes_rows_through(spark):
     docs = clashing(documents(spark))
     kept = Q.keep(docs)
