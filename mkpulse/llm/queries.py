@@ -188,15 +188,15 @@ def op2(spark, sf_dir):
     return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("op3_topk_blocks", """WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE)))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+@query("op3_topk_blocks", """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.rid <> c.rid),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op3(spark, sf_dir):
     vectors = materialize(topk_search.quantized(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64), "topk-vectors")
-    return topk_search.search(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+    return topk_search.search(vectors, vectors.where(F.col("id") % 20 == 0), k=20).drop("uid")
 
 
 @query("op9_suffix_merge")
