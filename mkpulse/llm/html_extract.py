@@ -1,19 +1,22 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed into elements. Elements that say what they are (menus,
-page headers, footers, sidebars, notices, adverts, forms, scripts, comments;
-by tag, role, class or id) are left out; inside an ``article`` or ``main`` a class
-or id other than that of comments does so only for elements made of links.
-What no mark shows is found in Spark:
-the subtrees of the remaining elements are hashed, the pages of each host that
-hold a subtree are counted, and subtrees recurring across many pages of that
-host are deleted. Inside an ``article`` or ``main`` element a sentence may
-recur, so prose (paragraphs, headings, list items, quotations) goes only if half
-of the host's pages, or of those in one leading path section of it, hold it;
-table cells go with their row.
+Every element subtree of every page is hashed, the pages of each host that
+hold a subtree are counted in Spark, and subtrees recurring across many pages
+of that host are deleted: lists of links from a few pages on, other parts that
+are no prose from a share of the host or a number of pages, prose (paragraphs,
+headings, list items, quotations, and whatever reads as a sentence) only where
+half of the host's pages, or of those in one leading path section of it, hold
+it; table cells inside an article go with their row.
+
+Besides, elements that say what they are (menus, page headers, footers,
+sidebars, notices, adverts, forms, scripts, comments; by tag, role, class or
+id) are left out, and of a page with ``article`` or ``main`` elements only
+these count. Inside them a class or id must be that of comments, adverts or
+notices, or the element be made of links; no class leaves a page without text.
 
 Only hashes are shuffled to count; a page is parsed again when its text is
-written, and joined with the hashes to delete, if it has any.
+written (its blocks, kept for that, would be as large as the pages), and
+joined with the hashes to delete, if it has any.
 
 Defined results: a null html counts as empty and gives an empty text; a null
 url has the empty host; copies of a page count once for their host; repeated
@@ -35,11 +38,14 @@ from pyspark.sql import types as T
 
 from mkpulse.llm.common import materialize, packed
 from mkpulse.llm.url_filter import host_and_path
+from mkpulse.session import release
 
-#: A subtree is template if at least this many pages and this share of the host's pages hold it,
-#: or this many pages that differ in their html, however many the host has.
+#: Kinds of subtrees, the two lowest bits of a hash: made of links; prose inside a landmark; prose elsewhere; others.
+LINKS, PROSE_INSIDE, PROSE_OUTSIDE, OTHER = range(4)
+#: Links are template on this many pages of a host that differ in their html; others on so many that are this share of
+#: the host's pages as well, or on MANY_PAGES, however many the host has.
 MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 20
-#: Prose inside a landmark, of the pages of the host or of one leading path section of it.
+#: Prose, of the pages of the host or of one leading path section of it: share, and least number inside a landmark.
 PROSE_PAGES, PROSE_SHARE = 20, 0.5
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?|<[!?/][^>]*+>?""", re.S)
@@ -59,6 +65,14 @@ DROPPED_MARKS = frozenset("ad ads advert adverts advertisement advertising adsen
                           "pagination pager footer header masthead topbar toolbar share sharing social related recommended comments comment "
                           "respond replies disqus login signup search skip banner".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Whole names that mark adverts and notices inside an article too, unless they are a third of it or hold its title.
+PAID = re.compile(r"(?:.*[-_])?(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notices?|"
+                  r"newsletter|popup|modal)(?:[-_](?:box|block|banner|bar|wrap|wrapper|container|slot|unit|area|notice|consent|signup|form|text|message|top|bottom|\d+))*")
+PAID_SHARE = 1 / 3
+#: A class that begins so tells of a state, not of a content: "has-comments".
+STATE = re.compile(r"(?:no|has|with|without|is|show|shows|hide|hides|open|closed|enable|enabled|disable|disabled)[-_].*")
+#: A sentence has so many words and one of these ends, before closing marks; a text so long is prose anyway.
+SENTENCE_WORDS, ENDS, CLOSERS, LONG_TEXT = 4, ".!?\u2026\u3002", " \t\n'\")]\u201d\u2019\u00bb", 1000
 #: Words that also name the head of an article, which holds its title.
 HEADS = frozenset("header masthead".split())
 #: Whole names of lists of comments, and of links to other pages.
@@ -67,7 +81,7 @@ COMMENTS = re.compile(rf"(?:.*[-_])?(?:comments?|respond|replies|disqus){LISTS}"
 TALK = re.compile(rf"(?:.*[-_])?(?:comments?|respond|replies|disqus|related|recommended){LISTS}")
 #: Inside a landmark, a class or id marks an element with at least this share of its text in links.
 LINK_SHARE = 0.5
-#: Elements are nested at most so deep; deeper ones count as their parent's content.
+#: Elements are nested at most so deep; deeper ones count as their parent's content, without those left out by tag or role.
 DEEPEST = 400
 #: An opening tag closes the nearest open element of these names, unless one of the second names is open inside.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
@@ -76,16 +90,24 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "text_n", "link_n")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.text_n = self.link_n = -1  # counted once, when the page is whole
 
 
 def parse(html: str) -> Node:
     """Elements and texts of a page; open ends are closed as browsers do for the common cases."""
     root = Node("html", "")
     stack, at, end = [root], 0, len(html)
+    muted: list[str] = []  # open elements below the deepest level whose content is left out
+    below: list[str] = []  # the others there
+    open_below: dict[str, int] = {}
+
+    def put(text: str):
+        if not muted:
+            stack[-1].kids.append(entities.unescape(text))
 
     def close(names, within=frozenset()):
         for k in range(len(stack) - 1, 0, -1):
@@ -98,15 +120,32 @@ def parse(html: str) -> Node:
     while at < end:
         m = MARKUP.search(html, at)
         if not m:
-            stack[-1].kids.append(entities.unescape(html[at:]))
+            put(html[at:])
             break
         if m.start() > at:
-            stack[-1].kids.append(entities.unescape(html[at : m.start()]))
+            put(html[at : m.start()])
         at = m.end()
         slash, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
         tag = tag.lower()
+        if muted:
+            if tag == muted[-1]:
+                if slash:
+                    muted.pop()
+                else:
+                    muted.append(tag)
+            elif tag in RAW and not slash:
+                stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
+                at = stop.start() if stop else end
+            continue
+        if slash and open_below.get(tag):
+            while (last := below.pop()) != tag:
+                open_below[last] -= 1
+            open_below[tag] -= 1
+            if tag in BLOCK:
+                stack[-1].kids.append(Node(tag, ""))  # ends a block of text
+            continue
         if slash:
             # an inline end tag does not close a block around it
             close({tag}, frozenset() if tag in BLOCK else BLOCK)
@@ -119,13 +158,22 @@ def parse(html: str) -> Node:
             close({"p"}, {"td", "th", "li", "div", "section", "article", "blockquote", "button", "table"} if tag != "p" else
                   {"td", "th", "button", "table", "div", "section", "article", "blockquote", "li"})
         node = Node(tag, attrs or "")
+        if len(stack) >= DEEPEST and tag not in VOID and tag not in RAW and (tag in DROPPED or hidden(node)):
+            muted.append(tag)
+            continue
         stack[-1].kids.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             at = stop.start() if stop else end
             stack.append(node)
-        elif tag not in VOID and len(stack) < DEEPEST:
+        elif tag in VOID:
+            continue
+        elif len(stack) < DEEPEST:
             stack.append(node)
+        else:
+            node.attrs = ""
+            below.append(tag)
+            open_below[tag] = open_below.get(tag, 0) + 1
     return root
 
 
@@ -158,15 +206,37 @@ def talk(node: Node, names: re.Pattern = TALK) -> bool:
     if not node.attrs or node.tag == "body" or node.tag in HEADINGS:
         return False
     found = attributes(node)
-    return any(names.fullmatch(x) for x in [*found.get("class", "").split(), found.get("id", "").strip()])
+    return any(names.fullmatch(x) and not STATE.fullmatch(x) for x in [*found.get("class", "").split(), found.get("id", "").strip()])
 
 
 def link_length(node: Node) -> int:
-    return sum(0 if isinstance(k, str) or k.tag in DROPPED else text_length(k) if k.tag == "a" else link_length(k) for k in node.kids)
+    if node.link_n < 0:
+        node.link_n = sum(0 if isinstance(k, str) or k.tag in DROPPED else text_length(k) if k.tag == "a" else link_length(k) for k in node.kids)
+    return node.link_n
 
 
 def text_length(node: Node) -> int:
-    return sum(len(k.strip()) if isinstance(k, str) else 0 if k.tag in DROPPED else text_length(k) for k in node.kids)
+    if node.text_n < 0:
+        node.text_n = sum(len(k.strip()) if isinstance(k, str) else 0 if k.tag in DROPPED else text_length(k) for k in node.kids)
+    return node.text_n
+
+
+def linked(node: Node) -> bool:
+    """Whether the element's text is mostly links."""
+    n = text_length(node)
+    return n > 0 and link_length(node) >= LINK_SHARE * n
+
+
+def full_text(node: Node) -> str:
+    return "".join(k if isinstance(k, str) else "" if k.tag in DROPPED else full_text(k) for k in node.kids)
+
+
+def sentence(node: Node) -> bool:
+    """Whether the element's text reads as prose."""
+    if text_length(node) >= LONG_TEXT:
+        return True
+    text = full_text(node).rstrip(CLOSERS)
+    return text[-1:] in tuple(ENDS) and len(text.split(None, SENTENCE_WORDS)) >= SENTENCE_WORDS
 
 
 def titled(node: Node) -> bool:
@@ -186,22 +256,27 @@ def main_roots(root: Node) -> tuple[list[Node], bool]:
     Those in lists of comments or related pages, and empty ones, do not count. A main element stands for the articles
     in it unless these hold most of its text. Where no article has an ``h1``, those beside them count too.
     """
-    lengths: dict[int, int] = {}
-
-    def length(node: Node) -> int:
-        if id(node) not in lengths:
-            lengths[id(node)] = sum(len(k.strip()) if isinstance(k, str) else 0 if k.tag in DROPPED else length(k) for k in node.kids)
-        return lengths[id(node)]
+    length = text_length
 
-    def walk(node: Node) -> list[Node]:
-        if talk(node):
+    def longest(node: Node) -> list[Node]:
+        """The way down to the longest landmark, whatever the elements on it are named."""
+        best: list[Node] = []
+        for k in node.kids:
+            if not isinstance(k, str) and k.tag not in DROPPED and length(k):
+                way = longest(k)
+                best = max(best, way, key=lambda w: length(w[-1]) if w else 0)
+        landmark = node.tag in ("article", "main") or "main" in attributes(node).get("role", "").split()
+        return [node, *best] if best else [node] if landmark else []
+
+    def walk(node: Node, trusted: frozenset[int] = frozenset()) -> list[Node]:
+        if talk(node) and id(node) not in trusted:
             return []
         main = node.tag == "main" or "main" in attributes(node).get("role", "").split()
         if (main or node.tag == "article") and not length(node):
             return []
         if node.tag == "article":
             return [node]
-        found = [n for k in node.kids if not isinstance(k, str) and k.tag not in DROPPED for n in walk(k)]
+        found = [n for k in node.kids if not isinstance(k, str) and k.tag not in DROPPED for n in walk(k, trusted)]
         return [node] if main and 2 * sum(map(length, found)) <= length(node) else found
 
     def with_titles(node: Node) -> list[Node]:
@@ -209,7 +284,8 @@ def main_roots(root: Node) -> tuple[list[Node], bool]:
             return [node]
         return [n for k in node.kids if not isinstance(k, str) and k.tag not in DROPPED and not hidden(k) and not named(k) for n in with_titles(k)]
 
-    found = walk(root)
+    # what holds the only landmark of a page is no list of comments, whatever its name
+    found = walk(root) or walk(root, frozenset(map(id, longest(root))))
     if not found:
         return [root], False
     if any(titled(n) for n in found):
@@ -220,76 +296,111 @@ def main_roots(root: Node) -> tuple[list[Node], bool]:
     return (with_h1 if landmarks <= {id(n) for n in with_h1} else found), True
 
 
-def outline(html: str) -> list[tuple[str, tuple[int, ...]]]:
-    """The blocks of the main text in page order: text, and the hashes of the subtrees that may be template around it."""
-    blocks: list[tuple[str, tuple[int, ...]]] = []
-    starts, landmark = main_roots(parse(html))
-    total = 0 if landmark else text_length(starts[0])
-    buffer: list[str] = []
-    digests: dict[int, bytes] = {}
+class Page:
+    """A parsed page: its blocks of main text, and the hashes of all its subtrees."""
 
-    def flush(hashes: tuple[int, ...]):
-        text = " ".join("".join(buffer).split())
-        buffer.clear()
-        if text:
-            blocks.append((text, hashes))
+    def __init__(self, html: str):
+        self.root = parse(html)
+        self.starts, self.landmark = main_roots(self.root)
+        self.total = sum(map(text_length, self.starts))
+        self.digests: dict[int, bytes] = {}
 
-    def kept(node: Node) -> bool:
-        if node.tag in DROPPED or node.tag == "header" and not landmark:
+    def kept(self, node: Node, by_name: bool = True) -> bool:
+        """Whether tag, role, class and id let the element count."""
+        if node.tag in DROPPED or node.tag == "header" and not self.landmark or hidden(node):
             return False
-        if node.tag == "body":
+        if node.tag == "body" or not by_name or not node.attrs:
             return True
-        if landmark:
-            # a name alone marks comments; it needs links to mark others, or the counts
-            return not hidden(node) and not talk(node, COMMENTS) and not (named(node) and link_length(node) >= LINK_SHARE * max(1, text_length(node)))
+        if self.landmark:
+            if talk(node, COMMENTS):
+                return False
+            if talk(node, PAID) and text_length(node) <= PAID_SHARE * self.total and not titled(node):
+                return False
+            # any other name needs links to mark an element, or the counts
+            return not (named(node) and link_length(node) >= LINK_SHARE * max(1, text_length(node)))
         # a page's wrapper may be named after what it also holds ("with-sidebar")
-        return not hidden(node) and not named(node) and not talk(node) or not talk(node) and 2 * text_length(node) > total
+        return not named(node) and not talk(node) or not talk(node) and 2 * text_length(node) > self.total
 
-    def digest(node: Node) -> bytes:
-        if id(node) not in digests:
+    def digest(self, node: Node) -> bytes:
+        if id(node) not in self.digests:
             h = hashlib.blake2b(node.tag.encode(), digest_size=8)
             for k in node.kids:
                 if isinstance(k, str):
                     h.update(b"\0" + " ".join(k.split()).encode("utf-8", "surrogatepass"))
-                elif kept(k):
-                    h.update(b"\1" + digest(k))
-            digests[id(node)] = h.digest()
-        return digests[id(node)]
+                elif k.tag not in RAW:
+                    h.update(b"\1" + self.digest(k))
+            self.digests[id(node)] = h.digest()
+        return self.digests[id(node)]
+
+    def mark(self, node: Node, inside: bool) -> int:
+        """The hash of a subtree, its kind in the lowest bits."""
+        if linked(node):
+            kind = LINKS
+        elif (node.tag in PROSE and not named(node)) or sentence(node):
+            kind = PROSE_INSIDE if inside else PROSE_OUTSIDE
+        else:
+            kind = OTHER
+        return int.from_bytes(self.digest(node), "little", signed=True) & ~3 | kind
 
-    def walk(node: Node, hashes: tuple[int, ...]):
-        for k in node.kids:
-            if isinstance(k, str):
-                buffer.append(k)
-            elif k.tag == "br":
-                buffer.append(" ")
-            elif kept(k):
-                own = hashes
-                # a table's cells may hold the same figure on every page
-                if k.tag in BLOCK and k.tag != "body" and not (landmark and k.tag in CELLS):
-                    # the lowest bit tells prose of an article, which may recur, from the rest
-                    prose = landmark and k.tag in PROSE and not named(k)
-                    own = (*hashes, int.from_bytes(digest(k), "little", signed=True) & ~1 | prose)
-                if k.tag in BLOCK:
-                    flush(hashes)
-                    walk(k, own)
-                    flush(own)
-                else:
-                    walk(k, own)
+    def countable(self, node: Node, inside: bool) -> bool:
+        # a table's cells may hold the same figure on every page
+        return node.tag in BLOCK and node.tag != "body" and not (inside and node.tag in CELLS)
 
-    for start in starts:
-        if landmark and start.tag == "h1":
+    def hashes(self) -> set[int]:
+        """Of every subtree with text, marked elements and what lies beside the landmarks included."""
+        out: set[int] = set()
+        landmarks = {id(n) for n in self.starts if n.tag != "h1"} if self.landmark else set()
+
+        def walk(node: Node, inside: bool):
+            for k in node.kids:
+                if not isinstance(k, str) and k.tag not in RAW and k.tag != "head":
+                    within = inside or id(k) in landmarks
+                    if self.countable(k, within) and id(k) not in landmarks and (text_length(k) or k.tag in DROPPED):
+                        out.add(self.mark(k, within))
+                    walk(k, within)
+
+        walk(self.root, False)
+        return out
+
+    def blocks(self, by_name: bool = True) -> list[tuple[str, tuple[int, ...]]]:
+        """The blocks of the main text in page order: text, and the hashes of the subtrees around it."""
+        blocks: list[tuple[str, tuple[int, ...]]] = []
+        buffer: list[str] = []
+
+        def flush(hashes: tuple[int, ...]):
+            text = " ".join("".join(buffer).split())
+            buffer.clear()
+            if text:
+                blocks.append((text, hashes))
+
+        def walk(node: Node, hashes: tuple[int, ...], inside: bool):
+            for k in node.kids:
+                if isinstance(k, str):
+                    buffer.append(k)
+                elif k.tag == "br":
+                    buffer.append(" ")
+                elif self.kept(k, by_name):
+                    own = (*hashes, self.mark(k, inside)) if self.countable(k, inside) else hashes
+                    if k.tag in BLOCK:
+                        flush(hashes)
+                        walk(k, own, inside)
+                        flush(own)
+                    else:
+                        walk(k, own, inside)
+
+        for start in self.starts:
             # a title beside the landmarks may be the site's own
-            own = (int.from_bytes(digest(start), "little", signed=True) & ~1,)
-            walk(start, own)
+            beside = self.landmark and start.tag == "h1"
+            own = (self.mark(start, False),) if beside else ()
+            walk(start, own, self.landmark and not beside)
             flush(own)
-        else:
-            walk(start, ())
-            flush(())
-    return blocks
+        if not blocks and by_name and self.total:
+            return self.blocks(by_name=False)  # no class or id leaves a page without text
+        return blocks
 
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    return "\n\n".join(t for t, hashes in outline(html) if template.isdisjoint(hashes))
+    return "\n\n".join(t for t, hashes in Page(html).blocks() if template.isdisjoint(hashes))
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
@@ -297,7 +408,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     """Per page content with something to delete: ``content`` (md5 of url and html) and ``template``, the hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted({h for _, hashes in outline(x.as_py() or "") for h in hashes}) for x in b.column(5)]
+            found = [sorted(Page(x.as_py() or "").hashes()) for x in b.column(5)]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(found, pa.list_(pa.int64()))],
                                              ["host", "section", "content", "page", "body", "hashes"])
 
@@ -306,26 +417,30 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
                         F.xxhash64(F.col(url), F.col(html)).alias("page"), F.xxhash64(F.col(html)).alias("body"), F.col(html).alias("html"))
     held = materialize(held.mapInArrow(run, "host string, section string, content string, page long, body long, hashes array<long>"), "page-hashes")
 
-    def counted(once: DataFrame, keys: list[str], strict: bool, least: int) -> DataFrame:
-        often = once.select(*keys, F.explode("hashes").alias("hash")).where(F.col("hash").bitwiseAND(F.lit(1)) == int(strict))
+    def counted(once: DataFrame, keys: list[str], kinds: tuple[int, ...], least: int) -> DataFrame:
+        often = once.select(*keys, F.explode("hashes").alias("hash")).where(F.col("hash").bitwiseAND(F.lit(3)).isin(*kinds))
         return often.groupBy(*keys, "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
-    def recurring(keys: list[str], least: int, share: float, strict: bool) -> DataFrame:
+    def recurring(keys: list[str], kind: int, least: int, share: float) -> DataFrame:
         # a content once for its host or section; the copies fall together before the hashes are counted
         once = held.dropDuplicates([*keys, "page"])
         pages_of = once.groupBy(*keys).agg(F.count("*").alias("pages"))
-        often = counted(once, keys, strict, least).join(pages_of, keys).where(F.col("n") >= share * F.col("pages"))
+        often = counted(once, keys, (kind,), least).join(pages_of, keys).where(F.col("n") >= share * F.col("pages"))
         return often.select("host", (F.col("section") if "section" in keys else F.lit(None).cast("string")).alias("section"), "hash")
 
-    often = recurring(["host"], min_pages, min_share, False).unionByName(recurring(["host"], PROSE_PAGES, PROSE_SHARE, True))
-    often = often.unionByName(recurring(["host", "section"], PROSE_PAGES, PROSE_SHARE, True))
-    # copies under other addresses make no template of a page's own text, so many pages differ in their html
-    many = counted(held.dropDuplicates(["host", "body"]), ["host"], False, many_pages)
-    often = often.unionByName(many.select("host", F.lit(None).cast("string").alias("section"), "hash")).distinct()
+    often = recurring(["host"], OTHER, min_pages, min_share)
+    for keys in (["host"], ["host", "section"]):
+        often = often.unionByName(recurring(keys, PROSE_INSIDE, PROSE_PAGES, PROSE_SHARE)).unionByName(recurring(keys, PROSE_OUTSIDE, min_pages, PROSE_SHARE))
+    # copies under other addresses make no template of a page's own text, so these pages differ in their html
+    different = counted(held.dropDuplicates(["host", "body"]), ["host"], (LINKS, OTHER), min_pages)
+    different = different.where((F.col("n") >= many_pages) | (F.col("hash").bitwiseAND(F.lit(3)) == LINKS))
+    often = often.unionByName(different.select("host", F.lit(None).cast("string").alias("section"), "hash")).distinct()
     often = materialize(often.toDF("h", "s", "x"), "page-templates")
     seen = held.dropDuplicates(["content"]).select("host", "section", "content", F.explode("hashes").alias("hash"))
     hit = seen.join(often, (F.col("host") == F.col("h")) & (F.col("hash") == F.col("x")) & F.coalesce(F.col("section") == F.col("s"), F.lit(True)), "left_semi")
-    return materialize(hit.groupBy("content").agg(F.collect_set("hash").alias("template")), "page-deletions")
+    out = materialize(hit.groupBy("content").agg(F.collect_set("hash").alias("template")), "page-deletions")
+    release(held, often)
+    return out
 
 
 def place(url: Column) -> tuple[Column, Column]:

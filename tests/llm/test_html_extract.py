@@ -131,3 +131,57 @@ def test_template_on_many_pages_of_a_large_host_goes(spark):
     pages += [(1000 + i, f"http://h.com/copy?{i}", "<div><p>One page, many addresses</p></div>") for i in range(40)]
     got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame(pages, SCHEMA)).collect()}
     assert got[16] == "Text 16" and got[1003] == "One page, many addresses"
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<div class="no-comments"><article><p>Text</p></article></div>', "Text"), ('<div class="post has-comments"><article><p>Text</p></article></div>', "Text"),
+    ('<article class="post related-posts"><p>Text</p></article>', "Text"), ('<article class="related-posts comments"><p>Text</p></article>', "Text"),
+    ('<div class="comments"><main><p>Text</p></main></div>', "Text"), ('<div class="comments"><p>Only this</p></div>', "Only this"),
+    ('<article class="has-comments"><p>Text</p><div class="comments"><p>c</p></div></article><div class="related"><article>card</article></div>', "Text"),
+    ('<div class="related"><article>card</article></div><article><p>Text</p></article>', "Text"),
+])
+def test_no_class_empties_a_page(page, text):
+    assert H.main_text(page) == text
+
+
+LONG = "The text of this page is long enough to be told from what stands around it."
+
+
+@pytest.mark.parametrize("part, stays", [
+    ('<div class="advert">Buy our shoes today</div>', False), ('<div class="notice">We use cookies</div>', False), ('<div id="cookie-banner">OK?</div>', False),
+    ('<p class="sponsored">Buy!</p>', False), ('<div class="notice-board">Minutes of the board</div>', True), ('<div class="loads">Three loads</div>', True),
+    (f'<div class="promo"><p>{LONG} {LONG}</p></div>', True), ('<div class="ad"><h1>T</h1></div>', True),
+])
+def test_marked_adverts_and_notices_go_inside_landmarks(part, stays):
+    for tag in ("article", "main"):
+        got = H.main_text(f"<{tag}><p>{LONG}</p>{part}</{tag}>")
+        assert (got != LONG) == stays, got
+
+
+def test_marks_below_the_deepest_level_hold():
+    deep = "<div>" * 500
+    assert H.main_text(f"<article>{deep}<p>Text</p><nav>menu<nav>more</nav>menu</nav><div role=navigation>x<div>y</div>z</div><footer>f<script>'</footer>'</script></footer>end") == "Text\n\nend"
+
+
+def test_a_sentence_on_few_of_many_pages_stays(spark):
+    """Whatever its tag, and with or without a landmark; what is no sentence, or links, goes from some pages on."""
+    pages = site(240, lambda i: f"<article><p>Text {i}</p>{'<div>They met again in the spring.</div>' if i % 6 == 0 else ''}</article>", "a.com")
+    pages += [(i + 1000, u, f"<div>Text {i}</div>{'<p>He said nothing.</p>' if i % 10 == 0 else ''}") for i, u, _ in site(240, str, "b.com")]
+    got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got[6] == "Text 6\n\nThey met again in the spring." and got[1010] == "Text 10\n\nHe said nothing."
+
+
+def test_links_on_a_few_pages_are_template_by_their_count(spark):
+    """An unmarked list of links in an article, on five pages of a large host; the same on four stays."""
+    def links(n):
+        return "<ul>" + "".join(f"<li><a href='/{k}'>Part {n}{k}</a></li>" for k in range(4)) + "</ul>"
+
+    pages = site(100, lambda i: f"<article><p>Text {i}</p>{links('a') if i < 5 else links('b') if i < 9 else ''}</article>")
+    got = {r.row.page_id: r.text for r in H.extract(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got[2] == "Text 2" and got[7].startswith("Text 7\n\nPart b0")
+
+
+def test_subtrees_beside_the_article_are_counted(spark):
+    """The counts see the whole page: menus recur, whether a tag marks them or not."""
+    pages = spark.createDataFrame(site(12, lambda i: f"<nav><a href=/>Home</a></nav><article><p>Text {i}</p></article><div><a href=/x>About us</a></div>"), SCHEMA)
+    assert H.templates(pages).selectExpr("size(template) AS n").agg({"n": "min"}).first()[0] == 2
