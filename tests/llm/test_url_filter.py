@@ -3,8 +3,10 @@ import re
 
 import pytest
 from edge import clashing
+from pyspark.sql import functions as F
 
 from mkpulse.llm import url_filter as U
+from mkpulse.llm.common import materialize
 
 URLS = [None, "", "no scheme", "http://", "http://COM/", "https://Example.com/en/1?q=/fr/", "http://www.EXAMPLE.com/en/2#x", "http://a.www.example.com/en",
         "http://a.www.example.com/en/", "ftp://x.net/es/y", "http://net/fr/", "http://notnet/fr/", "http://x.net/de/", "http://example.com:80/en/",
@@ -43,6 +45,14 @@ def test_cascade_is_exact_for_random_lists(spark):
     assert frame.where(c.has(frame.key) != frame.listed).count() == 0
 
 
+def test_a_list_of_a_million_keys(spark):
+    keys = materialize(spark.range(1_020_000).select(F.concat(F.lit("h"), F.md5(F.col("id").cast("string")), F.lit(".com/")).alias("key"),
+                                                     (F.col("id") >= 20_000).alias("listed")), "million-keys")
+    c = U.Cascade.build(keys, "listed")
+    assert max(level.bits for level in c.levels) < 2_000_000 and all(len(level.words) * 64 == level.bits for level in c.levels)
+    assert keys.where(c.has(F.col("key")) != F.col("listed")).isEmpty()
+
+
 def test_long_rule_list(spark):
     rng = random.Random(5)
     rules = [(f"h{rng.randrange(300)}.org", f"/{rng.randrange(9)}", rng.choice(["allow", "block"])) for _ in range(400)]
