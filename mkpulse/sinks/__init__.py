@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 
 from mkpulse.operators.joins import anti_by_keys, semi_by_keys
 from mkpulse.operators.windows import keep_latest
+from mkpulse.session import materialize, release
 
 
 # ----------------------------------------------------------------- frame level
@@ -472,21 +473,53 @@ def _folder_names(spark: SparkSession, scope: DataFrame, swap: str, partition_co
     return sorted(n for n in new | held if n.startswith(partition_col + "="))
 
 
+def _surplus(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(_file, _at) of the rows that are not their key's newest, found over keys, order and places alone.
+
+    Rows equal in ``order`` are decided by place: the last written one stays.
+    """
+    meta = {"_file": "file_path", "_at": "row_index", "_written": "file_modification_time"}
+    narrow = df.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in order], *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()])
+    newest = F.max(F.struct(*[F.col(f"_o_{c}") for c in order], "_written", "_file", "_at")).alias("_n")
+    best = narrow.groupBy(*keys).agg(newest, F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    best = best.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_n._file").alias("_bf"), F.col("_n._at").alias("_ba"))
+    same = (F.col("_file") == F.col("_bf")) & (F.col("_at") == F.col("_ba"))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return narrow.join(best, match).where(~same).select("_file", "_at")
+
+
 def dedupe_in_place(spark: SparkSession, path: str, keys: Sequence[str], order_col: str = "extracted_at",
                     tiebreak: Sequence[str] = ()) -> dict:
     """Keep the newest row per key in the table at ``path``; report rows
     before, unique keys, duplicates and rows deleted. Without the order
-    column the last landed row (highest row id) is kept. The table keeps its
-    partition folders."""
+    column the last written row is kept. The table keeps its partition
+    folders, and only those that hold surplus rows are read whole and written
+    again: the surplus is found from keys, order and row places, and taken out
+    of the wide rows by their places, so these are neither sorted nor, while
+    the surplus is small, exchanged."""
     with writing(spark, path) as lease:
         df = spark.read.parquet(path)
-        before = dedupe_report(df, keys).first()
-        order = order_col if order_col in df.columns else None
-        kept = (dedupe(df, keys, order, tiebreak) if order
-                else dedupe(df.withColumn("_rowid", F.monotonically_increasing_id()), keys, "_rowid").drop("_rowid"))
-        n = _replace(kept, path, partition_columns(spark, path), lease)
-    return {"total_rows": before["total_rows"], "unique_keys": before["unique_keys"],
-            "duplicate_rows": before["duplicate_rows"], "deleted": before["total_rows"] - n}
+        order = [c for c in (order_col, *tiebreak) if c in df.columns]
+        surplus = materialize(_surplus(df, keys, order), "surplus")
+        total, extra = df.count(), surplus.count()
+        if extra:
+            by = partition_columns(spark, path)
+            swap, rows, names = _new_swap(path), df, [""]
+            if by:
+                found = surplus.select(F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)).distinct().collect() if len(by) == 1 else []
+                names = sorted({unquote(r[0]) for r in found}) or [""]
+                if names != [""]:
+                    rows = spark.read.schema(df.schema).option("basePath", path).parquet(*[f"{path.rstrip('/')}/{n}" for n in names])
+            gone = surplus.select(F.col("_file").alias("_sf"), F.col("_at").alias("_sa"))
+            kept = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+            kept = kept.join(gone, (F.col("_file") == F.col("_sf")) & (F.col("_at") == F.col("_sa")), "left_anti").drop("_file", "_at")
+            w = kept.write
+            (w.partitionBy(*by) if by else w).parquet(swap + "/new")
+            _commit(spark, swap, path, names, lease)
+        release(surplus)
+    return {"total_rows": total, "unique_keys": total - extra, "duplicate_rows": extra, "deleted": extra}
 
 
 def load(batch: DataFrame, path: str, keys: Sequence[str], lifetime: bool, partition_col: str | None = None) -> dict:

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +225,34 @@ def test_empty_batch_and_single_evaluation(spark, scratch):
     K.replace(rows.mapInArrow(count, PART), path, ["y"])
     K.upsert(rows.mapInArrow(count, PART), path, ["k", "y"], partition_col="y")
     assert seen.value == 20
+
+
+def test_dedupe_rewrites_only_partitions_with_duplicates(spark, scratch):
+    """The surplus is found without the wide columns; other partitions keep their files, special names and NULL included."""
+    path = os.path.join(scratch, "t")
+    schema = "k long, p string, at timestamp, v string, wide string"
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, p, t0 + dt.timedelta(hours=h), f"{k}{p}{h}", "x" * 50) for k in range(5) for p in ("a b", "c/d=%", "e", None) for h in range(2 if p in ("a b", None) else 1)]
+    rows += [(9, "e", None, "old", "x"), (9, "e", t0, "new", "x"), (None, "a b", t0, "n1", "x"), (None, "a b", t0 + dt.timedelta(hours=5), "n2", "x")]
+    df = spark.createDataFrame(rows, schema)
+    K.replace(df, path, ["p"])
+    before = K.partition_stamps(spark, path)
+    want = sorted((tuple(r) for r in K.dedupe(df, ["k", "p"], "at").collect()), key=repr)
+    assert K.dedupe_in_place(spark, path, ["k", "p"], "at") == {"total_rows": len(rows), "unique_keys": len(want), "duplicate_rows": len(rows) - len(want), "deleted": len(rows) - len(want)}
+    got = spark.read.schema(schema).parquet(path)
+    assert sorted((tuple(r) for r in got.select(*df.columns).collect()), key=repr) == want
+    after = K.partition_stamps(spark, path)
+    assert len(before) == 4 and {f for f in before if before[f] == after[f]} == {f for f in before if f.startswith("p=c")}
+    stamps = K.partition_stamps(spark, path)
+    assert K.dedupe_in_place(spark, path, ["k", "p"], "at")["deleted"] == 0 and K.partition_stamps(spark, path) == stamps
+    plan = K._surplus(spark.read.parquet(path), ["k", "p"], ["at"])._jdf.queryExecution().executedPlan().toString()
+    assert "wide" not in plan
+
+
+def test_dedupe_without_an_order_keeps_the_row_written_last(spark, scratch):
+    path = os.path.join(scratch, "t")
+    for v in "abc":
+        spark.createDataFrame([(1, v), (ord(v), v)], "k long, v string").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # file times in whole seconds on some systems
+    assert K.dedupe_in_place(spark, path, ["k"])["deleted"] == 2
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "c"), (97, "a"), (98, "b"), (99, "c")]
