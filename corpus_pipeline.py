@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mkpulse.llm import mixing, packing, quality_rules, secret_scan, simhash_dedup
 from mkpulse.llm.common import materialize
+from mkpulse.session import release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)  # the next stage has all it kept
     return STAGES[-1][1](spark, docs, sf_dir)
