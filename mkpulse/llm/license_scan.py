@@ -54,6 +54,10 @@ class Template:
     keys: tuple[str, ...]
 
 
+#: Identifiers of licenses that files name in one line.
+SPDX = ("mit", "isc", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "mpl-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "cc-by-4.0",
+        "cc-by-sa-4.0", "cc-by-nc-4.0", "cc0-1.0", "unlicense")
+
 #: Usual license notices and the opening terms of license texts, in words.
 TEMPLATES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
@@ -94,6 +98,7 @@ TEMPLATES = (
     Template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
              ("waived all copyright and related or neighboring rights",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    *(Template(i, f"spdx license identifier {i.replace('-', ' ').replace('.', ' ')}", (f"identifier {i.replace('-', ' ').replace('.', ' ')}",)) for i in SPDX),
 )
 
 

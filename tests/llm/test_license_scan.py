@@ -62,7 +62,7 @@ ROWS = [
     (13, "Permission by Acme is hereby granted free of charge to any person obtaining a copy of this software and associated files"), (14, "\x00cc\x00by\x7f ſ É"),
     (15, "licensed under the apache licence version 2 0"), (16, GPL.replace("General", "Lesser General")), (16, GPL.replace("General", "Lesser General")),
     (None, "This is free and unencumbered software released into the public domain."), (17, "general general public license public license"),
-    (18, "cc by cc by cc"), (19, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    (18, "cc by cc by cc"), (20, "// SPDX-License-Identifier: Apache-2.0"), (21, "SPDX-License-Identifier: GPL-3.0-only"), (22, "spdx identifier of a licence: mit"), (19, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
 ]
 
 
@@ -73,6 +73,7 @@ def test_matches_brute_force(spark):
     assert labels[1] == "mit" and labels[2] == "bsd,bsd-3-clause" and labels[3] == "gpl" and labels[4] == "cc-by,cc-by-nc-4.0"
     assert labels[5] == "apache-2.0" and labels[6] == "gpl,gpl-3.0" and labels[7] == "mit" and labels[10] == "cc-by,reserved"
     assert labels[11] == labels[12] == labels[15] == "" and labels[None] == "unlicense" and labels[16] == "gpl,lgpl" and labels[19] == "cc-by-nc"
+    assert labels[20] == "apache-2.0" and labels[21] == "gpl-3.0" and labels[22] == ""
 
 
 def test_edge_documents_and_empty_table(spark):
