@@ -90,11 +90,12 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "text_n", "link_n")
+    __slots__ = ("tag", "attrs", "kids", "text_n", "link_n", "said")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.kids = tag, attrs, []
         self.text_n = self.link_n = -1  # counted once, when the page is whole
+        self.said: str | None = None
 
 
 def parse(html: str) -> Node:
@@ -227,8 +228,16 @@ def linked(node: Node) -> bool:
     return n > 0 and link_length(node) >= LINK_SHARE * n
 
 
+def squeezed(text: str) -> str:
+    """Each run of white space as one space."""
+    return f"{' ' if text[:1].isspace() else ''}{' '.join(text.split())}{' ' if text[-1:].isspace() else ''}"
+
+
 def full_text(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else "" if k.tag in DROPPED else full_text(k) for k in node.kids)
+    """The text of an element whose length is bounded (:func:`sentence`): kept at each node, so each is read once."""
+    if node.said is None:
+        node.said = squeezed("".join(squeezed(k) if isinstance(k, str) else "" if k.tag in DROPPED else full_text(k) for k in node.kids))
+    return node.said
 
 
 def sentence(node: Node) -> bool:
