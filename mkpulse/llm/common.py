@@ -9,6 +9,8 @@ from mkpulse.session import materialize  # noqa: F401 - used by the operators
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most bytes in an Arrow batch of whole texts (a longer text is a batch of its own).
+TEXT_BATCH = "4m"
 
 
 def packed(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mkpulse.llm.common import materialize
+from mkpulse.llm.common import TEXT_BATCH, materialize
 
 CAPACITY = 1024
 END_ID = 0
@@ -32,6 +32,7 @@ END_ID = 0
 SHARE = 200_000
 
 _encoders: dict[str, object] = {}
+_whole_encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
@@ -68,14 +69,20 @@ def encoder(path: str):
 
 
 def whole_encoder(path: str):
-    """``encode(text) -> ids`` as ``tokenizers`` does by default: the file's added tokens in a text become their own ids."""
+    """``encode(text) -> ids`` as ``tokenizers`` does by default: the file's added tokens in a text become their own ids.
+
+    A process reads the file once, and keeps of it what the ids need.
+    """
+    if path in _whole_encoders:
+        return _whole_encoders[path]
     file = json.load(open(path, encoding="utf-8"))
-    added = [t["content"] for t in file.get("added_tokens", [])]
+    added, normalizer = [t["content"] for t in file.get("added_tokens", [])], bool(file.get("normalizer"))
+    del file  # before ``encoder`` reads it
     fast, own = encoder(path), []
 
     def encode(text: str) -> list[int]:
         # a normalizer may make an added token of other characters
-        if not file.get("normalizer") and not any(a in text for a in added):
+        if not normalizer and not any(a in text for a in added):
             return fast(text)
         if not own:
             from tokenizers import Tokenizer
@@ -83,7 +90,7 @@ def whole_encoder(path: str):
             own.append(Tokenizer.from_file(path))
         return own[0].encode(text, add_special_tokens=False).ids
 
-    return encode
+    return _whole_encoders.setdefault(path, encode)
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY,
@@ -194,7 +201,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> Data
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY,
                    end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most ``capacity`` tokens."""
-    return pack(materialize(pieces(docs, tokenizer, text, doc_id, capacity, end_id, with_ids), "pieces"), capacity)
+    return pack(materialize(pieces(docs, tokenizer, text, doc_id, capacity, end_id, with_ids), "pieces", TEXT_BATCH), capacity)
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = END_ID) -> DataFrame:

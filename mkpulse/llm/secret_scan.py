@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mkpulse.llm.common import materialize, packed
+from mkpulse.llm.common import TEXT_BATCH, materialize, packed
 
 KINDS = ("assign", "access", "hex")
 MODEL_KIND = "cnn"
@@ -61,6 +61,9 @@ BUCKETS, BOUND = 256, 256
 #: Characters of context on either side, and of the candidate.
 CONTEXT, INSIDE = 16, 48
 
+#: Documents whose marked texts a task holds at a time.
+REDACTED = 500
+
 SPAN = "struct<kind:string,start:int,end:int>"
 #: A span has a window or, if it is long, several; label UNKNOWN: holds a pattern's span and more.
 CANDIDATES = "struct<start:int,end:int,label:int,window:string>"
@@ -375,20 +378,25 @@ def fit(extracted: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> N
     return net
 
 
+def spans_of(b: pa.RecordBatch, net: Network | None) -> list[list[dict]]:
+    """For each row of a batch of :func:`extract` the patterns' spans and the network's, by start, then kind."""
+    order = {k: i for i, k in enumerate((*KINDS, MODEL_KIND))}
+    cands = [[c for c in x if c["label"] != 1] for x in b.column(2).to_pylist()]
+    scores = iter(net.score([c["window"] for x in cands for c in x]) if net else ())
+    spans = []
+    for base, own in zip(b.column(1).to_pylist(), cands):
+        # a candidate is secret if one of its windows is
+        more = {(c["start"], c["end"]) for c in own if net and next(scores) >= net.threshold}
+        spans.append(sorted(base + [{"kind": MODEL_KIND, "start": s, "end": e} for s, e in more], key=lambda x: (x["start"], order[x["kind"]])))
+    return spans
+
+
 def report(extracted: DataFrame, net: Network | None) -> DataFrame:
     """``row`` and ``spans``: the patterns' and the network's, by start, then kind."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = {k: i for i, k in enumerate((*KINDS, MODEL_KIND))}
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            cands = [[c for c in x if c["label"] != 1] for x in b.column(2).to_pylist()]
-            scores = iter(net.score([c["window"] for x in cands for c in x]) if net else ())
-            spans = []
-            for base, own in zip(b.column(1).to_pylist(), cands):
-                # a candidate is secret if one of its windows is
-                more = {(c["start"], c["end"]) for c in own if net and next(scores) >= net.threshold}
-                spans.append(sorted(base + [{"kind": MODEL_KIND, "start": s, "end": e} for s, e in more], key=lambda x: (x["start"], order[x["kind"]])))
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["row", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans_of(b, net), kind)], ["row", "spans"])
 
     return extracted.mapInArrow(run, T.StructType([extracted.schema["row"], *T.StructType.fromDDL(f"spans array<{SPAN}>").fields]))
 
@@ -398,33 +406,38 @@ def scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE, recall: floa
     what is written between fitting and scoring are spans and windows."""
     found = extract(docs, text)
     slim = found.withColumn("row", F.col("row").dropFields(text)) if len(docs.columns) > 1 else found
-    slim = materialize(slim, "secrets")
+    slim = materialize(slim, "secrets", TEXT_BATCH)
     return report(slim, fit(slim, sample, recall))
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", mark: str = "[SECRET]", sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` with every span replaced by ``mark`` and ``n_chars``, if there, counted anew."""
-    found = materialize(extract(docs, text), "secrets")
-    spanned = report(found, fit(found, sample))
+    found = materialize(extract(docs, text), "secrets", TEXT_BATCH)
+    net = fit(found, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row = b.column(0)
-            texts = row.field(text).to_pylist()
-            for i, spans in enumerate(b.column(1).to_pylist()):
-                if not spans:
-                    continue
-                parts, at = [], 0
-                for s in spans:  # by start; overlapping spans share a mark
-                    if s["start"] >= at:
-                        parts += [texts[i][at : s["start"]], mark]
-                    at = max(at, s["end"])
-                texts[i] = "".join([*parts, texts[i][at:]])
-            names = [f.name for f in row.type]
-            cols = [pa.array(texts, pa.string()) if c == text else row.field(c) for c in names]
-            if n_chars in names:
-                n = row.type.field(n_chars).type
-                cols[names.index(n_chars)] = pa.array([None if t is None else len(t) for t in texts]).cast(n)
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return spanned.mapInArrow(run, docs.schema)
+            spans = spans_of(b, net)
+            # found and marked by one Python worker a task, a few texts at a time
+            for at in range(0, b.num_rows, REDACTED):
+                yield marked(b.column(0).slice(at, REDACTED), spans[at : at + REDACTED])
+
+    def marked(row: pa.StructArray, spans: list[list[dict]]) -> pa.RecordBatch:
+        texts = row.field(text).to_pylist()
+        for i, found_here in enumerate(spans):
+            if not found_here:
+                continue
+            parts, at = [], 0
+            for s in found_here:  # by start; overlapping spans share a mark
+                if s["start"] >= at:
+                    parts += [texts[i][at : s["start"]], mark]
+                at = max(at, s["end"])
+            texts[i] = "".join([*parts, texts[i][at:]])
+        names = [f.name for f in row.type]
+        cols = [pa.array(texts, pa.string()) if c == text else row.field(c) for c in names]
+        if n_chars in names:
+            n = row.type.field(n_chars).type
+            cols[names.index(n_chars)] = pa.array([None if t is None else len(t) for t in texts]).cast(n)
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    return found.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mkpulse.llm.common import materialize, packed
+from mkpulse.llm.common import TEXT_BATCH, materialize, packed
 
 SEED = 42
 SEGMENTS = 16
@@ -226,7 +226,7 @@ def _who(doc_id: str):
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest id that can be reached)."""
     rows = fingerprints(docs.select(doc_id, text), text, shingle).select(_who(doc_id).alias("who"), "fp")
-    rows = materialize(rows, "simhash")
+    rows = materialize(rows, "simhash", TEXT_BATCH)
     found = classes_with_components(rows, max_bits).select(F.col("fp").alias("k"), "first")
     return rows.join(found, F.col("fp") == F.col("k")).select(
         F.col("who.id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -235,7 +235,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs``, one per component: that with the smallest id."""
-    rows = materialize(fingerprints(docs, text, shingle).select("row", _who(doc_id).alias("who"), "fp"), "simhash")
+    rows = materialize(fingerprints(docs, text, shingle).select("row", _who(doc_id).alias("who"), "fp"), "simhash", TEXT_BATCH)
     found = classes_with_components(rows.select("who", "fp"), max_bits)
     winners = found.select(F.col("first.uid").alias("uid")).distinct()
     return rows.select("row", F.col("who.uid").alias("uid")).join(winners, "uid", "left_semi").select("row.*")

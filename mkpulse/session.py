@@ -15,6 +15,8 @@ DRIVER_TABLES = (
 
 #: Spark's setting for deleting the shuffle files of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the most bytes in an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def build_session(master: str | None = None, partitions: int = 8, app: str = "mkpulse",
@@ -94,19 +96,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, batch_bytes: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: a
     frame that several branches of a plan read is computed once, and a lost
     executor does not recompute what is upstream of it. What the write shuffled
-    is deleted when it is done: nothing reads it again."""
+    is deleted when it is done: nothing reads it again.
+
+    ``batch_bytes`` bounds the Arrow batches between the JVM and Python during
+    the write: ten thousand rows, Spark's own bound, are much memory if they
+    hold whole texts, and each task has them several times over."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    own = {SHUFFLE_CLEANUP: "true"} | ({BATCH_BYTES: batch_bytes} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     held = spark.read.schema(df.schema).parquet(path)
     held.materialized_at = path
     return held

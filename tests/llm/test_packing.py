@@ -111,3 +111,29 @@ def test_added_tokens_in_a_text_get_their_own_ids(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.ids for r in P.pieces(docs, PATH, with_ids=True).collect()}
     assert [got[i] for i in range(4)] == want and want[1] == [50256, 50256, 0]
+
+
+def test_a_process_reads_the_tokenizer_file_once(monkeypatch):
+    reads, load = [], P.json.load
+    monkeypatch.setattr(P, "_encoders", {})
+    monkeypatch.setattr(P, "_whole_encoders", {}, raising=False)
+    monkeypatch.setattr(P.json, "load", lambda f: reads.append(f.name) or load(f))
+    first = P.whole_encoder(PATH)
+    n = len(reads)
+    assert P.whole_encoder(PATH) is first and len(reads) == n
+    # what stays is the encoder, not the parsed file
+    assert not any(isinstance(c.cell_contents, dict) for c in first.__closure__)
+
+
+def test_tokenizing_workers_get_small_batches(spark, monkeypatch):
+    held, real = [], P.materialize
+
+    def materialize(df, tag, *bound):
+        held.append((tag, bound))
+        return real(df, tag, *bound)
+
+    monkeypatch.setattr(P, "materialize", materialize)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text").coalesce(1)
+    packed = P.pack_documents(docs, PATH)
+    assert packed.selectExpr("sum(length)").first()[0] == sum(len(x) for x in ids_of(["word " * 2000])) * 3000
+    assert held == [("pieces", ("4m",))]

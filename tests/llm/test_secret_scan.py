@@ -105,6 +105,14 @@ def test_redact(spark):
         assert r.text == want + t[at:] and r.n_chars == len(r.text)
 
 
+def test_redact_sends_texts_to_python_once(spark):
+    """Spans are found and marked by one worker a task: a second one would hold the texts as well."""
+    texts = [f"text {i} token = \"0123456789ab{i:04d}\" end" if i % 3 else f"plain {i}" for i in range(3 * S.REDACTED + 7)]
+    out = S.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: r.text for r in out.collect()} == {i: f'text {i} [SECRET]" end' if i % 3 else t for i, t in enumerate(texts)}
+
+
 def test_empty_table_and_no_labels(spark):
     assert S.scan(documents(spark).limit(0)).count() == 0
     assert S.fit(S.extract(spark.createDataFrame([(1, "plain")], "doc_id long, text string"))) is None

@@ -2,7 +2,7 @@ import pytest
 
 import os
 
-from mkpulse.session import SHUFFLE_CLEANUP, Tables, checkpoint_dir, materialize, release, scale_conf
+from mkpulse.session import BATCH_BYTES, SHUFFLE_CLEANUP, Tables, checkpoint_dir, materialize, release, scale_conf
 
 
 def test_checkpoint_dir_reads_session_setting(spark):
@@ -59,3 +59,18 @@ def test_materialized_frames_leave_no_shuffle_and_can_be_released(spark):
     release(held, spark.range(3))
     assert not os.path.exists(path)
     release(held)  # a second time: nothing left to do
+
+
+def test_batch_bytes_bound_the_arrow_batches_of_one_write(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 5000) AS text").mapInArrow(sizes, "n long, size long")
+    before = spark.conf.get(BATCH_BYTES)
+    rows = materialize(texts, "sizes", "1m").collect()
+    assert sum(r.n for r in rows) == 4000 and max(r.size for r in rows) < 1.2e6
+    assert spark.conf.get(BATCH_BYTES) == before
+    assert len(materialize(texts, "sizes").collect()) == 1
